@@ -32,6 +32,9 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.table)
 
     def read(self) -> DataFrame:
+        """The index; an empty one is made where there is none."""
+        if not self.exists():
+            self.append(self.spark.createDataFrame([], "digest string, keep_id long, keep_row long"))
         return self.spark.table(self.table)
 
     def append(self, rows: DataFrame) -> None:
@@ -77,16 +80,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         .agg(F.max("row").alias("keep_row"), F.max("top_id").alias("keep_id"), F.max("group_size").alias("group_size")),
         "digest-groups",
     )
-    if index.exists():
-        known = materialize(
-            groups.select("digest", "group_size").hint("merge").join(index.read().select(*INDEX_COLUMNS), "digest").withColumn("keep_row", F.lit(-1).cast("long")),
-            "digests-known",
-        )
-        new = groups.hint("merge").join(index.read().select("digest"), "digest", "left_anti")
-        new = materialize(new, "digests-new")
-        groups = new.unionByName(known)
-    else:
-        new = groups
+    old = index.read().select("digest", F.col("keep_id").alias("old_id"))
+    new = materialize(groups.hint("merge").join(old, "digest", "left_anti"), "digests-new")
+    known = groups.hint("merge").join(old, "digest").select("digest", F.lit(-1).cast("long").alias("keep_row"), F.col("old_id").alias("keep_id"), "group_size")
+    groups = new.unionByName(materialize(known, "digests-known"))
     index.append(new)
     out = join_by_group(rows, groups, "digest", "group_size", total)
     return out.select(
