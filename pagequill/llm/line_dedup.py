@@ -3,8 +3,8 @@
 Tokens of a line are its words (runs of non-(ASCII) space, A-Z lower-cased), as
 a set. Tokens are ordered by rarity in the corpus; two lines with Jaccard
 similarity t or more share a token within their prefixes. Candidates pass the
-length filter, the positional filter and a parity sketch, whose differing bits
-are never more than the differing tokens; then Jaccard is verified exactly.
+length filter, the positional filter and a 64-bit parity sketch, whose differing
+bits are never more than the differing tokens; then Jaccard is verified exactly.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.common import join_by_group, materialize
+from pagequill.llm.common import discard, join_by_group, materialize, release
 
 THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
 #: others are rarer and ordered by their hash, which any exact join allows.
 RANKED_TOKENS = 1 << 20
-_RARE = 1 << 61
+_RARE = 1 << 62
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,117 +60,144 @@ def frequent_tokens(docs: DataFrame, text_col: str = "text", most: int = RANKED_
             break
         total += k
     got = counts.where(step >= least).toArrow()
+    discard(counts)
     h, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.lexsort((h, n))
-    rank = np.empty(len(h), np.int64)
-    rank[order] = np.arange(len(h))
+    rank = np.empty(len(h), np.int32)
+    rank[order] = np.arange(len(h), dtype=np.int32)
     by = np.argsort(h)
     return h[by], rank[by]
 
 
+class _Numbers(dict):
+    """Token -> number in the common order: rank of a ranked token, else its hash less 2^62, so that rarer ones come first."""
+
+    def __init__(self, hashes: np.ndarray, ranks: np.ndarray):
+        super().__init__()
+        self.hashes, self.ranks = hashes, ranks
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) > 400_000:
+            self.clear()
+        new = [w for w in words if w not in self]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        out = (h >> np.uint64(3)).astype(np.int64) - _RARE
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == h, self.ranks[at], out)
+        self.update(zip(new, out.tolist(), strict=True))
+
+
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = RANKED_TOKENS) -> DataFrame:
-    """A row per line that has a token: id, tk, line, class, size, s1, s2, toks.
+    """A row per line that has a token: id, tk, line, class, size, sketch, rare, ranked.
 
     tk hashes the whole text, so that (id, tk) is a document; class is a 128-bit
-    hash of the token set; s1, s2 its parity sketch; toks its tokens, rarest first.
+    hash of the token set; sketch is its parity sketch; rare and ranked are its
+    tokens, rarest first: hashes (negative), then ranks.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, text_col, most))
+    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ranks = shared.value
-        memo: dict[bytes, tuple[int, int]] = {}
-
-        def token(w: bytes) -> tuple[int, int]:
-            if len(memo) > 400_000:
-                memo.clear()
-            h = xxhash.xxh64_intdigest(w)
-            k = int(np.searchsorted(hashes, np.uint64(h)))
-            at = _RARE + int(ranks[k]) if k < len(hashes) and int(hashes[k]) == h else h >> 3
-            memo[w] = got = (at, 1 << (h & 127))
-            return got
-
+        number = _Numbers(*shared.value)
         for b in batches:
-            ids, tks, lines, classes, sizes, s1, s2, flat = [], [], [], [], [], [], [], []
+            rows: list[tuple] = []
+            sizes: list[int] = []
+            flat: list[int] = []
             for key, tk, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                key, tk = key.as_py(), tk.as_py()
-                for i, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                    words = set(line.split())
-                    if not words:
-                        continue
-                    got = sorted([memo.get(w) or token(w) for w in words])
-                    bits = 0
-                    for _, m in got:
-                        bits ^= m
-                    toks = [t for t, _ in got]
-                    ids.append(key), tks.append(tk), lines.append(i), sizes.append(len(toks))
-                    s1.append(bits & 0xFFFFFFFFFFFFFFFF), s2.append(bits >> 64)
-                    flat += toks
-                    classes.append(xxhash.xxh3_128_digest(np.array(toks, np.int64).tobytes()))
-                    if len(flat) > 2_000_000:
-                        yield out(b.schema, ids, tks, lines, classes, sizes, s1, s2, flat)
-                        ids, tks, lines, classes, sizes, s1, s2, flat = [], [], [], [], [], [], [], []
-            yield out(b.schema, ids, tks, lines, classes, sizes, s1, s2, flat)
-
-    def out(schema, ids, tks, lines, classes, sizes, s1, s2, flat):  # noqa: ANN001, ANN202
-        at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
-        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        cols = [pa.array(ids, schema.field(0).type), pa.array(tks, pa.int64()), pa.array(lines, pa.int32()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), long(s1), long(s2), pa.ListArray.from_arrays(at, np.array(flat, np.int64))]
-        return pa.RecordBatch.from_arrays(cols, ["id", "tk", "line", "class", "size", "s1", "s2", "toks"])
+                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
+                number.learn(set(lines.split()))
+                key, tk, get = key.as_py(), tk.as_py(), number.__getitem__
+                for i, line in enumerate(lines.split(b"\n")):
+                    if words := set(line.split()):
+                        toks = sorted(map(get, words))
+                        flat += toks
+                        sizes.append(len(toks))
+                        rows.append((key, tk, i))
+                if len(flat) > 1_000_000:
+                    yield out(b.schema, rows, sizes, flat)
+                    rows, sizes, flat = [], [], []
+            yield out(b.schema, rows, sizes, flat)
+
+    def out(schema: pa.Schema, rows: list[tuple], sizes: list[int], flat: list[int]) -> pa.RecordBatch:
+        ends = np.cumsum(np.array(sizes, np.int64))
+        heads = ends - sizes if sizes else ends
+        toks = np.array(flat, np.int64)
+        bit = (toks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+        sketch = np.bitwise_xor.reduceat(np.uint64(1) << bit, heads) if sizes else np.zeros(0, np.uint64)
+        raw = memoryview(toks.tobytes())
+        classes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip(heads.tolist(), ends.tolist(), strict=True)]
+        is_rare = toks < 0
+        cut = lambda m: np.concatenate(([0], np.cumsum(m)))[np.concatenate(([0], ends))].astype(np.int32)
+        keys, tks, nums = zip(*rows, strict=True) if rows else ((), (), ())
+        cols = [pa.array(keys, schema.field(0).type), pa.array(tks, pa.int64()), pa.array(nums, pa.int32()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketch.view(np.int64))]
+        cols += [pa.ListArray.from_arrays(cut(is_rare), toks[is_rare]), pa.ListArray.from_arrays(cut(~is_rare), toks[~is_rare].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "tk", "line", "class", "size", "sketch", "rare", "ranked"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, tk long, line int, class binary, size int, s1 long, s2 long, toks array<long>")
+    return rows.mapInArrow(run, f"id {kind}, tk long, line int, class binary, size int, sketch long, rare array<long>, ranked array<int>")
 
 
 def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(cid) of the token sets with Jaccard >= threshold to one of smaller cid.
 
-    sets: cid, size, s1, s2, toks (in the common order), one row per distinct
-    set, cid in the order of first occurrence.
+    sets: cid, size, sketch, rare, ranked; cid in the order of first occurrence.
     """
     t = threshold
     prefix = (F.col("size") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1).cast("int")
-    posts = sets.select("cid", (F.shiftleft(F.col("size").cast("long"), 32)).alias("size"), "s1", "s2", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok"))
-    posts = posts.select("cid", "tok", "s1", "s2", (F.col("size") + F.col("pos")).alias("sp"))
-    a = posts.select("tok", *[F.col(c).alias(f"a_{c}") for c in ("cid", "s1", "s2", "sp")])
-    b = posts.select(F.col("tok").alias("tok_b"), *[F.col(c).alias(f"b_{c}") for c in ("cid", "s1", "s2", "sp")])
-    n, m = F.shiftright("a_sp", 32), F.shiftright("b_sp", 32)
-    i, j = F.col("a_sp").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("b_sp").bitwiseAND(F.lit(0xFFFFFFFF))
+    first = F.slice("rare", F.lit(1), prefix)
+    toks = F.concat(first, F.slice("ranked", F.lit(1), F.greatest(prefix - F.size("rare"), F.lit(0))).cast("array<long>"))
+    posts = sets.select("cid", "size", "sketch", F.posexplode(toks).alias("pos", "tok"))
+    a, b = posts.alias("a"), posts.alias("b")
+    col = lambda side, c: F.col(f"{side}.{c}")
+    n, m = col("a", "size"), col("b", "size")
     need = F.ceil((n + m) * F.lit(t / (1 + t)) - 1e-9)  # tokens in common
-    bits = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
     near = (
-        (F.col("b_cid") < F.col("a_cid"))
+        (col("b", "cid") < col("a", "cid"))
         & (n >= m * F.lit(t) - 1e-9)
         & (m >= n * F.lit(t) - 1e-9)
-        & (bits <= n + m - 2 * need)
-        & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= need)
+        & (F.bit_count(col("a", "sketch").bitwiseXOR(col("b", "sketch"))) <= n + m - 2 * need)
+        & (F.least(col("a", "pos"), col("b", "pos")) + F.least(n - col("a", "pos"), m - col("b", "pos")) >= need)
     )
-    pairs = materialize(a.join(b, (F.col("tok") == F.col("tok_b")) & near).select("a_cid", "b_cid").distinct(), "line-candidates")
-    left = pairs.join(sets.select(F.col("cid").alias("a_cid"), F.col("toks").alias("x")), "a_cid")
-    both = left.join(sets.select(F.col("cid").alias("b_cid"), F.col("toks").alias("y")), "b_cid")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * (1 + t) >= (F.size("x") + F.size("y")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct()
+    pairs = a.join(b, (col("a", "tok") == col("b", "tok")) & near).select(col("a", "cid").alias("a_cid"), col("b", "cid").alias("b_cid")).distinct()
+    pairs = materialize(pairs, "line-candidates")
+    release(sets.sparkSession)
+    side = lambda s: sets.select(F.col("cid").alias(f"{s}_cid"), F.col("rare").alias(f"{s}_rare"), F.col("ranked").alias(f"{s}_ranked"), F.col("size").alias(f"{s}_size"))
+    both = pairs.join(side("a"), "a_cid").join(side("b"), "b_cid")
+    common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
+    late = both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct()
+    late = materialize(late, "line-late")
+    discard(pairs)
+    return late
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = RANKED_TOKENS) -> DataFrame:
     """(id, tk, removed): the numbers (from 0) of the lines to remove of each document that has any."""
+    spark = docs.sparkSession
     spread = F.coalesce(F.col("id").cast("decimal(38,0)"), F.lit((1 << 63) - 1).cast("decimal(38,0)")) * F.lit(1 << 31) + F.col("line")
     lines = materialize(line_sets(docs, id_col, text_col, most).withColumn("ord", spread.cast("decimal(38,0)")), "lines")
     total = lines.count()
     firsts = lines.groupBy("class").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     # Numbers in the order of first occurrence.
-    parts = lines.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    firsts = materialize(firsts.repartitionByRange(int(parts), "first").sortWithinPartitions("first", "class").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts = materialize(firsts.repartitionByRange(parts, "first").sortWithinPartitions("first", "class").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
     heads = firsts.select("cid", F.col("first").alias("ord"), F.col("class").alias("k"))
-    sets = lines.join(heads, (lines["ord"] == heads["ord"]) & (lines["class"] == heads["k"])).select("cid", "size", "s1", "s2", "toks").dropDuplicates(["cid"])
+    # Rows that share an id can bring a set twice, which does no harm to the join.
+    sets = lines.join(heads, (lines["ord"] == heads["ord"]) & (lines["class"] == heads["k"])).select("cid", "size", "sketch", "rare", "ranked")
     sets = materialize(sets, "line-sets")
-    late = materialize(similar_to_earlier(sets, threshold), "line-late")
+    release(spark)
+    late = similar_to_earlier(sets, threshold)
+    discard(sets)
     known = materialize(firsts.join(late.withColumn("late", F.lit(True)), "cid", "left").select("class", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
     of = join_by_group(lines.select("id", "tk", "line", "ord", "class"), known, "class", "n", total)
     gone = of.where((F.col("ord") > F.col("first")) | F.col("late"))
-    return gone.groupBy("id", "tk").agg(F.collect_set("line").alias("removed"))
+    gone = materialize(gone.groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
+    discard(lines)
+    release(spark)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = RANKED_TOKENS, report: bool = False) -> DataFrame:
