@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,10 +44,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps.
 
     It does so when the driver's JVM has collected what refers to them, which may
-    be long after the last use; a job of many large steps asks for it.
+    be long after the last use; a job of many large steps asks for it. The
+    second round collects what only the first one's clean-up has let go.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(*tables: DataFrame) -> None:
