@@ -107,10 +107,11 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             flat: list[int] = []
             for key, tk, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 lines = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                number.learn(set(lines.split()))
+                by_line = [set(line.split()) for line in lines.split(b"\n")]
+                number.learn(set().union(*by_line))
                 key, tk, get = key.as_py(), tk.as_py(), number.__getitem__
-                for i, line in enumerate(lines.split(b"\n")):
-                    if words := set(line.split()):
+                for i, words in enumerate(by_line):
+                    if words:
                         toks = sorted(map(get, words))
                         flat += toks
                         sizes.append(len(toks))
@@ -145,6 +146,7 @@ def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(cid) of the token sets with Jaccard >= threshold to one of smaller cid.
 
     sets: cid, size, sketch, rare, ranked; cid in the order of first occurrence.
+    It must be a materialized table, and is deleted once it is read.
     """
     t = threshold
     prefix = (F.col("size") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1).cast("int")
@@ -164,13 +166,16 @@ def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFra
     )
     pairs = a.join(b, (col("a", "tok") == col("b", "tok")) & near).select(col("a", "cid").alias("a_cid"), col("b", "cid").alias("b_cid")).distinct()
     pairs = materialize(pairs, "line-candidates")
-    release(sets.sparkSession)
-    side = lambda s: sets.select(F.col("cid").alias(f"{s}_cid"), F.col("rare").alias(f"{s}_rare"), F.col("ranked").alias(f"{s}_ranked"), F.col("size").alias(f"{s}_size"))
+    needed = pairs.select(F.explode(F.array("a_cid", "b_cid")).alias("cid")).distinct()
+    few = materialize(sets.join(needed, "cid", "left_semi"), "line-suspects")
+    discard(sets)
+    release(few.sparkSession)
+    side = lambda s: few.select(F.col("cid").alias(f"{s}_cid"), F.col("rare").alias(f"{s}_rare"), F.col("ranked").alias(f"{s}_ranked"), F.col("size").alias(f"{s}_size"))
     both = pairs.join(side("a"), "a_cid").join(side("b"), "b_cid")
     common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
     late = both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct()
     late = materialize(late, "line-late")
-    discard(pairs)
+    discard(pairs, few)
     return late
 
 
@@ -190,7 +195,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = materialize(sets, "line-sets")
     release(spark)
     late = similar_to_earlier(sets, threshold)
-    discard(sets)
     known = materialize(firsts.join(late.withColumn("late", F.lit(True)), "cid", "left").select("class", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
     of = join_by_group(lines.select("id", "tk", "line", "ord", "class"), known, "class", "n", total)
     gone = of.where((F.col("ord") > F.col("first")) | F.col("late"))
