@@ -118,7 +118,7 @@ def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str]
     bucket = F.floor(F.log(F.col("n").cast("double")) / base).cast("int")
     a = rows.withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).select("b", *[F.col(c).alias(f"{c}1") for c in rows.columns])
     b = rows.withColumn("b", bucket).select("b", *[F.col(c).alias(f"{c}2") for c in rows.columns])
-    common = lambda x: F.reduce(F.zip_with(f"{x}1", f"{x}2", F.least), F.lit(0), lambda s, v: s + v)
+    common = lambda x: F.reduce(F.zip_with(f"{x}1", f"{x}2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     close = (F.col("ord1") < F.col("ord2")) & (2 * F.least("n1", "n2") >= need * (F.col("n1") + F.col("n2")) - 1e-9) & (2 * F.least("m1", "m2") >= need * (F.col("m1") + F.col("m2")) - 1e-9)
     pairs = a.join(b, (a["b"] == b["b"]) & close).where((2 * common("lt") >= need * (F.col("n1") + F.col("n2")) - 1e-9) & (2 * common("ld") >= need * (F.col("m1") + F.col("m2")) - 1e-9))
 

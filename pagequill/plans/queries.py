@@ -406,14 +406,14 @@ def g6_t7_authority_parents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH {_GRAPH}, {_RANKS}, {_METRICS},
     flow AS (SELECT w.s, w.t, m.authority_score * w.weight / sum(w.weight) OVER (PARTITION BY w.s) AS flow FROM weighted w JOIN metrics m ON m.norm = w.s)
-    SELECT norm, round(CAST(sum(flow * i) AS DOUBLE), 2) AS inflow, round(CAST(sum(flow * (1 - i)) AS DOUBLE), 2) AS outflow, CAST(sum(i) AS BIGINT) AS in_pages, CAST(sum(1 - i) AS BIGINT) AS out_pages
+    SELECT norm, round(CAST(sum(flow * i) AS DOUBLE) / 3, 2) AS inflow_third, round(CAST(sum(flow * (1 - i)) AS DOUBLE) / 3, 2) AS outflow_third, CAST(sum(i) AS BIGINT) AS in_pages, CAST(sum(1 - i) AS BIGINT) AS out_pages
     FROM (SELECT t AS norm, 1 AS i, flow FROM flow UNION ALL SELECT s, 0, flow FROM flow) GROUP BY norm
 """)
 def a15_node_flows(spark: SparkSession, d: str) -> DataFrame:
     p, links = P(spark, d), L(spark, d)
     w = linkgraph.edges(p, links)
     f = linkgraph.node_flows(linkgraph.flows(w, linkgraph.page_metrics(p, links, w)))
-    return f.select("norm", F.round("inflow", 2).alias("inflow"), F.round("outflow", 2).alias("outflow"), "in_pages", "out_pages")
+    return f.select("norm", F.round(C("inflow") / 3, 2).alias("inflow_third"), F.round(C("outflow") / 3, 2).alias("outflow_third"), "in_pages", "out_pages")
 
 
 def _graph_rows(spark: SparkSession, d: str, mode: str) -> DataFrame:
@@ -629,7 +629,7 @@ def s14_link_rows(spark: SparkSession, d: str) -> DataFrame:
     return store.link_rows(L(spark, d))
 
 
-@query("SELECT ord, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain, CASE WHEN ord % 2 = 0 THEN 12.3 END AS domain_rating FROM crawl_pages WHERE url NOT LIKE '%//www.%'")
+@query("SELECT ord, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain, CASE WHEN ord % 2 = 0 THEN CAST(12.3 AS DOUBLE) END AS domain_rating FROM crawl_pages WHERE url NOT LIKE '%//www.%'")
 def s18_domain_rating(spark: SparkSession, d: str) -> DataFrame:
     p = P(spark, d).where("url not like '%//www.%'")
     rated = views.domain_ratings(p.select("ord", C("url").alias("target")), p.select(urls.extract_domain(C("url")).alias("domain"), F.lit(12.34).alias("rating")).distinct())
