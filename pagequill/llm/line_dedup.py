@@ -164,7 +164,11 @@ def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFra
         & (F.bit_count(col("a", "sketch").bitwiseXOR(col("b", "sketch"))) <= n + m - 2 * need)
         & (F.least(col("a", "pos"), col("b", "pos")) + F.least(n - col("a", "pos"), m - col("b", "pos")) >= need)
     )
-    pairs = a.join(b, (col("a", "tok") == col("b", "tok")) & near).select(col("a", "cid").alias("a_cid"), col("b", "cid").alias("b_cid")).distinct()
+    # Common tokens behind the prefix that ends first lie in that set's rest, so a pair needs this many within both prefixes.
+    rest = lambda x: F.ceil(x * F.lit(t) - 1e-9) - 1
+    least = need - F.greatest(rest(n), rest(m))
+    hits = a.join(b, (col("a", "tok") == col("b", "tok")) & near).select(col("a", "cid").alias("a_cid"), col("b", "cid").alias("b_cid"), least.alias("least"))
+    pairs = hits.groupBy("a_cid", "b_cid").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a_cid", "b_cid")
     pairs = materialize(pairs, "line-candidates")
     needed = pairs.select(F.explode(F.array("a_cid", "b_cid")).alias("cid")).distinct()
     few = materialize(sets.join(needed, "cid", "left_semi"), "line-suspects")
