@@ -175,10 +175,18 @@ def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFra
     discard(sets)
     release(few.sparkSession)
     side = lambda s: few.select(F.col("cid").alias(f"{s}_cid"), F.col("rare").alias(f"{s}_rare"), F.col("ranked").alias(f"{s}_ranked"), F.col("size").alias(f"{s}_size"))
-    both = pairs.join(side("a"), "a_cid").join(side("b"), "b_cid")
-    common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
-    late = both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct()
-    late = materialize(late, "line-late")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(side("a"), "a_cid").join(side("b"), "b_cid")
+        common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
+        return both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct()
+
+    # One true match settles a set, and in a group of near copies the earliest is one for
+    # nearly all: it is tried first, and all other candidates only of sets it doesn't settle.
+    earliest = pairs.groupBy("a_cid").agg(F.min("b_cid").alias("b_cid"))
+    settled = materialize(verified(earliest), "line-settled")
+    others = pairs.join(settled.withColumnRenamed("cid", "a_cid"), "a_cid", "left_anti").join(earliest, ["a_cid", "b_cid"], "left_anti")
+    late = materialize(settled.unionByName(verified(others)), "line-late")
     discard(pairs, few)
     return late
 
