@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequill.llm.common import discard, join_by_group, materialize, release
@@ -24,6 +24,8 @@ THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
 #: others are rarer and ordered by their hash, which any exact join allows.
 RANKED_TOKENS = 1 << 20
+#: Sets before a set in the list of a token that it tries first, besides the list's first; more settle more sets early.
+NEIGHBOURS = 3
 _RARE = 1 << 62
 
 
@@ -142,52 +144,90 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return rows.mapInArrow(run, f"id {kind}, tk long, line int, class binary, size int, sketch long, rare array<long>, ranked array<int>")
 
 
-def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cid) of the token sets with Jaccard >= threshold to one of smaller cid.
-
-    sets: cid, size, sketch, rare, ranked; cid in the order of first occurrence.
-    It must be a materialized table, and is deleted once it is read.
-    """
-    t = threshold
+def _prefixes(sets: DataFrame, t: float) -> DataFrame:
+    """(cid, size, sketch, toks): the sets with their prefixes only."""
     prefix = (F.col("size") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1).cast("int")
     first = F.slice("rare", F.lit(1), prefix)
     toks = F.concat(first, F.slice("ranked", F.lit(1), F.greatest(prefix - F.size("rare"), F.lit(0))).cast("array<long>"))
-    posts = sets.select("cid", "size", "sketch", F.posexplode(toks).alias("pos", "tok"))
-    a, b = posts.alias("a"), posts.alias("b")
-    col = lambda side, c: F.col(f"{side}.{c}")
-    n, m = col("a", "size"), col("b", "size")
-    need = F.ceil((n + m) * F.lit(t / (1 + t)) - 1e-9)  # tokens in common
+    return sets.select("cid", "size", "sketch", toks.alias("toks"))
+
+
+def _near(a: str, b: str, t: float) -> tuple[Column, Column, Column]:
+    """Filters of posting a against posting b of an earlier set; tokens they must have in common; how far their sketches differ."""
+    n, m, i, k = F.col(f"{a}size"), F.col(f"{b}size"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    need = F.ceil((n + m) * F.lit(t / (1 + t)) - 1e-9)
+    apart = F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch")))
     near = (
-        (col("b", "cid") < col("a", "cid"))
+        (F.col(f"{b}cid") < F.col(f"{a}cid"))
         & (n >= m * F.lit(t) - 1e-9)
         & (m >= n * F.lit(t) - 1e-9)
-        & (F.bit_count(col("a", "sketch").bitwiseXOR(col("b", "sketch"))) <= n + m - 2 * need)
-        & (F.least(col("a", "pos"), col("b", "pos")) + F.least(n - col("a", "pos"), m - col("b", "pos")) >= need)
+        & (apart <= n + m - 2 * need)
+        & (F.least(i, k) + F.least(n - i, m - k) >= need)
     )
-    # Common tokens behind the prefix that ends first lie in that set's rest, so a pair needs this many within both prefixes.
-    rest = lambda x: F.ceil(x * F.lit(t) - 1e-9) - 1
-    least = need - F.greatest(rest(n), rest(m))
-    hits = a.join(b, (col("a", "tok") == col("b", "tok")) & near).select(col("a", "cid").alias("a_cid"), col("b", "cid").alias("b_cid"), least.alias("least"))
-    pairs = hits.groupBy("a_cid", "b_cid").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a_cid", "b_cid")
-    pairs = materialize(pairs, "line-candidates")
+    return near, need, apart
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(cid): the a_cid of the pairs (a_cid, b_cid) whose sets have Jaccard >= t, each once."""
     needed = pairs.select(F.explode(F.array("a_cid", "b_cid")).alias("cid")).distinct()
     few = materialize(sets.join(needed, "cid", "left_semi"), "line-suspects")
-    discard(sets)
     release(few.sparkSession)
     side = lambda s: few.select(F.col("cid").alias(f"{s}_cid"), F.col("rare").alias(f"{s}_rare"), F.col("ranked").alias(f"{s}_ranked"), F.col("size").alias(f"{s}_size"))
+    both = pairs.join(side("a"), "a_cid").join(side("b"), "b_cid")
+    common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
+    out = materialize(both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct(), "line-late")
+    discard(few)
+    release(few.sparkSession)
+    return out
+
+
+def _tries(sets: DataFrame, t: float) -> DataFrame:
+    """(a_cid, b_cid): at most two likely earlier matches of each set, found in time and space linear in the postings.
 
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(side("a"), "a_cid").join(side("b"), "b_cid")
-        common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
-        return both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct()
-
-    # One true match settles a set, and in a group of near copies the earliest is one for
-    # nearly all: it is tried first, and all other candidates only of sets it doesn't settle.
-    earliest = pairs.groupBy("a_cid").agg(F.min("b_cid").alias("b_cid"))
-    settled = materialize(verified(earliest), "line-settled")
-    others = pairs.join(settled.withColumnRenamed("cid", "a_cid"), "a_cid", "left_anti").join(earliest, ["a_cid", "b_cid"], "left_anti")
-    late = materialize(settled.unionByName(verified(others)), "line-late")
-    discard(pairs, few)
+    Each posting is held against the first set of its token and the NEIGHBOURS
+    before it; of what passes the filters a set tries the one of the closest
+    sketch and the earliest.
+    """
+    posts = _prefixes(sets, t).select("cid", "size", "sketch", F.posexplode("toks").alias("pos", "tok"))
+    by, me = Window.partitionBy("tok").orderBy("cid"), F.struct("cid", "size", "sketch", "pos")
+    some = F.array(F.first(me).over(by), *[F.lag(me, k).over(by) for k in range(1, NEIGHBOURS + 1)])
+    met = posts.select(*[F.col(c).alias(f"a_{c}") for c in ("cid", "size", "sketch", "pos")], some.alias("some"))
+    met = met.select("a_cid", "a_size", "a_sketch", "a_pos", F.explode(F.filter("some", lambda x: x["cid"] < F.col("a_cid"))).alias("b"))
+    met = met.select("a_cid", "a_size", "a_sketch", "a_pos", *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("cid", "size", "sketch", "pos")])
+    near, _, apart = _near("a_", "b_", t)
+    best = met.where(near).select("a_cid", "b_cid", apart.alias("apart")).groupBy("a_cid").agg(F.min_by("b_cid", "apart").alias("best"), F.min("b_cid").alias("first"))
+    return best.select("a_cid", F.explode(F.array_distinct(F.array("best", "first"))).alias("b_cid"))
+
+
+def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(cid) of the token sets with Jaccard >= threshold to one of smaller cid.
+
+    sets: cid, size, sketch, rare, ranked; cid in the order of first occurrence.
+    It must be a materialized table, and is deleted once it is read.
+
+    One true match settles a set. So each set first tries two likely ones, which
+    settles nearly all members of a group of near copies; only the sets that this
+    leaves open are joined with all others, whence no link is missed and a large
+    group doesn't list all its pairs.
+    """
+    t = threshold
+    tries = materialize(_tries(sets, t), "line-tries")
+    release(tries.sparkSession)
+    settled = _verified(sets, tries, t)
+    posts = _prefixes(sets, t)
+    explode = F.posexplode("toks").alias("pos", "tok")
+    a = posts.join(settled, "cid", "left_anti").select("cid", "size", "sketch", explode).alias("a")
+    b = posts.select("cid", "size", "sketch", explode).alias("b")
+    near, need, _ = _near("a.", "b.", t)
+    # Common tokens behind the prefix that ends first lie in that set's rest, so a pair needs this many within both prefixes.
+    rest = lambda s: F.ceil(F.col(f"{s}.size") * F.lit(t) - 1e-9) - 1
+    least = need - F.greatest(rest("a"), rest("b"))
+    hits = a.join(b, (F.col("a.tok") == F.col("b.tok")) & near).select(F.col("a.cid").alias("a_cid"), F.col("b.cid").alias("b_cid"), least.alias("least"))
+    pairs = hits.groupBy("a_cid", "b_cid").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a_cid", "b_cid")
+    pairs = materialize(pairs.join(tries, ["a_cid", "b_cid"], "left_anti"), "line-candidates")
+    release(pairs.sparkSession)
+    late = materialize(settled.unionByName(_verified(sets, pairs, t)), "line-settled")
+    discard(sets, tries, pairs, settled)
     return late
 
 
@@ -205,13 +245,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows that share an id can bring a set twice, which does no harm to the join.
     sets = lines.join(heads, (lines["ord"] == heads["ord"]) & (lines["class"] == heads["k"])).select("cid", "size", "sketch", "rare", "ranked")
     sets = materialize(sets, "line-sets")
+    places = materialize(lines.select("id", "tk", "line", "ord", "class"), "line-places")
+    discard(lines)
     release(spark)
     late = similar_to_earlier(sets, threshold)
     known = materialize(firsts.join(late.withColumn("late", F.lit(True)), "cid", "left").select("class", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
-    of = join_by_group(lines.select("id", "tk", "line", "ord", "class"), known, "class", "n", total)
+    of = join_by_group(places, known, "class", "n", total)
     gone = of.where((F.col("ord") > F.col("first")) | F.col("late"))
     gone = materialize(gone.groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
-    discard(lines)
+    discard(places, known, firsts)
     release(spark)
     return gone
 
