@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.common import join_by_group, materialize
+from pagequill.llm.common import join_by_group, mark_possible, materialize
 from pagequill.operators.components import connected_components
 
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
@@ -105,10 +105,13 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart: they stay if no row of their component has an id.
     """
     found = simhash_groups(docs, id_col, text_col, **settings)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__n"))
-    keep = materialize(keep, "simhash-keep")
-    rows = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")))
-    one = rows.where((F.col("__n") == 1) | F.col("__keep").isNull())
-    if not keep.where((F.col("__n") > 1) & F.col("__keep").isNotNull()).isEmpty():
-        one = one.unionByName(rows.where((F.col("__n") > 1) & F.col("__keep").isNotNull()).dropDuplicates([id_col]))
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__rows"), F.count_if(stays).alias("__n"))
+    ids = materialize(ids, "simhash-ids")
+    # Ids of which a row goes, or that several rows share; a row of any other id stays, and needs no shuffle of its text.
+    rows = mark_possible(docs, F.col(id_col), ids.where((F.col("__rows") > 1) | (F.col("__n") == 0)), "__keep", "__open")
+    held = rows.where("__open").join(ids.where("__n > 0"), F.col(id_col).eqNullSafe(F.col("__keep")))
+    one = rows.where("not __open").unionByName(held.where((F.col("__n") == 1) | F.col("__keep").isNull()).select(rows.columns))
+    if not ids.where((F.col("__n") > 1) & F.col("__keep").isNotNull()).isEmpty():
+        one = one.unionByName(held.where((F.col("__n") > 1) & F.col("__keep").isNotNull()).select(rows.columns).dropDuplicates([id_col]))
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])
