@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequill.llm.common import discard, join_by_group, materialize, release
@@ -24,8 +24,9 @@ THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
 #: others are rarer and ordered by their hash, which any exact join allows.
 RANKED_TOKENS = 1 << 20
-#: Sets before a set in the list of a token that it tries first, besides the list's first; more settle more sets early.
-NEIGHBOURS = 3
+#: Before the full join a set is held against at most LEADERS earlier sets of each of the last PROBES tokens of its prefix
+#: (the rarest ones of near copies are often their differences); more settle more sets early.
+PROBES, LEADERS = 6, 6
 _RARE = 1 << 62
 
 
@@ -182,18 +183,20 @@ def _verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 
 
 def _tries(sets: DataFrame, t: float) -> DataFrame:
-    """(a_cid, b_cid): at most two likely earlier matches of each set, found in time and space linear in the postings.
+    """(a_cid, b_cid): at most two likely earlier matches of each set, found in time and space linear in the sets.
 
-    Each posting is held against the first set of its token and the NEIGHBOURS
-    before it; of what passes the filters a set tries the one of the closest
-    sketch and the earliest.
+    The sets of a token are dealt into LEADERS parts by hash, and each set is
+    held against the first of each part, for the last PROBES tokens of its
+    prefix; minima are combined before the shuffle. Of what passes the filters a
+    set tries the one of the closest sketch and the earliest.
     """
-    posts = _prefixes(sets, t).select("cid", "size", "sketch", F.posexplode("toks").alias("pos", "tok"))
-    by, me = Window.partitionBy("tok").orderBy("cid"), F.struct("cid", "size", "sketch", "pos")
-    some = F.array(F.first(me).over(by), *[F.lag(me, k).over(by) for k in range(1, NEIGHBOURS + 1)])
-    met = posts.select(*[F.col(c).alias(f"a_{c}") for c in ("cid", "size", "sketch", "pos")], some.alias("some"))
-    met = met.select("a_cid", "a_size", "a_sketch", "a_pos", F.explode(F.filter("some", lambda x: x["cid"] < F.col("a_cid"))).alias("b"))
-    met = met.select("a_cid", "a_size", "a_sketch", "a_pos", *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("cid", "size", "sketch", "pos")])
+    at = F.greatest(F.size("toks") - PROBES, F.lit(0))
+    posts = _prefixes(sets, t).select("cid", "size", "sketch", at.alias("at"), F.posexplode(F.slice("toks", at + 1, PROBES)).alias("k", "tok"))
+    posts = posts.select("cid", "size", "sketch", "tok", (F.col("at") + F.col("k")).alias("pos"))
+    least = [F.min_by(c, "cid").alias(f"b_{c}") for c in ("size", "sketch", "pos")]
+    part = F.pmod(F.xxhash64("cid"), F.lit(LEADERS)).alias("part")
+    firsts = posts.groupBy("tok", part).agg(F.min("cid").alias("b_cid"), *least).drop("part")
+    met = posts.select("tok", *[F.col(c).alias(f"a_{c}") for c in ("cid", "size", "sketch", "pos")]).join(firsts, "tok")
     near, _, apart = _near("a_", "b_", t)
     best = met.where(near).select("a_cid", "b_cid", apart.alias("apart")).groupBy("a_cid").agg(F.min_by("b_cid", "apart").alias("best"), F.min("b_cid").alias("first"))
     return best.select("a_cid", F.explode(F.array_distinct(F.array("best", "first"))).alias("b_cid"))
