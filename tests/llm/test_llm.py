@@ -239,3 +239,13 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             assert name not in names or out.columns == df.columns
             out.count()
     assert F is not None
+
+
+def test_mark_possible_misses_no_member(spark):
+    from pagequill.llm.common import mark_possible
+
+    rows = spark.range(2000).selectExpr("nullif(id, 7) AS k", "id AS v")
+    members = spark.range(0, 2000, 3).selectExpr("id AS m").unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS m"))
+    got = {r["v"]: r["hit"] for r in mark_possible(rows, F.col("k"), members, "m", "hit").collect()}
+    assert len(got) == 2000 and got[7] and all(got[v] for v in range(0, 2000, 3)) and sum(got.values()) < 700
+    assert not any(r["hit"] for r in mark_possible(rows, F.col("k"), members.limit(0), "m", "hit").collect())
