@@ -1,10 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
+
+No match is lost by the seeds. With MATCH 2, MISMATCH -1 and GAP -1, let an
+alignment have M matched words and score T or more. Of its M - 1 pairs of
+consecutive matches let A have no error between them, C one error, the others
+two or more: T <= 2 M - C - 2 (M - 1 - A - C), so 2 A + C >= T - 2. Pairs
+without an error are neighbours in item and text, pairs with one have one word
+between them in the item, the text or both. The text from the first match to the
+last has at most 3 m - T words for an item of m words.
+"""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -13,9 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-SEED_WORDS = 3
-#: Share of an item's n-grams, the rarest in the corpus first, that are seeds; MIN_SEEDS at least.
-SEED_SHARE, MIN_SEEDS = 0.5, 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Characters of benchmark text that are held at once; a larger benchmark is taken in blocks.
@@ -28,62 +35,77 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _grams(words: list[bytes], n: int) -> Iterator[tuple]:
-    return zip(*(words[i:] for i in range(n)), strict=False)
+def code(distance: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A pair of word numbers (below 2^30) so many words apart in the text."""
+    return (left << 30 | right) * 3 + distance
 
 
 @dataclass
 class Seeds:
-    """Items of a block and, by n-gram length (shorter than SEED_WORDS only for items that are), the places of each n-gram."""
+    """Items of a block, and the places of their seeds as sorted codes (see code)."""
 
     ids: list
     words: list[list[bytes]]
-    places: dict[int, dict[tuple, list[tuple[int, int]]]]
+    number: dict[bytes, int]
+    #: By seed, sorted: its code, item and weight.
+    codes: np.ndarray
+    items: np.ndarray
+    weights: np.ndarray
+    #: By item: the least sum of weights, and the most words of text that hold it.
+    least: np.ndarray
+    most: np.ndarray
+    distances: list[int]
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Seeds:
+    def of(cls, rows: list[tuple], min_score: float) -> Seeds:
         items = [(k, w) for k, t in rows if (w := words_of(t))]
-        places: dict = defaultdict(lambda: defaultdict(list))
+        number: dict[bytes, int] = {}
+        parts, least, most = [np.empty((0, 3), np.int64)], [], []
         for i, (_, w) in enumerate(items):
-            n = min(SEED_WORDS, len(w))
-            for at, g in enumerate(_grams(w, n)):
-                places[n][g].append((i, at))
-        return cls([k for k, _ in items], [w for _, w in items], {n: dict(p) for n, p in places.items()})
-
-    def grams(self) -> list[tuple]:
-        return sorted(g for p in self.places.values() for g in p)
-
-    def rarest(self, counts: dict[tuple, int]) -> Seeds:
-        """Keep each item's rarest n-grams by their document counts; ties by the n-gram."""
-        own: dict[int, set] = defaultdict(set)
-        for p in self.places.values():
-            for g, at in p.items():
-                for i, _ in at:
-                    own[i].add(g)
-        keep = {i: set(sorted(gs, key=lambda g: (counts.get(g, 0), g))[: max(MIN_SEEDS, int(len(gs) * SEED_SHARE))]) for i, gs in own.items()}
-        places = {n: {g: kept for g, at in p.items() if (kept := [(i, k) for i, k in at if g in keep[i]])} for n, p in self.places.items()}
-        return Seeds(self.ids, self.words, places)
+            a = np.array([number.setdefault(x, len(number)) for x in w], np.int64)
+            need = max(math.ceil(min_score * MATCH * len(w) - 1e-9), 1)
+            least.append(max(need - MATCH, 1))
+            most.append(max(3 * len(w) - need, 1))
+            # (distance in the text, left, right, weight); a single word is a seed where one match is enough.
+            pairs = [(0, a, a, 1)] if need <= MATCH else [(1, a[:-1], a[1:], 2), (2, a[:-1], a[1:], 1), (1, a[:-2], a[2:], 1), (2, a[:-2], a[2:], 1)]
+            own = np.concatenate([np.stack([code(d, x, y), np.full(len(x), i), np.full(len(x), v)], 1) for d, x, y, v in pairs])
+            own = own[np.lexsort((-own[:, 2], own[:, 0]))]
+            parts.append(own[np.unique(own[:, 0], return_index=True)[1]])
+        seeds = np.concatenate(parts)
+        seeds = seeds[np.argsort(seeds[:, 0], kind="stable")]
+        distances = [d for d in range(3) if np.any(seeds[:, 0] % 3 == d)]
+        return cls([k for k, _ in items], [w for _, w in items], number, *np.ascontiguousarray(seeds.T), np.array(least, np.int64), np.array(most, np.int64), distances)
 
     def windows(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(item, from, to): parts of the text around seed hits, half an item's length wider on both sides."""
-        out: dict[int, list] = defaultdict(list)
-        for n, p in self.places.items():
-            if hit := p.keys() & set(_grams(words, n)):
-                for at, g in enumerate(_grams(words, n)):
-                    if g in hit:
-                        for i, k in p[g]:
-                            m = len(self.words[i])
-                            out[i].append((max(0, at - k - m // 2), min(len(words), at - k + m + m // 2 + 1)))
-        merged = []
-        for i, spans in out.items():
-            spans.sort()
-            a, b = spans[0]
-            for c, d in spans[1:]:
-                if c > b:
-                    merged.append((i, a, b))
-                    a, b = c, d
-                b = max(b, d)
-            merged.append((i, a, b))
+        """(item, from, to): all parts of the text that can hold an alignment of the score, by the sum of their seeds' weights."""
+        b = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        found = []
+        for d in self.distances:
+            at = np.flatnonzero((b[d:] >= 0) & (b[: max(len(b) - d, 0)] >= 0)) + d
+            c = code(d, b[at - d], b[at])
+            lo = np.searchsorted(self.codes, c)
+            hit = np.flatnonzero(self.codes[np.minimum(lo, len(self.codes) - 1)] == c)
+            lo, at = lo[hit], at[hit]
+            n = np.searchsorted(self.codes, c[hit], "right") - lo
+            seed = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append((self.items[seed], np.repeat(at, n), self.weights[seed]))
+        if not found:
+            return []
+        item, at, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        size = len(words) + 1
+        order = np.argsort(item * size + at, kind="stable")
+        item, at, weight = item[order], at[order], weight[order]
+        start = np.maximum(at - self.most[item] + 1, 0)
+        total = np.concatenate(([0], np.cumsum(weight)))
+        key = item * size + at
+        upto = total[np.searchsorted(key, key, "right")]
+        enough = np.flatnonzero(upto - total[np.searchsorted(key, item * size + start)] >= self.least[item])
+        merged: list[tuple[int, int, int]] = []
+        for i, a, z in zip(item[enough].tolist(), start[enough].tolist(), (at[enough] + 1).tolist(), strict=True):
+            if merged and merged[-1][0] == i and a <= merged[-1][2]:
+                merged[-1] = (i, merged[-1][1], z)
+            else:
+                merged.append((i, a, z))
         return merged
 
     def matches(self, text: str | None, min_score: float) -> list[tuple[int, tuple[float, int, int]]]:
@@ -125,25 +147,6 @@ def align(item: list[bytes], text: list[bytes]) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - length, end
 
 
-def _seed_counts(docs: DataFrame, seeds: Seeds) -> dict[tuple, int]:
-    """In how many of all texts each n-gram stands."""
-    grams = seeds.grams()
-    number = {g: i for i, g in enumerate(grams)}
-    by_n = {n: frozenset(p) for n, p in seeds.places.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                w = words_of(t.as_py())
-                for n, s in by_n.items():
-                    c.update(s.intersection(_grams(w, n)))
-        yield pa.RecordBatch.from_arrays([pa.array([number[g] for g in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
-
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return {grams[g]: n for g, n in zip(got.column("gram").to_pylist(), got.column("n").to_pylist(), strict=True)}
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """Matches: <id_col>, <item_col>, score, start_word, end_word (of words_of(text), end exclusive).
 
@@ -158,7 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     out = None
-    for seeds in _blocks(rows, benchmark, item_col, item_text_col):
+    for seeds in _blocks(benchmark, item_col, item_text_col, min_score):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -178,8 +181,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Each row is judged by its own text, so null or repeated ids do no harm; a
     null text stays.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    for seeds in _blocks(rows, benchmark, item_col, item_text_col):
+    for seeds in _blocks(benchmark, item_col, item_text_col, min_score):
         docs = docs.where(_clean(seeds, min_score)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return docs
 
@@ -192,12 +194,11 @@ def _clean(seeds: Seeds, min_score: float) -> Callable[[Column], Column]:
     return clean
 
 
-def _blocks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Seeds]:
-    """The benchmark's seeds, a block of bounded size at a time; their rarity is over all rows."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_score: float) -> Iterator[Seeds]:
+    """The benchmark's seeds, a block of bounded size at a time."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_CHARS) or 1
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        seeds = Seeds.of(sorted(((r["item"], r["text"]) for r in part), key=lambda r: (str(r[0]), r[1])))
-        yield seeds.rarest(_seed_counts(rows, seeds))
+        yield Seeds.of(sorted(((r["item"], r["text"]) for r in part), key=lambda r: (str(r[0]), r[1])), min_score)

@@ -249,3 +249,40 @@ def test_mark_possible_misses_no_member(spark):
     got = {r["v"]: r["hit"] for r in mark_possible(rows, F.col("k"), members, "m", "hit").collect()}
     assert len(got) == 2000 and got[7] and all(got[v] for v in range(0, 2000, 3)) and sum(got.values()) < 700
     assert not any(r["hit"] for r in mark_possible(rows, F.col("k"), members.limit(0), "m", "hit").collect())
+
+
+def edited_copies():
+    """(item texts, document texts): copies of each item with every 3rd to 6th word changed, one with a word put after each word."""
+    items = [prose(200 + i, 40) for i in range(5)]
+    texts = []
+    for i, item in enumerate(items):
+        w = item.split()
+        copy = [x if i == 4 or j % (i + 3) else f"new{j}" for j, x in enumerate(w)]
+        copy = [y for j, x in enumerate(copy) for y in ((x, f"put{j}") if i == 4 else (x,))]
+        texts.append(f"{prose(300 + i, 60)} {' '.join(copy)} {prose(400 + i, 60)}")
+    return items, [*texts, prose(500, 300)]
+
+
+def test_decontamination_finds_edited_copies(spark):
+    items, texts = edited_copies()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            score = decontaminate.align(decontaminate.words_of(item), decontaminate.words_of(text))[0]
+            if score >= decontaminate.MIN_SCORE:
+                want[d, i] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_contamination(docs(spark, *texts), bench).collect()}
+    assert got == want and set(want) == {(i, i) for i in range(5)}
+
+
+def test_seeds_equal_plain_alignment():
+    r = random.Random(6)
+    for _ in range(400):
+        words = WORDS[: r.choice([12, 300])]
+        item = r.choices(words, k=r.choice([1, 2, 3, 5, 8, 20, 40]))
+        copy = [y for w in item for y in (r.choice([[], [r.choice(words)], [w, "put"]]) if r.random() < 0.3 else [w])]
+        text, bar = " ".join(r.choices(words, k=r.randint(0, 50)) + copy + r.choices(words, k=50)), r.choice([0.3, 0.5, 0.8])
+        score = decontaminate.align(decontaminate.words_of(" ".join(item)), decontaminate.words_of(text))[0]
+        got = decontaminate.Seeds.of([(0, " ".join(item))], bar).matches(text, bar)
+        assert [x[1][0] for x in got] == ([score] if score >= bar else [])
