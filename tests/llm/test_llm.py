@@ -286,3 +286,13 @@ def test_seeds_equal_plain_alignment():
         score = decontaminate.align(decontaminate.words_of(" ".join(item)), decontaminate.words_of(text))[0]
         got = decontaminate.Seeds.of([(0, " ".join(item))], bar).matches(text, bar)
         assert [x[1][0] for x in got] == ([score] if score >= bar else [])
+
+
+def test_decontamination_stage_drops_edited_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    items, texts = edited_copies()
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination_stage(spark, docs(spark, *texts), str(tmp_path)).collect()
+    best = [max(decontaminate.align(decontaminate.words_of(i), decontaminate.words_of(t))[0] for i in items) for t in texts]
+    assert [r["doc_id"] for r in left] == [d for d, x in enumerate(best) if x < decontaminate.MIN_SCORE] == [5]
