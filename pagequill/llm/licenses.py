@@ -1,4 +1,4 @@
-"""License scan: MinHash bands over text windows retrieve templates, containment verifies them.
+"""License scan: common shingles retrieve templates, containment is verified at every place.
 
 DataFrame functions only.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +40,14 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("Proprietary", "All rights reserved."),
 ]
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: 48 bands of 2 rows: a window of Jaccard similarity 0.5 collides with chance 1 - (1 - 0.25) ** 48 > 0.999998.
-BANDS, ROWS = 48, 2
 _WORD = r"[^a-z0-9.+-]+"
 MAX_TEMPLATES = 10_000
+#: Shingles that are compared as literals, to leave out documents early.
+MOST_LITERALS = 5_000
 
 
 def _words(text: Column) -> Column:
@@ -54,14 +57,13 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(words: str, n: int = SHINGLE) -> Column:
-    """Hashes of n-word shingles; of fewer words, one hash of them all."""
-    return F.expr(f"transform(sequence(0, greatest(size({words}) - {n}, 0)), i -> xxhash64(array_join(slice({words}, i + 1, {n}), ' ')))")
+    """Hashes of n-word shingles, none of fewer words."""
+    return F.expr(f"if(size({words}) < {n}, cast(array() as array<bigint>), transform(sequence(0, greatest(size({words}) - {n}, 0)), i -> xxhash64(array_join(slice({words}, i + 1, {n}), ' '))))")
 
 
-def _bands(shingles: str) -> Column:
-    """Band keys of a MinHash signature of BANDS * ROWS functions."""
-    one = f"aggregate({shingles}, 9223372036854775807L, (m, h) -> least(m, xxhash64(h, b * {ROWS} + %d)))"
-    return F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {', '.join(one % r for r in range(ROWS))}))")
+def _places(words: str, n: int) -> Column:
+    """array<struct<n, h, at>>: the n-word shingles with their first words' numbers."""
+    return F.transform(_shingles(words, n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("h"), i.alias("at")))
 
 
 def anchors(templates: list[tuple[str, str]], containment: float = CONTAINMENT, n: int = SHINGLE) -> list[str]:
@@ -84,12 +86,13 @@ def anchors(templates: list[tuple[str, str]], containment: float = CONTAINMENT,
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """template, license, size (words), shingles, bands."""
+    """template, license, size (words), n (words of a shingle: SHINGLE, or all of fewer), shingles, phrase."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError("the template table is broadcast and must stay small")
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
-    rows = rows.select("template", "license", _words(F.col("text")).alias("w"))
-    return rows.select("template", "license", F.size("w").alias("size"), F.array_distinct(_shingles("w")).alias("shingles")).withColumn("bands", _bands("shingles"))
+    rows = rows.select("template", "license", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    by_n = F.coalesce(*[F.when(F.size("w") == n, _shingles("w", n)) for n in range(1, SHINGLE)], _shingles("w"))
+    return rows.select("template", "license", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("n"), F.array_distinct(by_n).alias("shingles"), F.array_join("w", " ").alias("phrase"))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -97,8 +100,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     One row for each document and template that a window of the text contains to
     `containment` or more of its 5-word shingles (its whole word sequence if it is
-    shorter); the best window is named, of equals the shortest, then the first. Windows have a
-    template's length and overlap to seven eighths. Documents are told apart by
+    shorter); the best window is named, of equals the first. Windows have a
+    template's length and start at every word. Documents are told apart by
     id and text, so repeated rows match once, and null ids are kept apart by
     their texts. Null and empty texts match nothing; other columns are ignored.
     """
@@ -107,18 +110,23 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     words = anchors(templates, containment)
     near = F.lower(F.col(text_col)).rlike("|".join(re.escape(w) for w in words))
     rows = docs.where(near).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), _words(F.col(text_col)).alias("w"))
-    rows = rows.withColumn("hit", F.expr("filter(transform(w, (x, i) -> if(array_contains(array(" + ", ".join(f"'{w}'" for w in words) + "), x), i, -1)), i -> i >= 0)"))
-    rows = rows.where(F.size("hit") > 0).withColumn("shingles", _shingles("w"))
-    # Windows of each template length that hold an anchor word, on a grid of an eighth of the length.
-    sizes = sorted({r["size"] for r in table.select("size").distinct().collect()})
-    grid = ", ".join(f"struct({m} as m, {max(m // 8, 1)} as step)" for m in sizes)
-    starts = "array_distinct(flatten(transform(hit, p -> transform(sequence(greatest(p - g.m + 1, 0) div g.step, p div g.step), i -> least(i * g.step, greatest(size(w) - g.m, 0))))))"
-    windows = rows.select("id", "tk", "w", "shingles", "hit", F.explode(F.expr(f"array({grid})")).alias("g"))
-    windows = windows.select("id", "tk", "shingles", "g", F.explode(F.expr(starts)).alias("start"))
-    windows = windows.select("id", "tk", F.col("g.m").alias("m"), "start", F.expr(f"array_distinct(slice(shingles, start + 1, greatest(g.m - {SHINGLE} + 1, 1)))").alias("s")).where(F.size("s") > 0)
-    banded = windows.withColumn("band", F.explode(_bands("s")))
-    index = F.broadcast(table.select("template", "license", F.col("shingles").alias("ts"), F.explode("bands").alias("band")))
-    found = banded.join(index, "band").withColumn("containment", F.size(F.array_intersect("s", "ts")) / F.size("ts"))
-    found = found.where(F.col("containment") >= containment - 1e-9)
-    best = found.groupBy("id", "tk", "license", "template").agg(F.max(F.struct(F.col("containment"), (-F.col("m")).alias("m"), (-F.col("start")).alias("s"))).alias("b"))
-    return best.select(F.col("id").alias(id_col), "license", "template", F.col("b.containment").alias("containment"), (-F.col("b.s")).alias("start_word"), (-F.col("b.m")).alias("n_words"))
+    rows = rows.where(F.arrays_overlap("w", F.array(*map(F.lit, words))))
+    # Places of shingles, of documents that hold one of some template; short templates are looked up as phrases first.
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    short: dict[int, list[Column]] = {}
+    for r in table.where(F.col("n") < SHINGLE).select("n", "phrase").distinct().collect():
+        short.setdefault(r["n"], []).append(joined.contains(f" {r['phrase']} "))
+    long = [r["h"] for r in table.where(F.col("n") == SHINGLE).select(F.explode("shingles").alias("h")).distinct().limit(MOST_LITERALS + 1).collect()]
+    held = {n: reduce(or_, cs) for n, cs in sorted(short.items())}
+    held[SHINGLE] = F.arrays_overlap(_shingles("w"), F.array(*map(F.lit, long)).cast("array<bigint>")) if len(long) <= MOST_LITERALS else F.lit(True)
+    places = [F.when(c, _places("w", n)).otherwise(F.array().cast("array<struct<n:int,h:bigint,at:int>>")) for n, c in held.items()]
+    rows = rows.select("id", "tk", F.explode(F.concat(*places)).alias("p"))
+    index = F.broadcast(table.select("template", "license", "size", "n", F.size("shingles").alias("of"), F.explode("shingles").alias("h")))
+    hits = rows.select("id", "tk", "p.n", "p.h", "p.at").join(index, ["n", "h"])
+    lists = hits.groupBy("id", "tk", "license", "template").agg(F.first("of").alias("of"), F.first("size").alias("m"), (F.first("size") - F.first("n")).alias("r"), F.sort_array(F.collect_set(F.struct("at", "h"))).alias("l"))
+    lists = lists.where(F.size(F.array_distinct("l.h")) / F.col("of") >= containment - 1e-9)
+    # The first of the best windows starts the text or has a hit as its last shingle. A window has r + 1 shingles, so its hits are near in l.
+    inside = "filter(slice(l, greatest(j - r, 0) + 1, r + 1), y -> y.at between greatest(x.at - r, 0) and greatest(x.at - r, 0) + r)"
+    best = lists.withColumn("b", F.expr(f"array_max(transform(l, (x, j) -> struct(size(array_distinct(transform({inside}, y -> y.h))) / of as containment, - greatest(x.at - r, 0) as s)))"))
+    best = best.where(F.col("b.containment") >= containment - 1e-9)
+    return best.select(F.col("id").alias(id_col), "license", "template", F.col("b.containment").alias("containment"), (-F.col("b.s")).alias("start_word"), F.col("m").alias("n_words"))

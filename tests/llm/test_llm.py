@@ -288,6 +288,35 @@ def test_seeds_equal_plain_alignment():
         assert [x[1][0] for x in got] == ([score] if score >= bar else [])
 
 
+def test_licenses_equal_plain_windows_at_every_place(spark):
+    w, r = licenses.TEMPLATES[4][1].split(), random.Random(7)
+    texts = []
+    for at in range(12):
+        copy = list(w)
+        for j in (20, 40, 60):
+            copy[j] = f"new{j}"
+        texts.append(f"{prose(600 + at, 30 + at)} {' '.join(copy)} {prose(700 + at, 90)}")
+    texts += [f"{prose(1, 50)} All rights reserved. {prose(2, 50)}", f"{prose(3, 50)}\nCopyright. All rights reserved.\n{prose(4, 50)}", "All rights reserved.", "reserved rights all " * 9]
+    texts += [" ".join(r.choice([x, x, x, x, x, x, x, x, x, "new"]) for x in licenses.TEMPLATES[k][1].split() * 3) for k in (1, 6, 12)]
+
+    def words(text):
+        return [x for x in (y.strip(".+-") for y in licenses.re.split(licenses._WORD, text.lower())) if x]
+
+    want = {}
+    for d, text in enumerate(texts):
+        a = words(text)
+        for t, (_, template) in enumerate(licenses.TEMPLATES):
+            b = words(template)
+            n = min(len(b), 5)
+            grams = [tuple(a[i : i + n]) for i in range(len(a) - n + 1)]
+            own = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+            share, start = max(((len(own & set(grams[i : i + len(b) - n + 1])) / len(own), -i) for i in range(max(len(a) - len(b), 0) + 1)), default=(0, 0))
+            if share >= 0.8:
+                want[d, t] = (round(share, 9), -start)
+    got = {(x["doc_id"], x["template"]): (round(x["containment"], 9), x["start_word"]) for x in licenses.scan_licenses(docs(spark, *texts)).collect()}
+    assert got == want and {d for d, _ in want} >= set(range(15)) and (15, 25) not in want
+
+
 def test_decontamination_stage_drops_edited_copies(spark, tmp_path):
     import corpus_pipeline
 
