@@ -32,7 +32,9 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    "mixed": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 #: Chance that two letters of ordinary writing are equal.
 WRITING_REPEAT = 0.065
@@ -64,7 +66,7 @@ def _battery(tokens: DataFrame) -> DataFrame:
     """tokens (with v) and: encoding, n, z_chi2, z_runs, z_serial, p (of ordinary writing; 1 if the battery fails)."""
     v = F.regexp_replace("v", "=+$", "")
     fits = [(k, f"^[{a.replace('-', '')}{'-' if '-' in a else ''}]+$") for k, a in ALPHABETS.items()]
-    kind = F.lit("base64")
+    kind = F.lit("mixed")
     for name, pattern in reversed(fits[:-1]):
         kind = F.when(F.col("t").rlike(pattern), name).otherwise(kind)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), F.col("encoding"))

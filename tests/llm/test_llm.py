@@ -325,3 +325,13 @@ def test_decontamination_stage_drops_edited_copies(spark, tmp_path):
     left = corpus_pipeline.decontamination_stage(spark, docs(spark, *texts), str(tmp_path)).collect()
     best = [max(decontaminate.align(decontaminate.words_of(i), decontaminate.words_of(t))[0] for i in items) for t in texts]
     assert [r["doc_id"] for r in left] == [d for d, x in enumerate(best) if x < decontaminate.MIN_SCORE] == [5]
+
+
+def test_long_random_tokens_are_secrets(spark):
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sizes = [64, 500, 1000, 1200, 1500, 2000, 5000, 10_000]
+    keys = ["".join(r.choices(letters + more, k=n)) for more in ("+/", "-_") for n in sizes for _ in range(4)]
+    got = {x["doc_id"]: [s["kind"] for s in x["spans"]] for x in secrets.scan_secrets(docs(spark, *[f"{prose(i, 20)} {k} tail" for i, k in enumerate(keys)])).collect()}
+    found = [got[i] == ["random"] for i in range(len(keys))]
+    assert sum(found) >= len(keys) - 4 and all(any(found[i : i + 4]) for i in range(0, len(keys), 4)), found
