@@ -3,56 +3,163 @@
 Tokens of a line are its words (runs of non-(ASCII) space, A-Z lower-cased), as
 a set. Tokens are ordered by rarity in the corpus; two lines with Jaccard
 similarity t or more share a token within their prefixes. Candidates pass the
-length filter, the positional filter and a 64-bit parity sketch, whose differing
+length filter, the positional filter and a 128-bit parity sketch, whose differing
 bits are never more than the differing tokens; then Jaccard is verified exactly.
+
+A line goes as soon as one earlier line is like it, so a set needs one partner,
+not all: lists of equal prefix tokens yield the first few candidates of each set,
+and only sets that these don't settle are held against everything that is left.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequill.llm.common import discard, join_by_group, materialize, release
+from pagequill.llm.common import discard, join_by_group, mark_possible, materialize, release
 
 THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
 #: others are rarer and ordered by their hash, which any exact join allows.
 RANKED_TOKENS = 1 << 20
-#: Before the full join a set is held against at most LEADERS earlier sets of each of the last PROBES tokens of its prefix
-#: (the rarest ones of near copies are often their differences); more settle more sets early.
-PROBES, LEADERS = 6, 6
-_RARE = 1 << 62
+#: Occurrences of a token from which its list is dealt into parts of about this length.
+HOT_LIST = 20_000
+#: Candidates that a set takes from a token's list, and tries in all, before it is held against everything.
+PER_LIST, TRIES = 2, 3
+_RARE, _PART = 1 << 62, 20
+#: Characters that are tokenised at a time, and postings that are compared at a time.
+_TEXT, _POSTS = 4 << 20, 250_000
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection on 64 bits that spreads every bit."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of byte strings, eight bytes of all of them at a time; very long ones one by one."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    starts, sizes = ends[:-1], np.diff(ends)
+    raw = np.concatenate((np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = _mixed(sizes.astype(np.uint64) * _GOLD ^ (eight[starts] & _MASK[np.minimum(sizes, 8)]))
+    more, k = np.nonzero(sizes > 8)[0], 8
+    while len(more) and k < 256:
+        out[more] = _mixed(out[more] * _GOLD ^ (eight[starts[more] + k] & _MASK[np.minimum(sizes[more] - k, 8)]))
+        k += 8
+        more = more[sizes[more] > k]
+    for i in more:
+        out[i] ^= np.uint64(xxhash.xxh64_intdigest(raw[starts[i] : ends[i + 1]]))
+    return out
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of bounded length; a longer single text stands alone."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + _TEXT, "right")), at + 1)
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and number of each line of the texts, and line index and hash of each word."""
+    lines = pc.split_pattern(pc.ascii_lower(texts), pattern="\n")
+    per = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), per)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    words = pc.ascii_split_whitespace(lines.flatten())
+    line = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    flat = words.flatten()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    if not real.all():
+        flat, line = flat.filter(pa.array(real)), line[real]
+    return row, number, line, _hashes(flat)
+
+
+def _texts(batch: pa.RecordBatch, at: int) -> pa.Array:
+    return pc.fill_null(batch.column(at).cast(pa.string()), "")
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    heads = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
+    return keys[heads], np.add.reduceat(n, heads)
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, n): occurrences of each token hash over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, c), np.uint64, len(c)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(c.values(), np.int64, len(c)))], ["token", "n"])
-
-        c: Counter = Counter()
+        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["token", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            for t in b.column(0):
-                c.update((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
-                if len(c) > 1_000_000:
-                    yield out(c)
-                    c = Counter()
-        yield out(c)
+            for _, part in _slices(_texts(b, 0)):
+                h = np.sort(_words(part)[3])
+                if len(h):
+                    heads = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+                    held.append((h[heads], np.diff(np.append(heads, len(h)))))
+            if sum(len(h) for h, _ in held) > 2_000_000:
+                yield out(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+                held = []
+        if held:
+            yield out(*_summed(*map(np.concatenate, zip(*held, strict=True))))
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def frequent_tokens(docs: DataFrame, text_col: str = "text", most: int = RANKED_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the `most` (at most) commonest tokens, and their ranks, rarest first."""
+class Order:
+    """The common order of tokens: rarer ones first.
+
+    A token's number is its rank if it is one of the most frequent (rarest
+    first), else its hash less 2^62, so that all others come before. Lists of
+    ranks from `hot` on are dealt into parts[rank] parts.
+    """
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray):
+        by = np.argsort(hashes)
+        self.hashes, n = hashes[by], n[by]
+        order = np.lexsort((self.hashes, n))
+        self.ranks = np.empty(len(n), np.int64)
+        self.ranks[order] = np.arange(len(n))
+        self.parts = np.maximum(-(-n[order] // HOT_LIST), 1)
+        self.hot = int(np.searchsorted(self.parts, 1, "right"))
+        self.shift = np.uint64(43)
+        self.starts = np.searchsorted(self.hashes, np.arange(1 << 21, dtype=np.uint64) << self.shift)
+        self.starts = np.append(self.starts, len(n)).astype(np.int32)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        out = (h >> np.uint64(3)).astype(np.int64) - _RARE
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end, left = self.starts[bucket], self.starts[bucket + 1], np.arange(len(h))
+        while True:
+            keep = at < end
+            at, end, left = at[keep], end[keep], left[keep]
+            if not len(left):
+                return out
+            hit = self.hashes[at] == h[left]
+            out[left[hit]] = self.ranks[at[hit]]
+            at, end, left = at[~hit] + 1, end[~hit], left[~hit]
+
+
+def token_order(docs: DataFrame, text_col: str = "text", most: int = RANKED_TOKENS) -> Order:
+    """The order by the counts of the `most` (at most) commonest tokens."""
+    if most > 1 << _PART:
+        raise ValueError("too many ranked tokens")
     counts = materialize(token_counts(docs, text_col), "token-counts")
     step = F.floor(8 * F.log2("n")).cast("int")  # 512 steps at most
     steps = sorted((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect())
@@ -64,199 +171,259 @@ def frequent_tokens(docs: DataFrame, text_col: str = "text", most: int = RANKED_
         total += k
     got = counts.where(step >= least).toArrow()
     discard(counts)
-    h, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.lexsort((h, n))
-    rank = np.empty(len(h), np.int32)
-    rank[order] = np.arange(len(h), dtype=np.int32)
-    by = np.argsort(h)
-    return h[by], rank[by]
-
-
-class _Numbers(dict):
-    """Token -> number in the common order: rank of a ranked token, else its hash less 2^62, so that rarer ones come first."""
-
-    def __init__(self, hashes: np.ndarray, ranks: np.ndarray):
-        super().__init__()
-        self.hashes, self.ranks = hashes, ranks
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > 400_000:
-            self.clear()
-        new = [w for w in words if w not in self]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-        out = (h >> np.uint64(3)).astype(np.int64) - _RARE
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == h, self.ranks[at], out)
-        self.update(zip(new, out.tolist(), strict=True))
+    return Order(got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy())
+
+
+def _prefix(size: np.ndarray, t: float) -> np.ndarray:
+    return size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
 
 
-def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = RANKED_TOKENS) -> DataFrame:
-    """A row per line that has a token: id, tk, line, class, size, sketch, rare, ranked.
+def line_sets(docs: DataFrame, order: Order, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row per line that has a token: id, tk, line, class, size, sk0, sk1, keys, rest.
 
     tk hashes the whole text, so that (id, tk) is a document; class is a 128-bit
-    hash of the token set; sketch is its parity sketch; rare and ranked are its
-    tokens, rarest first: hashes (negative), then ranks.
+    hash of the token set; sk0 and sk1 are its parity sketch; keys are the lists
+    of its prefix tokens (number, and part of a dealt list), rest all others.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_tokens(docs, text_col, most))
-    release(spark)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers(*shared.value)
         for b in batches:
-            rows: list[tuple] = []
-            sizes: list[int] = []
-            flat: list[int] = []
-            for key, tk, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                by_line = [set(line.split()) for line in lines.split(b"\n")]
-                number.learn(set().union(*by_line))
-                key, tk, get = key.as_py(), tk.as_py(), number.__getitem__
-                for i, words in enumerate(by_line):
-                    if words:
-                        toks = sorted(map(get, words))
-                        flat += toks
-                        sizes.append(len(toks))
-                        rows.append((key, tk, i))
-                if len(flat) > 1_000_000:
-                    yield out(b.schema, rows, sizes, flat)
-                    rows, sizes, flat = [], [], []
-            yield out(b.schema, rows, sizes, flat)
-
-    def out(schema: pa.Schema, rows: list[tuple], sizes: list[int], flat: list[int]) -> pa.RecordBatch:
-        ends = np.cumsum(np.array(sizes, np.int64))
-        heads = ends - sizes if sizes else ends
-        toks = np.array(flat, np.int64)
-        bit = (toks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << bit, heads) if sizes else np.zeros(0, np.uint64)
-        raw = memoryview(toks.tobytes())
-        classes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip(heads.tolist(), ends.tolist(), strict=True)]
-        is_rare = toks < 0
-        cut = lambda m: np.concatenate(([0], np.cumsum(m)))[np.concatenate(([0], ends))].astype(np.int32)
-        keys, tks, nums = zip(*rows, strict=True) if rows else ((), (), ())
-        cols = [pa.array(keys, schema.field(0).type), pa.array(tks, pa.int64()), pa.array(nums, pa.int32()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketch.view(np.int64))]
-        cols += [pa.ListArray.from_arrays(cut(is_rare), toks[is_rare]), pa.ListArray.from_arrays(cut(~is_rare), toks[~is_rare].astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, ["id", "tk", "line", "class", "size", "sketch", "rare", "ranked"])
+            for first, texts in _slices(_texts(b, 2)):
+                yield out(b.slice(first, len(texts)), *_words(texts))
+
+    def out(rows: pa.RecordBatch, row: np.ndarray, number: np.ndarray, line: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        order = shared.value
+        num = order.numbers(h)
+        # Sorted by line, then number: 39 bits of a number tell nearly all apart.
+        short = np.where(num >= 0, num + (1 << 39), (num + _RARE) >> 22)
+        by = np.argsort(line << 40 | short) if len(row) < 1 << 23 else np.lexsort((num, line))
+        line, num, short = line[by], num[by], short[by]
+        same = (line[1:] == line[:-1]) & (short[1:] == short[:-1])
+        if (num[1:][same] != num[:-1][same]).any():
+            by = np.lexsort((num, line))
+            line, num = line[by], num[by]
+            same = (line[1:] == line[:-1]) & (num[1:] == num[:-1])
+        if len(num):
+            keep = np.concatenate(([True], ~same))
+            line, num = line[keep], num[keep]
+        heads = np.nonzero(np.concatenate(([True], line[1:] != line[:-1])))[0] if len(line) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(heads, len(line)))
+        of = line[heads]
+        bit = (num.astype(np.uint64) * _GOLD) >> np.uint64(57)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), heads).view(np.int64) if len(heads) else np.zeros(0, np.int64) for w in (0, 1)]
+        raw = memoryview(num.tobytes())
+        classes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + n)]) for a, n in zip(heads.tolist(), sizes.tolist(), strict=True)]
+        inside = _prefix(sizes, threshold)
+        is_key = np.arange(len(num)) - np.repeat(heads, sizes) < np.repeat(inside, sizes)
+        keys = num[is_key]
+        hot = np.nonzero(keys >= order.hot)[0]
+        if len(hot):
+            mine = np.frombuffer(b"".join(classes), "<u4")[::4].astype(np.int64)
+            keys[hot] |= (np.repeat(mine, inside)[hot] % order.parts[keys[hot]]) << _PART
+        ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        rows = rows.take(pa.array(row[of]))
+        cols = [rows.column(0), rows.column(1), pa.array(number[of].astype(np.int32)), pa.array(classes, pa.binary()), pa.array(sizes.astype(np.int32)), *map(pa.array, sketch)]
+        cols += [pa.ListArray.from_arrays(ends(inside), pa.array(keys)), pa.ListArray.from_arrays(ends(sizes - inside), pa.array(num[~is_key]))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "tk", "line", "class", "size", "sk0", "sk1", "keys", "rest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, tk long, line int, class binary, size int, sketch long, rare array<long>, ranked array<int>")
-
-
-def _prefixes(sets: DataFrame, t: float) -> DataFrame:
-    """(cid, size, sketch, toks): the sets with their prefixes only."""
-    prefix = (F.col("size") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1).cast("int")
-    first = F.slice("rare", F.lit(1), prefix)
-    toks = F.concat(first, F.slice("ranked", F.lit(1), F.greatest(prefix - F.size("rare"), F.lit(0))).cast("array<long>"))
-    return sets.select("cid", "size", "sketch", toks.alias("toks"))
-
-
-def _near(a: str, b: str, t: float) -> tuple[Column, Column, Column]:
-    """Filters of posting a against posting b of an earlier set; tokens they must have in common; how far their sketches differ."""
-    n, m, i, k = F.col(f"{a}size"), F.col(f"{b}size"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    need = F.ceil((n + m) * F.lit(t / (1 + t)) - 1e-9)
-    apart = F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch")))
-    near = (
-        (F.col(f"{b}cid") < F.col(f"{a}cid"))
-        & (n >= m * F.lit(t) - 1e-9)
-        & (m >= n * F.lit(t) - 1e-9)
-        & (apart <= n + m - 2 * need)
-        & (F.least(i, k) + F.least(n - i, m - k) >= need)
-    )
-    return near, need, apart
-
-
-def _verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(cid): the a_cid of the pairs (a_cid, b_cid) whose sets have Jaccard >= t, each once."""
-    needed = pairs.select(F.explode(F.array("a_cid", "b_cid")).alias("cid")).distinct()
-    few = materialize(sets.join(needed, "cid", "left_semi"), "line-suspects")
+    return rows.mapInArrow(run, f"id {kind}, tk long, line int, class binary, size int, sk0 long, sk1 long, keys array<long>, rest array<long>")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole lists of postings sorted by key, many at a time."""
+    held: list[dict[str, np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
+        key = cols["key"]
+        if not len(key):
+            continue
+        held.append(cols)
+        rows += len(key)
+        if rows >= _POSTS and (key[0] != key[-1] or (len(held) > 1 and held[-2]["key"][-1] != key[0])):
+            cut = int(np.searchsorted(key, key[-1]))
+            ready = [*held[:-1], {n: c[:cut] for n, c in cols.items()}]
+            yield {n: np.concatenate([p[n] for p in ready]) for n in cols}
+            held = [{n: c[cut:] for n, c in cols.items()}]
+            rows = len(key) - cut
+    if held:
+        yield {n: np.concatenate([p[n] for p in held]) for n in held[0]}
+
+
+def _near(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which postings i and j of one token pass the length, sketch and positional filters; by how many bits their sketches differ."""
+    n, m, x, y = p["size"][i], p["size"][j], p["pos"][i], p["pos"][j]
+    need = np.ceil((n + m) * (t / (1 + t)) - 1e-9).astype(np.int64)
+    apart = np.bitwise_count(p["sk0"][i] ^ p["sk0"][j]).astype(np.int32) + np.bitwise_count(p["sk1"][i] ^ p["sk1"][j])
+    ok = (np.maximum(apart, np.abs(n - m)) <= n + m - 2 * need) & (np.minimum(n, m) >= np.maximum(n, m) * t - 1e-9)
+    return ok & (np.minimum(x, y) + np.minimum(n - x, m - y) >= need), apart
+
+
+def _candidates(posts: DataFrame, t: float, most: int | None, hot: int) -> DataFrame:
+    """(a, b, apart, more): earlier sets b that share a prefix token with a and pass the filters.
+
+    posts: key, cid, size, pos, sk0, sk1, asks. Sets that ask are held against
+    the earlier ones of each list, the next ones first, until they have `most`
+    (all, if None). more tells that a list may hold further ones; b is null where
+    only that is to say. A partition streams through, list by list; a list has
+    about HOT_LIST postings at most, as longer ones are dealt into parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _lists(batches):
+            p["sk0"], p["sk1"] = p["sk0"].view(np.uint64), p["sk1"].view(np.uint64)
+            p["size"], p["pos"] = p["size"].astype(np.int64), p["pos"].astype(np.int64)
+            key, cid = p["key"], p["cid"]
+            n = len(key)
+            heads = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
+            before = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+            found = np.zeros(n, np.int32)
+            asks = p["asks"] if "asks" in p else np.ones(n, bool)
+            more = np.zeros(n, bool) if most is None else asks & (key >= 0) & (key & ((1 << _PART) - 1) >= hot)
+            told = np.zeros(n, bool)
+            got = []
+            live = np.nonzero(asks & (before > 0))[0]
+            d = 1
+            while len(live):
+                ok, apart = _near(p, live, live - d, t)
+                ok &= cid[live - d] < cid[live]
+                if "asks" in p:
+                    ok &= ~asks[live - d]
+                i = live[ok]
+                if len(i):
+                    got.append((i, i - d, apart[ok]))
+                    found[i] += 1
+                live = live[before[live] > d]
+                if most is not None and len(i):
+                    full = found[live] >= most
+                    more[live[full]] = True
+                    live = live[~full]
+                d += 1
+            a, b, apart = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
+            told[a] = True
+            rest = np.nonzero(more & ~told)[0]
+            who = np.concatenate((cid[a], cid[rest]))
+            whom = pa.array(np.concatenate((cid[b], cid[rest])), mask=np.arange(len(who)) >= len(a))
+            cols = [pa.array(who), whom, pa.array(np.concatenate((apart, np.zeros(len(rest)))).astype(np.int32)), pa.array(np.concatenate((more[a], more[rest])))]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "apart", "more"])
+
+    return posts.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "a long, b long, apart int, more boolean")
+
+
+def _posts(sets: DataFrame) -> DataFrame:
+    rows = sets.select("cid", "size", "sk0", "sk1", F.posexplode("keys").alias("pos", "key"))
+    return rows.select("key", "cid", "size", "pos", "sk0", "sk1")
+
+
+def _all_parts(sets: DataFrame, order: Order) -> DataFrame:
+    """The postings of sets, to all parts of dealt lists."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, order = b.column("key").to_numpy(), shared.value
+            rank = key & ((1 << _PART) - 1)
+            hot = (key >= 0) & (rank >= order.hot)
+            n = np.ones(len(key), np.int64)
+            n[hot] = order.parts[rank[hot]]
+            at = np.repeat(np.arange(len(key)), n)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            keys = np.where(hot[at], rank[at] | part << _PART, key[at])
+            out = b.take(pa.array(at))
+            yield out.set_column(out.schema.get_field_index("key"), "key", pa.array(keys))
+
+    posts = _posts(sets)
+    return posts.mapInArrow(run, posts.schema)
+
+
+def _verified(lines: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(cid): each a of the pairs (a, b) whose sets have Jaccard >= t, once."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    known = mark_possible(heads, F.col("cid"), needed, "cid", "wanted").where("wanted").join(needed, "cid").select("cid", F.col("class").alias("k"), F.col("first").alias("at"))
+    known = materialize(known.withColumn("mark", F.xxhash64("k", "at")), "line-wanted")
+    few = mark_possible(lines.select("class", "ord", "size", "keys", "rest"), F.xxhash64("class", "ord"), known, "mark", "wanted").where("wanted")
+    few = few.join(known, (F.col("class") == F.col("k")) & (F.col("ord") == F.col("at")))
+    token = lambda x: F.when(x >= 0, x.bitwiseAND(F.lit((1 << _PART) - 1))).otherwise(x)
+    # Rows that share an id may bring a set twice.
+    few = few.select("cid", "size", F.concat(F.transform("keys", token), "rest").alias("toks")).dropDuplicates(["cid"])
+    few = materialize(few, "line-suspects")
     release(few.sparkSession)
-    side = lambda s: few.select(F.col("cid").alias(f"{s}_cid"), F.col("rare").alias(f"{s}_rare"), F.col("ranked").alias(f"{s}_ranked"), F.col("size").alias(f"{s}_size"))
-    both = pairs.join(side("a"), "a_cid").join(side("b"), "b_cid")
-    common = F.size(F.array_intersect("a_rare", "b_rare")) + F.size(F.array_intersect("a_ranked", "b_ranked"))
-    out = materialize(both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a_cid").alias("cid")).distinct(), "line-late")
-    discard(few)
+    side = lambda s: few.select(F.col("cid").alias(s), F.col("toks").alias(f"{s}_toks"), F.col("size").alias(f"{s}_size"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_toks", "b_toks"))
+    out = materialize(both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a").alias("cid")).distinct(), "line-late")
+    discard(few, known)
     release(few.sparkSession)
     return out
 
 
-def _tries(sets: DataFrame, t: float) -> DataFrame:
-    """(a_cid, b_cid): at most two likely earlier matches of each set, found in time and space linear in the sets.
+def similar_to_earlier(lines: DataFrame, heads: DataFrame, order: Order, threshold: float = THRESHOLD) -> DataFrame:
+    """(cid) of the classes with Jaccard >= threshold to one of smaller cid.
 
-    The sets of a token are dealt into LEADERS parts by hash, and each set is
-    held against the first of each part, for the last PROBES tokens of its
-    prefix; minima are combined before the shuffle. Of what passes the filters a
-    set tries the one of the closest sketch and the earliest.
-    """
-    at = F.greatest(F.size("toks") - PROBES, F.lit(0))
-    posts = _prefixes(sets, t).select("cid", "size", "sketch", at.alias("at"), F.posexplode(F.slice("toks", at + 1, PROBES)).alias("k", "tok"))
-    posts = posts.select("cid", "size", "sketch", "tok", (F.col("at") + F.col("k")).alias("pos"))
-    least = [F.min_by(c, "cid").alias(f"b_{c}") for c in ("size", "sketch", "pos")]
-    part = F.pmod(F.xxhash64("cid"), F.lit(LEADERS)).alias("part")
-    firsts = posts.groupBy("tok", part).agg(F.min("cid").alias("b_cid"), *least).drop("part")
-    met = posts.select("tok", *[F.col(c).alias(f"a_{c}") for c in ("cid", "size", "sketch", "pos")]).join(firsts, "tok")
-    near, _, apart = _near("a_", "b_", t)
-    best = met.where(near).select("a_cid", "b_cid", apart.alias("apart")).groupBy("a_cid").agg(F.min_by("b_cid", "apart").alias("best"), F.min("b_cid").alias("first"))
-    return best.select("a_cid", F.explode(F.array_distinct(F.array("best", "first"))).alias("b_cid"))
-
-
-def similar_to_earlier(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cid) of the token sets with Jaccard >= threshold to one of smaller cid.
-
-    sets: cid, size, sketch, rare, ranked; cid in the order of first occurrence.
-    It must be a materialized table, and is deleted once it is read.
-
-    One true match settles a set. So each set first tries two likely ones, which
-    settles nearly all members of a group of near copies; only the sets that this
-    leaves open are joined with all others, whence no link is missed and a large
-    group doesn't list all its pairs.
+    heads: class, first, cid; cid in the order of the first occurrences.
+
+    Each set first tries at most TRIES candidates, those of the closest sketches,
+    which settles nearly all members of a group of near copies. What is open and
+    may have further ones is then held against all earlier sets of its lists,
+    in every part of dealt ones; so no link is missed, and a large group doesn't
+    list all its pairs.
     """
-    t = threshold
-    tries = materialize(_tries(sets, t), "line-tries")
-    release(tries.sparkSession)
-    settled = _verified(sets, tries, t)
-    posts = _prefixes(sets, t)
-    explode = F.posexplode("toks").alias("pos", "tok")
-    a = posts.join(settled, "cid", "left_anti").select("cid", "size", "sketch", explode).alias("a")
-    b = posts.select("cid", "size", "sketch", explode).alias("b")
-    near, need, _ = _near("a.", "b.", t)
-    # Common tokens behind the prefix that ends first lie in that set's rest, so a pair needs this many within both prefixes.
-    rest = lambda s: F.ceil(F.col(f"{s}.size") * F.lit(t) - 1e-9) - 1
-    least = need - F.greatest(rest("a"), rest("b"))
-    hits = a.join(b, (F.col("a.tok") == F.col("b.tok")) & near).select(F.col("a.cid").alias("a_cid"), F.col("b.cid").alias("b_cid"), least.alias("least"))
-    pairs = hits.groupBy("a_cid", "b_cid").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a_cid", "b_cid")
-    pairs = materialize(pairs.join(tries, ["a_cid", "b_cid"], "left_anti"), "line-candidates")
-    release(pairs.sparkSession)
-    late = materialize(settled.unionByName(_verified(sets, pairs, t)), "line-settled")
-    discard(sets, tries, pairs, settled)
+    t, spark = threshold, lines.sparkSession
+    mine = heads.select("cid", F.col("class").alias("k"), F.col("first").alias("at"))
+    sets = lines.select("class", "ord", "size", "sk0", "sk1", "keys").join(mine, (F.col("class") == F.col("k")) & (F.col("ord") == F.col("at")))
+    # Rows that share an id can bring a set twice, which does no harm.
+    sets = materialize(sets.select("cid", "size", "sk0", "sk1", "keys"), "line-sets")
+    release(spark)
+    near = _candidates(_posts(sets), t, PER_LIST, order.hot)
+    near = near.groupBy("a").agg(F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "b")))).alias("found"), F.max("more").alias("more"))
+    tries = near.select("a", F.transform(F.slice("found", 1, TRIES), lambda x: x["b"]).alias("tried"), (F.col("more") | (F.size("found") > TRIES)).alias("more"))
+    tries = materialize(tries, "line-tries")
+    release(spark)
+    settled = _verified(lines, heads, tries.select("a", F.explode("tried").alias("b")), t)
+    unsettled = materialize(tries.where("more").join(settled, F.col("a") == F.col("cid"), "left_anti").select(F.col("a").alias("cid"), "tried"), "line-open")
+    asking = mark_possible(sets, F.col("cid"), unsettled, "cid", "wanted").where("wanted").drop("wanted").join(unsettled.select("cid"), "cid", "left_semi")
+    asking = materialize(_all_parts(asking, order), "line-asking")
+    known = mark_possible(_posts(sets), F.col("key"), asking, "key", "wanted").where("wanted").drop("wanted")
+    both = known.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
+    pairs = _candidates(both, t, None, order.hot).select("a", "b").distinct().join(unsettled.withColumnRenamed("cid", "a"), "a")
+    pairs = materialize(pairs.where(~F.array_contains("tried", F.col("b"))).select("a", "b"), "line-candidates")
+    release(spark)
+    late = materialize(settled.unionByName(_verified(lines, heads, pairs, t)), "line-settled")
+    discard(sets, tries, settled, unsettled, asking, pairs)
     return late
 
 
+def _place(kind: T.DataType) -> Column:
+    """What lines are ordered by: the id, null last, then the line's number."""
+    if isinstance(kind, T.IntegralType):
+        top = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+        return (F.coalesce(F.col("id").cast("decimal(38,0)"), top) * F.lit(1 << 31) + F.col("line")).cast("decimal(38,0)")
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line"))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = RANKED_TOKENS) -> DataFrame:
     """(id, tk, removed): the numbers (from 0) of the lines to remove of each document that has any."""
     spark = docs.sparkSession
-    spread = F.coalesce(F.col("id").cast("decimal(38,0)"), F.lit((1 << 63) - 1).cast("decimal(38,0)")) * F.lit(1 << 31) + F.col("line")
-    lines = materialize(line_sets(docs, id_col, text_col, most).withColumn("ord", spread.cast("decimal(38,0)")), "lines")
+    order = token_order(docs, text_col, most)
+    release(spark)
+    lines = materialize(line_sets(docs, order, id_col, text_col, threshold).withColumn("ord", _place(docs.schema[id_col].dataType)), "lines")
     total = lines.count()
     firsts = lines.groupBy("class").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     # Numbers in the order of first occurrence.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts = materialize(firsts.repartitionByRange(parts, "first").sortWithinPartitions("first", "class").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    heads = firsts.select("cid", F.col("first").alias("ord"), F.col("class").alias("k"))
-    # Rows that share an id can bring a set twice, which does no harm to the join.
-    sets = lines.join(heads, (lines["ord"] == heads["ord"]) & (lines["class"] == heads["k"])).select("cid", "size", "sketch", "rare", "ranked")
-    sets = materialize(sets, "line-sets")
-    places = materialize(lines.select("id", "tk", "line", "ord", "class"), "line-places")
-    discard(lines)
     release(spark)
-    late = similar_to_earlier(sets, threshold)
+    late = similar_to_earlier(lines, firsts, order, threshold)
     known = materialize(firsts.join(late.withColumn("late", F.lit(True)), "cid", "left").select("class", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
-    of = join_by_group(places, known, "class", "n", total)
+    of = join_by_group(lines.select("id", "tk", "line", "ord", "class"), known, "class", "n", total)
     gone = of.where((F.col("ord") > F.col("first")) | F.col("late"))
     gone = materialize(gone.groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
-    discard(places, known, firsts)
+    discard(lines, known, firsts, late)
     release(spark)
     return gone
 
@@ -271,15 +438,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line of a group stays. Lines without a token stay. Rows that share an id
     count as one document: their equal lines at equal places don't remove each
     other. Null text stays null; a text all of whose lines go becomes empty; an
-    empty table stays empty.
+    empty table stays empty. Only rows that lose a line are shuffled with their
+    texts.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold, most).select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("removed").alias("__gone"))
-    rows = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
-    rows = rows.join(gone, (F.col("__key") == F.col("__tk")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias(text_col)
+    gone = removed_lines(docs, id_col, text_col, threshold, most).select(F.struct("id", "tk", "removed").alias("gone"), F.xxhash64("id", "tk").alias("mark"))
+    # All of a row is one column here, so that no name of its own clashes.
+    mark = F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("row_mark"))
+    rows = _with_removals(rows, gone)
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    lines = F.split(fields[text_col], "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone.removed"))
+    text = F.when(F.col("gone").isNull(), fields[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias(text_col)
     if report:
-        count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-        return rows.select(F.col(id_col), text, count.alias("n_lines"), F.array_sort(F.coalesce("__gone", F.array().cast("array<int>"))).alias("removed_lines"))
-    return rows.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        count = F.when(fields[text_col].isNull(), 0).otherwise(F.size(lines))
+        return rows.select(fields[id_col].alias(id_col), text, count.alias("n_lines"), F.array_sort(F.coalesce("gone.removed", F.array().cast("array<int>"))).alias("removed_lines"))
+    return rows.select(*[text if c == text_col else fields[c].alias(c) for c in docs.columns])
+
+
+def _with_removals(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """(row, gone): each row with its removals or null; only rows that may have any take part in the join."""
+    marked = mark_possible(rows, F.col("row_mark"), gone, "mark", "hit")
+    kept = marked.where(~F.col("hit")).select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+    found = marked.where("hit").join(gone, F.col("row_mark") == F.col("mark"), "left")
+    return kept.unionByName(found.select("row", "gone"))
