@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Spark's setting by which a query's shuffle files go as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is missing (single-process runs such as the tests)
-    is a temporary folder of this machine used.
+    Where that setting is missing a single process (master local, as in tests)
+    gets a temporary folder; a cluster has no folder to fall back to, and a
+    RuntimeError is raised.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="pagequill-"))
 
 
@@ -32,27 +36,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
     A lost executor costs nothing that is already written, and no later stage
-    recomputes what led to it.
+    recomputes what led to it; so the shuffle files of the write go at its end.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps.
-
-    It does so when the driver's JVM has collected what refers to them, which may
-    be long after the last use; a job of many large steps asks for it. The
-    second round collects what only the first one's clean-up has let go.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in tables:
