@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.functions.shared import discard, materialize, new_path, release, shared_dir  # noqa: F401  what the operators share
+from pagequill.functions.shared import discard, materialize, new_path, shared_dir  # noqa: F401  what the operators share
 
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""

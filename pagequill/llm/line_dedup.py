@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequill.llm.common import discard, join_by_group, mark_possible, materialize, release
+from pagequill.llm.common import discard, join_by_group, mark_possible, materialize
 
 THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
@@ -352,13 +352,11 @@ def _verified(lines: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) ->
     # Rows that share an id may bring a set twice.
     few = few.select("cid", "size", F.concat(F.transform("keys", token), "rest").alias("toks")).dropDuplicates(["cid"])
     few = materialize(few, "line-suspects")
-    release(few.sparkSession)
     side = lambda s: few.select(F.col("cid").alias(s), F.col("toks").alias(f"{s}_toks"), F.col("size").alias(f"{s}_size"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_toks", "b_toks"))
     out = materialize(both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a").alias("cid")).distinct(), "line-late")
     discard(few, known)
-    release(few.sparkSession)
     return out
 
 
@@ -378,12 +376,10 @@ def similar_to_earlier(lines: DataFrame, heads: DataFrame, order: Order, thresho
     sets = lines.select("class", "ord", "size", "sk0", "sk1", "keys").join(mine, (F.col("class") == F.col("k")) & (F.col("ord") == F.col("at")))
     # Rows that share an id can bring a set twice, which does no harm.
     sets = materialize(sets.select("cid", "size", "sk0", "sk1", "keys"), "line-sets")
-    release(spark)
     near = _candidates(_posts(sets), t, PER_LIST, order.hot)
     near = near.groupBy("a").agg(F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "b")))).alias("found"), F.max("more").alias("more"))
     tries = near.select("a", F.transform(F.slice("found", 1, TRIES), lambda x: x["b"]).alias("tried"), (F.col("more") | (F.size("found") > TRIES)).alias("more"))
     tries = materialize(tries, "line-tries")
-    release(spark)
     settled = _verified(lines, heads, tries.select("a", F.explode("tried").alias("b")), t)
     unsettled = materialize(tries.where("more").join(settled, F.col("a") == F.col("cid"), "left_anti").select(F.col("a").alias("cid"), "tried"), "line-open")
     asking = mark_possible(sets, F.col("cid"), unsettled, "cid", "wanted").where("wanted").drop("wanted").join(unsettled.select("cid"), "cid", "left_semi")
@@ -392,7 +388,6 @@ def similar_to_earlier(lines: DataFrame, heads: DataFrame, order: Order, thresho
     both = known.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
     pairs = _candidates(both, t, None, order.hot).select("a", "b").distinct().join(unsettled.withColumnRenamed("cid", "a"), "a")
     pairs = materialize(pairs.where(~F.array_contains("tried", F.col("b"))).select("a", "b"), "line-candidates")
-    release(spark)
     late = materialize(settled.unionByName(_verified(lines, heads, pairs, t)), "line-settled")
     discard(sets, tries, settled, unsettled, asking, pairs)
     return late
@@ -410,21 +405,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, tk, removed): the numbers (from 0) of the lines to remove of each document that has any."""
     spark = docs.sparkSession
     order = token_order(docs, text_col, most)
-    release(spark)
     lines = materialize(line_sets(docs, order, id_col, text_col, threshold).withColumn("ord", _place(docs.schema[id_col].dataType)), "lines")
     total = lines.count()
     firsts = lines.groupBy("class").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     # Numbers in the order of first occurrence.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts = materialize(firsts.repartitionByRange(parts, "first").sortWithinPartitions("first", "class").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    release(spark)
     late = similar_to_earlier(lines, firsts, order, threshold)
     known = materialize(firsts.join(late.withColumn("late", F.lit(True)), "cid", "left").select("class", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
     of = join_by_group(lines.select("id", "tk", "line", "ord", "class"), known, "class", "n", total)
     gone = of.where((F.col("ord") > F.col("first")) | F.col("late"))
     gone = materialize(gone.groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
     discard(lines, known, firsts, late)
-    release(spark)
     return gone
 
 
