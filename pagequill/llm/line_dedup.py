@@ -1,14 +1,20 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 Tokens of a line are its words (runs of non-(ASCII) space, A-Z lower-cased), as
-a set. Tokens are ordered by rarity in the corpus; two lines with Jaccard
-similarity t or more share a token within their prefixes. Candidates pass the
-length filter, the positional filter and a 128-bit parity sketch, whose differing
-bits are never more than the differing tokens; then Jaccard is verified exactly.
+a set of 64-bit hashes. Tokens are ordered by rarity in the corpus; two lines with
+Jaccard similarity t or more share a token within their prefixes. Candidates pass
+the length filter, the positional filter and a 128-bit parity sketch, whose
+differing bits are never more than the differing tokens; then Jaccard is verified
+exactly.
 
 A line goes as soon as one earlier line is like it, so a set needs one partner,
 not all: lists of equal prefix tokens yield the first few candidates of each set,
-and only sets that these don't settle are held against everything that is left.
+and only sets that these don't settle are held against more, at last against
+everything that is left.
+
+Texts are tokenised once, in the order of their ids, so that lines are numbered
+as they are written. Postings and counts are shuffled as packed columns of many
+rows, dealt by token.
 """
 
 from __future__ import annotations
@@ -16,14 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from pagequill.llm.common import discard, join_by_group, mark_possible, materialize
+from pagequill.llm.common import discard, mark_possible, materialize
 
 THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
@@ -31,11 +38,13 @@ THRESHOLD = 0.8
 RANKED_TOKENS = 1 << 20
 #: Occurrences of a token from which its list is dealt into parts of about this length.
 HOT_LIST = 20_000
-#: Candidates that a set takes from a token's list, and tries in all, before it is held against everything.
-PER_LIST, TRIES = 2, 3
+#: Rounds: candidates that a set takes from a token's list at most, and tries in all; the last round takes everything.
+ROUNDS = ((2, 3), (12, 24), (None, None))
 _RARE, _PART = 1 << 62, 20
-#: Characters that are tokenised at a time, and postings that are compared at a time.
-_TEXT, _POSTS = 4 << 20, 250_000
+#: Characters that are tokenised at a time, and postings or counts that are packed, or compared in one task.
+_TEXT, _POSTS = 4 << 20, 400_000
+#: Words of 64 bits in the table of asked lists.
+_WORDS = 1 << 20
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,37 +98,138 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return row, number, line, _hashes(flat)
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> pa.Array:
-    return pc.fill_null(batch.column(at).cast(pa.string()), "")
+def _packed(part: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """(part, data): rows of equal part in one value, column after column."""
+    by = np.argsort(part, kind="stable")
+    parts, heads = np.unique(part[by], return_index=True)
+    cols = [c[by] for c in cols]
+    ends = np.append(heads[1:], len(part))
+    data = [b"".join([c[a:z].tobytes() for c in cols]) for a, z in zip(heads.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
+
+
+def _unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _ends(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+
+
+def _cells(n: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """A binary value for each n of the flat numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, _ends(8 * n).buffers()[1], pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    heads = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
-    return keys[heads], np.add.reduceat(n, heads)
+def _flat(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse: how many numbers each value has, and all of them."""
+    ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.diff(ends) // 8, np.frombuffer(data.tobytes(), kind)
 
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, n): occurrences of each token hash over all rows."""
+def token_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per line that has a token: cid, id, tk, line, c0, c1, lead, words.
+
+    cid numbers lines in the order of (id, hash of the text, line), a null id
+    last; rows of equal id and text count once. tk hashes the whole text; c0 and
+    c1 hash the token set; words are its hashes as bytes. lead tells that no
+    earlier line of the same few megabytes has the same set; other lines are
+    repeats, and have no words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["token", "n"])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last, count = None, 0
         for b in batches:
-            for _, part in _slices(_texts(b, 0)):
-                h = np.sort(_words(part)[3])
+            tk = b.column(2).to_numpy()
+            again = np.concatenate(([last is not None], tk[1:] == tk[:-1])) if len(tk) else np.zeros(0, bool)
+            for i in np.nonzero(again)[0].tolist():
+                again[i] = (b.column(1)[i].as_py(), int(tk[i])) == ((b.column(1)[i - 1].as_py(), int(tk[i - 1])) if i else last)
+            if len(tk):
+                last = (b.column(1)[len(tk) - 1].as_py(), int(tk[-1]))
+            if again.any():
+                b = b.filter(pa.array(~again))
+            for first, texts in _slices(pc.fill_null(b.column(3).cast(pa.string()), "")):
+                rows = b.slice(first, len(texts))
+                row, number, line, h = _words(texts)
+                short = (h >> np.uint64(24)).astype(np.int64)
+                by = np.argsort(line << 40 | short) if len(row) < 1 << 23 else np.lexsort((h, line))
+                line, h, short = line[by], h[by], short[by]
+                near = (line[1:] == line[:-1]) & (short[1:] == short[:-1])
+                if (h[1:][near] != h[:-1][near]).any():
+                    by = np.lexsort((h, line))
+                    line, h = line[by], h[by]
                 if len(h):
-                    heads = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-                    held.append((h[heads], np.diff(np.append(heads, len(h)))))
-            if sum(len(h) for h, _ in held) > 2_000_000:
-                yield out(*_summed(*map(np.concatenate, zip(*held, strict=True))))
-                held = []
-        if held:
-            yield out(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+                    keep = np.concatenate(([True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])))
+                    line, h = line[keep], h[keep]
+                heads = np.nonzero(np.concatenate(([True], line[1:] != line[:-1])))[0] if len(line) else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(heads, len(line)))
+                of = line[heads]
+                added = lambda salt: np.add.reduceat(_mixed(h ^ np.uint64(salt)), heads) if len(heads) else np.zeros(0, np.uint64)  # noqa: B023, E731
+                c0, c1 = added(0x2545F4914F6CDD1D), added(0x9E6C63D0876A9A47)
+                _, where, back = np.unique(c0, return_index=True, return_inverse=True)
+                lead = (where[back] == np.arange(len(c0))) | (c1[where[back]] != c1) if len(c0) else np.zeros(0, bool)
+                at = pa.array(row[of])
+                cid = (int(b.column(0)[0].as_py()) << 40) + count + np.arange(len(of))
+                count += len(of)
+                cells = _cells(np.where(lead, sizes, 0), h[np.repeat(lead, sizes)])
+                cols = [pa.array(cid), rows.column(1).take(at), rows.column(2).take(at), pa.array(number[of].astype(np.int32)), pa.array(c0.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(lead), cells]
+                yield pa.RecordBatch.from_arrays(cols, ["cid", "id", "tk", "line", "c0", "c1", "lead", "words"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, n long")
-    return rows.groupBy("token").agg(F.sum("n").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    place = [F.asc_nulls_last("id"), F.asc("tk")]
+    rows = rows.repartitionByRange(*place).sortWithinPartitions(*place).select(F.spark_partition_id().alias("pid"), "id", "tk", "text")
+    return rows.mapInArrow(run, f"cid long, id {kind}, tk long, line int, c0 long, c1 long, lead boolean, words binary")
+
+
+def token_counts(lines: DataFrame) -> DataFrame:
+    """(token, n): in how many leading lines each token stands; only tokens that stand in two or more."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(np.sort(_flat(b.column(0), "<u8")[1]))
+            n += len(held[-1])
+            if n > 16 * _POSTS:
+                yield packed(np.sort(np.concatenate(held)))
+                held, n = [], 0
+        if n:
+            yield packed(np.sort(np.concatenate(held)))
+
+    def packed(h: np.ndarray) -> pa.RecordBatch:
+        heads = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+        return _packed((h[heads] % np.uint64(parts)).astype(np.int32), [h[heads], np.diff(np.append(heads, len(h)))])
+
+    def merged(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = np.concatenate(h), np.concatenate(n)
+        by = np.argsort(h)
+        h, n = h[by], n[by]
+        heads = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+        return h[heads], np.add.reduceat(n, heads)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, ns, most = [], [], 8 * _POSTS
+        for b in batches:
+            for data in b.column(1):
+                h, n = _unpacked(data.as_buffer().to_pybytes(), ["<u8", "<i8"])
+                hs.append(h)
+                ns.append(n)
+                if sum(map(len, hs)) > most:
+                    h, n = merged(hs, ns)
+                    hs, ns, most = [h], [n], max(8 * _POSTS, 2 * len(h))
+        if hs:
+            h, n = merged(hs, ns)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
+
+    dealt = lines.where("lead").select("words").mapInArrow(count, "part int, data binary").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(merge, "token long, n long")
 
 
 class Order:
@@ -156,11 +266,11 @@ class Order:
             at, end, left = at[~hit] + 1, end[~hit], left[~hit]
 
 
-def token_order(docs: DataFrame, text_col: str = "text", most: int = RANKED_TOKENS) -> Order:
+def token_order(lines: DataFrame, most: int = RANKED_TOKENS) -> Order:
     """The order by the counts of the `most` (at most) commonest tokens."""
     if most > 1 << _PART:
         raise ValueError("too many ranked tokens")
-    counts = materialize(token_counts(docs, text_col), "token-counts")
+    counts = materialize(token_counts(lines), "token-counts")
     step = F.floor(8 * F.log2("n")).cast("int")  # 512 steps at most
     steps = sorted((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect())
     least = total = 0
@@ -178,245 +288,254 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
 
 
-def line_sets(docs: DataFrame, order: Order, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row per line that has a token: id, tk, line, class, size, sk0, sk1, keys, rest.
+def prefix_sets(lines: DataFrame, order: Order, t: float = THRESHOLD) -> DataFrame:
+    """A row per leading line: cid, id, tk, line, first, size, sk0, sk1, keys.
 
-    tk hashes the whole text, so that (id, tk) is a document; class is a 128-bit
-    hash of the token set; sk0 and sk1 are its parity sketch; keys are the lists
-    of its prefix tokens (number, and part of a dealt list), rest all others.
+    sk0 and sk1 are the parity sketch of its token set; keys are the lists of its
+    prefix tokens (number, and part of a dealt list), as bytes. first tells that
+    no earlier line has the same set; the lines of a set meet in one task, of
+    which every few megabytes of text have sent one at most.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    shared = lines.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
         for b in batches:
-            for first, texts in _slices(_texts(b, 2)):
-                yield out(b.slice(first, len(texts)), *_words(texts))
+            sizes, h = _flat(b.column(6), "<u8")
+            line = np.repeat(np.arange(len(sizes)), sizes)
+            num = order.numbers(h)
+            # Sorted by line, then number: 39 bits of a number tell nearly all apart.
+            short = np.where(num >= 0, num + (1 << 39), (num + _RARE) >> 22)
+            by = np.argsort(line << 40 | short)
+            num, short = num[by], short[by]
+            if ((line[1:] == line[:-1]) & (short[1:] == short[:-1])).any():
+                num = num[np.lexsort((num, line))]
+            heads = np.cumsum(sizes) - sizes
+            bit = (num.astype(np.uint64) * _GOLD) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), heads).view(np.int64) if len(heads) else np.zeros(0, np.int64) for w in (0, 1)]
+            inside = _prefix(sizes, t)
+            keys = num[np.arange(len(num)) - np.repeat(heads, sizes) < np.repeat(inside, sizes)]
+            hot = np.nonzero(keys >= order.hot)[0]
+            if len(hot):
+                mine = b.column(4).to_numpy().view(np.uint64) >> np.uint64(33)
+                keys[hot] |= (np.repeat(mine.astype(np.int64), inside)[hot] % order.parts[keys[hot]]) << _PART
+            cols = [*b.columns[:6], pa.array(sizes.astype(np.int32)), *map(pa.array, sketch), _cells(inside, keys)]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:6], "size", "sk0", "sk1", "keys"])
+
+    rows = lines.where("lead").select("cid", "id", "tk", "line", "c0", "c1", "words")
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.mapInArrow(run, f"cid long, id {kind}, tk long, line int, c0 long, c1 long, size int, sk0 long, sk1 long, keys binary")
+    first = F.lag("cid").over(Window.partitionBy("c0", "c1").orderBy("cid")).isNull()
+    return rows.select("cid", "id", "tk", "line", first.alias("first"), "size", "sk0", "sk1", "keys")
+
+
+_KINDS = ["<i8", "<i8", "<i4", "<i4", "<u8", "<u8", "?"]  # key, cid, size, pos, sk0, sk1, asks
+
+
+def _dealt(sets: DataFrame, parts: int, asks: bool, order: Order | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """(part, data): the postings of sets, packed by token.
+
+    With order they go to all parts of dealt lists; with wanted only to lists that its bits mark.
+    """
+    sc = sets.sparkSession.sparkContext
+    shared, table = sc.broadcast(order), sc.broadcast(wanted)
 
-    def out(rows: pa.RecordBatch, row: np.ndarray, number: np.ndarray, line: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        order = shared.value
-        num = order.numbers(h)
-        # Sorted by line, then number: 39 bits of a number tell nearly all apart.
-        short = np.where(num >= 0, num + (1 << 39), (num + _RARE) >> 22)
-        by = np.argsort(line << 40 | short) if len(row) < 1 << 23 else np.lexsort((num, line))
-        line, num, short = line[by], num[by], short[by]
-        same = (line[1:] == line[:-1]) & (short[1:] == short[:-1])
-        if (num[1:][same] != num[:-1][same]).any():
-            by = np.lexsort((num, line))
-            line, num = line[by], num[by]
-            same = (line[1:] == line[:-1]) & (num[1:] == num[:-1])
-        if len(num):
-            keep = np.concatenate(([True], ~same))
-            line, num = line[keep], num[keep]
-        heads = np.nonzero(np.concatenate(([True], line[1:] != line[:-1])))[0] if len(line) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(heads, len(line)))
-        of = line[heads]
-        bit = (num.astype(np.uint64) * _GOLD) >> np.uint64(57)
-        one = np.uint64(1) << (bit & np.uint64(63))
-        sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), heads).view(np.int64) if len(heads) else np.zeros(0, np.int64) for w in (0, 1)]
-        raw = memoryview(num.tobytes())
-        classes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + n)]) for a, n in zip(heads.tolist(), sizes.tolist(), strict=True)]
-        inside = _prefix(sizes, threshold)
-        is_key = np.arange(len(num)) - np.repeat(heads, sizes) < np.repeat(inside, sizes)
-        keys = num[is_key]
-        hot = np.nonzero(keys >= order.hot)[0]
-        if len(hot):
-            mine = np.frombuffer(b"".join(classes), "<u4")[::4].astype(np.int64)
-            keys[hot] |= (np.repeat(mine, inside)[hot] % order.parts[keys[hot]]) << _PART
-        ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-        rows = rows.take(pa.array(row[of]))
-        cols = [rows.column(0), rows.column(1), pa.array(number[of].astype(np.int32)), pa.array(classes, pa.binary()), pa.array(sizes.astype(np.int32)), *map(pa.array, sketch)]
-        cols += [pa.ListArray.from_arrays(ends(inside), pa.array(keys)), pa.ListArray.from_arrays(ends(sizes - inside), pa.array(num[~is_key]))]
-        return pa.RecordBatch.from_arrays(cols, ["id", "tk", "line", "class", "size", "sk0", "sk1", "keys", "rest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            n, key = _flat(b.column(4), "<i8")
+            of = np.repeat(np.arange(len(n)), n)
+            pos = (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            if shared.value is not None:
+                key, at = _spread(key, shared.value)
+                of, pos = of[at], pos[at]
+            if table.value is not None:
+                word, bit = _marks(key)
+                keep = (table.value[word] >> bit) & np.uint64(1) == 1
+                key, of, pos = key[keep], of[keep], pos[keep]
+            cid, size, sk0, sk1 = (b.column(k).to_numpy()[of] for k in range(4))
+            held.append([key, cid, size, pos, sk0, sk1, np.full(len(key), asks)])
+            rows += len(key)
+            if rows > 2 * _POSTS:
+                yield out(held)
+                held, rows = [], 0
+        if rows:
+            yield out(held)
+
+    def out(held: list) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return _packed((_mixed(cols[0].view(np.uint64)) % np.uint64(parts)).astype(np.int32), cols)
+
+    return sets.select("cid", "size", "sk0", "sk1", "keys").mapInArrow(run, "part int, data binary")
+
+
+def _spread(key: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """All parts of the lists, and of which key each is one."""
+    rank = key & ((1 << _PART) - 1)
+    hot = (key >= 0) & (rank >= order.hot)
+    n = np.ones(len(key), np.int64)
+    n[hot] = order.parts[rank[hot]]
+    at = np.repeat(np.arange(len(key)), n)
+    part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return np.where(hot[at], rank[at] | part << _PART, key[at]), at
+
+
+def _marks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = _mixed(key.view(np.uint64))
+    return (h % np.uint64(_WORDS)).astype(np.int64), h >> np.uint64(58)
+
+
+def _asked(sets: DataFrame, order: Order) -> np.ndarray:
+    """Bits that mark the lists of the sets, in a table of fixed size."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, tk long, line int, class binary, size int, sk0 long, sk1 long, keys array<long>, rest array<long>")
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole lists of postings sorted by key, many at a time."""
-    held: list[dict[str, np.ndarray]] = []
-    rows = 0
-    for b in batches:
-        cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
-        key = cols["key"]
-        if not len(key):
-            continue
-        held.append(cols)
-        rows += len(key)
-        if rows >= _POSTS and (key[0] != key[-1] or (len(held) > 1 and held[-2]["key"][-1] != key[0])):
-            cut = int(np.searchsorted(key, key[-1]))
-            ready = [*held[:-1], {n: c[:cut] for n, c in cols.items()}]
-            yield {n: np.concatenate([p[n] for p in ready]) for n in cols}
-            held = [{n: c[cut:] for n, c in cols.items()}]
-            rows = len(key) - cut
-    if held:
-        yield {n: np.concatenate([p[n] for p in held]) for n in held[0]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, bit = _marks(_spread(_flat(b.column(0), "<i8")[1], shared.value)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
+
+    got = sets.select("keys").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(_WORDS, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def _near(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Which postings i and j of one token pass the length, sketch and positional filters; by how many bits their sketches differ."""
     n, m, x, y = p["size"][i], p["size"][j], p["pos"][i], p["pos"][j]
-    need = np.ceil((n + m) * (t / (1 + t)) - 1e-9).astype(np.int64)
+    need = np.ceil((n + m) * (t / (1 + t)) - 1e-9).astype(np.int32)
     apart = np.bitwise_count(p["sk0"][i] ^ p["sk0"][j]).astype(np.int32) + np.bitwise_count(p["sk1"][i] ^ p["sk1"][j])
     ok = (np.maximum(apart, np.abs(n - m)) <= n + m - 2 * need) & (np.minimum(n, m) >= np.maximum(n, m) * t - 1e-9)
     return ok & (np.minimum(x, y) + np.minimum(n - x, m - y) >= need), apart
 
 
-def _candidates(posts: DataFrame, t: float, most: int | None, hot: int) -> DataFrame:
+def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, hot: int, whole: bool) -> DataFrame:
     """(a, b, apart, more): earlier sets b that share a prefix token with a and pass the filters.
 
-    posts: key, cid, size, pos, sk0, sk1, asks. Sets that ask are held against
-    the earlier ones of each list, the next ones first, until they have `most`
-    (all, if None). more tells that a list may hold further ones; b is null where
-    only that is to say. A partition streams through, list by list; a list has
-    about HOT_LIST postings at most, as longer ones are dealt into parts.
+    Sets that ask are held against the earlier ones of each list, the next ones
+    first, until they have `most` (all, if None). more tells that a list may hold
+    further ones; b is null where only that is to say. Unless whole, sets ask in
+    their own part of dealt lists only, and all postings ask. A task has about
+    _POSTS postings; a list has about HOT_LIST at most, as longer ones are dealt.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _lists(batches):
-            p["sk0"], p["sk1"] = p["sk0"].view(np.uint64), p["sk1"].view(np.uint64)
-            p["size"], p["pos"] = p["size"].astype(np.int64), p["pos"].astype(np.int64)
-            key, cid = p["key"], p["cid"]
-            n = len(key)
-            heads = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-            before = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
-            found = np.zeros(n, np.int32)
-            asks = p["asks"] if "asks" in p else np.ones(n, bool)
-            more = np.zeros(n, bool) if most is None else asks & (key >= 0) & (key & ((1 << _PART) - 1) >= hot)
-            told = np.zeros(n, bool)
-            got = []
-            live = np.nonzero(asks & (before > 0))[0]
-            d = 1
-            while len(live):
-                ok, apart = _near(p, live, live - d, t)
-                ok &= cid[live - d] < cid[live]
-                if "asks" in p:
-                    ok &= ~asks[live - d]
-                i = live[ok]
-                if len(i):
-                    got.append((i, i - d, apart[ok]))
-                    found[i] += 1
-                live = live[before[live] > d]
-                if most is not None and len(i):
-                    full = found[live] >= most
-                    more[live[full]] = True
-                    live = live[~full]
-                d += 1
-            a, b, apart = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
-            told[a] = True
-            rest = np.nonzero(more & ~told)[0]
-            who = np.concatenate((cid[a], cid[rest]))
-            whom = pa.array(np.concatenate((cid[b], cid[rest])), mask=np.arange(len(who)) >= len(a))
-            cols = [pa.array(who), whom, pa.array(np.concatenate((apart, np.zeros(len(rest)))).astype(np.int32)), pa.array(np.concatenate((more[a], more[rest])))]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "apart", "more"])
-
-    return posts.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "a long, b long, apart int, more boolean")
-
-
-def _posts(sets: DataFrame) -> DataFrame:
-    rows = sets.select("cid", "size", "sk0", "sk1", F.posexplode("keys").alias("pos", "key"))
-    return rows.select("key", "cid", "size", "pos", "sk0", "sk1")
-
-
-def _all_parts(sets: DataFrame, order: Order) -> DataFrame:
-    """The postings of sets, to all parts of dealt lists."""
-    shared = sets.sparkSession.sparkContext.broadcast(order)
+        got = [_unpacked(d.as_buffer().to_pybytes(), _KINDS) for b in batches for d in b.column(1)]
+        if got:
+            yield compared(dict(zip(("key", "cid", "size", "pos", "sk0", "sk1", "asks"), (np.concatenate(c) for c in zip(*got, strict=True)), strict=True)))
+
+    def compared(p: dict[str, np.ndarray]) -> pa.RecordBatch:
+        by = np.lexsort((p["cid"], p["key"]))
+        p = {k: v[by] for k, v in p.items()}
+        key, cid, asks = p["key"], p["cid"], p["asks"]
+        n = len(key)
+        heads = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
+        before = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+        found, told = np.zeros(n, np.int32), np.zeros(n, bool)
+        more = np.zeros(n, bool) if whole else (key >= 0) & (key & ((1 << _PART) - 1) >= hot)
+        pairs = []
+        live, d = np.nonzero(asks & (before > 0))[0], 1
+        while len(live):
+            ok, apart = _near(p, live, live - d, t)
+            ok &= cid[live - d] < cid[live]
+            if whole:
+                ok &= ~asks[live - d]
+            i = live[ok]
+            if len(i):
+                pairs.append((i, i - d, apart[ok]))
+                found[i] += 1
+            live = live[before[live] > d]
+            if most is not None and len(i):
+                full = found[live] >= most
+                more[live[full]] = True
+                live = live[~full]
+            d += 1
+        a, b, apart = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        told[a] = True
+        rest = np.nonzero(more & ~told)[0]
+        who = np.concatenate((cid[a], cid[rest]))
+        whom = pa.array(np.concatenate((cid[b], cid[rest])), mask=np.arange(len(who)) >= len(a))
+        cols = [pa.array(who), whom, pa.array(np.concatenate((apart, np.zeros(len(rest)))).astype(np.int32)), pa.array(np.concatenate((more[a], more[rest])))]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "apart", "more"])
+
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "a long, b long, apart int, more boolean")
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(cid): each a of the pairs (a, b) whose sets have Jaccard >= t, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, order = b.column("key").to_numpy(), shared.value
-            rank = key & ((1 << _PART) - 1)
-            hot = (key >= 0) & (rank >= order.hot)
-            n = np.ones(len(key), np.int64)
-            n[hot] = order.parts[rank[hot]]
-            at = np.repeat(np.arange(len(key)), n)
-            part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            keys = np.where(hot[at], rank[at] | part << _PART, key[at])
-            out = b.take(pa.array(at))
-            yield out.set_column(out.schema.get_field_index("key"), "key", pa.array(keys))
-
-    posts = _posts(sets)
-    return posts.mapInArrow(run, posts.schema)
-
-
-def _verified(lines: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(cid): each a of the pairs (a, b) whose sets have Jaccard >= t, once."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    known = mark_possible(heads, F.col("cid"), needed, "cid", "wanted").where("wanted").join(needed, "cid").select("cid", F.col("class").alias("k"), F.col("first").alias("at"))
-    known = materialize(known.withColumn("mark", F.xxhash64("k", "at")), "line-wanted")
-    few = mark_possible(lines.select("class", "ord", "size", "keys", "rest"), F.xxhash64("class", "ord"), known, "mark", "wanted").where("wanted")
-    few = few.join(known, (F.col("class") == F.col("k")) & (F.col("ord") == F.col("at")))
-    token = lambda x: F.when(x >= 0, x.bitwiseAND(F.lit((1 << _PART) - 1))).otherwise(x)
-    # Rows that share an id may bring a set twice.
-    few = few.select("cid", "size", F.concat(F.transform("keys", token), "rest").alias("toks")).dropDuplicates(["cid"])
+            out = []
+            for cid, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common * (1 + t) >= (len(x) + len(y)) * t - 1e-9:
+                    out.append(cid)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["cid"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    few = mark_possible(lines.where("lead").select("cid", "words"), F.col("cid"), needed, "key", "wanted").where("wanted").select("cid", "words")
     few = materialize(few, "line-suspects")
-    side = lambda s: few.select(F.col("cid").alias(s), F.col("toks").alias(f"{s}_toks"), F.col("size").alias(f"{s}_size"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_toks", "b_toks"))
-    out = materialize(both.where(common * (1 + t) >= (F.col("a_size") + F.col("b_size")) * F.lit(t) - 1e-9).select(F.col("a").alias("cid")).distinct(), "line-late")
-    discard(few, known)
+    side = lambda s: few.select(F.col("cid").alias(s), F.col("words").alias(f"{s}_words"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_words", "b_words")
+    out = materialize(both.mapInArrow(run, "cid long").distinct(), "line-late")
+    discard(few)
     return out
 
 
-def similar_to_earlier(lines: DataFrame, heads: DataFrame, order: Order, threshold: float = THRESHOLD) -> DataFrame:
-    """(cid) of the classes with Jaccard >= threshold to one of smaller cid.
+def similar_to_earlier(lines: DataFrame, sets: DataFrame, order: Order, threshold: float = THRESHOLD) -> DataFrame:
+    """(cid) of the first lines of a set that have Jaccard >= threshold with an earlier line.
 
-    heads: class, first, cid; cid in the order of the first occurrences.
-
-    Each set first tries at most TRIES candidates, those of the closest sketches,
-    which settles nearly all members of a group of near copies. What is open and
-    may have further ones is then held against all earlier sets of its lists,
-    in every part of dealt ones; so no link is missed, and a large group doesn't
-    list all its pairs.
+    In each round a set that is open tries the candidates of the closest
+    sketches; a few settle nearly all members of a group of near copies. Sets
+    that may have further ones go on to the next round, in all parts of dealt
+    lists; the last round leaves none out. So no link is missed, and a large
+    group doesn't list all its pairs.
     """
     t, spark = threshold, lines.sparkSession
-    mine = heads.select("cid", F.col("class").alias("k"), F.col("first").alias("at"))
-    sets = lines.select("class", "ord", "size", "sk0", "sk1", "keys").join(mine, (F.col("class") == F.col("k")) & (F.col("ord") == F.col("at")))
-    # Rows that share an id can bring a set twice, which does no harm.
-    sets = materialize(sets.select("cid", "size", "sk0", "sk1", "keys"), "line-sets")
-    near = _candidates(_posts(sets), t, PER_LIST, order.hot)
-    near = near.groupBy("a").agg(F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "b")))).alias("found"), F.max("more").alias("more"))
-    tries = near.select("a", F.transform(F.slice("found", 1, TRIES), lambda x: x["b"]).alias("tried"), (F.col("more") | (F.size("found") > TRIES)).alias("more"))
-    tries = materialize(tries, "line-tries")
-    settled = _verified(lines, heads, tries.select("a", F.explode("tried").alias("b")), t)
-    unsettled = materialize(tries.where("more").join(settled, F.col("a") == F.col("cid"), "left_anti").select(F.col("a").alias("cid"), "tried"), "line-open")
-    asking = mark_possible(sets, F.col("cid"), unsettled, "cid", "wanted").where("wanted").drop("wanted").join(unsettled.select("cid"), "cid", "left_semi")
-    asking = materialize(_all_parts(asking, order), "line-asking")
-    known = mark_possible(_posts(sets), F.col("key"), asking, "key", "wanted").where("wanted").drop("wanted")
-    both = known.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
-    pairs = _candidates(both, t, None, order.hot).select("a", "b").distinct().join(unsettled.withColumnRenamed("cid", "a"), "a")
-    pairs = materialize(pairs.where(~F.array_contains("tried", F.col("b"))).select("a", "b"), "line-candidates")
-    late = materialize(settled.unionByName(_verified(lines, heads, pairs, t)), "line-settled")
-    discard(sets, tries, settled, unsettled, asking, pairs)
+    firsts = sets.where("first")
+    size = firsts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (8 * _POSTS) + 1)
+    dealt, asking, done, tried = _dealt(firsts, parts, True), None, [], None
+    for k, (most, tries) in enumerate(ROUNDS):
+        near = _candidates(dealt, parts, t, most, order.hot, k > 0)
+        if tried is not None:
+            near = near.join(tried, ["a", "b"], "left_anti") if most is None else near
+        if most is None:
+            pairs, rest = materialize(near.select("a", "b").distinct(), "line-candidates"), None
+        else:
+            best = F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "b"))))
+            got = near.groupBy("a").agg(best.alias("found"), F.max("more").alias("more"))
+            got = materialize(got.select("a", F.slice("found", 1, tries).alias("tries"), (F.col("more") | (F.size("found") > tries)).alias("more")), "line-tries")
+            pairs, rest = got.select("a", F.explode("tries").alias("x")).select("a", "x.b"), got.where("more").select(F.col("a").alias("cid"))
+        settled = _verified(lines, pairs, t)
+        done.append(settled)
+        if rest is None:
+            break
+        rest = materialize(rest.join(settled, "cid", "left_anti"), "line-open")
+        tried = pairs.join(rest, F.col("a") == F.col("cid"), "left_semi")
+        asking = mark_possible(firsts, F.col("cid"), rest, "cid", "wanted").where("wanted").drop("wanted").join(rest, "cid", "left_semi")
+        asking = materialize(asking.select("cid", "size", "sk0", "sk1", "keys"), "line-asking")
+        dealt = _dealt(firsts, parts, False, wanted=_asked(asking, order)).unionByName(_dealt(asking, parts, True, order))
+    late = done[0]
+    for more in done[1:]:
+        late = late.unionByName(more)
     return late
 
 
-def _place(kind: T.DataType) -> Column:
-    """What lines are ordered by: the id, null last, then the line's number."""
-    if isinstance(kind, T.IntegralType):
-        top = F.lit((1 << 63) - 1).cast("decimal(38,0)")
-        return (F.coalesce(F.col("id").cast("decimal(38,0)"), top) * F.lit(1 << 31) + F.col("line")).cast("decimal(38,0)")
-    return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("line"))
-
-
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = RANKED_TOKENS) -> DataFrame:
     """(id, tk, removed): the numbers (from 0) of the lines to remove of each document that has any."""
-    spark = docs.sparkSession
-    order = token_order(docs, text_col, most)
-    lines = materialize(line_sets(docs, order, id_col, text_col, threshold).withColumn("ord", _place(docs.schema[id_col].dataType)), "lines")
-    total = lines.count()
-    firsts = lines.groupBy("class").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
-    # Numbers in the order of first occurrence.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    firsts = materialize(firsts.repartitionByRange(parts, "first").sortWithinPartitions("first", "class").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    late = similar_to_earlier(lines, firsts, order, threshold)
-    known = materialize(firsts.join(late.withColumn("late", F.lit(True)), "cid", "left").select("class", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
-    of = join_by_group(lines.select("id", "tk", "line", "ord", "class"), known, "class", "n", total)
-    gone = of.where((F.col("ord") > F.col("first")) | F.col("late"))
-    gone = materialize(gone.groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
-    discard(lines, known, firsts, late)
+    lines = materialize(token_lines(docs, id_col, text_col), "lines")
+    order = token_order(lines, most)
+    sets = materialize(prefix_sets(lines, order, threshold), "line-sets")
+    late = similar_to_earlier(lines, sets, order, threshold)
+    place = ["id", "tk", "line"]
+    repeats = lines.where("not lead").select(place).unionByName(sets.where("not first").select(place))
+    near = mark_possible(sets.where("first").select("cid", *place), F.col("cid"), late, "cid", "wanted").where("wanted").join(late, "cid", "left_semi")
+    gone = materialize(repeats.unionByName(near.select(place)).groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
+    discard(lines, sets, late)
     return gone
 
 
@@ -424,33 +543,39 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, all columns as they were, with the near-duplicate lines taken out of <text_col>.
 
     With report, only <id_col>, <text_col>, n_lines and removed_lines (their
-    numbers, from 0) of each row. Lines end at \\n and are ordered by (id, line
-    number); a null id comes last. A line goes if any earlier line of the corpus
-    has Jaccard >= threshold with it, also one that goes itself; so the first
-    line of a group stays. Lines without a token stay. Rows that share an id
-    count as one document: their equal lines at equal places don't remove each
-    other. Null text stays null; a text all of whose lines go becomes empty; an
-    empty table stays empty. Only rows that lose a line are shuffled with their
-    texts.
+    numbers, from 0) of each row. Lines end at \\n and are ordered by id, line
+    number; a null id comes last, and rows that share an id are ordered by a hash
+    of their texts. A line goes if any earlier line of the corpus has Jaccard >=
+    threshold with it, also one that goes itself; so the first line of a group
+    stays. Lines without a token stay. Rows of equal id and text count as one and
+    have equal results. Null text stays null; a text all of whose lines go
+    becomes empty; an empty table stays empty. Only rows that lose a line are
+    shuffled with their texts.
     """
     gone = removed_lines(docs, id_col, text_col, threshold, most).select(F.struct("id", "tk", "removed").alias("gone"), F.xxhash64("id", "tk").alias("mark"))
     # All of a row is one column here, so that no name of its own clashes.
     mark = F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("row_mark"))
-    rows = _with_removals(rows, gone)
-    fields = {c: F.col("row").getField(c) for c in docs.columns}
-    lines = F.split(fields[text_col], "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone.removed"))
-    text = F.when(F.col("gone").isNull(), fields[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias(text_col)
+    rows = mark_possible(rows, F.col("row_mark"), gone, "mark", "hit")
+    none = F.lit(None).cast("array<int>")
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        out = []
+        for text, lost in zip(texts, removed, strict=True):
+            if lost is not None:
+                lost = set(lost)
+                text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in lost])
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    text = F.col("row").getField(text_col)
+    kept = rows.where(~F.col("hit")).select("row", text.alias("text"), none.alias("removed"))
+    found = rows.where("hit").join(gone, F.col("row_mark") == F.col("mark"), "left")
+    found = found.select("row", without(text.cast("string"), F.col("gone.removed")).cast(docs.schema[text_col].dataType).alias("text"), F.col("gone.removed").alias("removed"))
+    rows = kept.unionByName(found)
     if report:
-        count = F.when(fields[text_col].isNull(), 0).otherwise(F.size(lines))
-        return rows.select(fields[id_col].alias(id_col), text, count.alias("n_lines"), F.array_sort(F.coalesce("gone.removed", F.array().cast("array<int>"))).alias("removed_lines"))
-    return rows.select(*[text if c == text_col else fields[c].alias(c) for c in docs.columns])
-
-
-def _with_removals(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """(row, gone): each row with its removals or null; only rows that may have any take part in the join."""
-    marked = mark_possible(rows, F.col("row_mark"), gone, "mark", "hit")
-    kept = marked.where(~F.col("hit")).select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
-    found = marked.where("hit").join(gone, F.col("row_mark") == F.col("mark"), "left")
-    return kept.unionByName(found.select("row", "gone"))
+        ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+        count = F.coalesce(ends + 1, F.lit(0)).cast("int")
+        return rows.select(F.col("row").getField(id_col).alias(id_col), F.col("text").alias(text_col), count.alias("n_lines"), F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed_lines"))
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
