@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -236,25 +237,25 @@ class Order:
     """The common order of tokens: rarer ones first.
 
     A token's number is its rank if it is one of the most frequent (rarest
-    first), else its hash less 2^62, so that all others come before. Lists of
-    ranks from `hot` on are dealt into parts[rank] parts.
+    first), else its hash less 2^62, so that all others come before.
     """
 
     def __init__(self, hashes: np.ndarray, n: np.ndarray):
         by = np.argsort(hashes)
         self.hashes, n = hashes[by], n[by]
         order = np.lexsort((self.hashes, n))
-        self.ranks = np.empty(len(n), np.int64)
+        self.ranks = np.empty(len(n), np.int32)
         self.ranks[order] = np.arange(len(n))
-        self.parts = np.maximum(-(-n[order] // HOT_LIST), 1)
-        self.hot = int(np.searchsorted(self.parts, 1, "right"))
-        self.shift = np.uint64(43)
-        self.starts = np.searchsorted(self.hashes, np.arange(1 << 21, dtype=np.uint64) << self.shift)
-        self.starts = np.append(self.starts, len(n)).astype(np.int32)
+        self.lists = Lists(n[order])
+        self.starts: np.ndarray | None = None
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
+        shift = np.uint64(43)
+        if self.starts is None:  # made where it is used, as it's half of the table
+            starts = np.searchsorted(self.hashes, np.arange(1 << 21, dtype=np.uint64) << shift)
+            self.starts = np.append(starts, len(self.hashes)).astype(np.int32)
         out = (h >> np.uint64(3)).astype(np.int64) - _RARE
-        bucket = (h >> self.shift).astype(np.int64)
+        bucket = (h >> shift).astype(np.int64)
         at, end, left = self.starts[bucket], self.starts[bucket + 1], np.arange(len(h))
         while True:
             keep = at < end
@@ -266,6 +267,35 @@ class Order:
             at, end, left = at[~hit] + 1, end[~hit], left[~hit]
 
 
+class Lists:
+    """Into how many parts the lists of tokens are dealt: those of ranks from `hot` on into parts[rank - hot], all others into one."""
+
+    def __init__(self, n: np.ndarray):
+        parts = np.maximum(-(-n // HOT_LIST), 1)
+        self.hot = int(np.searchsorted(parts, 1, "right"))
+        self.parts = parts[self.hot :]
+
+    def is_hot(self, key: np.ndarray) -> np.ndarray:
+        return (key >= 0) & (key & ((1 << _PART) - 1) >= self.hot)
+
+    def dealt(self, key: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """The list of each number, and its part by a number of the set."""
+        hot = np.nonzero(self.is_hot(key))[0]
+        if len(hot):
+            key = key.copy()
+            key[hot] |= (by[hot] % self.parts[key[hot] - self.hot]) << _PART
+        return key
+
+    def spread(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All parts of the lists, and of which key each is one."""
+        rank, hot = key & ((1 << _PART) - 1), self.is_hot(key)
+        n = np.ones(len(key), np.int64)
+        n[hot] = self.parts[rank[hot] - self.hot]
+        at = np.repeat(np.arange(len(key)), n)
+        part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        return np.where(hot[at], rank[at] | part << _PART, key[at]), at
+
+
 def token_order(lines: DataFrame, most: int = RANKED_TOKENS) -> Order:
     """The order by the counts of the `most` (at most) commonest tokens."""
     if most > 1 << _PART:
@@ -288,7 +318,7 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
 
 
-def prefix_sets(lines: DataFrame, order: Order, t: float = THRESHOLD) -> DataFrame:
+def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD) -> DataFrame:
     """A row per leading line: cid, id, tk, line, first, size, sk0, sk1, keys.
 
     sk0 and sk1 are the parity sketch of its token set; keys are the lists of its
@@ -296,7 +326,6 @@ def prefix_sets(lines: DataFrame, order: Order, t: float = THRESHOLD) -> DataFra
     no earlier line has the same set; the lines of a set meet in one task, of
     which every few megabytes of text have sent one at most.
     """
-    shared = lines.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -316,10 +345,8 @@ def prefix_sets(lines: DataFrame, order: Order, t: float = THRESHOLD) -> DataFra
             sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), heads).view(np.int64) if len(heads) else np.zeros(0, np.int64) for w in (0, 1)]
             inside = _prefix(sizes, t)
             keys = num[np.arange(len(num)) - np.repeat(heads, sizes) < np.repeat(inside, sizes)]
-            hot = np.nonzero(keys >= order.hot)[0]
-            if len(hot):
-                mine = b.column(4).to_numpy().view(np.uint64) >> np.uint64(33)
-                keys[hot] |= (np.repeat(mine.astype(np.int64), inside)[hot] % order.parts[keys[hot]]) << _PART
+            mine = (b.column(4).to_numpy().view(np.uint64) >> np.uint64(33)).astype(np.int64)
+            keys = order.lists.dealt(keys, np.repeat(mine, inside))
             cols = [*b.columns[:6], pa.array(sizes.astype(np.int32)), *map(pa.array, sketch), _cells(inside, keys)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:6], "size", "sk0", "sk1", "keys"])
 
@@ -333,13 +360,11 @@ def prefix_sets(lines: DataFrame, order: Order, t: float = THRESHOLD) -> DataFra
 _KINDS = ["<i8", "<i8", "<i4", "<i4", "<u8", "<u8", "?"]  # key, cid, size, pos, sk0, sk1, asks
 
 
-def _dealt(sets: DataFrame, parts: int, asks: bool, order: Order | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+def _dealt(sets: DataFrame, parts: int, asks: bool, lists: Lists | None = None, wanted: Broadcast[np.ndarray] | None = None) -> DataFrame:
     """(part, data): the postings of sets, packed by token.
 
-    With order they go to all parts of dealt lists; with wanted only to lists that its bits mark.
+    With lists they go to all parts of dealt ones; with wanted only to lists that its bits mark.
     """
-    sc = sets.sparkSession.sparkContext
-    shared, table = sc.broadcast(order), sc.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -347,12 +372,12 @@ def _dealt(sets: DataFrame, parts: int, asks: bool, order: Order | None = None,
             n, key = _flat(b.column(4), "<i8")
             of = np.repeat(np.arange(len(n)), n)
             pos = (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            if shared.value is not None:
-                key, at = _spread(key, shared.value)
+            if lists is not None:
+                key, at = lists.spread(key)
                 of, pos = of[at], pos[at]
-            if table.value is not None:
+            if wanted is not None:
                 word, bit = _marks(key)
-                keep = (table.value[word] >> bit) & np.uint64(1) == 1
+                keep = (wanted.value[word] >> bit) & np.uint64(1) == 1
                 key, of, pos = key[keep], of[keep], pos[keep]
             cid, size, sk0, sk1 = (b.column(k).to_numpy()[of] for k in range(4))
             held.append([key, cid, size, pos, sk0, sk1, np.full(len(key), asks)])
@@ -370,29 +395,17 @@ def _dealt(sets: DataFrame, parts: int, asks: bool, order: Order | None = None,
     return sets.select("cid", "size", "sk0", "sk1", "keys").mapInArrow(run, "part int, data binary")
 
 
-def _spread(key: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
-    """All parts of the lists, and of which key each is one."""
-    rank = key & ((1 << _PART) - 1)
-    hot = (key >= 0) & (rank >= order.hot)
-    n = np.ones(len(key), np.int64)
-    n[hot] = order.parts[rank[hot]]
-    at = np.repeat(np.arange(len(key)), n)
-    part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    return np.where(hot[at], rank[at] | part << _PART, key[at]), at
-
-
 def _marks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = _mixed(key.view(np.uint64))
     return (h % np.uint64(_WORDS)).astype(np.int64), h >> np.uint64(58)
 
 
-def _asked(sets: DataFrame, order: Order) -> np.ndarray:
+def _asked(sets: DataFrame, lists: Lists) -> np.ndarray:
     """Bits that mark the lists of the sets, in a table of fixed size."""
-    shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            word, bit = _marks(_spread(_flat(b.column(0), "<i8")[1], shared.value)[0])
+            word, bit = _marks(lists.spread(_flat(b.column(0), "<i8")[1])[0])
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
 
     got = sets.select("keys").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -410,7 +423,7 @@ def _near(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> t
     return ok & (np.minimum(x, y) + np.minimum(n - x, m - y) >= need), apart
 
 
-def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, hot: int, whole: bool) -> DataFrame:
+def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, lists: Lists, whole: bool) -> DataFrame:
     """(a, b, apart, more): earlier sets b that share a prefix token with a and pass the filters.
 
     Sets that ask are held against the earlier ones of each list, the next ones
@@ -433,7 +446,7 @@ def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, hot: i
         heads = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
         before = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
         found, told = np.zeros(n, np.int32), np.zeros(n, bool)
-        more = np.zeros(n, bool) if whole else (key >= 0) & (key & ((1 << _PART) - 1) >= hot)
+        more = np.zeros(n, bool) if whole else lists.is_hot(key)
         pairs = []
         live, d = np.nonzero(asks & (before > 0))[0], 1
         while len(live):
@@ -485,7 +498,7 @@ def _verified(lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     return out
 
 
-def similar_to_earlier(lines: DataFrame, sets: DataFrame, order: Order, threshold: float = THRESHOLD) -> DataFrame:
+def similar_to_earlier(lines: DataFrame, sets: DataFrame, lists: Lists, threshold: float = THRESHOLD) -> DataFrame:
     """(cid) of the first lines of a set that have Jaccard >= threshold with an earlier line.
 
     In each round a set that is open tries the candidates of the closest
@@ -498,9 +511,9 @@ def similar_to_earlier(lines: DataFrame, sets: DataFrame, order: Order, threshol
     firsts = sets.where("first")
     size = firsts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (8 * _POSTS) + 1)
-    dealt, asking, done, tried = _dealt(firsts, parts, True), None, [], None
+    dealt, done, tried, marks = _dealt(firsts, parts, True), [], None, None
     for k, (most, tries) in enumerate(ROUNDS):
-        near = _candidates(dealt, parts, t, most, order.hot, k > 0)
+        near = _candidates(dealt, parts, t, most, lists, k > 0)
         if tried is not None:
             near = near.join(tried, ["a", "b"], "left_anti") if most is None else near
         if most is None:
@@ -510,6 +523,8 @@ def similar_to_earlier(lines: DataFrame, sets: DataFrame, order: Order, threshol
             got = near.groupBy("a").agg(best.alias("found"), F.max("more").alias("more"))
             got = materialize(got.select("a", F.slice("found", 1, tries).alias("tries"), (F.col("more") | (F.size("found") > tries)).alias("more")), "line-tries")
             pairs, rest = got.select("a", F.explode("tries").alias("x")).select("a", "x.b"), got.where("more").select(F.col("a").alias("cid"))
+        if marks is not None:
+            marks.destroy()
         settled = _verified(lines, pairs, t)
         done.append(settled)
         if rest is None:
@@ -518,7 +533,8 @@ def similar_to_earlier(lines: DataFrame, sets: DataFrame, order: Order, threshol
         tried = pairs.join(rest, F.col("a") == F.col("cid"), "left_semi")
         asking = mark_possible(firsts, F.col("cid"), rest, "cid", "wanted").where("wanted").drop("wanted").join(rest, "cid", "left_semi")
         asking = materialize(asking.select("cid", "size", "sk0", "sk1", "keys"), "line-asking")
-        dealt = _dealt(firsts, parts, False, wanted=_asked(asking, order)).unionByName(_dealt(asking, parts, True, order))
+        marks = spark.sparkContext.broadcast(_asked(asking, lists))
+        dealt = _dealt(firsts, parts, False, wanted=marks).unionByName(_dealt(asking, parts, True, lists))
     late = done[0]
     for more in done[1:]:
         late = late.unionByName(more)
@@ -529,8 +545,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, tk, removed): the numbers (from 0) of the lines to remove of each document that has any."""
     lines = materialize(token_lines(docs, id_col, text_col), "lines")
     order = token_order(lines, most)
-    sets = materialize(prefix_sets(lines, order, threshold), "line-sets")
-    late = similar_to_earlier(lines, sets, order, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+    sets = materialize(prefix_sets(lines, shared, threshold), "line-sets")
+    shared.destroy()
+    late = similar_to_earlier(lines, sets, order.lists, threshold)
     place = ["id", "tk", "line"]
     repeats = lines.where("not lead").select(place).unionByName(sets.where("not first").select(place))
     near = mark_possible(sets.where("first").select("cid", *place), F.col("cid"), late, "cid", "wanted").where("wanted").join(late, "cid", "left_semi")
