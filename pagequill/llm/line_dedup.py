@@ -39,8 +39,8 @@ THRESHOLD = 0.8
 RANKED_TOKENS = 1 << 20
 #: Occurrences of a token from which its list is dealt into parts of about this length.
 HOT_LIST = 20_000
-#: Rounds: candidates that a set takes from a token's list at most, and tries in all; the last round takes everything.
-ROUNDS = ((2, 3), (12, 24), (None, None))
+#: Candidates that a set takes from a token's list, and tries at once, before it is held against everything.
+PER_LIST, TRIES = 4, 3
 _RARE, _PART = 1 << 62, 20
 #: Characters that are tokenised at a time, and postings or counts that are packed, or compared in one task.
 _TEXT, _POSTS = 4 << 20, 400_000
@@ -246,7 +246,8 @@ class Order:
         order = np.lexsort((self.hashes, n))
         self.ranks = np.empty(len(n), np.int32)
         self.ranks[order] = np.arange(len(n))
-        self.lists = Lists(n[order])
+        #: The first rank of tokens that stand in more than HOT_LIST lines.
+        self.often = int(np.searchsorted(n[order], HOT_LIST, "right"))
         self.starts: np.ndarray | None = None
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
@@ -268,32 +269,33 @@ class Order:
 
 
 class Lists:
-    """Into how many parts the lists of tokens are dealt: those of ranks from `hot` on into parts[rank - hot], all others into one."""
-
-    def __init__(self, n: np.ndarray):
-        parts = np.maximum(-(-n // HOT_LIST), 1)
-        self.hot = int(np.searchsorted(parts, 1, "right"))
-        self.parts = parts[self.hot :]
-
-    def is_hot(self, key: np.ndarray) -> np.ndarray:
-        return (key >= 0) & (key & ((1 << _PART) - 1) >= self.hot)
-
-    def dealt(self, key: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """The list of each number, and its part by a number of the set."""
-        hot = np.nonzero(self.is_hot(key))[0]
-        if len(hot):
-            key = key.copy()
-            key[hot] |= (by[hot] % self.parts[key[hot] - self.hot]) << _PART
+    """Into how many parts the lists of tokens are dealt: parts[rank - often] from the rank `often` on, all others are whole."""
+
+    def __init__(self, often: int, parts: np.ndarray):
+        self.often, self.parts = often, parts
+
+    def split(self, key: np.ndarray) -> np.ndarray:
+        """Number of parts of each key's list."""
+        out = np.ones(len(key), np.int64)
+        if len(self.parts):
+            rank = key & ((1 << _PART) - 1)
+            at = np.nonzero((key >= 0) & (rank >= self.often))[0]
+            out[at] = self.parts[rank[at] - self.often]
+        return out
+
+    def dealt(self, key: np.ndarray, cid: np.ndarray) -> np.ndarray:
+        """The part of the list for each posting."""
+        n = self.split(key)
+        if (n > 1).any():
+            return key | (_mixed(cid.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64) << _PART
         return key
 
     def spread(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All parts of the lists, and of which key each is one."""
-        rank, hot = key & ((1 << _PART) - 1), self.is_hot(key)
-        n = np.ones(len(key), np.int64)
-        n[hot] = self.parts[rank[hot] - self.hot]
+        n = self.split(key)
         at = np.repeat(np.arange(len(key)), n)
         part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        return np.where(hot[at], rank[at] | part << _PART, key[at]), at
+        return key[at] | part << _PART if len(at) > len(key) else key, at
 
 
 def token_order(lines: DataFrame, most: int = RANKED_TOKENS) -> Order:
@@ -321,8 +323,8 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
 def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD) -> DataFrame:
     """A row per leading line: cid, id, tk, line, first, size, sk0, sk1, keys.
 
-    sk0 and sk1 are the parity sketch of its token set; keys are the lists of its
-    prefix tokens (number, and part of a dealt list), as bytes. first tells that
+    sk0 and sk1 are the parity sketch of its token set; keys are the numbers of
+    its prefix tokens, as bytes. first tells that
     no earlier line has the same set; the lines of a set meet in one task, of
     which every few megabytes of text have sent one at most.
     """
@@ -345,8 +347,6 @@ def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD
             sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), heads).view(np.int64) if len(heads) else np.zeros(0, np.int64) for w in (0, 1)]
             inside = _prefix(sizes, t)
             keys = num[np.arange(len(num)) - np.repeat(heads, sizes) < np.repeat(inside, sizes)]
-            mine = (b.column(4).to_numpy().view(np.uint64) >> np.uint64(33)).astype(np.int64)
-            keys = order.lists.dealt(keys, np.repeat(mine, inside))
             cols = [*b.columns[:6], pa.array(sizes.astype(np.int32)), *map(pa.array, sketch), _cells(inside, keys)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:6], "size", "sk0", "sk1", "keys"])
 
@@ -357,13 +357,31 @@ def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD
     return rows.select("cid", "id", "tk", "line", first.alias("first"), "size", "sk0", "sk1", "keys")
 
 
+def dealt_lists(firsts: DataFrame, often: int, most: int) -> Lists:
+    """The parts of lists that have more than HOT_LIST postings; only tokens that stand in more lines than that are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(most - often, np.int64)
+        for b in batches:
+            key = _flat(b.column(0), "<i8")[1]
+            n += np.bincount(key[key >= often] - often, minlength=len(n))
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    parts = np.ones(most - often, np.int64)
+    if len(parts):
+        got = firsts.select("keys").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LIST).toArrow()
+        parts[got.column("at").to_numpy()] = -(-got.column("n").to_numpy() // HOT_LIST)
+    return Lists(often, parts)
+
+
 _KINDS = ["<i8", "<i8", "<i4", "<i4", "<u8", "<u8", "?"]  # key, cid, size, pos, sk0, sk1, asks
 
 
-def _dealt(sets: DataFrame, parts: int, asks: bool, lists: Lists | None = None, wanted: Broadcast[np.ndarray] | None = None) -> DataFrame:
+def _dealt(sets: DataFrame, parts: int, lists: Lists, asks: bool, everywhere: bool = False, wanted: Broadcast[np.ndarray] | None = None) -> DataFrame:
     """(part, data): the postings of sets, packed by token.
 
-    With lists they go to all parts of dealt ones; with wanted only to lists that its bits mark.
+    They go to one part of dealt lists, or everywhere; with wanted only to lists that its bits mark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,9 +390,11 @@ def _dealt(sets: DataFrame, parts: int, asks: bool, lists: Lists | None = None,
             n, key = _flat(b.column(4), "<i8")
             of = np.repeat(np.arange(len(n)), n)
             pos = (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            if lists is not None:
+            if everywhere:
                 key, at = lists.spread(key)
                 of, pos = of[at], pos[at]
+            else:
+                key = lists.dealt(key, b.column(0).to_numpy()[of])
             if wanted is not None:
                 word, bit = _marks(key)
                 keep = (wanted.value[word] >> bit) & np.uint64(1) == 1
@@ -415,12 +435,16 @@ def _asked(sets: DataFrame, lists: Lists) -> np.ndarray:
 
 
 def _near(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which postings i and j of one token pass the length, sketch and positional filters; by how many bits their sketches differ."""
+    """Which postings i and j of one token pass the length, sketch and positional filters (indices into i), and by how many bits their sketches differ."""
+    # Half a sketch and rounding up first: that drops most pairs at once.
+    some = np.nonzero(np.bitwise_count(p["sk0"][i] ^ p["sk0"][j]) <= p["slack"][i] + p["slack"][j])[0]
+    i, j = i[some], j[some]
     n, m, x, y = p["size"][i], p["size"][j], p["pos"][i], p["pos"][j]
     need = np.ceil((n + m) * (t / (1 + t)) - 1e-9).astype(np.int32)
     apart = np.bitwise_count(p["sk0"][i] ^ p["sk0"][j]).astype(np.int32) + np.bitwise_count(p["sk1"][i] ^ p["sk1"][j])
     ok = (np.maximum(apart, np.abs(n - m)) <= n + m - 2 * need) & (np.minimum(n, m) >= np.maximum(n, m) * t - 1e-9)
-    return ok & (np.minimum(x, y) + np.minimum(n - x, m - y) >= need), apart
+    ok = np.nonzero(ok & (np.minimum(x, y) + np.minimum(n - x, m - y) >= need))[0]
+    return some[ok], apart[ok]
 
 
 def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, lists: Lists, whole: bool) -> DataFrame:
@@ -441,22 +465,24 @@ def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, lists:
     def compared(p: dict[str, np.ndarray]) -> pa.RecordBatch:
         by = np.lexsort((p["cid"], p["key"]))
         p = {k: v[by] for k, v in p.items()}
+        p["slack"] = np.minimum(np.ceil(p["size"] * ((1 - t) / (1 + t)) + 1e-6), 32).astype(np.uint8)
         key, cid, asks = p["key"], p["cid"], p["asks"]
         n = len(key)
         heads = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-        before = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+        before = (np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))).astype(np.int32)
         found, told = np.zeros(n, np.int32), np.zeros(n, bool)
-        more = np.zeros(n, bool) if whole else lists.is_hot(key)
+        more = np.zeros(n, bool) if whole else lists.split(key) > 1
         pairs = []
         live, d = np.nonzero(asks & (before > 0))[0], 1
         while len(live):
             ok, apart = _near(p, live, live - d, t)
-            ok &= cid[live - d] < cid[live]
-            if whole:
-                ok &= ~asks[live - d]
             i = live[ok]
+            good = cid[i - d] < cid[i]
+            if whole:
+                good &= ~asks[i - d]
+            i, apart = i[good], apart[good]
             if len(i):
-                pairs.append((i, i - d, apart[ok]))
+                pairs.append((i, i - d, apart))
                 found[i] += 1
             live = live[before[live] > d]
             if most is not None and len(i):
@@ -475,7 +501,13 @@ def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, lists:
     return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "a long, b long, apart int, more boolean")
 
 
-def _verified(lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def _suspects(lines: DataFrame, needed: DataFrame) -> DataFrame:
+    """(cid, words) of the lines whose cid is in needed.key, and a few others."""
+    few = mark_possible(lines.where("lead").select("cid", "words"), F.col("cid"), needed, "key", "wanted")
+    return materialize(few.where("wanted").select("cid", "words"), "line-suspects")
+
+
+def _verified(few: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """(cid): each a of the pairs (a, b) whose sets have Jaccard >= t, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,57 +520,46 @@ def _verified(lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
                     out.append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["cid"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    few = mark_possible(lines.where("lead").select("cid", "words"), F.col("cid"), needed, "key", "wanted").where("wanted").select("cid", "words")
-    few = materialize(few, "line-suspects")
     side = lambda s: few.select(F.col("cid").alias(s), F.col("words").alias(f"{s}_words"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_words", "b_words")
-    out = materialize(both.mapInArrow(run, "cid long").distinct(), "line-late")
-    discard(few)
-    return out
+    return materialize(both.mapInArrow(run, "cid long").distinct(), "line-late")
 
 
-def similar_to_earlier(lines: DataFrame, sets: DataFrame, lists: Lists, threshold: float = THRESHOLD) -> DataFrame:
+def similar_to_earlier(lines: DataFrame, firsts: DataFrame, order: Order, threshold: float = THRESHOLD) -> DataFrame:
     """(cid) of the first lines of a set that have Jaccard >= threshold with an earlier line.
 
-    In each round a set that is open tries the candidates of the closest
-    sketches; a few settle nearly all members of a group of near copies. Sets
-    that may have further ones go on to the next round, in all parts of dealt
-    lists; the last round leaves none out. So no link is missed, and a large
-    group doesn't list all its pairs.
+    A set takes a few candidates from each list and tries those of the closest
+    sketches, then the others; that settles nearly all members of a group of near
+    copies. Sets that are open, and may have further candidates, are then held
+    against all earlier ones, in all parts of dealt lists. So no link is missed,
+    and a large group doesn't list all its pairs.
     """
     t, spark = threshold, lines.sparkSession
-    firsts = sets.where("first")
+    lists = dealt_lists(firsts, order.often, len(order.ranks))
     size = firsts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (8 * _POSTS) + 1)
-    dealt, done, tried, marks = _dealt(firsts, parts, True), [], None, None
-    for k, (most, tries) in enumerate(ROUNDS):
-        near = _candidates(dealt, parts, t, most, lists, k > 0)
-        if tried is not None:
-            near = near.join(tried, ["a", "b"], "left_anti") if most is None else near
-        if most is None:
-            pairs, rest = materialize(near.select("a", "b").distinct(), "line-candidates"), None
-        else:
-            best = F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "b"))))
-            got = near.groupBy("a").agg(best.alias("found"), F.max("more").alias("more"))
-            got = materialize(got.select("a", F.slice("found", 1, tries).alias("tries"), (F.col("more") | (F.size("found") > tries)).alias("more")), "line-tries")
-            pairs, rest = got.select("a", F.explode("tries").alias("x")).select("a", "x.b"), got.where("more").select(F.col("a").alias("cid"))
-        if marks is not None:
-            marks.destroy()
-        settled = _verified(lines, pairs, t)
-        done.append(settled)
-        if rest is None:
-            break
-        rest = materialize(rest.join(settled, "cid", "left_anti"), "line-open")
-        tried = pairs.join(rest, F.col("a") == F.col("cid"), "left_semi")
-        asking = mark_possible(firsts, F.col("cid"), rest, "cid", "wanted").where("wanted").drop("wanted").join(rest, "cid", "left_semi")
-        asking = materialize(asking.select("cid", "size", "sk0", "sk1", "keys"), "line-asking")
-        marks = spark.sparkContext.broadcast(_asked(asking, lists))
-        dealt = _dealt(firsts, parts, False, wanted=marks).unionByName(_dealt(asking, parts, True, lists))
-    late = done[0]
-    for more in done[1:]:
-        late = late.unionByName(more)
-    return late
+    near = _candidates(_dealt(firsts, parts, lists, True), parts, t, PER_LIST, lists, False)
+    found = F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "b"))))
+    near = near.groupBy("a").agg(F.transform(found, lambda x: x["b"]).alias("found"), F.max("more").alias("more"))
+    near = materialize(near, "line-near")
+    few = _suspects(lines, near.where(F.size("found") > 0).select(F.explode(F.concat(F.array("a"), "found")).alias("key")))
+    settled = _verified(few, near.select("a", F.explode(F.slice("found", 1, TRIES)).alias("b")), t)
+    left = near.join(settled, F.col("a") == F.col("cid"), "left_anti")
+    others = left.where(F.size("found") > TRIES).select("a", F.explode(F.slice("found", TRIES + 1, 1 << 30)).alias("b"))
+    settled = settled.unionByName(_verified(few, others, t))
+    rest = materialize(near.where("more").join(settled, F.col("a") == F.col("cid"), "left_anti").select("a", "found"), "line-open")
+    asking = mark_possible(firsts, F.col("cid"), rest, "a", "wanted").where("wanted").join(rest, F.col("cid") == F.col("a"), "left_semi")
+    asking = materialize(asking.select("cid", "size", "sk0", "sk1", "keys"), "line-asking")
+    marks = spark.sparkContext.broadcast(_asked(asking, lists))
+    dealt = _dealt(firsts, parts, lists, False, wanted=marks).unionByName(_dealt(asking, parts, lists, True, everywhere=True))
+    pairs = _candidates(dealt, parts, t, None, lists, True).select("a", "b").distinct().join(rest, "a")
+    pairs = materialize(pairs.where(~F.array_contains("found", F.col("b"))).select("a", "b"), "line-candidates")
+    marks.destroy()
+    discard(few)
+    few = _suspects(lines, pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    settled = materialize(settled.unionByName(_verified(few, pairs, t)), "line-settled")
+    discard(few, near, rest, asking, pairs)
+    return settled
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = RANKED_TOKENS) -> DataFrame:
@@ -548,7 +569,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(order)
     sets = materialize(prefix_sets(lines, shared, threshold), "line-sets")
     shared.destroy()
-    late = similar_to_earlier(lines, sets, order.lists, threshold)
+    late = similar_to_earlier(lines, sets.where("first"), order, threshold)
     place = ["id", "tk", "line"]
     repeats = lines.where("not lead").select(place).unionByName(sets.where("not first").select(place))
     near = mark_possible(sets.where("first").select("cid", *place), F.col("cid"), late, "cid", "wanted").where("wanted").join(late, "cid", "left_semi")

@@ -36,9 +36,9 @@ def near_groups(seed):
     return rows
 
 
-@pytest.mark.parametrize(("most", "hot", "rounds"), [(1 << 20, 20_000, ((2, 3), (12, 24), (None, None))), (1 << 20, 3, ((1, 1), (2, 1), (None, None))), (40, 2, ((1, 1), (None, None))), (0, 20_000, ((1, 1), (None, None)))])
-def test_equals_brute_force(spark, monkeypatch, most, hot, rounds):
-    for name, value in (("HOT_LIST", hot), ("ROUNDS", rounds)):
+@pytest.mark.parametrize(("most", "hot", "per_list", "tries"), [(1 << 20, 20_000, 4, 3), (1 << 20, 3, 1, 1), (40, 2, 2, 1), (0, 20_000, 1, 1)])
+def test_equals_brute_force(spark, monkeypatch, most, hot, per_list, tries):
+    for name, value in (("HOT_LIST", hot), ("PER_LIST", per_list), ("TRIES", tries)):
         monkeypatch.setattr(line_dedup, name, value)
     rows = near_groups(5)
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), report=True, most=most).collect()
