@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 #: Spark's setting by which a query's shuffle files go as soon as the query has ended.
@@ -56,3 +57,37 @@ def discard(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join rows to one-row-per-key groups without a hot shuffle key.
+
+    Fewer than `share` keys can hold more than total/share rows each, so those
+    groups are a broadcast of proven size; all other keys are small enough for
+    a plain shuffled join. No key column may be null.
+    """
+    limit = max(total // share, 1)
+    hot = groups.where(F.col(size) > limit)
+    cold = groups.where(F.col(size) <= limit)
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
+    a = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), key)
+    b = marked.where(F.col("__hot").isNull()).drop("__hot").join(cold, key, "left")
+    return a.unionByName(b)
+
+
+def numbered(df: DataFrame, by: list[str], name: str, start: int = 0, to: str = "ord") -> DataFrame:
+    """df, written, with a column <to> that numbers its rows in the order of <by>, without gaps from start on.
+
+    Rows are sorted by ranges; the numbers of rows of the ranges before are added.
+    """
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 14)
+    rows = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id()
+    rows = materialize(rows.withColumn("__range", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1))), name)
+    counts = sorted((r["__range"], r["count"]) for r in rows.groupBy("__range").count().collect())
+    offsets = []
+    for k, n in counts:
+        offsets.append((k, start))
+        start += n
+    first = df.sparkSession.createDataFrame(offsets, "__range long, __first long")
+    return rows.join(F.broadcast(first), "__range").withColumn(to, F.col("__first") + F.col("__at")).drop("__range", "__at", "__first")

@@ -28,9 +28,12 @@ def detect_clusters(pages: DataFrame, links: DataFrame | None = None, metrics: D
     """
     from pagequill.functions.urls import normalize_url
 
-    rows = pages.where(F.coalesce("is_internal", F.lit(True))).withColumn("norm", normalize_url(F.col("url"), True)).withColumn("cluster_id", cluster_id(F.col("norm")))
-    part = rows.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(32))).groupBy("cluster_id", "salt").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("ord", "url"))), 1, EXAMPLES).alias("x"))
-    out = part.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.transform(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, EXAMPLES), lambda e: e["url"]).alias("example_urls"))
+    rows = pages.where(F.coalesce("is_internal", F.lit(True))).select("ord", "url", cluster_id(normalize_url(F.col("url"), True)).alias("cluster_id"))
+    # A rank limit is applied in each task before rows are shuffled, so a large cluster sends a few of them.
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("ord", "url"))
+    shown = rows.select("cluster_id", "ord", "url", place.alias("k")).where(F.col("k") <= EXAMPLES)
+    shown = shown.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "url"))), lambda e: e["url"]).alias("example_urls"))
+    out = rows.groupBy("cluster_id").agg(F.count("*").alias("size")).join(shown, "cluster_id")
     if metrics is not None:
         m = metrics.withColumn("cluster_id", cluster_id(F.col("norm")))
         best = F.max(F.struct(F.col("authority_score"), (-F.col("ord")).alias("o"), F.col("url"))).alias("top")

@@ -33,17 +33,33 @@ def linked_from(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def internal_pages(pages: DataFrame) -> DataFrame:
-    """One row per aggressive normal form of the internal pages: the last page of equals, at the first one's place."""
+    """One row per aggressive normal form (norm) of the internal pages: the last page of equals, at the first one's place.
+
+    Pages that have a norm are taken as the result of an earlier call.
+    """
+    if "norm" in pages.columns:
+        return pages
     rows = pages.where(F.coalesce("is_internal", F.lit(True))).withColumn("norm", normalize_url(F.col("url"), True))
     kept = [c for c in rows.columns if c not in ("norm", "ord")]
     return rows.groupBy("norm").agg(F.min("ord").alias("ord"), F.max_by(F.struct(*kept), "ord").alias("r")).select("norm", "ord", "r.*")
 
 
 def internal_links(links: DataFrame) -> DataFrame:
+    """Internal links with the normal forms s and t of their ends; links that have them are taken as the result of an earlier call."""
+    if {"s", "t"} <= set(links.columns):
+        return links
     rows = links.where(F.coalesce("is_internal", F.lit(False)))
     return rows.withColumns({"s": normalize_url(F.col("source_url"), True), "t": normalize_url(F.col("target_url"), True)})
 
 
+def site_graph(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(internal_pages, internal_links), written once: what takes pages and links can be given these instead.
+
+    Normal forms are computed once per row; joins and filters then compare stored columns.
+    """
+    return materialize(internal_pages(pages), "graph-pages"), materialize(internal_links(links), "graph-links")
+
+
 def link_counts(links: DataFrame) -> DataFrame:
     """(norm, inlinks, body_inlinks, ..., outlinks, ...): counts of link rows by placement, images left out."""
     rows = internal_links(links).where("placement <> 'image'")
@@ -59,8 +75,8 @@ def edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     Body links to a target that more than 70 % of pages link to count half.
     Links to themselves and to targets of a known status other than 200 are out.
     """
-    known = internal_pages(pages).select("norm")
-    rows = internal_links(links)
+    pages, rows = site_graph(pages, links) if "norm" not in pages.columns else (pages, internal_links(links))
+    known = pages.select("norm")
     total = F.broadcast(known.agg(F.greatest(F.count("*"), F.lit(1)).alias("total")))  # one row
     ends = rows.join(known.withColumnRenamed("norm", "s"), "s", "left_semi").join(known.withColumnRenamed("norm", "t"), "t", "left_semi")
     wide = rows.select("s", "t").distinct().groupBy("t").agg(F.count("*").alias("sources")).join(total).where(F.col("sources") / F.col("total") > SITEWIDE_SHARE).select(F.col("t").alias("wide"))
@@ -71,12 +87,13 @@ def edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     return out.groupBy("s", "t").agg(F.max(weight).alias("weight"), F.min("ord").alias("ord"))
 
 
-def authority(nodes: DataFrame, weighted: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut: int = 10) -> DataFrame:
+def authority(nodes: DataFrame, weighted: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut: int = 10, small: int = SMALL) -> DataFrame:
     """(norm, score): weighted PageRank, a fixed number of rounds, the largest scaled to 100.
 
     Edges are normalised and kept once; a round is one join and one aggregate
     with map-side sums; the dangling mass is one number. Ranks are cached, and
-    written to the shared folder every `cut` rounds to cut their lineage.
+    written to the shared folder every `cut` rounds to cut their lineage. Up to
+    `small` nodes and edges (both counted) one task does the same rounds.
     """
     n = nodes.count()
     if not n:
@@ -85,15 +102,20 @@ def authority(nodes: DataFrame, weighted: DataFrame, rounds: int = ROUNDS, dampi
     share = materialize(weighted.join(out, "s").select("s", "t", (F.col("weight") / F.col("out")).alias("share")), "edge-shares")
     ends = share.select("s").distinct()
     base = materialize(nodes.select("norm").join(ends.withColumn("sends", F.lit(True)), F.col("norm") == F.col("s"), "left").select("norm", F.col("sends").isNull().alias("dangles")), "graph-nodes")
-    if n <= SMALL and share.count() <= SMALL:
+    if n <= small and share.count() <= small:
         return _authority_in_one_task(base, share, rounds, damping)
-    ranks = base.withColumn("r", F.lit(1.0 / n)).persist()
+    ranks, held = base.withColumn("r", F.lit(1.0 / n)), []
     for k in range(1, rounds + 1):
         lost = ranks.agg(F.sum(F.when(F.col("dangles"), F.col("r")))).first()[0] or 0.0
         got = share.join(ranks.select("norm", "r"), F.col("s") == F.col("norm")).groupBy("t").agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        new = base.join(got, F.col("norm") == F.col("t"), "left").select("norm", "dangles", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("r"))
-        new = materialize(new, "ranks") if k % cut == 0 or k == rounds else new.persist()
-        ranks = new
+        ranks = base.join(got, F.col("norm") == F.col("t"), "left").select("norm", "dangles", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("r"))
+        if k % cut == 0 or k == rounds:
+            ranks = materialize(ranks, "ranks")
+            for old in held:
+                old.unpersist()
+            held = []
+        else:
+            held.append(ranks.persist())
     top = ranks.agg(F.max("r").alias("top"))
     return ranks.join(F.broadcast(top)).select("norm", F.round(100 * F.col("r") / F.col("top"), 1).alias("score"))
 
@@ -117,8 +139,8 @@ def _authority_in_one_task(base: DataFrame, share: DataFrame, rounds: int, dampi
 
 def page_metrics(pages: DataFrame, links: DataFrame, weighted: DataFrame | None = None) -> DataFrame:
     """A row per internal page: counts, authority_score and flags."""
-    base = internal_pages(pages)
-    score = authority(base, weighted if weighted is not None else edges(pages, links))
+    base, links = site_graph(pages, links) if "norm" not in pages.columns else (pages, internal_links(links))
+    score = authority(base, weighted if weighted is not None else edges(base, links))
     rows = base.select("norm", "ord", "url", "status_code", "depth").join(link_counts(links), "norm", "left").join(score, "norm")
     counts = [f"{p}{d}links" for d in ("in", "out") for p in ("", "body_", "navigation_", "footer_")]
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts}).withColumnRenamed("score", "authority_score")

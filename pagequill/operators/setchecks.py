@@ -5,10 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import missing, missing_list
+from pagequill.functions.shared import join_by_group
 from pagequill.functions.urls import normalize_url
 from pagequill.model import ISSUE_COLUMNS
 from pagequill.operators.filters import excluded
@@ -45,12 +46,8 @@ def redirect_issues(pages: DataFrame, exclusions: list[str] | None = None, stric
     return loops.unionByName(looped).unionByName(chains).unionByName(errors)
 
 
-def duplicate_groups(pages: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
-    """(field, key, n, first_urls) of values that two pages or more share, for title, description and h1.
-
-    Counts and the first four URLs are combined before the shuffle, so a value
-    that a third of all pages share is no hot group.
-    """
+def shared_values(pages: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
+    """(ord, url, field, value, key) of the titles, descriptions and h1 that can be duplicates; equal keys are equal values."""
     ok = F.coalesce("is_internal", F.lit(True)) & (F.col("status_code") == 200) & (F.coalesce(F.size("redirects"), F.lit(0)) <= 0) & ~excluded(F.col("url"), exclusions or [])
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in ("title", "meta_description", "h1")])
     rows = pages.where(ok).select("ord", "url", F.explode(fields).alias("f")).select("ord", "url", "f.*")
@@ -58,13 +55,16 @@ def duplicate_groups(pages: DataFrame, exclusions: list[str] | None = None) -> D
 
 
 def duplicate_issues(pages: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
-    """One issue for each member of a group that shares a title, description or h1."""
-    rows = duplicate_groups(pages, exclusions)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(32)))
-    part = salted.groupBy("field", "key", "salt").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("ord", "url", "value"))), 1, SAMPLES + 1).alias("s"))
-    groups = part.groupBy("field", "key").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, SAMPLES + 1).alias("s")).where("n >= 2")
+    """One issue for each member of a group that shares a title, description or h1; no value, however common, meets in one task."""
+    rows = shared_values(pages, exclusions)
+    # A rank limit is applied in each task before rows are shuffled, so a hot value sends a few of them.
+    place = F.row_number().over(Window.partitionBy("field", "key").orderBy("ord", "url"))
+    firsts = rows.withColumn("place", place).where(F.col("place") <= SAMPLES + 1)
+    firsts = firsts.groupBy("field", "key").agg(F.sort_array(F.collect_list(F.struct("ord", "url", "value"))).alias("s"))
+    groups = rows.groupBy("field", "key").agg(F.count("*").alias("n")).where("n >= 2").join(firsts, ["field", "key"])
     names = F.create_map(*[F.lit(x) for x in ("title", "Duplicate Title", "meta_description", "Duplicate Meta Description", "h1", "Duplicate H1")])
-    joined = rows.join(groups, ["field", "key"])
+    groups = groups.withColumn("__fk", F.concat_ws("\x00", "field", "key")).drop("field", "key")
+    joined = join_by_group(rows.withColumn("__fk", F.concat_ws("\x00", "field", "key")), groups, "__fk", "n", rows.count()).where(F.col("n").isNotNull())
     others = F.slice(F.transform(F.filter("s", lambda x: x["url"] != F.col("url")), lambda x: x["url"]), 1, SAMPLES)
     shown = F.trim(F.get("s", F.lit(0))["value"])
     shown = F.when(F.length(shown) > 60, F.concat(F.substring(shown, 1, 57), F.lit("..."))).otherwise(shown)
@@ -101,10 +101,9 @@ def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str]
     A score of threshold needs a title similarity of at least
     (threshold - 0.65) / 0.35. For difflib's ratio 2M/T that bounds lengths and
     letter counts, so pairs are found by an equi-join on length buckets and cut
-    by both bounds in the JVM before difflib scores them in Arrow batches. Pages
-    with equal texts are one class: classes are joined, members of one class are
-    pairs of similarity by their own classes. Below 0.65 the bounds say nothing,
-    and a ValueError is raised.
+    by both bounds in the JVM before difflib scores them in Arrow batches. All
+    titles of a length bucket meet, so the work is quadratic in a bucket. At 0.65 or below the bounds
+    say nothing, and a ValueError is raised.
     """
     need = (threshold - (1 - WEIGHTS["title"])) / WEIGHTS["title"]
     if need <= 0:
@@ -144,3 +143,10 @@ def post_crawl_issues(pages: DataFrame, sitemap: DataFrame, threshold: float = 0
     for more in (redirect_issues(pages, exclusions), duplicate_issues(pages, exclusions), sitemap_issues(pages, sitemap, exclusions)):
         out = out.unionByName(more)
     return out.select(*ISSUE_COLUMNS)
+
+
+def finish_crawl(pages: DataFrame, links: DataFrame, sitemap: DataFrame, threshold: float = 0.85, exclusions: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages with linked_from, links with the targets' statuses, issues across pages): what is due once a crawl has ended."""
+    from pagequill.operators.linkgraph import linked_from, resolve_status
+
+    return pages.join(linked_from(pages, links), "url", "left"), resolve_status(links, pages), post_crawl_issues(pages, sitemap, threshold, exclusions)

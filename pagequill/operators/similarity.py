@@ -72,12 +72,12 @@ def relevance(vectors: DataFrame) -> DataFrame:
 
 
 def clusters(links: DataFrame) -> DataFrame:
-    """(component, doc, size, avg_sim, grade) of the components of similar pairs."""
+    """(component, doc, size, avg_similarity, grade) of the components of similar pairs, worst grade and largest first."""
     of = materialize(connected_components(links, "a", "b"), "similar")
     sizes = of.groupBy("component").agg(F.count("*").alias("size"))
     sims = links.join(of, links.a == of.node).groupBy("component").agg(F.avg("sim").alias("avg_sim"))
     stats = sizes.join(sims, "component").withColumn("grade", similarity_grade(F.col("avg_sim"), F.col("size")))
-    return of.join(stats, "component").select("component", F.col("node").alias("doc"), "size", F.round("avg_sim", 3).alias("avg_similarity"), "grade")
+    return of.join(stats, "component").select("component", F.col("node").alias("doc"), "size", F.round("avg_sim", 3).alias("avg_similarity"), "grade").orderBy(F.desc("grade"), F.desc("size"), "component", "doc")
 
 
 @dataclass

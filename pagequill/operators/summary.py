@@ -53,8 +53,9 @@ def page_totals(pages: DataFrame) -> DataFrame:
 def summarize_crawl(pages: DataFrame, links: DataFrame, issues: DataFrame) -> CrawlSummary:
     """All parts of the summary; empty inputs give empty parts and a score of 100."""
     groups = materialize(prioritize.group_issues(issues, pages), "issue-groups")
-    metrics = materialize(linkgraph.page_metrics(pages, links), "page-metrics")
+    graph = linkgraph.site_graph(pages, links)
+    metrics = materialize(linkgraph.page_metrics(*graph), "page-metrics")
     totals = page_totals(pages).join(F.broadcast(severity_counts(groups))).join(F.broadcast(site_score(groups, metrics, links)))
-    found = clusters.detect_clusters(pages, links, metrics)
+    found = clusters.detect_clusters(pages, graph[1], metrics)
     order = [F.desc("priority_score"), F.desc("affected_url_count"), "issue"]
     return CrawlSummary(totals, groups.orderBy(*order), metrics, found, status_breakdown(pages), linkgraph.broken_links(links), linkgraph.redirected_links(links))

@@ -139,13 +139,15 @@ def _emit(root: str, kids: DataFrame, depth_cap: int, child_cap: int, root_cap:
     return nodes, edges
 
 
-def build_graph(pages: DataFrame, links: DataFrame, mode: str = "crawltree", focus: str | None = None) -> Graph:
-    """Nodes and edges for display. An unknown focus raises ValueError."""
+def build_graph(pages: DataFrame, links: DataFrame, mode: str = "crawltree", focus: str | None = None, cluster_rows: int | None = None) -> Graph:
+    """Nodes and edges for display, and all clusters (or cluster_rows of them). An unknown focus raises ValueError."""
     from pagequill.operators.clusters import detect_clusters
 
+    found = detect_clusters(pages).limit(cluster_rows) if cluster_rows is not None else detect_clusters(pages)
+    meta = [{"cluster_id": r["cluster_id"], "name": r["name"], "page_count": r["size"], "color_index": i} for i, r in enumerate(found.toLocalIterator())]
+    pages, links = linkgraph.site_graph(pages, links)
     weighted = materialize(linkgraph.edges(pages, links), "graph-edges")
     metrics = materialize(linkgraph.page_metrics(pages, links, weighted), "graph-metrics")
-    meta = [{"cluster_id": r["cluster_id"], "name": r["name"], "page_count": r["size"], "color_index": i} for i, r in enumerate(detect_clusters(pages).limit(1000).collect())]
     if metrics.isEmpty():
         return Graph(mode, [], [], meta)
     root = canonical(focus, True) if focus else home_page(metrics)

@@ -20,14 +20,14 @@ BASE_SQL = """
     FROM pages
 """  # noqa: S608
 LINKS_SQL = """
-    SELECT a.ord * 5 + k.k AS ord, a.url AS source_url, b.url AS target_url, concat('anchor ', CAST(k.k AS VARCHAR(9))) AS anchor_text,
-           NOT (k.k = 2 AND a.ord % 6 = 0) AS is_internal, CASE WHEN a.ord % 9 = 0 THEN NULL ELSE b.status_code END AS target_status,
-           CASE k.k WHEN 0 THEN 'body' WHEN 1 THEN 'navigation' WHEN 2 THEN 'footer' WHEN 3 THEN 'body' ELSE 'image' END AS placement
-    FROM crawl_pages a
-    CROSS JOIN (SELECT max(ord) + 1 AS n FROM crawl_pages) m
-    CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(k)
-    JOIN crawl_pages b ON b.ord = CASE k.k WHEN 0 THEN (7 * a.ord + 3) % m.n WHEN 1 THEN CAST(floor(a.ord / 2) AS BIGINT) WHEN 2 THEN (5 * a.ord + 1) % m.n WHEN 3 THEN 0 ELSE (3 * a.ord + 2) % m.n END
-    WHERE k.k < 4 OR a.ord % 4 = 0
+    SELECT a.ord * 5 + a.k AS ord, a.url AS source_url, b.url AS target_url, concat('anchor ', CAST(a.k AS VARCHAR(9))) AS anchor_text,
+           NOT (a.k = 2 AND a.ord % 6 = 0) AS is_internal, CASE WHEN a.ord % 9 = 0 THEN NULL ELSE b.status_code END AS target_status,
+           CASE a.k WHEN 0 THEN 'body' WHEN 1 THEN 'navigation' WHEN 2 THEN 'footer' WHEN 3 THEN 'body' ELSE 'image' END AS placement
+    FROM (
+        SELECT ord, url, k, CASE k WHEN 0 THEN (7 * ord + 3) % n WHEN 1 THEN CAST(floor(ord / 2) AS BIGINT) WHEN 2 THEN (5 * ord + 1) % n WHEN 3 THEN 0 ELSE (3 * ord + 2) % n END AS target
+        FROM (SELECT ord, url, (SELECT max(ord) + 1 FROM crawl_pages) AS n FROM crawl_pages) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(k)
+        WHERE k < 4 OR ord % 4 = 0) a
+    JOIN crawl_pages b ON b.ord = a.target
 """
 SITEMAP_SQL = """
     SELECT ord, url FROM crawl_pages WHERE ord % 2 = 0

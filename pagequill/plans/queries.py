@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequill.functions import scalars, urls
+from pagequill.functions.shared import new_path
 from pagequill.operators import clusters, filters, linkgraph, prioritize, rules, setchecks, similarity, summary, tree, views
 from pagequill.operators.components import connected_components
 from pagequill.plans import fixtures
@@ -218,6 +219,39 @@ def x7_images(spark: SparkSession, d: str) -> DataFrame:
     return html.collect_images(_extracted(spark, d))
 
 
+_CASE_1 = """<HTML lang="de"><head><title> A &amp; B </title><meta charset="utf-8"><meta name="description" content="  first  "><meta name="description" content="second">
+<meta name="Viewport" content="width=device-width"><meta name="robots" content="noindex"><meta name="author" content="Z"><meta name="theme-color" content="#fff">
+<meta property="og:title" content="OG"><meta name="twitter:card" content="summary"><link rel="canonical" href="/c"><link rel="alternate" hreflang="fr" href="/fr"><link rel="alternate" hreflang="xx">
+<script type="application/ld+json">{"a": [1, 2]}</script><script type="application/ld+json">{broken</script></head>
+<body><header><a href="/p#one">one</a><a href="/p#two">two</a><a href="/p"></a></header><h1> H </h1><h2>x</h2><h2>y</h2><h3>z</h3>
+<div itemtype="http://schema.org/Product"><b itemprop="name"> N </b><a itemprop="url" href="/u">link</a><img itemprop="image" src="/i.png" alt=""><meta itemprop="sku" content="7"><i itemprop="none"></i></div>
+<a href="mailto:x@y.z">m</a><a href="#top">t</a><a href="https://other.example/">o</a><footer><p><a href="?b=2&amp;a=1">f</a></footer><img src="//cdn.example/x.png"><img src="data:image/png;base64,AA"></body></html>"""
+_CASE_2 = """<title>broken<p><b>open <i>more <a href="q">Q</b></a> tail<h1>late"""
+_CASE_1_ROWS = [
+    ("title", "A & B"), ("lang", "de"), ("charset", "utf-8"), ("meta_description", "first"), ("viewport", "width=device-width"), ("robots", "noindex"), ("author", "Z"), ("theme_color", "#fff"),
+    ("og_tags", '{"title":"OG"}'), ("twitter_tags", '{"card":"summary"}'), ("canonical_url", "/c"), ("hreflang", '[{"lang":"fr","url":"/fr"}]'), ("json_ld", '["{\\"a\\": [1, 2]}"]'),
+    ("h1", "H"), ("h2", '["x","y"]'), ("h3", '["z"]'), ("internal_links", "5"), ("external_links", "1"),
+    ("schema_org", '[{"type":"http://schema.org/Product","properties":{"name":"N","url":"/u","image":"/i.png","sku":"7"}}]'),
+    ("images", '[{"src":"https://a.example/i.png","alt":"","width":"","height":""},{"src":"https://cdn.example/x.png","alt":"","width":"","height":""},{"src":"data:image/png;base64,AA","alt":"","width":"","height":""}]'),
+    ("link", "https://a.example/p|one|navigation|true"), ("link", "https://a.example/u|link|body|true"), ("link", "https://other.example/|o|body|false"), ("link", "https://a.example/d/?a=1&b=2|f|footer|true"),
+    ("link", "https://a.example/i.png|(no alt text)|image|true"), ("link", "https://cdn.example/x.png|(no alt text)|image|false"),
+]
+_CASE_ROWS = [(1, *r) for r in _CASE_1_ROWS] + [(2, "link", "https://a.example/d/q|Q|body|true"), (2, "h1", "late"), (2, "internal_links", "1")]
+_CASE_VALUES = ", ".join("({}, '{}', '{}')".format(k, f, v.replace("'", "''")) for k, f, v in _CASE_ROWS)
+
+
+@query(f"SELECT * FROM (VALUES {_CASE_VALUES}) AS v(case_id, field, value)", False)
+def x1_x13_html_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every extractor on hand-written pages, whole values; the links by their form, text, placement and kind."""
+    x = html.extract_pages(spark.createDataFrame([(1, "https://a.example/d/", _CASE_1), (2, "https://a.example/d/", _CASE_2)], "ord long, url string, html string"))
+    text = lambda f: F.to_json(f) if x.schema[f].dataType.typeName() in ("array", "map", "struct") else C(f).cast("string")
+    names = [r[0] for r in _CASE_1_ROWS if r[0] != "link"]
+    wanted = F.when(C("ord") == 1, F.lit(True)).otherwise(C("f.field").isin("h1", "internal_links"))
+    fields = x.select("ord", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in names])).alias("f")).where(wanted).select("ord", "f.*")
+    links = html.collect_links(x).select(F.floor(C("ord") / html.LINKS_MOST).alias("ord"), F.lit("link").alias("field"), F.concat_ws("|", "target_url", "anchor_text", "placement", C("is_internal").cast("string")).alias("value"))
+    return fields.unionByName(links).select(C("ord").cast("int").alias("case_id"), "field", "value")
+
+
 @query(rf"SELECT ord FROM url_variants WHERE NOT regexp_matches({_path('url')}, '\.html$') AND NOT regexp_matches(url, 'example\.(net|org)') AND contains(url, '/en/')")
 def f1_scope(spark: SparkSession, d: str) -> DataFrame:
     scope = filters.CrawlScope("http://x/", external="all", exclude_extensions=["html"], exclude_patterns=["example\\.(net|org)"], include_patterns=["/en/"])
@@ -279,10 +313,14 @@ def f3_filter_issues(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_issues(rules.detect_issues(P(spark, d)), ["/en/1*", "/de"])
 
 
-@query("SELECT l.ord, coalesce(p.status_code, l.target_status) AS target_status FROM (SELECT ord, target_url, CAST(NULL AS INT) AS target_status FROM crawl_links) l LEFT JOIN crawl_pages p ON p.url = l.target_url AND p.ord % 3 = 0")
+@query("""
+    WITH l AS (SELECT ord, target_url, CAST(NULL AS INT) AS old FROM crawl_links UNION ALL SELECT ord + 100000000, url, 418 FROM crawl_sitemap)
+    SELECT l.ord, coalesce(p.status_code, l.old) AS target_status FROM l LEFT JOIN crawl_pages p ON p.url = l.target_url
+""")
 def j1_link_status(spark: SparkSession, d: str) -> DataFrame:
-    links = L(spark, d).withColumn("target_status", F.lit(None).cast("int"))
-    return linkgraph.resolve_status(links, P(spark, d).where("ord % 3 = 0")).select("ord", "target_status")
+    links = L(spark, d).select("ord", "target_url", F.lit(None).cast("int").alias("target_status"))
+    listed = fixtures.crawl_sitemap(spark, d).select((C("ord") + 100000000).alias("ord"), C("url").alias("target_url"), F.lit(418).alias("target_status"))
+    return linkgraph.resolve_status(links.unionByName(listed), P(spark, d)).select("ord", "target_status")
 
 
 @query(rf"""
@@ -361,6 +399,13 @@ def g1_g2_g3_metrics(spark: SparkSession, d: str) -> DataFrame:
     return linkgraph.page_metrics(P(spark, d), L(spark, d)).select("norm", "authority_score", "is_orphan", "is_near_orphan", "is_overlinked", "is_underlinked")
 
 
+@query(f"WITH {_GRAPH}, {_RANKS} SELECT norm, CAST(authority_score AS DOUBLE) AS score FROM scores")
+def g1_authority_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """The rounds as joins, which graphs of any size take; small ones otherwise run in one task."""
+    p, links = linkgraph.site_graph(P(spark, d), L(spark, d))
+    return linkgraph.authority(p, linkgraph.edges(p, links), small=0)
+
+
 @query(f"WITH {_GRAPH}, {_RANKS}, {_METRICS} SELECT url, CAST(authority_score AS DOUBLE) AS authority_score FROM metrics WHERE status_code = 200 ORDER BY authority_score DESC, ord LIMIT 10")
 def t1_highest_authority(spark: SparkSession, d: str) -> DataFrame:
     return linkgraph.ranked(linkgraph.page_metrics(P(spark, d), L(spark, d))).select("url", "authority_score")
@@ -387,8 +432,8 @@ def g4_redirected_links(spark: SparkSession, d: str) -> DataFrame:
     SELECT node, CAST(min(level) AS INT) AS level FROM walk GROUP BY node
 """)
 def g5_j10_bfs_tree(spark: SparkSession, d: str) -> DataFrame:
-    base = linkgraph.internal_pages(P(spark, d))
-    return tree.bfs_tree(base, L(spark, d), tree.home_page(base)).select("node", "level")
+    base, links = linkgraph.site_graph(P(spark, d), L(spark, d))
+    return tree.bfs_tree(base, links, tree.home_page(base)).select("node", "level")
 
 
 @query(f"""
@@ -397,7 +442,7 @@ def g5_j10_bfs_tree(spark: SparkSession, d: str) -> DataFrame:
     SELECT t AS node, round(CAST(max(flow) AS DOUBLE), 2) AS flow FROM flow WHERE flow > 0 AND t NOT IN (FROM home) GROUP BY t
 """)
 def g6_t7_authority_parents(spark: SparkSession, d: str) -> DataFrame:
-    p, links = P(spark, d), L(spark, d)
+    p, links = linkgraph.site_graph(P(spark, d), L(spark, d))
     w = linkgraph.edges(p, links)
     m = linkgraph.page_metrics(p, links, w)
     return tree.authority_parents(linkgraph.flows(w, m), tree.home_page(m)).select("node", "flow")
@@ -410,7 +455,7 @@ def g6_t7_authority_parents(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT t AS norm, 1 AS i, flow FROM flow UNION ALL SELECT s, 0, flow FROM flow) GROUP BY norm
 """)
 def a15_node_flows(spark: SparkSession, d: str) -> DataFrame:
-    p, links = P(spark, d), L(spark, d)
+    p, links = linkgraph.site_graph(P(spark, d), L(spark, d))
     w = linkgraph.edges(p, links)
     f = linkgraph.node_flows(linkgraph.flows(w, linkgraph.page_metrics(p, links, w)))
     return f.select("norm", F.round(C("inflow") / 3, 2).alias("inflow_third"), F.round(C("outflow") / 3, 2).alias("outflow_third"), "in_pages", "out_pages")
@@ -433,7 +478,7 @@ def j11_t6_authority_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g12_page_nodes(spark: SparkSession, d: str) -> DataFrame:
-    p, links = P(spark, d), L(spark, d)
+    p, links = linkgraph.site_graph(P(spark, d), L(spark, d))
     w = linkgraph.edges(p, links)
     m = linkgraph.page_metrics(p, links, w)
     return tree.page_nodes(m, linkgraph.flows(w, m))
@@ -445,8 +490,8 @@ def g12_page_nodes(spark: SparkSession, d: str) -> DataFrame:
 """)
 def g11_components(spark: SparkSession, d: str) -> DataFrame:
     p = P(spark, d).where("title <> ''").select("ord", "title")
-    e = p.alias("a").join(p.alias("b"), (C("a.title") == C("b.title")) & (C("a.ord") < C("b.ord")))
-    return connected_components(e.select(C("a.ord").alias("src"), C("b.ord").alias("dst")))
+    least = p.groupBy("title").agg(F.min("ord").alias("dst"))
+    return connected_components(p.join(least, "title").select(C("ord").alias("src"), "dst"))
 
 
 _GROUPS = f"""
@@ -496,8 +541,8 @@ def a6_a8_q1_summary(spark: SparkSession, d: str) -> DataFrame:
     SELECT c AS cluster_id, size, avg_authority, orphan_count, round(m / CAST(n AS DOUBLE), 3) AS cross_cluster_link_share FROM sizes LEFT JOIN stats USING (c) LEFT JOIN x USING (c)
 """)
 def a9_j5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    p, links = P(spark, d), L(spark, d)
-    return clusters.detect_clusters(p, links, linkgraph.page_metrics(p, links)).select("cluster_id", "size", "avg_authority", "orphan_count", "cross_cluster_link_share")
+    p, (base, links) = P(spark, d), linkgraph.site_graph(P(spark, d), L(spark, d))
+    return clusters.detect_clusters(p, links, linkgraph.page_metrics(base, links)).select("cluster_id", "size", "avg_authority", "orphan_count", "cross_cluster_link_share")
 
 
 @query("""
@@ -619,6 +664,17 @@ def s5_f4_first_images(spark: SparkSession, d: str) -> DataFrame:
     return linkgraph.first_images(html.collect_images(P(spark, d)), 2).groupBy("url").agg(F.count("*").alias("n"))
 
 
+@query("""
+    WITH i AS (SELECT url, k AS pos, url || '/i' || k || '.png' AS src FROM crawl_pages, (VALUES (0), (1), (2)) AS v(k) WHERE k < n_images)
+    SELECT url, string_agg(src || ' ' || CASE pos WHEN 0 THEN 404 ELSE 0 END, ',' ORDER BY pos) AS broken FROM i WHERE pos < 2 GROUP BY url
+""")
+def s5_broken_images(spark: SparkSession, d: str) -> DataFrame:
+    images = html.collect_images(P(spark, d))
+    status = F.when(C("src").endswith("/i0.png"), 404).when(C("src").endswith("/i1.png"), 0).otherwise(200)
+    found = linkgraph.broken_images(images, images.select("src", status.alias("status")).distinct())
+    return found.select("url", F.array_join(F.transform("broken_images", lambda x: F.concat(x["url"], F.lit(" "), x["status"].cast("string"))), ",").alias("broken"))
+
+
 @query(f"WITH {_RULES} SELECT url, count(*) AS n FROM rules GROUP BY url")
 def s16_issues_by_url(spark: SparkSession, d: str) -> DataFrame:
     return store.issues_by_url(rules.detect_issues(P(spark, d))).select("url", "n")
@@ -629,29 +685,76 @@ def s14_link_rows(spark: SparkSession, d: str) -> DataFrame:
     return store.link_rows(L(spark, d))
 
 
-@query("SELECT ord, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain, CASE WHEN ord % 2 = 0 THEN CAST(12.3 AS DOUBLE) END AS domain_rating FROM crawl_pages WHERE url NOT LIKE '%//www.%'")
+@query("SELECT ord, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain, CASE WHEN regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> '' THEN CAST(12.3 AS DOUBLE) END AS domain_rating FROM crawl_pages")
 def s18_domain_rating(spark: SparkSession, d: str) -> DataFrame:
-    p = P(spark, d).where("url not like '%//www.%'")
+    p = P(spark, d)
     rated = views.domain_ratings(p.select("ord", C("url").alias("target")), p.select(urls.extract_domain(C("url")).alias("domain"), F.lit(12.34).alias("rating")).distinct())
-    return rated.select("ord", "domain", F.when(C("ord") % 2 == 0, C("domain_rating")).alias("domain_rating"))
+    return rated.select("ord", "domain", "domain_rating")
 
 
-@query("SELECT ord, url, ord % 3 <> 0 AS allowed FROM crawl_pages WHERE ord % 3 <> 2")
+@query("SELECT ord, url, ord % 3 <> 0 AS allowed FROM crawl_pages")
 def s4_robots(spark: SparkSession, d: str) -> DataFrame:
-    p = P(spark, d).where("ord % 3 <> 2").select("ord", "url")
-    tagged = p.withColumn("path", F.when(C("ord") % 3 == 0, F.concat(F.lit("http://a.example/private/"), C("ord").cast("string"))).otherwise(F.concat(F.lit("http://a.example/open/"), C("ord").cast("string"))))
+    place = F.when(C("ord") % 3 == 0, "http://a.example/private/").when(C("ord") % 3 == 1, "http://a.example/open/").otherwise("http://b.example/private/")
+    tagged = P(spark, d).select("ord", "url", F.concat(place, C("ord").cast("string")).alias("path"))
     rows = spark.createDataFrame([("http://a.example", 200, "User-agent: *\nDisallow: /private/")], "origin string, status int, body string")
     return sitemap.allowed_by_robots(tagged, rows, url_col="path").select("ord", "url", "allowed")
 
 
-@query("SELECT user_id % 4 AS status, count(*) AS n FROM events GROUP BY 1", False)
+def _store(spark: SparkSession) -> store.CrawlStore:
+    return store.CrawlStore(spark, new_path(spark, "store"))
+
+
+@query("SELECT CASE page_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'paused' END AS status, count(*) AS n FROM pages GROUP BY 1", False)
 def s9_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet").groupBy((C("user_id") % 4).alias("status")).agg(F.count("*").alias("n"))
+    kept, k = _store(spark), C("page_id") % 4
+    status = F.when(k == 0, "running").when(k == 1, "completed").when(k == 2, "failed").otherwise("paused")
+    now, none = F.current_timestamp(), F.lit(None)
+    crawls = spark.read.parquet(f"{d}/pages.parquet").select(C("page_id").alias("crawl_id"), (C("page_id") % 7).alias("user_id"), C("url").alias("base_url"), status.alias("status"), now.alias("started_at"), none.cast("timestamp").alias("completed_at"), F.lit(0).cast("long").alias("urls_crawled"), F.lit("").alias("config"), F.lit("").alias("checkpoint"))
+    kept.record(crawls.withColumn("status", F.lit("running")))
+    kept.record(crawls)
+    return kept.histogram()
 
 
 @query("SELECT ord, url FROM crawl_pages ORDER BY ord LIMIT 20 OFFSET 10")
 def t10_s6_paged_scan(spark: SparkSession, d: str) -> DataFrame:
-    return P(spark, d).select("ord", "url").orderBy("ord").offset(10).limit(20)
+    kept = _store(spark)
+    kept.save("pages", P(spark, d).select("ord", "url"), 7)
+    kept.save("pages", P(spark, d).select((C("ord") - 5).alias("ord"), "url"), 8)
+    return kept.load("pages", 7, limit=20, offset=10, order="ord")
+
+
+@query("SELECT ord, url, status_code, title FROM crawl_pages")
+def s7_s8_save_load(spark: SparkSession, d: str) -> DataFrame:
+    kept, rows = _store(spark), P(spark, d).select("ord", "url", "status_code", "title")
+    for crawl in (1, 2):
+        kept.save("pages", rows.withColumn("ord", C("ord") + (crawl - 1) * 1_000_000), crawl)
+    return kept.load("pages", 1)
+
+
+@query(f"WITH {_RULES} SELECT url, type, category, issue, details FROM rules")
+def s15_issues_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "issues-csv")
+    store.export_issues(rules.detect_issues(P(spark, d)), path)
+    return spark.read.option("header", True).schema("url string, type string, category string, issue string, details string").csv(path)
+
+
+@query(f"WITH {_RULES} SELECT 'urls' AS part, count(*) AS n, count(DISTINCT url) AS urls FROM crawl_pages UNION ALL SELECT 'links', count(*), count(DISTINCT target_url) FROM crawl_links UNION ALL SELECT 'issues', count(*), count(DISTINCT url) FROM rules")
+def s19_save_load_file(spark: SparkSession, d: str) -> DataFrame:
+    path, p, links = new_path(spark, "crawl-file"), P(spark, d), L(spark, d)
+    found = rules.detect_issues(p)
+    store.save_crawl(path, p, links, found)
+    back = store.load_crawl(spark, path, p.schema, links.schema, found.schema)
+    count = lambda rows, part, c: rows.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.count_distinct(c).alias("urls"))
+    return count(back[0], "urls", "url").unionByName(count(back[1], "links", "target_url")).unionByName(count(back[2], "issues", "url"))
+
+
+@query("SELECT c_custkey AS user_id, '{\"max_depth\":' || (c_custkey % 9 + 1) || '}' AS settings FROM customer WHERE c_custkey % 4 <> 0", False)
+def s20_settings(spark: SparkSession, d: str) -> DataFrame:
+    kept = store.SettingsStore(spark, new_path(spark, "settings"))
+    users = spark.read.parquet(f"{d}/customer.parquet").select(C("c_custkey").alias("user_id"))
+    kept.save(users.withColumn("settings", F.lit("{}")))
+    kept.save(users.withColumn("settings", F.when(C("user_id") % 4 != 0, F.concat(F.lit('{"max_depth":'), (C("user_id") % 9 + 1).cast("string"), F.lit("}")))))
+    return kept.all()
 
 
 @query("SELECT ord, url FROM crawl_pages WHERE ord >= 100")

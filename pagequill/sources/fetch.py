@@ -10,15 +10,15 @@ from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import fetch_error
-from pagequill.functions.shared import materialize
+from pagequill.functions.shared import new_path, numbered
 from pagequill.operators.filters import CrawlScope
 from pagequill.sources import html as html_source
 
-RESPONSE = "url string, depth int, status_code int, content_type string, size long, html string, redirects array<struct<url:string,status_code:int>>, final_url string, response_time double, error string"
+RESPONSE = "url string, depth int, status_code int, content_type string, size long, html string, redirects array<struct<url:string,status_code:int>>, final_url string, response_time double, error string, ord long"
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,9 @@ def fetch_one(url: str, depth: int, s: FetchSettings) -> dict:
                 got = opener.open(urllib.request.Request(url, headers=s.headers), timeout=s.timeout)
             except urllib.error.HTTPError as e:
                 got = e
-            body = got.read(s.max_bytes)
+            body = got.read(s.max_bytes + 1)
+            if len(body) > s.max_bytes:
+                return row | {"error": "file_too_large"}
             kind = (got.headers.get("Content-Type") or "").split(";")[0]
             text = body.decode(got.headers.get_content_charset() or "utf-8", "replace") if "text/html" in kind else ""
             return row | {"status_code": got.status, "content_type": kind, "size": len(body), "html": text, "redirects": hops.hops, "final_url": got.url, "response_time": round((time.monotonic() - began) * 1000, 2)}
@@ -72,21 +74,21 @@ def fetch_one(url: str, depth: int, s: FetchSettings) -> dict:
 
 
 def http_fetch(frontier: DataFrame, settings: FetchSettings | None = None) -> DataFrame:
-    """Responses for (url, depth). A host's URLs go to one partition, where the delay between requests is kept."""
+    """Responses for (url, depth, ord). With a delay a host's URLs go to one partition, where it is kept; without, all are spread."""
     s = settings or FetchSettings()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
         for part in parts:
-            for u, d in zip(part.url, part.depth, strict=True):
+            for u, d, k in zip(part.url, part.depth, part.ord, strict=True):
                 host = urlsplit(u).netloc
                 if s.delay and host in last:
                     time.sleep(max(0.0, last[host] + s.delay - time.monotonic()))
                 last[host] = time.monotonic()
-                yield pd.DataFrame([fetch_one(u, int(d), s)])
+                yield pd.DataFrame([fetch_one(u, int(d), s) | {"ord": k}])
 
     host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    return frontier.select("url", "depth").repartition(host).mapInPandas(run, RESPONSE)
+    return frontier.select("url", "depth", "ord").repartition(host if s.delay else F.col("url")).mapInPandas(run, RESPONSE)
 
 
 def table_fetch(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -98,32 +100,60 @@ def table_fetch(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = frontier.join(known, "url", "left")
         return rows.select(
             "url", "depth", F.coalesce("__s", F.lit(404)).alias("status_code"), F.lit("text/html").alias("content_type"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"),
-            F.coalesce("html", F.lit("")).alias("html"), F.array().cast("array<struct<url:string,status_code:int>>").alias("redirects"), F.col("url").alias("final_url"), F.lit(0.0).alias("response_time"), F.lit("").alias("error"),
+            F.coalesce("html", F.lit("")).alias("html"), F.array().cast("array<struct<url:string,status_code:int>>").alias("redirects"), F.col("url").alias("final_url"), F.lit(0.0).alias("response_time"), F.lit("").alias("error"), "ord",
         )
 
     return fetch
 
 
-def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], DataFrame], max_urls: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _state(spark: SparkSession, path: str) -> list[int]:
+    """The levels that a crawl has completed under path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done, level = [], 0
+    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{level}/frontier/_SUCCESS")):
+        done.append(level)
+        level += 1
+    return done
+
+
+def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], DataFrame], max_urls: int | None = None, state: str | None = None, stop: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, links): breadth-first, one level of the frontier at a time.
 
     A level is fetched and parsed on the executors and written; the next one is
-    the accepted targets, distinct, less what is seen.
+    the accepted targets, distinct, less what is seen. ord numbers pages by
+    (level, URL). With state, a folder, each level's pages, links and next
+    frontier are written there, the frontier last: a crawl that is started again
+    with the same folder goes on after the last whole level. stop is asked
+    between levels, and pauses the crawl.
     """
-    frontier = seeds.select("url", F.lit(0).alias("depth")).distinct()
-    seen, pages, links, total = frontier.select("url"), None, None, 0
-    for depth in range(scope.max_depth + 1):
+    spark = seeds.sparkSession
+    root = state or new_path(spark, "crawl")
+    read = lambda k, part: spark.read.parquet(f"{root}/{k}/{part}")
+    done = _state(spark, root) if state else []
+    total = sum(read(k, "pages").count() for k in done)
+    seen = seeds.select("url").distinct()
+    for k in done:
+        seen = seen.unionByName(read(k, "frontier").select("url"))
+    frontier = read(done[-1], "frontier") if done else numbered(seeds.select("url", F.lit(0).alias("depth")).distinct(), ["url"], "seeds")
+    for depth in range(len(done), scope.max_depth + 1):
+        if depth > 0 and (frontier.isEmpty() or (max_urls is not None and total >= max_urls) or (stop is not None and stop())):
+            break
         if max_urls is not None:
-            frontier = frontier.orderBy("url").limit(max(max_urls - total, 0))
+            frontier = frontier.orderBy("ord").limit(max(max_urls - total, 0))
         got = fetch(frontier).withColumn("error_type", F.when(F.col("error") == "file_too_large", "file_too_large").when(F.col("status_code") == 0, fetch_error(F.col("error"))))
-        got = materialize(html_source.extract_pages(got.withColumn("ord", F.xxhash64("url").bitwiseAND(F.lit((1 << 30) - 1)) + F.col("depth") * (1 << 31))), f"crawl-{depth}")
+        html_source.extract_pages(got).write.mode("overwrite").parquet(f"{root}/{depth}/pages")
+        got = read(depth, "pages")
         total += got.count()
-        found = html_source.collect_links(got)
-        pages = got.drop("links") if pages is None else pages.unionByName(got.drop("links"))
-        links = found if links is None else links.unionByName(found)
+        html_source.collect_links(got).write.mode("overwrite").parquet(f"{root}/{depth}/links")
+        found = read(depth, "links")
         new = found.where((F.col("placement") != "image") & scope.accepts(F.col("target_url"))).select(F.regexp_replace("target_url", "#.*$", "").alias("url")).distinct()
-        frontier = materialize(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth + 1)), f"frontier-{depth}")
-        if depth == scope.max_depth or frontier.isEmpty() or (max_urls is not None and total >= max_urls):
-            break
-        seen = materialize(seen.unionByName(frontier.select("url")), f"seen-{depth}")
-    return pages, links
+        new = numbered(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth + 1)), ["url"], f"frontier-{depth}", total)
+        new.write.mode("overwrite").parquet(f"{root}/{depth}/frontier")
+        frontier = read(depth, "frontier")
+        seen = seen.unionByName(frontier.select("url"))
+        done.append(depth)
+    pages, links = read(done[0], "pages"), read(done[0], "links")
+    for k in done[1:]:
+        pages, links = pages.unionByName(read(k, "pages")), links.unionByName(read(k, "links"))
+    return pages.drop("links"), links

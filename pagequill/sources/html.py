@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 
 from pagequill import model
 from pagequill.functions import scalars
+from pagequill.functions.urls import canonical
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS_KEPT = 10
+#: Step of the links' ord from page to page: no page of 50 MB has so many links.
+LINKS_MOST = 1 << 24
 ANCHOR_CHARS = 100
 SKIP_LINKS = ("#", "mailto:", "tel:")
 PROMOTED = {"description": "meta_description", "viewport": "viewport", "robots": "robots", "author": "author", "keywords": "keywords", "generator": "generator", "theme-color": "theme_color"}
@@ -31,11 +34,13 @@ EXTRACTED = T.StructType([*_TAKEN, T.StructField("links", T.ArrayType(LINK_PART)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "text", "order")
+    """An element: its text is texts[start:end] of the tree, its descendants are nodes[order + 1 : last]."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, order: int):
-        self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
-        self.text: list[str] = []
+    __slots__ = ("tag", "attrs", "parent", "order", "last", "start", "end")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, order: int, start: int):
+        self.tag, self.attrs, self.parent, self.order, self.start = tag, attrs, parent, order, start
+        self.last, self.end = order + 1, start
 
     def ancestors(self) -> Iterator[Node]:
         n = self.parent
@@ -45,18 +50,24 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Nodes in document order; text is added to every open element. Unclosed elements close with an ancestor."""
+    """Nodes in document order. Unclosed elements close with an ancestor."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
         self.open: list[Node] = []
-        self.all_text: list[str] = []
+        self.texts: list[str] = []
         self.feed(html)
         self.close()
+        self._shut(0)
+
+    def _shut(self, depth: int) -> None:
+        for n in self.open[depth:]:
+            n.end, n.last = len(self.texts), len(self.nodes)
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None, len(self.nodes))
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None, len(self.nodes), len(self.texts))
         self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -64,24 +75,25 @@ class Tree(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._shut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._shut(i)
                 return
 
     def handle_data(self, data: str) -> None:
-        self.all_text.append(data)
-        for n in self.open:
-            n.text.append(data)
+        self.texts.append(data)
 
     def every(self, *tags: str) -> list[Node]:
         return [n for n in self.nodes if n.tag in tags]
 
+    def raw_text(self, node: Node) -> str:
+        return "".join(self.texts[node.start : node.end])
+
     def text_of(self, node: Node) -> str:
-        return "".join(node.text).strip()
+        return self.raw_text(node).strip()
 
 
 def placement(node: Node) -> str:
@@ -119,21 +131,28 @@ def _links(tree: Tree, base: str) -> list[dict]:
         if not ref or (anchor and ref.startswith(SKIP_LINKS)) or (not anchor and ref.startswith("data:")):
             continue
         url = _absolute(base, ref)
-        if url is None or (not anchor and not url.startswith(("http://", "https://"))) or url in out:
+        if url is None or (not anchor and not url.startswith(("http://", "https://"))):
             continue
-        text = (tree.text_of(n)[:ANCHOR_CHARS] or "(no text)") if anchor else n.attrs.get("alt", "")[:ANCHOR_CHARS]
         net = _host(url)
+        url = canonical(url)
+        if url in out:
+            continue
+        text = (tree.text_of(n)[:ANCHOR_CHARS] or "(no text)") if anchor else (n.attrs.get("alt", "").strip()[:ANCHOR_CHARS] or "(no alt text)")
         out[url] = {"target_url": url, "anchor_text": text, "target_domain": net, "placement": placement(n) if anchor else "image", "is_internal": _bare(net) == home}
     return list(out.values())
 
 
 def _schema_org(tree: Tree) -> list[dict]:
+    """A row per element with an itemtype, and the itemprops below it: content, src, href or text by the element's kind."""
     out = []
-    for item in (n for n in tree.nodes if "itemscope" in n.attrs and n.attrs.get("itemtype")):
+    for item in (n for n in tree.nodes if n.attrs.get("itemtype")):
         props = {}
-        for n in tree.nodes:
-            if n.attrs.get("itemprop") and any(a is item for a in n.ancestors()):
-                props[n.attrs["itemprop"]] = n.attrs.get("content") or tree.text_of(n)
+        for n in tree.nodes[item.order + 1 : item.last]:
+            if n.attrs.get("itemprop"):
+                source = {"meta": "content", "img": "src", "a": "href"}.get(n.tag)
+                value = n.attrs.get(source, "") if source else tree.text_of(n)
+                if value:
+                    props[n.attrs["itemprop"]] = value
         out.append({"type": item.attrs["itemtype"], "properties": props})
     return out
 
@@ -144,15 +163,17 @@ def extract(url: str, html: str) -> dict:
     base = url or ""
     first = lambda tag: next((t.text_of(n) for n in t.every(tag)), "")
     meta = t.every("meta")
-    named = {m.attrs["name"].lower(): m.attrs.get("content", "") for m in meta if m.attrs.get("name") and m.attrs.get("content")}
-    typed = next((m.attrs.get("content", "") for m in meta if m.attrs.get("http-equiv", "").lower() == "content-type"), "")
-    charset = next((m.attrs["charset"] for m in meta if m.attrs.get("charset")), typed.split("charset=")[-1] if "charset=" in typed else "")
+    named = {m.attrs["name"].lower(): m.attrs.get("content", "") for m in meta if m.attrs.get("name")}
+    described = next((m.attrs.get("content", "").strip() for m in meta if m.attrs.get("name") == "description"), "")
+    typed = next((m.attrs.get("content", "") for m in meta if m.attrs.get("http-equiv") == "Content-Type"), "")
+    told = re.search(r"charset=([^;]+)", typed)
+    charset = next((m.attrs["charset"] for m in meta if "charset" in m.attrs), told.group(1) if told else "")
     rel = lambda n: n.attrs.get("rel", "").lower().split()
     ld = []
     for n in t.every("script"):
         if n.attrs.get("type") == "application/ld+json":
             try:
-                ld.append(json.dumps(json.loads("".join(n.text))))
+                ld.append(json.dumps(json.loads(t.raw_text(n))))
             except ValueError:
                 continue
     home, inside, outside = _bare(_host(base)), 0, 0
@@ -170,10 +191,10 @@ def extract(url: str, html: str) -> dict:
         "h1": first("h1"),
         "h2": [t.text_of(n) for n in t.every("h2")][:HEADINGS_KEPT],
         "h3": [t.text_of(n) for n in t.every("h3")][:HEADINGS_KEPT],
-        "word_count": len(_WORD.findall("".join(t.all_text))),
+        "word_count": len(_WORD.findall("".join(t.texts))),
         "lang": next((n.attrs.get("lang", "") for n in t.every("html")), ""),
         "charset": charset,
-        "meta_tags": {m.attrs["name"]: m.attrs.get("content", "") for m in meta if m.attrs.get("name")},
+        "meta_tags": named,
         "canonical_url": next((n.attrs.get("href", "") for n in t.every("link") if "canonical" in rel(n)), ""),
         "og_tags": {m.attrs["property"].replace("og:", ""): m.attrs.get("content", "") for m in meta if m.attrs.get("property", "").startswith("og:")},
         "twitter_tags": {m.attrs["name"].replace("twitter:", ""): m.attrs.get("content", "") for m in meta if m.attrs.get("name", "").startswith("twitter:")},
@@ -181,11 +202,11 @@ def extract(url: str, html: str) -> dict:
         "images": images,
         "internal_links": inside,
         "external_links": outside,
-        "hreflang": [{"lang": n.attrs["hreflang"], "url": n.attrs.get("href", "")} for n in t.every("link") if "alternate" in rel(n) and n.attrs.get("hreflang")],
+        "hreflang": [{"lang": n.attrs["hreflang"], "url": n.attrs.get("href", "")} for n in t.every("link") if "alternate" in rel(n) and n.attrs.get("hreflang") and n.attrs.get("href")],
         "schema_org": _schema_org(t),
         "links": _links(t, base),
     }
-    return out | {column: named.get(name, "") for name, column in PROMOTED.items()}
+    return out | {column: named.get(name, "") for name, column in PROMOTED.items()} | {"meta_description": described}
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -204,7 +225,7 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 def collect_links(extracted: DataFrame, url_col: str = "url", ord_col: str = "ord") -> DataFrame:
     """Link rows, the first of each (source, target); ord is the page's and the place in the page."""
     rows = extracted.select(F.col(ord_col).alias("page_ord"), F.col(url_col).alias("source_url"), F.posexplode("links").alias("pos", "l"))
-    rows = rows.select((F.col("page_ord") * 100_000 + F.col("pos")).alias("ord"), "source_url", "l.*").withColumn("target_status", F.lit(None).cast("int"))
+    rows = rows.select((F.col("page_ord") * LINKS_MOST + F.col("pos")).alias("ord"), "source_url", "l.*").withColumn("target_status", F.lit(None).cast("int"))
     first = rows.groupBy("source_url", "target_url").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("source_url", "target_url")]), "ord").alias("r"))
     return first.select("r.ord", "source_url", "target_url", "r.anchor_text", "r.is_internal", "r.target_domain", "r.target_status", "r.placement")
 

@@ -60,12 +60,68 @@ def issues_by_url(issues: DataFrame) -> DataFrame:
     return issues.groupBy("url").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("issue", "type", "category", "details"))).alias("issues"))
 
 
-def json_envelope(rows: DataFrame, fields: list[str], date: str) -> str:
-    """The JSON document of a small export; larger ones are export_json's."""
+def export_issues(issues: DataFrame, path: str) -> None:
+    """CSV of the five issue columns."""
+    export_csv(issues.select("url", "type", "category", "issue", "details"), path)
+
+
+def json_envelope(rows: DataFrame, fields: list[str], date: str, most: int = 100_000) -> str:
+    """The JSON document of a small export. More than `most` rows raise ValueError: those are for export_json."""
     import json
 
-    data = [r.asDict(recursive=True) for r in export_rows(rows, fields).limit(100_000).collect()]
-    return json.dumps({"export_date": date, "total_urls": rows.count(), "fields": fields, "data": data}, default=str)
+    data = [r.asDict(recursive=True) for r in export_rows(rows, fields).limit(most + 1).collect()]
+    if len(data) > most:
+        raise ValueError(f"more than {most} rows: use export_json")
+    return json.dumps({"export_date": date, "total_urls": len(data), "fields": fields, "data": data}, default=str)
+
+
+def export_xlsx(sheets: dict[str, DataFrame], path: str, most: int = 1_048_575) -> None:
+    """An XLSX workbook on the driver, row by row; a sheet of more rows than the format allows raises ValueError."""
+    import tempfile
+    import zipfile
+
+    text = lambda v: "".join(c for c in html.escape("" if v is None else str(v)) if c >= " " or c in "\t\n")
+    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int | float) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t xml:space="preserve">{text(v)}</t></is></c>'
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office, package = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name="{text(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            with tempfile.NamedTemporaryFile("w", encoding="utf-8") as out:
+                out.write(f'{head}<worksheet xmlns="{main}"><sheetData><row>{"".join(map(cell, rows.columns))}</row>')
+                for k, row in enumerate(rows.toLocalIterator()):
+                    if k >= most:
+                        raise ValueError(f"more than {most} rows in a sheet")
+                    out.write(f"<row>{''.join(map(cell, row))}</row>")
+                out.write("</sheetData></worksheet>")
+                out.flush()
+                z.write(out.name, f"xl/worksheets/sheet{i}.xml")
+
+
+CRAWL_FILE = "1.1"
+
+
+def save_crawl(path: str, pages: DataFrame, links: DataFrame, issues: DataFrame) -> None:
+    """A whole crawl as JSON lines in one folder: url, links and issues, and the version of the form."""
+    for name, rows in (("urls", pages), ("links", links), ("issues", issues)):
+        export_json(rows, f"{path}/{name}")
+    export_json(pages.sparkSession.createDataFrame([(CRAWL_FILE,)], "version string"), f"{path}/version")
+
+
+def load_crawl(spark: SparkSession, path: str, pages: str, links: str, issues: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What save_crawl has written, by the given schemas; another version raises ValueError."""
+    version = spark.read.json(f"{path}/version").first()
+    if not version or version["version"] != CRAWL_FILE:
+        raise ValueError("no crawl of this version")
+    return tuple(spark.read.schema(kind).json(f"{path}/{name}") for name, kind in (("urls", pages), ("links", links), ("issues", issues)))
 
 
 @dataclass
@@ -144,6 +200,32 @@ class CrawlStore:
         return fs.getContentSummary(p).getLength()
 
 
+@dataclass
+class SettingsStore:
+    """Settings by user: states are appended, and the newest counts."""
+
+    spark: SparkSession
+    path: str
+
+    def all(self) -> DataFrame:
+        """(user_id, settings as JSON) of each user."""
+        store = CrawlStore(self.spark, self.path)
+        if not store.has(self.path):
+            return self.spark.createDataFrame([], "user_id long, settings string")
+        rows = self.spark.read.parquet(self.path).groupBy("user_id").agg(F.max_by("settings", "version").alias("settings"))
+        return rows.where(F.col("settings").isNotNull())
+
+    def save(self, settings: DataFrame) -> None:
+        """Insert or replace the settings (user_id, settings) of users; a null deletes them, so that defaults hold."""
+        settings.select("user_id", "settings", F.unix_micros(F.current_timestamp()).alias("version")).write.mode("append").parquet(self.path)
+
+    def get(self, user_id: int, defaults: dict) -> dict:
+        import json
+
+        row = self.all().where(F.col("user_id") == user_id).first()
+        return defaults | (json.loads(row["settings"]) if row else {})
+
+
 def _table(head: list[str], rows: list[list]) -> str:
     cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
     lines = ["<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows]
