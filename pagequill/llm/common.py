@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.functions.shared import discard, materialize, new_path, shared_dir  # noqa: F401  what the operators share
+from pagequill.functions.shared import discard, join_by_group, materialize, new_path, shared_dir  # noqa: F401  what the operators share
 
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
@@ -35,19 +35,3 @@ def mark_possible(rows: DataFrame, key: Column, members: DataFrame, member: str,
     bits = members.select(word(F.col(member)).alias("__word"), bit(F.col(member)).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     found = rows.withColumn("__at", word(key)).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
     return found.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__at", "__word", "__bits")
-
-
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
-    """Left join rows to one-row-per-key groups without a hot shuffle key.
-
-    Fewer than `share` keys can hold more than total/share rows each, so those
-    groups are a broadcast of proven size; all other keys are small enough for
-    a plain shuffled join. No key column may be null.
-    """
-    limit = max(total // share, 1)
-    hot = groups.where(F.col(size) > limit)
-    cold = groups.where(F.col(size) <= limit)
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
-    a = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), key)
-    b = marked.where(F.col("__hot").isNull()).drop("__hot").join(cold, key, "left")
-    return a.unionByName(b)
