@@ -1,8 +1,9 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text
-(A-Z lower-cased, nothing else). A batch is grouped by digest with map-side
-combine, anti-joined to the index by sort-merge, and its new digests appended.
+(A-Z lower-cased, nothing else). New data come in slices of falling ids; each is
+grouped by digest with map-side combine, anti-joined to the index by sort-merge,
+and its new digests are appended. So it is the index that says which row stays.
 """
 
 from __future__ import annotations
@@ -11,45 +12,69 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequill.llm.common import ascii_lower, join_by_group, materialize
 
-INDEX_COLUMNS = ["digest", "keep_id", "keep_row"]
+#: Slices of a batch of numeric ids; other ids come in one.
+SLICES = 3
 
 
 class DigestIndex:
-    """A table (digest, keep_id, keep_row), bucketed and sorted by digest.
+    """A table (digest, keep_id, keep_row, batch, slice), bucketed and sorted by digest.
 
     keep_row tells rows apart that share an id: it numbers the physical rows of
-    the batch that brought the digest.
+    the batch that brought the digest. batch and slice say what brought it, so
+    that a batch which is tried again neither meets nor repeats its own digests.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = 32):
         self.spark, self.buckets = spark, buckets
         self.table = table or f"exact_dedup_index_{uuid.uuid4().hex}"
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
-    def read(self) -> DataFrame:
+    def read(self, id_type: str = "bigint") -> DataFrame:
         """The index; an empty one is made where there is none."""
         if not self.exists():
-            self.append(self.spark.createDataFrame([], "digest string, keep_id long, keep_row long"))
+            self._write(self.spark.createDataFrame([], f"digest string, keep_id {id_type}, keep_row long, batch string, slice int"), self.table, "append")
         return self.spark.table(self.table)
 
-    def append(self, rows: DataFrame) -> None:
-        (
-            rows.select(*INDEX_COLUMNS)
-            .repartition(self.buckets, "digest")
-            .write.format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .saveAsTable(self.table)
-        )
+    def append(self, rows: DataFrame, batch: str, part: int) -> None:
+        self._write(rows.select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch"), F.lit(part).alias("slice")), self.table, "append")
 
+    def has(self, batch: str, part: int) -> bool:
+        return not self.read().where((F.col("batch") == batch) & (F.col("slice") == part)).isEmpty()
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def compact(self) -> None:
+        """One sorted file a bucket again, after many appends."""
+        new = f"{self.table}_new"
+        self._write(self.read(), new, "overwrite")
+        self.drop()
+        self.spark.sql(f"ALTER TABLE `{new}` RENAME TO `{self.table}`")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self.table}`")
+
+    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
+        rows.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode(mode).saveAsTable(table)
+
+
+def _slices(rows: DataFrame, slices: int) -> list[DataFrame]:
+    """rows in parts of about equal size and falling ids; null ids come last."""
+    cuts: list = []
+    if slices > 1 and isinstance(rows.schema["id"].dataType, T.NumericType):
+        found = rows.agg(F.percentile_approx("id", [k / slices for k in range(1, slices)], 1000).alias("cuts")).first()["cuts"]
+        cuts = sorted(set(found or []))
+    above, out = F.lit(True), []
+    for cut in reversed(cuts):
+        out.append(rows.where(above & (F.col("id") >= F.lit(cut))))
+        above = F.col("id").isNull() | (F.col("id") < F.lit(cut))
+    return [*out, rows.where(above)]
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, slices: int = SLICES) -> DataFrame:
     """Deduplicate a batch against the index and append what is new.
 
     Returns one row per input row: <id_col>, keep_id, group_size (rows of this
@@ -57,39 +82,38 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
     Null text counts as empty; empty texts are equal to each other. Of equal
     texts in the batch the row with the largest id is kept; null ids are the
-    smallest, and of rows that tie on the id one is kept. A text already in the
-    index keeps no row of the batch: keep_id is then the id that the index has.
-    An empty batch gives an empty result. Other columns are ignored.
+    smallest, and of rows that tie on the id one is kept. A text that another
+    batch has brought to the index keeps no row of this one: keep_id is then the
+    id that the index has. A batch that is run again under the same name (a
+    retried job; the same rows) has the same result, and adds nothing. An empty
+    batch gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    batch = batch or uuid.uuid4().hex
     rows = materialize(
         docs.select(
-            F.col(id_col).alias("id"),
-            F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256).alias("digest"),
+            F.col(f"`{id_col}`").alias("id"),
+            F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("binary"), 256).alias("digest"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "digests",
     )
     total = rows.count()
-    # Hash aggregates on plain longs: the largest id first, then one row of those that have it.
-    ids = rows.groupBy("digest").agg(F.max("id").alias("top_id"), F.count("*").alias("group_size"))
-    groups = materialize(
-        join_by_group(rows, ids, "digest", "group_size", total)
-        .where(F.col("id").eqNullSafe(F.col("top_id")))
-        .groupBy("digest")
-        .agg(F.max("row").alias("keep_row"), F.max("top_id").alias("keep_id"), F.max("group_size").alias("group_size")),
-        "digest-groups",
-    )
-    old = index.read().select("digest", F.col("keep_id").alias("old_id"))
-    new = materialize(groups.hint("merge").join(old, "digest", "left_anti"), "digests-new")
-    known = groups.hint("merge").join(old, "digest").select("digest", F.lit(-1).cast("long").alias("keep_row"), F.col("old_id").alias("keep_id"), "group_size")
-    groups = new.unionByName(materialize(known, "digests-known"))
-    index.append(new)
+    kind = rows.schema["id"].dataType.simpleString()
+    for k, part in enumerate(_slices(rows, slices)):
+        known = index.read(kind).select("digest")
+        if index.has(batch, k):
+            continue
+        # A group of any size is combined to one row in each task.
+        tops = part.groupBy("digest").agg(F.max("id").alias("keep_id"), F.coalesce(F.max_by("row", "id"), F.max("row")).alias("keep_row"))
+        index.append(materialize(tops.hint("merge").join(known, "digest", "left_anti"), "digests-new"), batch, k)
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
+    mine = F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row")
+    groups = materialize(sizes.hint("merge").join(index.read(kind), "digest").select("digest", "group_size", "keep_id", mine), "digest-groups")
     out = join_by_group(rows, groups, "digest", "group_size", total)
     return out.select(
         F.col("id").alias(id_col),
         F.col("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("row") == F.col("keep_row")).alias("kept"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
