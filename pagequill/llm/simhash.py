@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -102,16 +103,27 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of docs for each component, the one of the smallest id; all columns as they were.
 
     Of rows that repeat that id one stays. Rows without an id can't be told
-    apart: they stay if no row of their component has an id.
+    apart: each stays if no row of its own component has an id.
     """
-    found = simhash_groups(docs, id_col, text_col, **settings)
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    ids = found.groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__rows"), F.count_if(stays).alias("__n"))
-    ids = materialize(ids, "simhash-ids")
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    found = simhash_groups(docs.select(key.alias("id"), text.alias("text")), "id", "text", **settings)
+    found = materialize(found, "simhash-groups")
+    ids = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("component_id")).alias("stay"))
+    ids = materialize(ids.select(F.col("id").alias("known"), "n", "stay"), "simhash-ids")
+    # All of a row is one column here, so that no name of its own clashes.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), text.alias("text"))
     # Ids of which a row goes, or that several rows share; a row of any other id stays, and needs no shuffle of its text.
-    rows = mark_possible(docs, F.col(id_col), ids.where((F.col("__rows") > 1) | (F.col("__n") == 0)), "__keep", "__open")
-    held = rows.where("__open").join(ids.where("__n > 0"), F.col(id_col).eqNullSafe(F.col("__keep")))
-    one = rows.where("not __open").unionByName(held.where((F.col("__n") == 1) | F.col("__keep").isNull()).select(rows.columns))
-    if not ids.where((F.col("__n") > 1) & F.col("__keep").isNotNull()).isEmpty():
-        one = one.unionByName(held.where((F.col("__n") > 1) & F.col("__keep").isNotNull()).select(rows.columns).dropDuplicates([id_col]))
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = mark_possible(rows.where("id is not null"), F.col("id"), ids.where("n > 1 or stay = 0"), "known", "open")
+    held = marked.where("open").join(ids.where("stay > 0"), F.col("id") == F.col("known"))
+    out = marked.where("not open").select("row").unionByName(held.where("stay = 1").select("row"))
+    if not ids.where("stay > 1").isEmpty():
+        out = out.unionByName(held.where("stay > 1").dropDuplicates(["id"]).select("row"))
+    alone = found.where("id is null and component_id is null").select(F.col("fingerprint").alias("alone")).distinct()
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t, settings.get('shingle', 3), settings.get('seed', 42)) & (1 << 64) - 1:016x}" for t in texts], dtype=object)
+
+    nameless = rows.where("id is null").join(alone, hashed("text") == F.col("alone"), "left_semi")
+    out = out.unionByName(nameless.select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
