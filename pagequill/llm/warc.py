@@ -56,9 +56,9 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str =
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> str:
-    """Write one WARC 1.1 record per row under path; return the archive's id.
+    """Write one WARC 1.1 record per row under path, and a warcinfo record of the archive; return the archive's id.
 
-    Null html is an empty payload; a null url has no target header. The id is
+    Files are text of Spark's own writer, each one gzip stream. Null html is an empty payload; a null url has no target header. The id is
     in the first header of every record (WARC-Warcinfo-ID) and is fresh for each
     call, so that no payload can hold it.
     """
@@ -94,12 +94,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         http,
         F.when(again, F.lit("")).otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    told = f"software: pagequill{CRLF}format: WARC File Format 1.1{CRLF}"
+    info = f"WARC/1.1{CRLF}WARC-Warcinfo-ID: {archive}{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: {archive}{CRLF}WARC-Date: {date}{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: {len(told)}{CRLF * 2}{told}"
+    records = rows.select(record.alias("value")).unionByName(rows.sparkSession.createDataFrame([(info,)], "value string"))
+    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
     return archive
 
 
-def read_archives(spark: SparkSession, path: str, archive: str) -> DataFrame:
-    """Records of an archive: page_id, url, record_type, payload_bytes,
+def read_archives(spark: SparkSession, path: str, archive: str, id_type: str = "long") -> DataFrame:
+    """Records of an archive but its warcinfo: page_id (of the given type), url, record_type, payload_bytes,
     payload_digest, refers_to, payload (null for a revisit).
 
     A response's bytes and digest are taken from the payload read back, and
@@ -115,7 +118,8 @@ def read_archives(spark: SparkSession, path: str, archive: str) -> DataFrame:
         got = F.regexp_extract("head", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
         return F.when(F.col("head").contains(f"{CRLF}{name}: "), got)
 
-    rows = rows.select("raw", "at", field("X-Page-ID").cast("long").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), field("X-Payload-Length").cast("long").alias("told"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("digest"), field("X-Refers-To-Page-ID").cast("long").alias("refers_to"), field("Content-Length").cast("int").alias("length"))
+    rows = rows.select("raw", "at", field("X-Page-ID").cast(id_type).alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), field("X-Payload-Length").cast("long").alias("told"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("digest"), field("X-Refers-To-Page-ID").cast(id_type).alias("refers_to"), field("Content-Length").cast("int").alias("length"))
+    rows = rows.where(F.col("record_type") != "warcinfo")
     block = F.substring(F.col("raw"), F.col("at") + 1, F.col("length"))
     response = F.col("record_type") == "response"
     payload = F.when(response, F.substring(F.col("raw"), (F.col("at") + F.col("length") - F.col("told") + 1).cast("int"), F.col("told").cast("int")))
@@ -141,4 +145,4 @@ def warc_round_trip(pages: DataFrame, path: str | None = None, **columns: str) -
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     archive = write_archives(pages, path, **columns)
-    return read_archives(spark, path, archive)
+    return read_archives(spark, path, archive, pages.schema[columns.get("id_col", "page_id")].dataType.simpleString())

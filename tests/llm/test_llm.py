@@ -39,6 +39,70 @@ def test_exact_dedup_and_index(spark):
     assert exact_dedup.exact_dedup(docs(spark).limit(0), index).count() == 0
 
 
+def test_exact_dedup_slices_and_retries(spark):
+    r = random.Random(1)
+    rows = [(r.choice([None, *range(60)]), r.choice(["", "a", "A", "b", "long " * 50, None, *WORDS[:20]])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    low = lambda t: (t or "").lower()
+    for slices in (1, 4):
+        index = exact_dedup.DigestIndex(spark, f"t_slices_{slices}", buckets=2)
+        got = exact_dedup.exact_dedup(df, index, batch="one", slices=slices).collect()
+        for text in {low(t) for _, t in rows}:
+            mine = [x for x in got if x["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()]
+            ids = [i for i, t in rows if low(t) == text]
+            top = max((i for i in ids if i is not None), default=None)
+            assert len(mine) == len(ids) and {(x["keep_id"], x["group_size"]) for x in mine} == {(top, len(ids))}
+            assert [x["doc_id"] for x in mine if x["kept"]] == [top]
+        n = index.read().count()
+        again = exact_dedup.exact_dedup(df, index, batch="one", slices=slices).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, got)) and index.read().count() == n
+        index.compact()
+        other = exact_dedup.exact_dedup(df, index, batch="two", slices=slices).collect()
+        assert not any(x["kept"] for x in other) and index.read().count() == n
+        index.drop()
+
+
+def test_exact_dedup_string_ids(spark):
+    index = exact_dedup.DigestIndex(spark, "t_strings", buckets=2)
+    got = exact_dedup.exact_dedup(spark.createDataFrame([("a", "x"), ("b", "X"), (None, "x")], "doc_id string, text string"), index).collect()
+    assert [r["doc_id"] for r in got if r["kept"]] == ["b"] and {r["keep_id"] for r in got} == {"b"}
+
+
+def test_warc_string_ids_extra_columns_and_repeats(spark):
+    rows = [("p1", "u", "x" * 1500, "k"), ("p2", "u", "x" * 1500, "k"), ("p2", "u", "x" * 1500, "k"), (None, "u", None, "k")]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string, record_type string")).collect()
+    assert sorted((r["page_id"] or "", r["record_type"], r["refers_to"]) for r in got) == [("", "response", None), ("p1", "revisit", "p2"), ("p2", "response", None), ("p2", "response", None)]
+
+
+def plain_fingerprint(text, shingle=3):
+    """The fingerprint bit by bit, as it is defined."""
+    import xxhash
+
+    words = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+    words = [w for w in words if w]
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))]
+    hs = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+
+def test_fingerprint_equals_its_definition():
+    r = random.Random(8)
+    texts = [None, "", " \n", "One", "a b", "a b c", "É é\x0bK", prose(1, 5000)] + [" ".join(r.choices(["A", "b", "c\td", "\n", "e"], k=r.randint(1, 30))) for _ in range(200)]
+    for t in texts:
+        assert simhash.fingerprint(t) & (1 << 64) - 1 == plain_fingerprint(t)
+
+
+def test_near_dedup_rows_without_id(spark):
+    same, other = prose(1, 60), prose(2, 60)
+    rows = [(None, same), (5, same), (None, other), (None, other), (7, prose(3, 60)), (7, prose(3, 60)), (9, prose(4, 60))]
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, id string, known string, open string")
+    kept = simhash.keep_one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] == other) for r in kept.collect()) == [(0, True), (0, True), (5, False), (7, False), (9, False)]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "x" * 1500), (2, "u\r\nv", "x" * 1500), (3, None, "y\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n"), (None, "u", "x" * 1500), (4, "u", None), (5, "é", "é" * 600), (6, "a", "z" * 999), (7, "a", "z" * 999)]
     got = {r["page_id"]: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
