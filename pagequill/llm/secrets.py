@@ -3,9 +3,11 @@
 DataFrame functions only. Base spans come from three patterns. Further spans are
 tokens that look random: for each token an encoding is inferred from its
 characters, and chi-squared uniformity over that alphabet, a runs test and a
-lag-1 serial correlation must not contradict randomness, while the hypothesis of
-ordinary, uneven writing is rejected under false-discovery control whose weights
-grow with the token's length.
+lag-1 serial correlation must not contradict randomness. The hypothesis of
+ordinary writing is then tested by the evenness of the letters (chi-squared) and
+by the runs of letters of one kind, as writing seldom changes between letters and
+digits or between cases; both make one p-value, and the hypothesis is rejected
+under false-discovery control whose weights grow with the token's length.
 """
 
 from __future__ import annotations
@@ -38,9 +40,12 @@ ALPHABETS = {
 }
 #: Chance that two letters of ordinary writing are equal.
 WRITING_REPEAT = 0.065
+#: Chances that ordinary writing changes from a letter to a digit or back, and that it changes the case too.
+WRITING_DIGIT, WRITING_KIND = 0.05, 0.2
 MAX_Z = 3.0
 FALSE_DISCOVERIES = 0.01
 _STEP, _STEPS = 0.05, 1200
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _hits(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -97,9 +102,17 @@ def _battery(tokens: DataFrame) -> DataFrame:
         "z_serial": F.when(F.col("ss") > 0, F.col("sc") / F.col("ss") * F.sqrt(n)).otherwise(F.lit(99.0)),
         "z_writing": (k - 1 + excess - F.col("chi2")) / F.sqrt(2 * (k - 1) + 4 * excess),
     })
-    random = (F.col("z_chi2") <= MAX_Z) & (F.abs("z_runs") <= MAX_Z) & (F.abs("z_serial") <= MAX_Z) & (F.col("z_writing") > 0)
-    p = F.when((n >= 16) & random, F.exp(-F.col("z_writing") * F.col("z_writing") / 2)).otherwise(F.lit(1.0))
-    return t.withColumn("p", p).select(*tokens.columns, "encoding", "n", "z_chi2", "z_runs", "z_serial", "p")
+    # Neighbours that are both letters or digits, and how often the kind changes between them.
+    kinds = F.translate("t", _LOWER + _LOWER.upper() + "0123456789+/=_-", "l" * 26 + "u" * 26 + "d" * 10 + "-" * 5)
+    count = lambda pattern: F.regexp_count(kinds, F.lit(f"(?={pattern})")).cast("double")
+    t = t.withColumns({"near": count("[lud][lud]"), "digit": count("[lu]d|d[lu]"), "kinds": count("[lu]d|d[lu]|lu|ul")})
+    above = lambda c, q: F.when(F.col("near") > 0, (F.col(c) - F.col("near") * q) / F.sqrt(F.col("near") * q * (1 - q))).otherwise(F.lit(0.0))
+    t = t.withColumn("z_kinds", F.greatest(above("digit", WRITING_DIGIT), above("kinds", WRITING_KIND)))
+    t = t.withColumn("z", (F.col("z_writing") + F.col("z_kinds")) / math.sqrt(2))
+    random = (F.col("z_chi2") <= MAX_Z) & (F.abs("z_runs") <= MAX_Z) & (F.abs("z_serial") <= MAX_Z) & (F.col("z") > 0)
+    # The better of two tests of kinds is taken, hence the factor.
+    p = F.when((n >= 16) & random, F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2))).otherwise(F.lit(1.0))
+    return t.withColumn("p", p).select(*tokens.columns, "encoding", "n", "z_chi2", "z_runs", "z_serial", "z_writing", "z_kinds", "p")
 
 
 def discovery_limit(tested: DataFrame, rate: float = FALSE_DISCOVERIES) -> tuple[float, float]:
