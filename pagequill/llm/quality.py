@@ -1,8 +1,10 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded, gated attention
-weights (learned, like all else, from document labels only) say how much each
-passage counts, and the weighted passage representation is scored.
+A document is a bag of passages. Each passage is encoded from its words, hashed to
+a fixed number of entries whose weights are learned, and from shares of letters
+and repeats. Gated attention weights (learned, like all else, from document
+labels only) say how much each passage counts, and the weighted passage
+representation is scored.
 """
 
 from __future__ import annotations
@@ -23,32 +25,46 @@ PASSAGE_WORDS = 64
 FIT_DOCS = 4000
 THRESHOLD = 0.7
 HIDDEN, GATE = 24, 16
-N_FEATURES = 16
+#: Entries that words are hashed to, and shares of letters and repeats that are put beside them.
+WORD_ENTRIES, SHARES = 256, 14
+N_FEATURES = SHARES + WORD_ENTRIES
 _POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
 
-# Byte classes: 0 space, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 exclamation, 6 bar, 7 other symbol, 8 beyond ASCII.
-_CLASS = np.full(256, 7, np.uint8)
+# Byte classes: 0 space, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 other symbol, 6 beyond ASCII.
+_CLASS = np.full(256, 5, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
-_CLASS[[ord(c) for c in ".,;:'\"()?-"]] = 4
-_CLASS[ord("!")], _CLASS[ord("|")] = 5, 6
-_CLASS[128:] = 8
+_CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 4
+_CLASS[128:] = 6
 
 
 def passages(text: str | None) -> np.ndarray:
-    """Features of each passage of PASSAGE_WORDS words: one row at least, of zeros if there is no word."""
+    """The encoder's input for each passage of PASSAGE_WORDS words: one row at least, of zeros if there is no word."""
+    return _joined(*_passages(text))
+
+
+def _joined(shares: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Shares beside the counts of the passages' word entries, damped and of length one."""
+    passage = np.arange(len(words)) // PASSAGE_WORDS
+    counts = np.bincount(passage * WORD_ENTRIES + words, minlength=len(shares) * WORD_ENTRIES).reshape(-1, WORD_ENTRIES)
+    damped = np.log1p(counts)
+    return np.concatenate((shares, damped / np.maximum(np.sqrt((damped * damped).sum(axis=1, keepdims=True)), 1e-9)), axis=1).astype(np.float32)
+
+
+def _passages(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each passage, and the entry of each word of the text."""
     b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     kind = _CLASS[b]
     solid = kind != 0
     edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros((1, N_FEATURES), np.float32)
+        return np.zeros((1, SHARES), np.float32), np.zeros(0, np.uint8)
     heads = np.arange(0, len(starts), PASSAGE_WORDS)
     at = starts[heads]
     words = np.diff(np.append(heads, len(starts))).astype(np.float64)
     size = np.diff(np.append(at, len(b))).astype(np.float64)
-    counts = np.array([np.add.reduceat(kind == k, at, dtype=np.int64) for k in range(9)], np.float64)
+    counts = np.array([np.add.reduceat(kind == k, at, dtype=np.int64) for k in range(7)], np.float64)
     inked = np.maximum(size - counts[0], 1)
     lengths = (ends - starts).astype(np.float64)
     # A hash of each word, for repeats within the passage and from earlier passages.
@@ -67,19 +83,19 @@ def passages(text: str | None) -> np.ndarray:
     by = lambda x: np.add.reduceat(np.asarray(x, np.float64), heads) / words
     f = np.stack(
         [
-            *(counts[k] / inked for k in (1, 2, 3, 4, 5, 6, 7, 8)),
+            *(counts[k] / inked for k in (1, 2, 3, 4, 5, 6)),
             np.add.reduceat(b == 10, at, dtype=np.int64) / words,
             np.minimum(by(lengths), 40) / 10,
             by(lengths <= 2),
             by(new),
             by(new_pair),
-            by((last == 7) | (last == 5)),
+            by(last == 5),
             by(caps > 1),
             np.log1p(words) / 4,
         ],
         axis=1,
     )
-    return f.astype(np.float32)
+    return f.astype(np.float32), ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
 
 
 @dataclass
@@ -110,18 +126,19 @@ def _forward(w: dict, x: np.ndarray, heads: np.ndarray, bag: np.ndarray) -> tupl
     return z @ w["c"] + w["b"][0], (h, t, g, p, z)
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 400, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
+def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 250, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> AttentionModel:
     """Adam on weighted log loss, full batches, fixed seed."""
-    x = np.concatenate(bags).astype(np.float64)
+    x = np.concatenate(bags).astype(np.float32)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
-    x = np.clip((x - mean) / scale, -8, 8)
+    x = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
     sizes = np.array([len(b) for b in bags])
     heads, bag = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(bags)), sizes)
     r = np.random.default_rng(seed)
-    w = {k: r.normal(0, s[0] ** -0.5, s) for k, s in {"We": (x.shape[1], HIDDEN), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,)}.items()}
-    w |= {"be": np.zeros(HIDDEN), "b": np.zeros(1)}
+    w = {k: r.normal(0, s[0] ** -0.5, s).astype(np.float32) for k, s in {"We": (x.shape[1], HIDDEN), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,)}.items()}
+    w |= {"be": np.zeros(HIDDEN, np.float32), "b": np.zeros(1, np.float32)}
     m, v = ({k: np.zeros_like(q) for k, q in w.items()} for _ in range(2))
-    share = weights / weights.sum()
+    share = (weights / weights.sum()).astype(np.float32)
+    labels = labels.astype(np.float32)
     for step in range(1, rounds + 1):
         logit, (h, t, g, p, z) = _forward(w, x, heads, bag)
         d = (1 / (1 + np.exp(-logit)) - labels) * share
@@ -158,16 +175,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [passages(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.ravel() for g in got], pa.list_(pa.float32()))], ["y", "f"])
+            got = [_passages(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["y", "shares", "words"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    got = rows.select("y", "text").mapInArrow(run, "y int, f array<float>").toPandas()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    # A document that has many rows counts once, by its least text.
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = rows.select("y", "text").mapInArrow(run, "y int, shares binary, words binary").toPandas()
     if got.y.nunique() < 2:
         return AttentionModel(constant=float(got.y.iloc[0]) if len(got) else 1.0)
-    got["f"] = [np.asarray(f, np.float32) for f in got.f]
-    got = got.assign(k=[f.tobytes() for f in got.f]).sort_values(["y", "k"])  # an order that partitions don't change
-    bags, ys = [f.reshape(-1, N_FEATURES) for f in got.f], got.y.to_numpy(np.float64)
+    got = got.sort_values(["y", "shares", "words"])  # an order that partitions don't change
+    bags = [_joined(np.frombuffer(f, np.float32).reshape(-1, SHARES), np.frombuffer(w, np.uint8)) for f, w in zip(got.shares, got.words, strict=True)]
+    ys = got.y.to_numpy(np.float64)
     used = {k: (ys == k).sum() for k in counts}
     return train(bags, ys, np.array([counts[int(k)] / used[int(k)] for k in ys]))
 
