@@ -132,6 +132,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sizes = materialize(sizes, "lang-sizes")
     quota = max(fit_docs // max(sizes.count(), 1), 20)
     sample = rows.join(sizes, "lang").where(F.pmod("at", F.lit(1_000_000)) < F.lit(1_000_000.0 * quota) / F.col("n"))
+    # Rows that repeat an id and its text are one of the sample.
+    sample = sample.groupBy("lang", "at").agg(F.min("text").alias("text"))
 
     def centroids(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["at", "text"], kind="stable")
