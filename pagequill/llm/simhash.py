@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.common import join_by_group, mark_possible, materialize
+from pagequill.llm.common import drop_members, join_by_group, mark_possible, materialize
 from pagequill.operators.components import connected_components
 
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
@@ -109,21 +109,21 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = simhash_groups(docs.select(key.alias("id"), text.alias("text")), "id", "text", **settings)
     found = materialize(found, "simhash-groups")
     ids = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("component_id")).alias("stay"))
-    ids = materialize(ids.select(F.col("id").alias("known"), "n", "stay"), "simhash-ids")
-    # All of a row is one column here, so that no name of its own clashes.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), text.alias("text"))
-    # Ids of which a row goes, or that several rows share; a row of any other id stays, and needs no shuffle of its text.
-    marked = mark_possible(rows.where("id is not null"), F.col("id"), ids.where("n > 1 or stay = 0"), "known", "open")
-    held = marked.where("open").join(ids.where("stay > 0"), F.col("id") == F.col("known"))
-    out = marked.where("not open").select("row").unionByName(held.where("stay = 1").select("row"))
-    if not ids.where("stay > 1").isEmpty():
-        out = out.unionByName(held.where("stay > 1").dropDuplicates(["id"]).select("row"))
-    alone = found.where("id is null and component_id is null").select(F.col("fingerprint").alias("alone")).distinct()
+    ids = materialize(ids.where("n > 1 or stay = 0").select(F.col("id").alias("known"), "n"), "simhash-ids")
 
     @F.pandas_udf("string")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([f"{fingerprint(t, settings.get('shingle', 3), settings.get('seed', 42)) & (1 << 64) - 1:016x}" for t in texts], dtype=object)
 
-    nameless = rows.where("id is null").join(alone, hashed("text") == F.col("alone"), "left_semi")
-    out = out.unionByName(nameless.select("row"))
+    # All of a row is one column here, so that no name of its own clashes.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), text.alias("text"))
+    out = drop_members(rows, "id", ids, "known").select("row")
+    # Ids of several rows, and rows without an id, go by their own fingerprints.
+    shared = ids.where("n > 1").select("known")
+    many = mark_possible(rows.where("id is not null"), F.col("id"), shared, "known", "open").where("open").join(shared, F.col("id") == F.col("known"), "left_semi")
+    roots = found.where("id = component_id").select(F.col("id").alias("root"), F.col("fingerprint").alias("of")).join(shared, F.col("root") == F.col("known"), "left_semi").distinct()
+    many = many.join(roots, (F.col("id") == F.col("root")) & (hashed("text") == F.col("of")), "left_semi").dropDuplicates(["id"])
+    alone = found.where("id is null and component_id is null").select(F.col("fingerprint").alias("of")).distinct()
+    nameless = rows.where("id is null").join(alone, hashed("text") == F.col("of"), "left_semi")
+    out = out.unionByName(many.select("row")).unionByName(nameless.select("row"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -103,6 +103,23 @@ def test_near_dedup_rows_without_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"] == other) for r in kept.collect()) == [(0, True), (0, True), (5, False), (7, False), (9, False)]
 
 
+def test_near_dedup_rows_that_share_an_id(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, b), (5, c)]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], (a, b, c).index(r["text"])) for r in kept) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_drop_members_keeps_rows_marked_by_chance(spark, monkeypatch):
+    from pagequill.llm import common
+
+    monkeypatch.setattr(common, "MARK_WORDS", 1)
+    rows = spark.range(500).selectExpr("nullif(id, 9) AS k", "id AS v")
+    members = spark.range(0, 500, 7).selectExpr("id AS m")
+    got = sorted(r["v"] for r in common.drop_members(rows, "k", members, "m").collect())
+    assert got == [v for v in range(500) if v % 7 and v != 9]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "x" * 1500), (2, "u\r\nv", "x" * 1500), (3, None, "y\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n"), (None, "u", "x" * 1500), (4, "u", None), (5, "é", "é" * 600), (6, "a", "z" * 999), (7, "a", "z" * 999)]
     got = {r["page_id"]: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
