@@ -37,15 +37,16 @@ def mark_possible(rows: DataFrame, key: Column, members: DataFrame, member: str,
     return found.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__at", "__word", "__bits")
 
 
-def drop_members(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
-    """The rows whose key is not null and not in members.<member>.
+def split_members(rows: DataFrame, key: str, members: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in members.<member>, all others but those of a null key).
 
     Rows that the mark table leaves out are no members. Of the others only the
-    keys are shuffled, to find the few that are marked by chance; these stay,
-    and theirs are all the whole rows that a join moves.
+    keys are shuffled, to find the few that are marked by chance; theirs, and
+    those that these few mark by chance, are all the whole rows that a join moves.
     """
     marked = mark_possible(rows.where(F.col(key).isNotNull()), F.col(key), members, member, "__possible")
     chance = materialize(marked.where("__possible").select(F.col(key).alias("__chance")).join(members, F.col("__chance") == F.col(member), "left_anti").distinct(), "chance-marks")
-    again = mark_possible(marked.where("__possible"), F.col(key), chance, "__chance", "__again").where("__again")
-    stay = again.join(chance, F.col(key) == F.col("__chance"), "left_semi")
-    return marked.where(~F.col("__possible")).select(*rows.columns).unionByName(stay.select(*rows.columns))
+    again = mark_possible(marked.where("__possible"), F.col(key), chance, "__chance", "__again")
+    unclear, same = again.where("__again"), F.col(key) == F.col("__chance")
+    pick = lambda *parts: parts[0].select(*rows.columns).unionByName(parts[1].select(*rows.columns))
+    return pick(again.where(~F.col("__again")), unclear.join(chance, same, "left_anti")), pick(marked.where(~F.col("__possible")), unclear.join(chance, same, "left_semi"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequill.llm.common import discard, mark_possible, materialize
+from pagequill.llm.common import discard, mark_possible, materialize, split_members
 
 THRESHOLD = 0.8
 #: Tokens whose place in the order is looked up: the most frequent ones. All
@@ -136,11 +136,11 @@ def _flat(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per line that has a token: cid, id, tk, line, c0, c1, lead, words.
+    """A row per line that has a token: cid, id, tk, line, of, c0, c1, lead, words.
 
     cid numbers lines in the order of (id, hash of the text, line), a null id
     last; rows of equal id and text count once. tk hashes the whole text; c0 and
-    c1 hash the token set; words are its hashes as bytes. lead tells that no
+    c1 hash the token set; of is the number of lines of the text; words are its hashes as bytes. lead tells that no
     earlier line of the same few megabytes has the same set; other lines are
     repeats, and have no words.
     """
@@ -180,15 +180,16 @@ def token_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cid = (int(b.column(0)[0].as_py()) << 40) + count + np.arange(len(of))
                 count += len(of)
                 cells = _cells(np.where(lead, sizes, 0), h[np.repeat(lead, sizes)])
-                cols = [pa.array(cid), rows.column(1).take(at), rows.column(2).take(at), pa.array(number[of].astype(np.int32)), pa.array(c0.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(lead), cells]
-                yield pa.RecordBatch.from_arrays(cols, ["cid", "id", "tk", "line", "c0", "c1", "lead", "words"])
+                total = np.bincount(row, minlength=len(rows)).astype(np.int32)
+                cols = [pa.array(cid), rows.column(1).take(at), rows.column(2).take(at), pa.array(number[of].astype(np.int32)), pa.array(total[row[of]]), pa.array(c0.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(lead), cells]
+                yield pa.RecordBatch.from_arrays(cols, ["cid", "id", "tk", "line", "of", "c0", "c1", "lead", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     place = [F.asc_nulls_last("id"), F.asc("tk")]
     rows = rows.repartitionByRange(*place).sortWithinPartitions(*place).select(F.spark_partition_id().alias("pid"), "id", "tk", "text")
-    return rows.mapInArrow(run, f"cid long, id {kind}, tk long, line int, c0 long, c1 long, lead boolean, words binary")
+    return rows.mapInArrow(run, f"cid long, id {kind}, tk long, line int, of int, c0 long, c1 long, lead boolean, words binary")
 
 
 def token_counts(lines: DataFrame) -> DataFrame:
@@ -323,7 +324,7 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
 
 
 def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD) -> DataFrame:
-    """A row per leading line: cid, id, tk, line, first, size, sk0, sk1, keys.
+    """A row per leading line: cid, id, tk, line, of, first, size, sk0, sk1, keys.
 
     sk0 and sk1 are the parity sketch of its token set; keys are the numbers of
     its prefix tokens, as bytes. first tells that
@@ -334,7 +335,7 @@ def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            sizes, h = _flat(b.column(6), "<u8")
+            sizes, h = _flat(b.column(7), "<u8")
             line = np.repeat(np.arange(len(sizes)), sizes)
             num = order.numbers(h)
             # Sorted by line, then number: 39 bits of a number tell nearly all apart.
@@ -349,14 +350,14 @@ def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD
             sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), heads).view(np.int64) if len(heads) else np.zeros(0, np.int64) for w in (0, 1)]
             inside = _prefix(sizes, t)
             keys = num[np.arange(len(num)) - np.repeat(heads, sizes) < np.repeat(inside, sizes)]
-            cols = [*b.columns[:6], pa.array(sizes.astype(np.int32)), *map(pa.array, sketch), _cells(inside, keys)]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:6], "size", "sk0", "sk1", "keys"])
+            cols = [*b.columns[:7], pa.array(sizes.astype(np.int32)), *map(pa.array, sketch), _cells(inside, keys)]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:7], "size", "sk0", "sk1", "keys"])
 
-    rows = lines.where("lead").select("cid", "id", "tk", "line", "c0", "c1", "words")
+    rows = lines.where("lead").select("cid", "id", "tk", "line", "of", "c0", "c1", "words")
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"cid long, id {kind}, tk long, line int, c0 long, c1 long, size int, sk0 long, sk1 long, keys binary")
+    rows = rows.mapInArrow(run, f"cid long, id {kind}, tk long, line int, of int, c0 long, c1 long, size int, sk0 long, sk1 long, keys binary")
     first = F.lag("cid").over(Window.partitionBy("c0", "c1").orderBy("cid")).isNull()
-    return rows.select("cid", "id", "tk", "line", first.alias("first"), "size", "sk0", "sk1", "keys")
+    return rows.select("cid", "id", "tk", "line", "of", first.alias("first"), "size", "sk0", "sk1", "keys")
 
 
 def dealt_lists(firsts: DataFrame, often: int, most: int) -> Lists:
@@ -565,17 +566,18 @@ def similar_to_earlier(lines: DataFrame, firsts: DataFrame, order: Order, thresh
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = RANKED_TOKENS) -> DataFrame:
-    """(id, tk, removed): the numbers (from 0) of the lines to remove of each document that has any."""
+    """(id, tk, removed, whole): the numbers (from 0) of the lines to remove of each document that has any, and whether it has no others."""
     lines = materialize(token_lines(docs, id_col, text_col), "lines")
     order = token_order(lines, most)
     shared = docs.sparkSession.sparkContext.broadcast(order)
     sets = materialize(prefix_sets(lines, shared, threshold), "line-sets")
     shared.destroy()
     late = similar_to_earlier(lines, sets.where("first"), order, threshold)
-    place = ["id", "tk", "line"]
+    place = ["id", "tk", "line", "of"]
     repeats = lines.where("not lead").select(place).unionByName(sets.where("not first").select(place))
     near = mark_possible(sets.where("first").select("cid", *place), F.col("cid"), late, "cid", "wanted").where("wanted").join(late, "cid", "left_semi")
-    gone = materialize(repeats.unionByName(near.select(place)).groupBy("id", "tk").agg(F.collect_set("line").alias("removed")), "line-removed")
+    gone = repeats.unionByName(near.select(place)).groupBy("id", "tk").agg(F.collect_set("line").alias("removed"), F.max("of").alias("of"))
+    gone = materialize(gone.select("id", "tk", "removed", (F.size("removed") == F.col("of")).alias("whole")), "line-removed")
     discard(lines, sets, late)
     return gone
 
@@ -590,13 +592,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     threshold with it, also one that goes itself; so the first line of a group
     stays. Lines without a token stay. Rows of equal id and text count as one and
     have equal results. Null text stays null; a text all of whose lines go
-    becomes empty; an empty table stays empty. Only rows that lose a line are
-    shuffled with their texts.
+    becomes empty; an empty table stays empty. Only rows that lose some lines, but
+    not all, are shuffled with their texts.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold, most).select(F.struct("id", "tk", "removed").alias("gone"), F.xxhash64("id", "tk").alias("mark"))
+    gone = removed_lines(docs, id_col, text_col, threshold, most).select("removed", "whole", F.xxhash64("id", "tk").alias("mark"))
     # All of a row is one column here, so that no name of its own clashes.
     mark = F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("row_mark"))
+    gone, all_gone = gone.where("not whole").select("mark", "removed"), gone.where("whole").select("mark").distinct()
+    emptied, rows = split_members(rows, "row_mark", all_gone, "mark")
     rows = mark_possible(rows, F.col("row_mark"), gone, "mark", "hit")
     none = F.lit(None).cast("array<int>")
 
@@ -610,13 +614,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    text = F.col("row").getField(text_col)
+    text, kind = F.col("row").getField(text_col), docs.schema[text_col].dataType
+    count = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
+    emptied = emptied.select("row", F.lit("").cast(kind).alias("text"), F.sequence(F.lit(0), count - 1).alias("removed"))
     kept = rows.where(~F.col("hit")).select("row", text.alias("text"), none.alias("removed"))
     found = rows.where("hit").join(gone, F.col("row_mark") == F.col("mark"), "left")
-    found = found.select("row", without(text.cast("string"), F.col("gone.removed")).cast(docs.schema[text_col].dataType).alias("text"), F.col("gone.removed").alias("removed"))
-    rows = kept.unionByName(found)
+    found = found.select("row", without(text.cast("string"), F.col("removed")).cast(kind).alias("text"), "removed")
+    rows = kept.unionByName(found).unionByName(emptied)
     if report:
-        ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-        count = F.coalesce(ends + 1, F.lit(0)).cast("int")
         return rows.select(F.col("row").getField(id_col).alias(id_col), F.col("text").alias(text_col), count.alias("n_lines"), F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed_lines"))
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.common import drop_members, join_by_group, mark_possible, materialize
+from pagequill.llm.common import join_by_group, mark_possible, materialize, split_members
 from pagequill.operators.components import connected_components
 
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
@@ -117,7 +117,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # All of a row is one column here, so that no name of its own clashes.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), text.alias("text"))
-    out = drop_members(rows, "id", ids, "known").select("row")
+    out = split_members(rows, "id", ids, "known")[1].select("row")
     # Ids of several rows, and rows without an id, go by their own fingerprints.
     shared = ids.where("n > 1").select("known")
     many = mark_possible(rows.where("id is not null"), F.col("id"), shared, "known", "open").where("open").join(shared, F.col("id") == F.col("known"), "left_semi")

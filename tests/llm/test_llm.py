@@ -110,14 +110,15 @@ def test_near_dedup_rows_that_share_an_id(spark):
     assert sorted((r["doc_id"], (a, b, c).index(r["text"])) for r in kept) == [(1, 0), (2, 1), (3, 2)]
 
 
-def test_drop_members_keeps_rows_marked_by_chance(spark, monkeypatch):
+def test_split_members_parts_rows_marked_by_chance(spark, monkeypatch):
     from pagequill.llm import common
 
     monkeypatch.setattr(common, "MARK_WORDS", 1)
     rows = spark.range(500).selectExpr("nullif(id, 9) AS k", "id AS v")
     members = spark.range(0, 500, 7).selectExpr("id AS m")
-    got = sorted(r["v"] for r in common.drop_members(rows, "k", members, "m").collect())
-    assert got == [v for v in range(500) if v % 7 and v != 9]
+    inside, outside = common.split_members(rows, "k", members, "m")
+    assert sorted(r["v"] for r in inside.collect()) == list(range(0, 500, 7))
+    assert sorted(r["v"] for r in outside.collect()) == [v for v in range(500) if v % 7 and v != 9]
 
 
 def test_warc_round_trip(spark):
