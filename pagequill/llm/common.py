@@ -46,6 +46,8 @@ def split_members(rows: DataFrame, key: str, members: DataFrame, member: str) ->
     """
     marked = mark_possible(rows.where(F.col(key).isNotNull()), F.col(key), members, member, "__possible")
     chance = materialize(marked.where("__possible").select(F.col(key).alias("__chance")).join(members, F.col("__chance") == F.col(member), "left_anti").distinct(), "chance-marks")
+    if chance.isEmpty():  # as nearly always: no further look at the rows is due
+        return marked.where("__possible").select(*rows.columns), marked.where(~F.col("__possible")).select(*rows.columns)
     again = mark_possible(marked.where("__possible"), F.col(key), chance, "__chance", "__again")
     unclear, same = again.where("__again"), F.col(key) == F.col("__chance")
     pick = lambda *parts: parts[0].select(*rows.columns).unionByName(parts[1].select(*rows.columns))
