@@ -70,6 +70,8 @@ def linked_fingerprints(groups: DataFrame, distance: int = 3) -> DataFrame:
     table = groups.select("fp", F.explode(halves).alias("key"))
     flips = F.expr("filter(transform(sequence(0, 31), i -> if(getbit(key, i) = 1, key - shiftleft(1L, i), -1L)), x -> x >= 0)")
     looks = table.select("fp", F.col("key"), F.lit(False).alias("flip")).unionByName(table.select("fp", F.explode(flips).alias("key"), F.lit(True).alias("flip")))
+    # Most cleared bits lead to no fingerprint at all: only keys that the table may hold are shuffled.
+    looks = mark_possible(looks, F.col("key"), table.select(F.col("key").alias("held")), "held", "meets").where("meets").drop("meets")
     a, b = looks.alias("a"), table.select(F.col("fp").alias("other"), "key").alias("b")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near & (F.col("flip") | (F.col("fp") < F.col("other"))))
