@@ -62,6 +62,60 @@ def test_exact_dedup_slices_and_retries(spark):
         index.drop()
 
 
+def test_exact_dedup_stopped_anywhere_and_retried(spark):
+    """A batch is stopped after each write to the index, and run again on rows in other partitions."""
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(80)]), r.choice(["", None, *WORDS[:150]])) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = exact_dedup.DigestIndex(spark, "t_whole", buckets=2)
+    shown = lambda out: sorted(repr((x["doc_id"], x["keep_id"], x["group_size"], x["kept"], x["text_sha256"])) for x in out.collect())
+    want = shown(exact_dedup.exact_dedup(df.repartition(3), whole, batch="one", slices=4))
+    entries = sorted(map(tuple, whole.read().collect()), key=str)
+
+    class Stopped(Exception):
+        pass
+
+    for stop in range(5):
+        index = exact_dedup.DigestIndex(spark, f"t_stopped_{stop}", buckets=2)
+        write, turns = index.append, []
+
+        def half(new, batch, write=write, turns=turns, stop=stop):
+            turns.append(1)
+            if len(turns) > stop:  # a part of the rows is there, as if the commit had been cut
+                write(new.where("digest < '8'"), batch)
+                raise Stopped
+            write(new, batch)
+
+        index.append = half
+        if stop < 4:
+            with pytest.raises(Stopped):
+                exact_dedup.exact_dedup(df.repartition(5), index, batch="one", slices=4)
+        index.append = write
+        again = exact_dedup.exact_dedup(df.repartition(2 + stop, "text"), index, batch="one", slices=3)
+        assert shown(again) == want and sorted(map(tuple, index.read().collect()), key=str) == entries
+        index.drop()
+    whole.drop()
+
+
+def test_exact_dedup_compaction_survives_a_stop(spark):
+    index = exact_dedup.DigestIndex(spark, "t_compact", buckets=2)
+    for k in range(4):
+        exact_dedup.exact_dedup(docs(spark, *WORDS[k * 20 : k * 30 + 20], first=1000 * k), index)
+    entries = sorted(map(tuple, index.read().collect()))
+    assert index.compact() and len(index.read().inputFiles()) <= 2 and not index.compact()
+    assert sorted(map(tuple, index.read().collect())) == entries
+    # Stopped while the new table was written, after the first renaming, and before the old one was dropped.
+    spark.sql("CREATE TABLE t_compact_new AS SELECT * FROM t_compact LIMIT 3")
+    assert sorted(map(tuple, index.read().collect())) == entries
+    spark.sql("CREATE TABLE t_compact_new AS SELECT * FROM t_compact")
+    spark.sql("ALTER TABLE t_compact RENAME TO t_compact_old")
+    assert sorted(map(tuple, index.read().collect())) == entries
+    spark.sql("CREATE TABLE t_compact_old AS SELECT * FROM t_compact")
+    assert sorted(map(tuple, index.read().collect())) == entries
+    assert not spark.catalog.tableExists("t_compact_new") and not spark.catalog.tableExists("t_compact_old")
+    index.drop()
+
+
 def test_exact_dedup_string_ids(spark):
     index = exact_dedup.DigestIndex(spark, "t_strings", buckets=2)
     got = exact_dedup.exact_dedup(spark.createDataFrame([("a", "x"), ("b", "X"), (None, "x")], "doc_id string, text string"), index).collect()
@@ -213,8 +267,22 @@ def test_packing(spark):
         q = q.sort_values("offset")
         assert q.length.sum() <= 1024 and (q.offset.to_numpy() == np.concatenate(([0], q.length.cumsum()[:-1]))).all()
     assert packing.pack_documents(docs(spark).limit(0), path, pattern).count() == 0
-    long = "word and " * 40_000
-    assert packing.token_ids(long, packing.encoder(path, pattern), 0)[:-1].tolist() == packing.encoder(path, pattern)(long)
+    encode = packing.encoder(path, pattern)
+    for text in ("word and " * 40_000, "a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|> " + "word and " * 40_000, "<|endoftext", "a" * 600_000):
+        assert packing.token_ids(text, encode, 0)[:-1].tolist() == own.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids("a <|endoftext|> b", encode, 0).tolist() == [64, 220, 50256, 275, 0]
+
+
+def test_packing_odd_rows(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    got = packing.pack_documents(odd(spark), path, pattern).toPandas()
+    assert got.doc_id.isna().sum() == 1 and len(got[(got.doc_id == 3) & (got.start == 0)]) == 2
+    assert got[got.doc_id.isin([1, 2])].doc_tokens.tolist() == [1, 1]
+    for _, q in got.groupby("sequence_id"):
+        used = int(q.length.sum())
+        assert (q.padded_length == (used if used & (used - 1) == 0 else 1024)).all()
 
 
 def test_best_fit_decreasing_equals_plain_search():
