@@ -723,6 +723,76 @@ def t10_s6_paged_scan(spark: SparkSession, d: str) -> DataFrame:
     return kept.load("pages", 7, limit=20, offset=10, order="ord")
 
 
+@query("SELECT ord, url, title FROM crawl_pages WHERE ord > 120 ORDER BY ord LIMIT 25")
+def t10_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that follow a key, from the files whose ranges can hold them."""
+    kept, rows = _store(spark), P(spark, d).select("ord", "url", "title")
+    for part in (0, 1):
+        kept.save("pages", rows.where(C("ord") % 2 == part), 3)
+    return kept.page("pages", 3, 120, 25)
+
+
+@query("""
+    SELECT ord, url, 'saved' AS crawl FROM crawl_pages UNION ALL SELECT ord, url, 'streamed' FROM crawl_pages
+    UNION ALL SELECT ord + 1000000, url, 'streamed' FROM crawl_sitemap
+""")
+def s7_i2_saved_and_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """One store with a saved crawl and one that is streamed in micro-batches, then continued by a save; both are read."""
+    kept, rows = _store(spark), P(spark, d).select("ord", "url")
+    kept.save("pages", rows, 1)
+    path = new_path(spark, "landing")
+    rows.repartitionByRange(3, "ord").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    live.save_stream(stream, kept, "pages", 2, f"{path}/check", once=True).awaitTermination()
+    kept.save("pages", fixtures.crawl_sitemap(spark, d).select((C("ord") + 1_000_000).alias("ord"), "url"), 2)
+    return kept.load("pages", 1).withColumn("crawl", F.lit("saved")).unionByName(kept.load("pages", 2).withColumn("crawl", F.lit("streamed")))
+
+
+@query(f"""
+    WITH {_RULES}, polled AS (SELECT url, issue, details, CASE WHEN ord % 3 = 0 THEN 1 WHEN ord % 3 = 1 THEN 2 ELSE 3 END AS poll FROM rules)
+    SELECT poll, poll = 1 AS whole, url, issue, details FROM polled UNION ALL SELECT 4, true, url, issue, details FROM polled
+""")
+def i1_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Polls of the issues as they are committed: each row in one poll, and all of them once more after a refresh is asked for."""
+    kept, pages, cursor, out = _store(spark), P(spark, d), 0, None
+    for poll in (1, 2, 3, 4):
+        if poll < 4:
+            kept.save("issues", rules.detect_issues(pages.where(C("ord") % 3 == poll - 1)), 5)
+        else:
+            kept.refresh("issues", 5)
+        rows, cursor, whole = kept.changes("issues", 5, cursor)
+        rows = rows.select(F.lit(poll).alias("poll"), F.lit(whole).alias("whole"), "url", "issue", "details")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""
+    SELECT l.ord, l.source_url, l.target_url, coalesce(p.status_code, 418) AS target_status
+    FROM (SELECT ord, source_url, target_url FROM crawl_links UNION ALL SELECT ord + 100000000, url, url || '/gone' FROM crawl_sitemap) l LEFT JOIN crawl_pages p ON p.url = l.target_url
+""")
+def i4_late_status(spark: SparkSession, d: str) -> DataFrame:
+    """Links that land while two thirds of the pages are still to come, as streams; the last state of each link."""
+    links = L(spark, d).select("source_url", "target_url", "ord").unionByName(fixtures.crawl_sitemap(spark, d).select(C("url").alias("source_url"), F.concat("url", F.lit("/gone")).alias("target_url"), (C("ord") + 100000000).alias("ord")))
+    tables = {"links": links.withColumn("target_status", F.lit(418)), "pages": P(spark, d).select("url", "status_code", "ord")}
+    path = new_path(spark, "late-status")
+    streams = {}
+    for name, rows in tables.items():
+        rows.repartitionByRange(2 if name == "links" else 3, "ord").write.parquet(f"{path}/{name}")
+        streams[name] = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+    live.save_patches(live.late_status(streams["links"], streams["pages"]), f"{path}/out", f"{path}/check", once=True).awaitTermination()
+    return live.patched_links(spark, f"{path}/out").select("ord", "source_url", "target_url", "target_status")
+
+
+@query(r"""
+    SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE len(json_keys(props)) END AS n FROM events
+""", False)
+def s6_json_columns(spark: SparkSession, d: str) -> DataFrame:
+    """JSON text as maps; every fifth text is cut, and so is empty."""
+    text = F.when(C("event_id") % 5 == 0, F.expr("left(props, length(props) - 1)")).otherwise(C("props"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", text.alias("props"))
+    return store.parsed(rows, {"props": "map<string,string>"}).select("event_id", F.size("props").cast("long").alias("n"))
+
+
 @query("SELECT ord, url, status_code, title FROM crawl_pages")
 def s7_s8_save_load(spark: SparkSession, d: str) -> DataFrame:
     kept, rows = _store(spark), P(spark, d).select("ord", "url", "status_code", "title")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequill.functions import scalars
 
@@ -67,8 +70,6 @@ def export_issues(issues: DataFrame, path: str) -> None:
 
 def json_envelope(rows: DataFrame, fields: list[str], date: str, most: int = 100_000) -> str:
     """The JSON document of a small export. More than `most` rows raise ValueError: those are for export_json."""
-    import json
-
     data = [r.asDict(recursive=True) for r in export_rows(rows, fields).limit(most + 1).collect()]
     if len(data) > most:
         raise ValueError(f"more than {most} rows: use export_json")
@@ -124,9 +125,22 @@ def load_crawl(spark: SparkSession, path: str, pages: str, links: str, issues: s
     return tuple(spark.read.schema(kind).json(f"{path}/{name}") for name, kind in (("urls", pages), ("links", links), ("issues", issues)))
 
 
+#: What the log says of each file of a committed batch; a batch without rows has one entry without a file.
+LOG = "version long, batch string, folder string, kind string, file string, rows long, first long, last long"
+
+
 @dataclass
 class CrawlStore:
-    """All crawls under one folder; relations are partitioned by crawl_id, so a load or delete touches one crawl."""
+    """All crawls under one folder, with a log of what has been committed.
+
+    A batch of a relation is written to a folder of its own, sorted by its order
+    column, and counts once the log names it: readers see whole batches, saved
+    and streamed ones alike. A batch that is tried again under its name adds
+    nothing if it has been committed; what a stopped attempt has left is in no
+    log, so nobody reads it. The log has the range of each file, by which pages
+    of rows are read from few files. Versions number the batches of a relation of
+    a crawl; one job at a time writes there, any number reads.
+    """
 
     spark: SparkSession
     root: str
@@ -142,16 +156,107 @@ class CrawlStore:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def save(self, relation: str, rows: DataFrame, crawl_id: int) -> None:
-        rows.withColumn("crawl_id", F.lit(crawl_id).cast("long")).write.mode("append").partitionBy("crawl_id").parquet(self.path(relation))
-
-    def load(self, relation: str, crawl_id: int, limit: int | None = None, offset: int = 0, order: str | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path(relation)).where(F.col("crawl_id") == crawl_id).drop("crawl_id")
+    def _log_path(self, relation: str, crawl_id: int) -> str:
+        return f"{self.root}/log/{relation}/crawl_id={crawl_id}"
+
+    def log(self, relation: str, crawl_id: int) -> DataFrame:
+        """The entries of a relation of a crawl, see LOG."""
+        path = self._log_path(relation, crawl_id)
+        return self.spark.read.schema(LOG).parquet(path) if self.has(path) else self.spark.createDataFrame([], LOG)
+
+    def version(self, relation: str, crawl_id: int) -> int:
+        """The last committed version, 0 if there is none."""
+        return self.log(relation, crawl_id).agg(F.max("version")).first()[0] or 0
+
+    def _commit(self, relation: str, crawl_id: int, entries: DataFrame) -> int:
+        """Add entries as the next version, in one file, which is there as a whole or not at all."""
+        version = self.version(relation, crawl_id) + 1
+        rows = entries.withColumn("version", F.lit(version).cast("long")).select("version", "batch", "folder", "kind", "file", "rows", "first", "last")
+        rows.coalesce(1).write.mode("append").parquet(self._log_path(relation, crawl_id))
+        return version
+
+    def save(self, relation: str, rows: DataFrame, crawl_id: int, batch: str | None = None, order: str = "ord") -> int:
+        """Commit a batch and return its version; a batch of this name that is there already is left as it is.
+
+        Rows are dealt to files by ranges of the order column, if they have a
+        whole-number column of that name, and sorted within.
+        """
+        batch = batch or uuid.uuid4().hex
+        there = self.log(relation, crawl_id).where(F.col("batch") == batch).agg(F.max("version")).first()[0]
+        if there:
+            return there
+        folder = f"{self.path(relation)}/crawl_id={crawl_id}/{uuid.uuid4().hex}"
+        sorts = order in rows.columns and rows.schema[order].dataType.typeName() in ("long", "integer", "short", "byte")
+        (rows.repartitionByRange(order).sortWithinPartitions(order) if sorts else rows).write.parquet(folder)
+        at = F.col(order).cast("long") if sorts else F.lit(None).cast("long")
+        files = self.spark.read.schema(rows.schema).parquet(folder).select(F.col("_metadata.file_path").alias("file"), at.alias("at"))
+        entries = files.groupBy("file").agg(F.count("*").alias("rows"), F.min("at").alias("first"), F.max("at").alias("last"))
+        none = self.spark.createDataFrame([(0,)], "rows long").select(F.lit(None).cast("string").alias("file"), "rows", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+        return self._commit(relation, crawl_id, (none if entries.isEmpty() else entries).withColumns({"batch": F.lit(batch), "folder": F.lit(folder), "kind": F.lit(rows.schema.json())}))
+
+    def _read(self, entries: DataFrame, files: bool = False) -> DataFrame:
+        """The rows of the batches (or files) of some entries; columns that only some of them have are null in the others."""
+        place = "file" if files else "folder"
+        rows = entries.where(F.col("folder").isNotNull()).groupBy(place, "kind").agg(F.min("version").alias("version")).collect()
+        if not rows:
+            raise LookupError("nothing has been saved there")
+        fields: dict[str, T.StructField] = {}
+        for kind in dict.fromkeys(r["kind"] for r in sorted(rows, key=lambda r: r["version"])):
+            for f in T.StructType.fromJson(json.loads(kind)):
+                fields.setdefault(f.name, T.StructField(f.name, f.dataType))
+        return self.spark.read.schema(T.StructType([*fields.values()])).parquet(*[r[place] for r in rows])
+
+    def load(self, relation: str, crawl_id: int, limit: int | None = None, offset: int = 0, order: str | None = None, version: int | None = None) -> DataFrame:
+        """The rows of a relation of a crawl, as of a version if one is given; a later commit changes nothing in them."""
+        log = self.log(relation, crawl_id)
+        rows = self._read(log if version is None else log.where(F.col("version") <= version))
         if limit is not None or offset:
             rows = rows.orderBy(order or rows.columns[0]).offset(offset)
             rows = rows.limit(limit) if limit is not None else rows
         return rows
 
+    def page(self, relation: str, crawl_id: int, after: int | None, limit: int, order: str = "ord", version: int | None = None) -> DataFrame:
+        """The `limit` rows that follow `after` in the order (from the start if it is None): pass the last row's value to get the next page. No two rows may have one value.
+
+        The log tells which files can hold them: the files wholly behind `after`
+        that end first hold `limit` rows up to some value, and files that begin
+        behind that value are not opened, nor those that end before `after`. Rows
+        without a value of the order are on no page.
+        """
+        log = self.log(relation, crawl_id).where(F.col("file").isNotNull())
+        log = log if version is None else log.where(F.col("version") <= version)
+        left = log if after is None else log.where(F.col("last") > after)
+        whole = left if after is None else left.where(F.col("first") > after)
+        held, upto = 0, None
+        for r in whole.orderBy("last").select("rows", "last").limit(limit).collect():
+            held, upto = held + r["rows"], r["last"]
+            if held >= limit:
+                break
+        if held >= limit:
+            left = left.where(F.col("first") <= upto)
+        rows = self.load(relation, crawl_id).limit(0) if left.isEmpty() else self._read(left, files=True)
+        return rows.where(F.col(order).isNotNull() if after is None else F.col(order) > after).orderBy(order).limit(limit)
+
+    def refresh(self, relation: str, crawl_id: int) -> int:
+        """Ask every reader of changes to take all rows anew, once."""
+        entry = self.spark.createDataFrame([(0,)], "rows long")
+        none = {c: F.lit(None).cast(kind) for c, kind in (("folder", "string"), ("kind", "string"), ("file", "string"), ("first", "long"), ("last", "long"))}
+        return self._commit(relation, crawl_id, entry.withColumns(none | {"batch": F.lit("refresh")}))
+
+    def changes(self, relation: str, crawl_id: int, since: int = 0) -> tuple[DataFrame | None, int, bool]:
+        """(rows, cursor, full): what has been committed after the cursor `since`, each row once, however readers filter.
+
+        full says that the rows are all there are and replace what was read
+        before: at the first poll, and once after each refresh. rows is None
+        where nothing is new. The next poll passes the new cursor.
+        """
+        now = self.version(relation, crawl_id)
+        log = self.log(relation, crawl_id).where(F.col("version") <= now)
+        new = log.where(F.col("version") > since)
+        full = not since or not new.where("batch = 'refresh'").isEmpty()
+        rows = (log if full else new).where(F.col("folder").isNotNull())
+        return (None if rows.isEmpty() else self._read(rows)), now, full
+
     def catalog(self) -> DataFrame:
         """Latest state of each crawl: states are appended, and the newest of an id counts."""
         if not self.has(self.path("catalog")):
@@ -185,8 +290,9 @@ class CrawlStore:
         gone = self.catalog().where(F.col("crawl_id") == crawl_id).withColumn("status", F.lit("deleted"))
         self.record(gone)
         for relation in ("pages", "links", "issues"):
-            fs, p = self._fs(f"{self.path(relation)}/crawl_id={crawl_id}")
-            fs.delete(p, True)
+            for path in (self._log_path(relation, crawl_id), f"{self.path(relation)}/crawl_id={crawl_id}"):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
 
     def expire(self, days: int) -> int:
         """Delete crawls that started more than so many days ago."""
@@ -200,6 +306,13 @@ class CrawlStore:
         return fs.getContentSummary(p).getLength()
 
 
+def parsed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns of JSON text as arrays or maps of the given types; what is null or no JSON of the type is empty."""
+    empty = lambda kind: (F.create_map() if kind.startswith("map") else F.array()).cast(kind)
+    whole = lambda c, kind: F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, kind))  # noqa: E731  a cut text is no JSON, though from_json reads its beginning
+    return rows.withColumns({c: F.coalesce(whole(F.col(c), kind), empty(kind)) for c, kind in kinds.items()})
+
+
 @dataclass
 class SettingsStore:
     """Settings by user: states are appended, and the newest counts."""
@@ -220,8 +333,6 @@ class SettingsStore:
         settings.select("user_id", "settings", F.unix_micros(F.current_timestamp()).alias("version")).write.mode("append").parquet(self.path)
 
     def get(self, user_id: int, defaults: dict) -> dict:
-        import json
-
         row = self.all().where(F.col("user_id") == user_id).first()
         return defaults | (json.loads(row["settings"]) if row else {})
 

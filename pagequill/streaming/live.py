@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pagequill.operators.linkgraph import resolve_status
 from pagequill.operators.rules import detect_issues
@@ -29,19 +33,99 @@ def new_urls(frontier: DataFrame, ts_col: str | None = None, delay: str = "1 hou
 
 
 def save_stream(pages: DataFrame, store: CrawlStore, relation: str, crawl_id: int, checkpoint: str, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
-    """Append micro-batches to the store. A batch that is tried again replaces what it wrote before."""
-    root = f"{store.path(relation)}/crawl_id={crawl_id}"
+    """Commit micro-batches to the store. A batch that is tried again, by its number under this checkpoint, is committed once."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{root}/batch={batch}")
+        store.save(relation, rows, crawl_id, f"{checkpoint}#{batch}")
 
     out = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
-def late_status(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Statuses of links whose targets landed later: a stream of links against the saved pages."""
-    return resolve_status(links, pages)
+#: Keys that the links of one target are dealt to, by their sources; each of the target's statuses goes to all of them.
+SALTS = 16
+
+
+class _Patches(StatefulProcessor):
+    """The links to one target from one share of the sources, and the target's last status."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.status = handle.getValueState("status", "ord long, status int", self.ttl)
+        self.links = handle.getListState("links", "source_url string, ord long, target_status int", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, ARG002
+        target = key[0]
+        row = lambda links: pd.DataFrame(links, columns=["source_url", "ord", "target_status"]).assign(target_url=target).astype({"target_status": "Int32", "ord": "Int64"})[["source_url", "target_url", "ord", "target_status"]]
+        have = self.status.get() if self.status.exists() else None
+        new, links = have, []
+        for part in rows:
+            landed = part[part.landed]
+            for k, s in zip(landed.ord, landed.status, strict=True):
+                if new is None or k >= new[0]:
+                    new = (int(k), int(s))
+            found = part[~part.landed]
+            links += [(u, None if pd.isna(k) else int(k), None if pd.isna(s) else int(s)) for u, k, s in zip(found.source_url, found.ord, found.status, strict=True)]
+        if new != have:
+            self.status.update(new)
+        if new is not None and (have is None or new[1] != have[1]):
+            before = [tuple(x) for x in self.links.get()] if self.links.exists() else []
+            self.links.put([(u, k, new[1]) for u, k, _ in before]) if before else None
+            patched = [(u, k, new[1]) for u, k, s in before if s != new[1]]
+            if patched:
+                yield row(patched)
+        if links:
+            links = [(u, k, s if new is None else new[1]) for u, k, s in links]
+            self.links.appendList(links)
+            yield row(links)
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed state needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def late_status(links: DataFrame, pages: DataFrame, ttl_ms: int | None = None, salts: int = SALTS) -> DataFrame:
+    """(source_url, target_url, ord, target_status): links with their targets' statuses, patched when a page lands later.
+
+    links: source_url, target_url, ord, target_status; pages: url, status_code, ord.
+    As streams, in any order: a link comes out when it lands, with the status its
+    target has by then or else its own, and again whenever the target's status
+    changes; of pages of one URL the last by ord counts. So the last row of a link
+    is its state, as the batch operator gives it. State is kept by target, in the
+    state store (RocksDB), for ttl_ms after its last change if that is given; a
+    link whose page lands after that stays as it is. The links of a target are
+    dealt to `salts` keys, so that one that all pages link to has no key of its own.
+
+    Two tables, not streams, are joined as they are.
+    """
+    if not links.isStreaming and not pages.isStreaming:
+        return resolve_status(links, pages).select("source_url", "target_url", "ord", "target_status")
+    links.sparkSession.conf.set(*STATE_STORE)
+    empty = F.lit(None).cast("string")
+    one = links.select(F.col("target_url").alias("target"), F.pmod(F.xxhash64("source_url"), F.lit(salts)).cast("int").alias("salt"), F.lit(False).alias("landed"), "source_url", F.col("ord").cast("long").alias("ord"), F.col("target_status").cast("int").alias("status"))
+    two = pages.where("status_code is not null").select(F.col("url").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("landed"), empty.alias("source_url"), F.col("ord").cast("long").alias("ord"), F.col("status_code").cast("int").alias("status"))
+    return one.unionByName(two).groupBy("target", "salt").transformWithStateInPandas(_Patches(ttl_ms), "source_url string, target_url string, ord long, target_status int", "Update", "None" if ttl_ms is None else "ProcessingTime")
+
+
+def save_patches(patches: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep what late_status puts out, a folder a batch; a batch that is tried again replaces what it wrote."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    out = patches.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
+
+def patched_links(spark: SparkSession, path: str) -> DataFrame:
+    """(source_url, target_url, ord, target_status): the last state of each link that save_patches has kept."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("source_url", "target_url", "ord").agg(F.max_by(F.struct("target_status"), "batch").alias("r")).select("source_url", "target_url", "ord", "r.target_status")
 
 
 def windowed_counts(events: DataFrame, ts_col: str = "ts", window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
