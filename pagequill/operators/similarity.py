@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import page_text, similarity_grade, tokens
-from pagequill.functions.shared import materialize
+from pagequill.functions.shared import discard, materialize
 from pagequill.operators.components import connected_components
 
 # Fixed values.
@@ -30,8 +30,8 @@ def tfidf(docs: DataFrame) -> DataFrame:
 def cosine_pairs(vectors: DataFrame) -> DataFrame:
     """(a, b, sim), a < b: every pair that shares a term, by the inverted index; exact, no term is dropped.
 
-    The weight of a posting list is quadratic in its length, which the closest
-    page asks for by definition; use similar_pairs for links above a threshold.
+    The weight of a posting list is quadratic in its length; use similar_pairs for
+    links above a threshold, and closest_partners for the closest page.
     """
     x, y = vectors.select("term", F.col("doc").alias("a"), F.col("w").alias("wa")), vectors.select("term", F.col("doc").alias("b"), F.col("w").alias("wb"))
     return x.join(y, "term").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), PLACES).alias("sim"))
@@ -64,6 +64,63 @@ def closest(pairs: DataFrame) -> DataFrame:
     return best.select("doc", (-F.col("m.o")).alias("other"), F.col("m.sim").alias("sim"))
 
 
+#: Terms of a document that the first round of closest_partners looks up; each later round takes twice as many.
+FIRST_TERMS = 2
+_MARGIN = 1e-9
+
+
+def ranked_terms(vectors: DataFrame) -> DataFrame:
+    """(doc, term, w, pos, rest): a document's terms by rising document frequency, and what the terms after each can add to any cosine.
+
+    rest is the lesser of their norm and of the sum of their weights times the
+    largest weight that the term has anywhere.
+    """
+    terms = vectors.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    order = Window.partitionBy("doc").orderBy("df", "term")
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(F.sum(c).over(after), F.lit(0.0))
+    rest = F.least(F.sqrt(zero(F.col("w") * F.col("w"))), zero(F.col("w") * F.col("most")))
+    return vectors.join(terms, "term").select("doc", "term", "w", (F.row_number().over(order) - 1).alias("pos"), rest.alias("rest"))
+
+
+def closest_partners(vectors: DataFrame, first_terms: int = FIRST_TERMS, work: list | None = None) -> DataFrame:
+    """(doc, other, sim): the most similar document of each, ties to the lowest; as closest(cosine_pairs(vectors)), without all pairs.
+
+    Rounds look up a document's terms from the rarest on, twice as many in each.
+    Whoever shares none of those looked up scores at most what the terms left can
+    add (rest); once that is under the best cosine so far, the document is done,
+    and its frequent terms' long lists are never read. A pair that a round meets
+    is scored in full if the part it shares there and the rest could reach the
+    best so far. Documents that share no term with another are left out. work
+    gets the pairs met and the pairs scored of each round.
+    """
+    terms = materialize(ranked_terms(vectors), "closest-terms")
+    posts = vectors.select("term", F.col("doc").alias("other"), F.col("w").alias("wo"))
+    whole = materialize(vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m")), "closest-vectors")
+    side = lambda c: whole.select(F.col("doc").alias(c), F.col("m").alias(f"m_{c}"))
+    dot = F.expr("aggregate(map_entries(m_doc), 0D, (s, e) -> s + e.value * coalesce(try_element_at(m_other, e.key), 0D))")
+    best = materialize(terms.select("doc").distinct().select("doc", F.lit(None).cast(vectors.schema["doc"].dataType).alias("other"), F.lit(0.0).alias("sim"), F.lit(2.0).alias("rest")), "closest-best")
+    at, longest = 0, terms.agg(F.max("pos")).first()[0]
+    while longest is not None and at <= longest:
+        upto = at + max(first_terms, at)
+        open_docs = best.where(F.col("rest") >= F.col("sim") - _MARGIN).select("doc", "sim")
+        mine = materialize(terms.where((F.col("pos") >= at) & (F.col("pos") < upto)).join(open_docs, "doc"), "closest-round")
+        left = mine.groupBy("doc").agg(F.min("rest").alias("left"), F.first("sim").alias("best"))
+        met = mine.select("doc", "term", "w").join(posts, "term").where("doc <> other").groupBy("doc", "other").agg(F.sum(F.col("w") * F.col("wo")).alias("part"))
+        near = materialize(met.join(left, "doc").withColumn("scored", F.col("part") + F.col("left") >= F.col("best") - _MARGIN), "closest-met")
+        if work is not None:
+            work.append(tuple(near.agg(F.count("*"), F.count_if("scored")).first()))
+        scored = near.where("scored").select("doc", "other").join(side("doc"), "doc").join(side("other"), "other").select("doc", "other", F.round(dot, PLACES).alias("sim"))
+        top = scored.where("sim > 0").groupBy("doc").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("t"))
+        now = F.greatest(F.struct("sim", (-F.col("other")).alias("o")), F.col("t"))
+        news = best.join(top, "doc", "left").join(left.select("doc", "left"), "doc", "left")
+        news = news.select("doc", now.alias("n"), F.coalesce("left", "rest").alias("rest")).select("doc", (-F.col("n.o")).alias("other"), F.col("n.sim").alias("sim"), "rest")
+        before, best = best, materialize(news, "closest-best")
+        discard(mine, near, before)
+        at = upto
+    return best.where(F.col("other").isNotNull()).select("doc", "other", "sim")
+
+
 def relevance(vectors: DataFrame) -> DataFrame:
     """(doc, relevance): cosine to the normalised mean vector."""
     centre = vectors.groupBy("term").agg(F.sum("w").alias("c"))
@@ -99,7 +156,7 @@ def content_similarity(pages: DataFrame, threshold: float = THRESHOLD, max_pages
         docs = docs.orderBy("doc").limit(max_pages)
     docs = materialize(docs, "similarity-docs")
     vectors = materialize(tfidf(docs), "tfidf")
-    near = closest(cosine_pairs(vectors))
+    near = closest_partners(vectors)
     urls = docs.select(F.col("doc").alias("other"), F.col("url").alias("closest_url"))
     rows = docs.select("doc", "url").join(near, "doc", "left").join(urls, "other", "left").join(relevance(vectors), "doc")
     rows = rows.select("doc", "url", "closest_url", F.round(F.coalesce("sim", F.lit(0.0)), 3).alias("similarity"), F.round("relevance", 3).alias("relevance_score"), (F.col("relevance") < LOW_RELEVANCE).alias("is_low_relevance"))

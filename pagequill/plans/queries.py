@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequill.functions import scalars, urls
-from pagequill.functions.shared import new_path
+from pagequill.functions.shared import materialize, new_path
 from pagequill.operators import clusters, filters, linkgraph, prioritize, rules, setchecks, similarity, summary, tree, views
 from pagequill.operators.components import connected_components
 from pagequill.plans import fixtures
@@ -586,9 +586,10 @@ def j7_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similar_pairs(similarity.tfidf(_docs(spark, d))).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {_TFIDF}, e AS (SELECT a AS doc, b AS other, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs) SELECT doc, round(max(sim), 6) AS sim FROM e WHERE sim > 0 GROUP BY doc")
+@query(f"WITH {_TFIDF}, e AS (SELECT a AS doc, b AS other, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs) SELECT DISTINCT ON (doc) doc, other, round(sim, 6) AS sim FROM e WHERE sim > 0 ORDER BY doc, round(sim, 10) DESC, other")
 def t8_closest(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.closest(similarity.cosine_pairs(similarity.tfidf(_docs(spark, d)))).select("doc", F.round("sim", 6).alias("sim"))
+    vectors = materialize(similarity.tfidf(_docs(spark, d)), "t8-vectors")
+    return similarity.closest_partners(vectors).select("doc", "other", F.round("sim", 6).alias("sim"))
 
 
 @query()
