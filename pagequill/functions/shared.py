@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -75,6 +75,31 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return a.unionByName(b)
 
 
+#: Words of 64 bits in a mark table: at most so many rows of an int and a long (16 MB of values) are broadcast.
+MARK_WORDS = 1 << 20
+
+
+def mark_possible(rows: DataFrame, key: Column, members: DataFrame, member: str, name: str) -> DataFrame:
+    """rows with a boolean <name>: true for every row whose key is in members.<member>, rarely for others, null keys included.
+
+    One bit of a table of fixed size stands for each member's hash, so what is
+    broadcast has a bound; with far more members than bits all rows are marked.
+    An exact join of the marked rows is to follow.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_WORDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.xxhash64(c), 32).bitwiseAND(F.lit(63)).cast("int"))
+    bits = members.select(word(F.col(member)).alias("__word"), bit(F.col(member)).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = rows.withColumn("__at", word(key)).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
+    return found.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__at", "__word", "__bits")
+
+
+def without(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """rows whose key (not null) is in no row of members.<key>: only what a mark table leaves open is joined."""
+    marked = mark_possible(rows, F.col(key), members, key, "__maybe")
+    left = marked.where("__maybe").drop("__maybe").join(members.select(key), key, "left_anti")
+    return marked.where("not __maybe").drop("__maybe").unionByName(left)
+
+
 def numbered(df: DataFrame, by: list[str], name: str, start: int = 0, to: str = "ord") -> DataFrame:
     """df, written, with a column <to> that numbers its rows in the order of <by>, without gaps from start on.
 

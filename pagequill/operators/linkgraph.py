@@ -16,6 +16,8 @@ SITEWIDE_SHARE, SITEWIDE_FACTOR = 0.7, 0.5
 DAMPING, ROUNDS = 0.85, 30
 #: Nodes and edges up to which ranks are computed in one task (about 100 MB).
 SMALL = 500_000
+#: Sources of a page that are listed in its row.
+LISTED = 1000
 MANY_OUTLINKS, FEW_INLINKS, DEEP = 100, 2, 2
 
 
@@ -25,11 +27,20 @@ def resolve_status(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(now, F.col("target_url") == F.col("__u"), "left").withColumn("target_status", F.coalesce("__now", "target_status")).drop("__now", "__u")
 
 
-def linked_from(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """(url, linked_from): distinct sources in the order first seen."""
-    seen = links.groupBy("target_url", "source_url").agg(F.min("ord").alias("o"))
-    lists = seen.groupBy("target_url").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "source_url"))), lambda s: s["source_url"]).alias("linked_from"))
-    return pages.select("url").join(lists.withColumnRenamed("target_url", "url"), "url", "left").withColumn("linked_from", F.coalesce("linked_from", F.array().cast("array<string>")))
+def link_sources(links: DataFrame) -> DataFrame:
+    """(target_url, source_url, ord): the distinct sources of every target, by the first link; a row each, however many."""
+    return links.groupBy("target_url", "source_url").agg(F.min("ord").alias("ord"))
+
+
+def linked_from(pages: DataFrame, links: DataFrame, most: int = LISTED) -> DataFrame:
+    """(url, linked_from, n_sources): the first `most` distinct sources in the order first seen, and how many there are; link_sources has all of them."""
+    rows = link_sources(links)
+    counts = rows.groupBy("target_url").agg(F.count("*").alias("n_sources"))
+    # A rank limit is applied in each task before rows are shuffled, so a page that all link to sends a few.
+    place = F.row_number().over(Window.partitionBy("target_url").orderBy("ord", "source_url"))
+    lists = rows.withColumn("place", place).where(F.col("place") <= most).groupBy("target_url").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "source_url"))), lambda s: s["source_url"]).alias("linked_from"))
+    found = counts.join(lists, "target_url").withColumnRenamed("target_url", "url")
+    return pages.select("url").join(found, "url", "left").select("url", F.coalesce("linked_from", F.array().cast("array<string>")).alias("linked_from"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
 def internal_pages(pages: DataFrame) -> DataFrame:

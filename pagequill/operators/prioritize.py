@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import severity
@@ -10,6 +10,8 @@ from pagequill.functions.urls import cluster_id, url_part
 
 # Base scores, shares, texts.
 BASE = {"error": 50, "warning": 30, "info": 10}
+#: URLs that a group shows.
+EXAMPLES = 5
 TEMPLATE_LEAST, TEMPLATE_SHARE, SITEWIDE_SHARE = 5, 0.6, 0.8
 FIXES = {
     "Missing Title Tag": "Add a unique, descriptive <title> (30-60 characters) to each affected page or its template.",
@@ -82,14 +84,16 @@ def group_issues(issues: DataFrame, pages: DataFrame | None = None, ord_col: str
         depth, indexable = F.lit(None).cast("int"), F.lit(False)
     sections = urls.groupBy("issue", "section").agg(
         F.count("*").alias("n"), F.min("o").alias("o"), F.max("home").alias("home"), F.sum(depth).alias("depths"), F.count(depth).alias("known"), F.max(indexable).alias("indexable"),
-        F.slice(F.sort_array(F.collect_list(F.struct("o", "url"))), 1, 5).alias("x"),
     )
     g = sections.groupBy("issue").agg(
         F.sum("n").alias("affected"), F.max(F.struct(F.col("n"), (-F.col("o")).alias("o"), F.col("section"))).alias("top"), F.max("home").alias("home"),
         (F.sum("depths") / F.sum("known")).alias("mean_depth"), F.max("indexable").alias("indexable"),
-        F.transform(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, 5), lambda e: e["url"]).alias("example_urls"),
     )
-    g = g.join(named, "issue").select("*", "f.type", "f.category")
+    # A rank limit is applied in each task before rows are shuffled.
+    place = F.row_number().over(Window.partitionBy("issue").orderBy("o", "url"))
+    firsts = urls.select("issue", "o", "url").withColumn("place", place).where(F.col("place") <= EXAMPLES)
+    firsts = firsts.groupBy("issue").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "url"))), lambda e: e["url"]).alias("example_urls"))
+    g = g.join(named, "issue").join(firsts, "issue").select("*", "f.type", "f.category")
     n = F.col("affected")
     template = (n >= TEMPLATE_LEAST) & (F.col("top.n") / n >= TEMPLATE_SHARE) & (F.col("top.section") != "/")
     wide = (n / F.lit(total) >= SITEWIDE_SHARE) & (n >= TEMPLATE_LEAST) if pages is not None else F.lit(False)

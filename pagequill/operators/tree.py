@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import flow_role, scale
-from pagequill.functions.shared import materialize
+from pagequill.functions.shared import discard, join_by_group, materialize, new_path, without
 from pagequill.functions.urls import canonical, cluster_id, page_label
 from pagequill.operators import linkgraph
 
@@ -31,28 +31,31 @@ def bfs_tree(metrics: DataFrame, links: DataFrame, root: str) -> DataFrame:
     """(node, parent, level, rank): the first discoverer in queue order, then link order, over all reachable pages.
 
     A level is a join of the frontier with the edges and an anti-join with what is
-    seen. rank is the queue position. Each level is written to the shared folder.
+    seen, of which a mark table leaves few rows open. rank is the queue position.
+    Each level is written once, to a folder of its own, and what is seen is one
+    scan of the folders so far.
     """
     known = metrics.select("norm")
     rows = linkgraph.internal_links(links).where("placement <> 'image' and s <> t")
     rows = rows.join(known.withColumnRenamed("norm", "s"), "s", "left_semi").join(known.withColumnRenamed("norm", "t"), "t", "left_semi")
     adj = materialize(rows.groupBy("s", "t").agg(F.min("ord").alias("o")), "bfs-edges")
     spark = metrics.sparkSession
-    seen = spark.createDataFrame([(root, None, 0, 0)], "node string, parent string, level int, rank long")
-    frontier, level, count = seen, 0, 1
+    root_row = spark.createDataFrame([(root, None, 0, 0)], "node string, parent string, level int, rank long")
+    paths = [new_path(spark, "bfs-level")]
+    root_row.write.parquet(paths[0])
+    read = lambda ps: spark.read.schema(root_row.schema).parquet(*ps)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)  # so that a level's numbers fit in 2^44
     while True:
-        found = adj.join(frontier.select(F.col("node").alias("s"), "rank"), "s").join(seen.select(F.col("node").alias("t")), "t", "left_anti")
-        best = found.groupBy("t").agg(F.min(F.struct("rank", "o", "s")).alias("b"))
-        level += 1
+        found = adj.join(read(paths[-1:]).select(F.col("node").alias("s"), "rank"), "s")
+        best = without(found.groupBy("t").agg(F.min(F.struct("rank", "o", "s")).alias("b")), "t", read(paths).select(F.col("node").alias("t")))
         # Queue positions: a range sort by (parent's rank, link order), numbered per partition.
-        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)  # so that a level's numbers fit in 2^44
         ordered = best.select("t", "b.*").repartitionByRange(parts, "rank", "o").sortWithinPartitions("rank", "o")
-        new = ordered.select(F.col("t").alias("node"), F.col("s").alias("parent"), F.lit(level).alias("level"), (F.monotonically_increasing_id() + count * (1 << 44)).alias("rank"))
-        frontier = materialize(new, "bfs-level")
-        if frontier.isEmpty():
-            return seen
-        count += 1
-        seen = materialize(seen.unionByName(frontier), "bfs-seen")
+        new = ordered.select(F.col("t").alias("node"), F.col("s").alias("parent"), F.lit(len(paths)).alias("level"), (F.monotonically_increasing_id() + len(paths) * (1 << 44)).alias("rank"))
+        path = new_path(spark, "bfs-level")
+        new.write.parquet(path)
+        if read([path]).isEmpty():
+            return read(paths)
+        paths.append(path)
 
 
 def authority_parents(flow: DataFrame, root: str) -> DataFrame:
@@ -63,15 +66,25 @@ def authority_parents(flow: DataFrame, root: str) -> DataFrame:
 
 
 def reachable(children: DataFrame, root: str) -> DataFrame:
-    """Nodes that chains of parents connect to the root; the root itself is one."""
-    spark = children.sparkSession
-    seen = frontier = spark.createDataFrame([(root,)], "node string")
-    children = materialize(children.select("node", "parent"), "tree-children")
-    while True:
-        frontier = materialize(children.join(frontier.withColumnRenamed("node", "parent"), "parent").select("node").join(seen, "node", "left_anti").distinct(), "tree-level")
-        if frontier.isEmpty():
-            return seen
-        seen = materialize(seen.unionByName(frontier), "tree-seen")
+    """Nodes that chains of parents connect to the root; the root itself is one. A node has one parent at most.
+
+    Pointer doubling: each round, a node's pointer becomes its target's pointer,
+    so a chain of length n takes log2(n) rounds. Nodes whose pointer is the root
+    are done; those that point to a node without a parent never get there, nor do
+    cycles, which are what is left once pointers have spanned all nodes. A node
+    that many point to is one row that is joined to them in pieces.
+    """
+    up = materialize(children.where(F.col("node") != root).groupBy("node").agg(F.min("parent").alias("to")), "tree-pointers")
+    total, span = up.count(), 1
+    arrived, on_the_way = F.col("to") == root, F.col("to") != root
+    while span <= total and not up.where(on_the_way).isEmpty():
+        asked = up.where(on_the_way).groupBy("to").agg(F.count("*").alias("n"))
+        jumps = asked.join(up.select(F.col("node").alias("to"), F.col("to").alias("next")), "to")
+        ahead = join_by_group(up.where(on_the_way), jumps, "to", "n", total).where(F.col("next").isNotNull()).select("node", F.col("next").alias("to"))
+        before, up = up, materialize(up.where(arrived).unionByName(ahead), "tree-pointers")
+        discard(before)
+        span *= 2
+    return children.sparkSession.createDataFrame([(root,)], "node string").unionByName(up.where(arrived).select("node"))
 
 
 def cross_flow(flow: DataFrame, shown: DataFrame, existing: DataFrame, root: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequill.functions.shared import materialize
+from pagequill.sources.store import CrawlStore
+
 TYPE_RANK = {"error": 0, "warning": 1, "info": 2}
 
 
@@ -106,8 +112,54 @@ def row_sizes(rows: DataFrame) -> DataFrame:
     return rows.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("bytes"), F.round(F.avg("b"), 1).alias("mean_bytes"))
 
 
-def domain_ratings(domains: DataFrame, ratings: DataFrame) -> DataFrame:
-    """domains (column target) with the rating of their host, one decimal; null if there is none."""
+#: Seconds that a rating counts after it was asked for.
+RATING_TTL = 300
+
+
+def domain_ratings(requests: DataFrame, history: DataFrame, ttl: int = RATING_TTL) -> DataFrame:
+    """requests (columns target, at) with domain, domain_rating (one decimal) and state, by the ratings known at that time.
+
+    history has a row (domain, fetched_at, rating) for each answer. The last
+    answer before the request counts for ttl seconds, or until the next one:
+    state is then cached; else expired, missing (never asked) or invalid (no
+    domain), and the rating is null. Answers hold in the one or two time slots
+    of ttl seconds that they reach into, so that requests meet them by an equal
+    (domain, slot) key, at most one each.
+    """
     from pagequill.functions.urls import extract_domain
 
-    return domains.withColumn("domain", extract_domain(F.col("target"))).join(ratings.select("domain", F.round("rating", 1).alias("domain_rating")), "domain", "left")
+    seconds = lambda c: F.unix_micros(c) / 1_000_000
+    known = history.groupBy("domain", "fetched_at").agg(F.round(F.max("rating"), 1).alias("domain_rating"))
+    later = F.lead("fetched_at").over(Window.partitionBy("domain").orderBy("fetched_at"))
+    known = known.withColumn("until", F.least(F.coalesce(seconds(later), F.lit(float("inf"))), seconds(F.col("fetched_at")) + ttl))
+    slot = lambda s: F.floor(s / ttl)
+    known = known.select(F.col("domain").alias("__d"), seconds(F.col("fetched_at")).alias("__from"), F.col("until").alias("__until"), "domain_rating")
+    known = known.withColumn("__slot", F.explode(F.sequence(slot(F.col("__from")), slot(F.col("__until")))))
+    first = history.groupBy(F.col("domain").alias("__f")).agg(F.min("fetched_at").alias("__first"))
+    rows = requests.withColumn("domain", extract_domain(F.col("target"))).withColumn("__at", seconds(F.col("at")))
+    here = (F.col("domain") == F.col("__d")) & (slot(F.col("__at")) == F.col("__slot")) & (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__until"))
+    rows = rows.join(known, here, "left").join(first, F.col("domain") == F.col("__f"), "left")
+    state = F.when(F.col("domain").isNull(), "invalid").when(F.col("__d").isNotNull(), "cached").when(F.col("__first") <= F.col("at"), "expired").otherwise("missing")
+    return rows.withColumn("state", state).drop("__d", "__slot", "__from", "__until", "__f", "__first", "__at")
+
+
+def look_up_ratings(targets: DataFrame, path: str, fetch: Callable[[DataFrame], DataFrame], now: datetime, ttl: int = RATING_TTL) -> DataFrame:
+    """targets (column target) with domain, domain_rating and cached, by a table of answers at path that lasts.
+
+    Distinct domains that the table has no valid answer for are asked, by fetch:
+    domains (column domain) to (domain, rating), rating null if that failed.
+    Answers are appended to the table; a failure is asked for again next time.
+    """
+    spark = targets.sparkSession
+    kept = CrawlStore(spark, path)
+    none = spark.createDataFrame([], "domain string, fetched_at timestamp, rating double")
+    history = spark.read.schema(none.schema).parquet(path) if kept.has(path) else none
+    at = F.lit(now).cast("timestamp")
+    asked = domain_ratings(targets.withColumn("at", at), history, ttl)
+    open_domains = asked.where(F.col("state").isin("expired", "missing")).select("domain").distinct()
+    got = materialize(fetch(open_domains).where(F.col("rating").isNotNull()).select("domain", at.alias("fetched_at"), F.col("rating").cast("double").alias("rating")), "ratings")
+    rows = materialize(asked, "rated")
+    got.write.mode("append").parquet(path)
+    new = got.groupBy("domain").agg(F.round(F.max("rating"), 1).alias("__new"))
+    rows = rows.join(new, "domain", "left").withColumn("domain_rating", F.coalesce("domain_rating", "__new"))
+    return rows.select(*targets.columns, "domain", "domain_rating", (F.col("state") == "cached").alias("cached"))

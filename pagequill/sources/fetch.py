@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -14,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import fetch_error
-from pagequill.functions.shared import new_path, numbered
+from pagequill.functions.shared import materialize, new_path, numbered, without
 from pagequill.operators.filters import CrawlScope
+from pagequill.operators.linkgraph import first_images
 from pagequill.sources import html as html_source
+from pagequill.sources.store import CrawlStore
 
 RESPONSE = "url string, depth int, status_code int, content_type string, size long, html string, redirects array<struct<url:string,status_code:int>>, final_url string, response_time double, error string, ord long"
 
@@ -73,22 +77,94 @@ def fetch_one(url: str, depth: int, s: FetchSettings) -> dict:
     return row | {"response_time": round((time.monotonic() - began) * 1000, 2)}
 
 
-def http_fetch(frontier: DataFrame, settings: FetchSettings | None = None) -> DataFrame:
-    """Responses for (url, depth, ord). With a delay a host's URLs go to one partition, where it is kept; without, all are spread."""
+#: Tasks that the URLs of a host are dealt to where a delay is asked for.
+LANES = 8
+
+
+def next_turn(now: float, lane: int, lanes: int, delay: float) -> float:
+    """The next time at which a lane may ask its host: lanes take turns on one clock, `delay` seconds each.
+
+    Whichever lanes run, and however late, two requests to a host are at least a
+    delay apart, as each lane has its own points in time.
+    """
+    period = lanes * delay
+    turn = lane * delay + max(math.ceil((now - lane * delay) / period), 0) * period
+    return turn if turn >= now else turn + period
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks to spread requests over, told as a number: adaptive execution would put a few kilobytes of URLs into one."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def http_fetch(frontier: DataFrame, settings: FetchSettings | None = None, lanes: int = LANES) -> DataFrame:
+    """Responses for (url, depth, ord). All URLs are spread over tasks; with a delay a host's are dealt to `lanes` lanes, which take turns.
+
+    A lane is one key of the shuffle and has its own points in time (next_turn),
+    so a host that has most URLs is fetched by several tasks at its full rate. A
+    task mixes the lanes it has, and while one lane waits, that is all it does.
+    """
     s = settings or FetchSettings()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, float] = {}
+        asked: dict[tuple, float] = {}
         for part in parts:
-            for u, d, k in zip(part.url, part.depth, part.ord, strict=True):
-                host = urlsplit(u).netloc
-                if s.delay and host in last:
-                    time.sleep(max(0.0, last[host] + s.delay - time.monotonic()))
-                last[host] = time.monotonic()
+            for u, d, k, lane in zip(part.url, part.depth, part.ord, part.lane, strict=True):
+                if s.delay:
+                    host = urlsplit(u).netloc
+                    now = time.time()
+                    turn = next_turn(max(now, asked.get((host, lane), 0.0) + s.delay / 2), int(lane), lanes, s.delay)
+                    time.sleep(max(turn - now, 0.0))
+                    asked[host, lane] = turn
                 yield pd.DataFrame([fetch_one(u, int(d), s) | {"ord": k}])
 
     host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    return frontier.select("url", "depth", "ord").repartition(host if s.delay else F.col("url")).mapInPandas(run, RESPONSE)
+    rows = frontier.select("url", "depth", "ord", F.pmod(F.xxhash64("url"), F.lit(lanes)).alias("lane"))
+    parts = _tasks(frontier)
+    dealt = rows.repartition(parts, host, "lane").sortWithinPartitions(F.xxhash64("url")) if s.delay else rows.repartition(parts, "url")
+    return dealt.mapInPandas(run, RESPONSE)
+
+
+def head_status(url: str, timeout: float = 5.0, headers: dict | None = None) -> int:
+    """The status of a HEAD request, redirects followed; 0 if there is no answer."""
+    try:
+        return urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}, method="HEAD"), timeout=timeout).status
+    except urllib.error.HTTPError as e:
+        return e.code
+    except (OSError, ValueError):
+        return 0
+
+
+#: HEAD requests that a task has under way at once.
+AT_ONCE = 5
+
+
+def http_probe(urls: DataFrame, at_once: int = AT_ONCE, ask: Callable[[str], int] = head_status) -> DataFrame:
+    """(src, status) of distinct URLs (column src), spread over tasks; a task has at_once requests under way."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for part in parts:
+                yield pd.DataFrame({"src": part.src, "status": pd.Series(list(pool.map(ask, part.src)), part.index, dtype="int32")})
+
+    return urls.select("src").repartition(_tasks(urls), "src").mapInPandas(run, "src string, status int")
+
+
+def image_statuses(images: DataFrame, path: str, probe: Callable[[DataFrame], DataFrame] = http_probe, most: int = 50) -> DataFrame:
+    """(src, status) of the images (url, pos, src) of pages, by a table of answers at path that lasts from crawl to crawl.
+
+    Distinct URLs that the table does not have are probed, once, and their answers
+    appended; of a page's images without an answer the first `most` are asked for,
+    and the others stay without a status until a later crawl asks for them.
+    """
+    spark = images.sparkSession
+    kept = CrawlStore(spark, path)
+    schema = "src string, status int"
+    known = spark.read.schema(schema).parquet(path) if kept.has(path) else spark.createDataFrame([], schema)
+    rows = images.where(F.col("src").rlike("^https?:")).select("url", "pos", "src")
+    fresh = first_images(without(rows, "src", known), most).select("src").distinct()
+    materialize(probe(fresh).select("src", F.col("status").cast("int").alias("status")), "probed").write.mode("append").parquet(path)
+    return rows.select("src").distinct().join(spark.read.schema(schema).parquet(path), "src")
 
 
 def table_fetch(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -121,7 +197,8 @@ def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], Data
     """(pages, links): breadth-first, one level of the frontier at a time.
 
     A level is fetched and parsed on the executors and written; the next one is
-    the accepted targets, distinct, less what is seen. ord numbers pages by
+    the accepted targets, distinct, less what is seen: plans don't grow with the
+    number of levels. ord numbers pages by
     (level, URL). With state, a folder, each level's pages, links and next
     frontier are written there, the frontier last: a crawl that is started again
     with the same folder goes on after the last whole level. stop is asked
@@ -129,13 +206,12 @@ def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], Data
     """
     spark = seeds.sparkSession
     root = state or new_path(spark, "crawl")
-    read = lambda k, part: spark.read.parquet(f"{root}/{k}/{part}")
+    read = lambda part, *levels: spark.read.parquet(*[f"{root}/{k}/{part}" for k in levels])
     done = _state(spark, root) if state else []
-    total = sum(read(k, "pages").count() for k in done)
-    seen = seeds.select("url").distinct()
-    for k in done:
-        seen = seen.unionByName(read(k, "frontier").select("url"))
-    frontier = read(done[-1], "frontier") if done else numbered(seeds.select("url", F.lit(0).alias("depth")).distinct(), ["url"], "seeds")
+    total = read("pages", *done).count() if done else 0
+    if not done:
+        numbered(seeds.select("url", F.lit(0).alias("depth")).distinct(), ["url"], "seeds").write.mode("overwrite").parquet(f"{root}/seeds")
+    frontier = read("frontier", done[-1]) if done else spark.read.parquet(f"{root}/seeds")
     for depth in range(len(done), scope.max_depth + 1):
         if depth > 0 and (frontier.isEmpty() or (max_urls is not None and total >= max_urls) or (stop is not None and stop())):
             break
@@ -143,17 +219,15 @@ def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], Data
             frontier = frontier.orderBy("ord").limit(max(max_urls - total, 0))
         got = fetch(frontier).withColumn("error_type", F.when(F.col("error") == "file_too_large", "file_too_large").when(F.col("status_code") == 0, fetch_error(F.col("error"))))
         html_source.extract_pages(got).write.mode("overwrite").parquet(f"{root}/{depth}/pages")
-        got = read(depth, "pages")
+        got = read("pages", depth)
         total += got.count()
         html_source.collect_links(got).write.mode("overwrite").parquet(f"{root}/{depth}/links")
-        found = read(depth, "links")
+        found = read("links", depth)
         new = found.where((F.col("placement") != "image") & scope.accepts(F.col("target_url"))).select(F.regexp_replace("target_url", "#.*$", "").alias("url")).distinct()
-        new = numbered(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth + 1)), ["url"], f"frontier-{depth}", total)
+        # What is seen is one scan of the folders so far, and a mark table leaves few of its rows to be joined.
+        seen = spark.read.parquet(f"{root}/seeds", *[f"{root}/{k}/frontier" for k in done]).select("url")
+        new = numbered(without(new, "url", seen).withColumn("depth", F.lit(depth + 1)), ["url"], f"frontier-{depth}", total)
         new.write.mode("overwrite").parquet(f"{root}/{depth}/frontier")
-        frontier = read(depth, "frontier")
-        seen = seen.unionByName(frontier.select("url"))
+        frontier = read("frontier", depth)
         done.append(depth)
-    pages, links = read(done[0], "pages"), read(done[0], "links")
-    for k in done[1:]:
-        pages, links = pages.unionByName(read(k, "pages")), links.unionByName(read(k, "links"))
-    return pages.drop("links"), links
+    return read("pages", *done).drop("links"), read("links", *done)

@@ -101,10 +101,11 @@ def late_status(links: DataFrame, pages: DataFrame, ttl_ms: int | None = None, s
     link whose page lands after that stays as it is. The links of a target are
     dealt to `salts` keys, so that one that all pages link to has no key of its own.
 
-    Two tables, not streams, are joined as they are.
+    Where one of them is a table, not a stream, they are joined as they are, and
+    all columns of links stay.
     """
-    if not links.isStreaming and not pages.isStreaming:
-        return resolve_status(links, pages).select("source_url", "target_url", "ord", "target_status")
+    if not (links.isStreaming and pages.isStreaming):
+        return resolve_status(links, pages)
     links.sparkSession.conf.set(*STATE_STORE)
     empty = F.lit(None).cast("string")
     one = links.select(F.col("target_url").alias("target"), F.pmod(F.xxhash64("source_url"), F.lit(salts)).cast("int").alias("salt"), F.lit(False).alias("landed"), "source_url", F.col("ord").cast("long").alias("ord"), F.col("target_status").cast("int").alias("status"))
