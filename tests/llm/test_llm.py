@@ -438,6 +438,41 @@ def test_seeds_equal_plain_alignment():
         assert [x[1][0] for x in got] == ([score] if score >= bar else [])
 
 
+def test_every_match_holds_a_rare_seed():
+    """Whatever the counts are, and however a copy is edited."""
+    r, kept, of = random.Random(16), 0, 0
+    for _ in range(600):
+        words = WORDS[: r.choice([12, 60, 300])]
+        item = r.choices(words, k=r.choice([1, 2, 3, 5, 8, 20, 40]))
+        copy = [y for w in item for y in (r.choice([[], [r.choice(words)], [w, "put"]]) if r.random() < 0.35 else [w])]
+        text, bar = " ".join(r.choices(words, k=r.randint(0, 20)) + copy + r.choices(words, k=20)), r.choice([0.3, 0.5, 0.8])
+        seeds = decontaminate.Seeds.of([(0, " ".join(item))], bar)
+        counts = np.array([r.choice([0, 1, 5, 1000]) for _ in seeds.lookup.codes])
+        rare = seeds.rare(counts)
+        kept, of = kept + rare.sum(), of + len(rare)
+        score = decontaminate.align(decontaminate.words_of(" ".join(item)), decontaminate.words_of(text))[0]
+        hits, _ = decontaminate.Lookup(seeds.codes[rare]).hits(decontaminate.numbered_words([text.encode()], seeds.number))
+        assert score < bar or len(hits)
+        often = counts[np.unique(seeds.codes, return_inverse=True)[1]]
+        assert rare.all() or often[~rare].min() >= often[rare].max()
+    assert kept < 0.75 * of
+
+
+def test_decontamination_on_odd_rows(spark):
+    """Ties, repeated rows, items and ids, a hot passage, a very long text, many texts in a slice, string ids, clashing names."""
+    item, other = prose(900, 30), prose(901, 12)
+    long = f"{prose(902, 200_000)} {item} {prose(903, 200_000)}"
+    rows = [("a", f"{item} {prose(904, 9)} {item}"), ("a", f"x {item}"), ("a", f"x {item}"), (None, item.upper()), ("b", long), ("c", f"{other}, {item}"), ("d", prose(905, 100)), ("e", None), ("f", "")]
+    rows += [(f"h{i}", f"{prose(2000 + i, 30)} {item} {prose(3000 + i, 30)}") for i in range(300)]
+    df = spark.createDataFrame([(i, t, "s", "s", 1) for i, t in rows], "doc_id string, text string, score string, item string, row int").repartition(3)
+    bench = spark.createDataFrame([("i", item, 1), ("i", item, 2), ("o", other, 3), (None, None, 4), ("z", "", 5)], "item_id string, text string, start int")
+    got = [(r["doc_id"], r["item_id"], r["score"], r["start_word"], r["end_word"]) for r in decontaminate.find_contamination(df, bench).collect()]
+    want = [("a", 0, 30), ("a", 1, 31), ("a", 1, 31), (None, 0, 30), ("b", 200_000, 200_030), ("c", 12, 42), *[(f"h{i}", 30, 60) for i in range(300)]]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(i, "i", 1.0, a, z) for i, a, z in want for _ in (0, 1)] + [("c", "o", 1.0, 0, 12)]))
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(map(repr, left.select("doc_id", "text").collect())) == sorted(repr(r) for r in df.where("doc_id in ('d', 'e', 'f')").select("doc_id", "text").collect())
+
+
 def test_licenses_equal_plain_windows_at_every_place(spark):
     w, r = licenses.TEMPLATES[4][1].split(), random.Random(7)
     texts = []
