@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.functions.shared import discard, join_by_group, materialize, new_path, shared_dir  # noqa: F401  what the operators share
+from pagequill.functions.shared import MARK_WORDS, discard, join_by_group, mark_possible, materialize, new_path, shared_dir  # noqa: F401  what the operators share
 
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
@@ -19,24 +19,6 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Words of 64 bits in a mark table: at most so many rows of an int and a long (16 MB of values) are broadcast.
-MARK_WORDS = 1 << 20
-
-
-def mark_possible(rows: DataFrame, key: Column, members: DataFrame, member: str, name: str) -> DataFrame:
-    """rows with a boolean <name>: true for every row whose key is in members.<member>, rarely for others, null keys included.
-
-    One bit of a table of fixed size stands for each member's hash, so what is
-    broadcast has a bound; with far more members than bits all rows are marked.
-    An exact join of the marked rows is to follow.
-    """
-    word = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_WORDS)).cast("int")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.xxhash64(c), 32).bitwiseAND(F.lit(63)).cast("int"))
-    bits = members.select(word(F.col(member)).alias("__word"), bit(F.col(member)).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    found = rows.withColumn("__at", word(key)).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
-    return found.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__at", "__word", "__bits")
-
-
 def split_members(rows: DataFrame, key: str, members: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is in members.<member>, all others but those of a null key).
 
