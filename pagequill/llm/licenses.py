@@ -1,5 +1,15 @@
-"""License scan: common shingles retrieve templates, containment is verified at every place.
-
+"""License scan: MinHash bands over overlapping windows retrieve templates, containment is verified at every place.
+
+A template of s shingles is looked for in windows of s + STEP s - 1 shingles (STEP
+is a quarter, rounded up), which start at every STEP s: any s shingles in a row lie
+within one of them. A window that holds CONTAINMENT, 0.8, of the template's
+shingles has a Jaccard similarity J of 0.8 s / (1.25 s + 0.2 s) = 0.55 or more with
+it. With BANDS = 64 bands of ROWS = 2 minima, the window and the template agree in
+no band with a probability of (1 - J^2)^64, 8e-11 at most; a template of one
+shingle has J = 1. So a notice in ten thousand million is missed by chance.
+
+A window that shares no shingle with any template agrees with none in a band, so
+minima are computed for windows that hold a shingle of a template of their size.
 DataFrame functions only.
 """
 
@@ -7,12 +17,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequill.llm.common import materialize
+
 # Notices of common licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -46,8 +56,9 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 _WORD = r"[^a-z0-9.+-]+"
 MAX_TEMPLATES = 10_000
-#: Shingles that are compared as literals, to leave out documents early.
-MOST_LITERALS = 5_000
+BANDS, ROWS = 64, 2
+#: Windows of a template start at so many of its shingles, as a divisor.
+STEPS = 4
 
 
 def _words(text: Column) -> Column:
@@ -85,14 +96,38 @@ def anchors(templates: list[tuple[str, str]], containment: float = CONTAINMENT,
     return chosen
 
 
+def _bands(shingles: str) -> str:
+    """array<bigint>: a key for each band, of the minima of ROWS hash functions over an array of shingle hashes."""
+    minima = ", ".join(f"array_min(transform({shingles}, h -> xxhash64(h, {ROWS} * b + {r})))" for r in range(ROWS))
+    return f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {minima}))"
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """template, license, size (words), n (words of a shingle: SHINGLE, or all of fewer), shingles, phrase."""
+    """template, license, size (words), n (words of a shingle: SHINGLE, or all of fewer), shingles, s (shingle places), step and width of its windows, bands."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError("the template table is broadcast and must stay small")
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
     rows = rows.select("template", "license", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
     by_n = F.coalesce(*[F.when(F.size("w") == n, _shingles("w", n)) for n in range(1, SHINGLE)], _shingles("w"))
-    return rows.select("template", "license", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("n"), F.array_distinct(by_n).alias("shingles"), F.array_join("w", " ").alias("phrase"))
+    rows = rows.select("template", "license", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("n"), F.array_distinct(by_n).alias("shingles"))
+    rows = rows.withColumn("s", F.col("size") - F.col("n") + 1).withColumn("step", F.ceil(F.col("s") / STEPS).cast("int"))
+    return rows.withColumns({"width": F.col("s") + F.col("step") - 1, "bands": F.expr(_bands("shingles"))})
+
+
+def _retrieved(held: DataFrame, hits: DataFrame, table: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, k, template): templates that agree with a window of the document in some band. held: id, k, w; hits: places of templates' shingles."""
+    first = F.greatest(F.ceil((F.col("at") - F.col("width") + 1) / F.col("step")), F.lit(0)).cast("int")
+    starts = F.transform(F.sequence(first, F.floor(F.col("at") / F.col("step")).cast("int")), lambda i: i * F.col("step"))
+    windows = hits.select("id", "k", F.explode(starts).alias("start"), "n", "s", "width").groupBy("id", "k", "n", "s", "width", "start").agg(F.count("*").alias("shared"))
+    windows = windows.groupBy("id", "k").agg(F.collect_list(F.struct("n", "s", "width", "start")).alias("windows"))
+    same = F.col("h.id").eqNullSafe(F.col("v.id")) & (F.col("h.k") == F.col("v.k"))
+    rows = held.alias("h").join(windows.alias("v"), same).select("h.id", "h.k", "w", "windows")
+    rows = rows.select("id", "k", "windows", *[_shingles("w", n).alias(f"h{n}") for n in sizes])
+    of_size = f"case {' '.join(f'when x.n = {n} then h{n}' for n in sizes)} end"
+    keys = F.expr(f"transform(windows, x -> struct(x.n as n, x.s as s, transform(array(slice({of_size}, x.start + 1, x.width)), a -> {_bands('a')})[0] as bands))")
+    keys = rows.select("id", "k", F.explode(keys).alias("x")).select("id", "k", "x.n", "x.s", F.explode("x.bands").alias("band"))
+    index = F.broadcast(table.select("n", "s", "template", F.explode("bands").alias("band")))
+    return keys.join(index, ["n", "s", "band"]).groupBy("id", "k", "template").agg(F.count("*").alias("agree")).select("id", "k", "template")
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -101,29 +136,26 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     One row for each document and template that a window of the text contains to
     `containment` or more of its 5-word shingles (its whole word sequence if it is
     shorter); the best window is named, of equals the first. Windows have a
-    template's length and start at every word. Documents are told apart by
-    id and text, so repeated rows match once, and null ids are kept apart by
-    their texts. Null and empty texts match nothing; other columns are ignored.
+    template's length and start at every word; the bands (see above) say which
+    templates are verified so. Documents are told apart by id and text, so
+    repeated rows match once, and null ids are kept apart by their texts. Null
+    and empty texts match nothing; other columns are ignored. Documents without
+    any anchor word (see anchors) can match nothing and are left out first.
     """
-    spark = docs.sparkSession
+    spark, text = docs.sparkSession, F.col(f"`{text_col}`")
     table = template_table(spark, templates)
     words = anchors(templates, containment)
-    near = F.lower(F.col(text_col)).rlike("|".join(re.escape(w) for w in words))
-    rows = docs.where(near).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), _words(F.col(text_col)).alias("w"))
-    rows = rows.where(F.arrays_overlap("w", F.array(*map(F.lit, words))))
-    # Places of shingles, of documents that hold one of some template; short templates are looked up as phrases first.
-    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    short: dict[int, list[Column]] = {}
-    for r in table.where(F.col("n") < SHINGLE).select("n", "phrase").distinct().collect():
-        short.setdefault(r["n"], []).append(joined.contains(f" {r['phrase']} "))
-    long = [r["h"] for r in table.where(F.col("n") == SHINGLE).select(F.explode("shingles").alias("h")).distinct().limit(MOST_LITERALS + 1).collect()]
-    held = {n: reduce(or_, cs) for n, cs in sorted(short.items())}
-    held[SHINGLE] = F.arrays_overlap(_shingles("w"), F.array(*map(F.lit, long)).cast("array<bigint>")) if len(long) <= MOST_LITERALS else F.lit(True)
-    places = [F.when(c, _places("w", n)).otherwise(F.array().cast("array<struct<n:int,h:bigint,at:int>>")) for n, c in held.items()]
-    rows = rows.select("id", "tk", F.explode(F.concat(*places)).alias("p"))
-    index = F.broadcast(table.select("template", "license", "size", "n", F.size("shingles").alias("of"), F.explode("shingles").alias("h")))
-    hits = rows.select("id", "tk", "p.n", "p.h", "p.at").join(index, ["n", "h"])
-    lists = hits.groupBy("id", "tk", "license", "template").agg(F.first("of").alias("of"), F.first("size").alias("m"), (F.first("size") - F.first("n")).alias("r"), F.sort_array(F.collect_set(F.struct("at", "h"))).alias("l"))
+    near = F.lower(text).rlike("|".join(re.escape(w) for w in words))
+    rows = docs.where(near).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`", text).alias("k"), _words(text).alias("w"))
+    held = materialize(rows.where(F.arrays_overlap("w", F.array(*map(F.lit, words)))).groupBy("id", "k").agg(F.first("w").alias("w")), "license-words")
+    sizes = sorted(r["n"] for r in table.select("n").distinct().collect())
+    places = held.select("id", "k", F.explode(F.concat(*[_places("w", n) for n in sizes])).alias("p"))
+    index = F.broadcast(table.select("template", "license", "size", "n", "s", "step", "width", F.size("shingles").alias("of"), F.explode("shingles").alias("h")))
+    hits = materialize(places.select("id", "k", "p.n", "p.h", "p.at").join(index, ["n", "h"]), "license-hits")
+    found = _retrieved(held, hits, table, sizes)
+    same = F.col("a.id").eqNullSafe(F.col("f.id")) & (F.col("a.k") == F.col("f.k")) & (F.col("a.template") == F.col("f.template"))
+    hits = hits.alias("a").join(found.alias("f"), same, "left_semi")
+    lists = hits.groupBy("id", "k", "license", "template").agg(F.first("of").alias("of"), F.first("size").alias("m"), (F.first("size") - F.first("n")).alias("r"), F.sort_array(F.collect_set(F.struct("at", "h"))).alias("l"))
     lists = lists.where(F.size(F.array_distinct("l.h")) / F.col("of") >= containment - 1e-9)
     # The first of the best windows starts the text or has a hit as its last shingle. A window has r + 1 shingles, so its hits are near in l.
     inside = "filter(slice(l, greatest(j - r, 0) + 1, r + 1), y -> y.at between greatest(x.at - r, 0) and greatest(x.at - r, 0) + r)"

@@ -438,6 +438,35 @@ def test_seeds_equal_plain_alignment():
         assert [x[1][0] for x in got] == ([score] if score >= bar else [])
 
 
+def test_bands_retrieve_what_windows_share(spark):
+    """Every template's windows: their sizes keep the stated similarity, and edited copies at any place are retrieved by bands alone."""
+    table = licenses.template_table(spark).collect()
+    for r in table:
+        assert r["width"] == r["s"] + r["step"] - 1 and (r["s"] == 1 or r["width"] <= 1.25 * r["s"])
+        j = 0.8 * r["s"] / (r["width"] + 0.2 * r["s"]) if r["s"] > 1 else 1.0
+        assert j >= 0.55 and (1 - j**licenses.ROWS) ** licenses.BANDS < 1e-10 and len(r["bands"]) == licenses.BANDS
+    r = random.Random(21)
+    texts, want = [], set()
+    for k, (_, template) in enumerate(licenses.TEMPLATES):
+        w = template.split()
+        copy = [f"new{i}" if len(w) > 40 and i in (11, 12) else x for i, x in enumerate(w)]
+        texts.append(f"{prose(800 + k, r.randrange(60))} {' '.join(copy)} {prose(900 + k, r.randrange(60))}")
+        want.add((k, k))
+    got = {(x["doc_id"], x["template"]) for x in licenses.scan_licenses(docs(spark, *texts)).collect()}
+    assert want <= got
+
+
+def test_licenses_on_odd_rows(spark):
+    """Null, empty and very long texts, null and repeated ids, ties, an empty table, string ids, clashing names."""
+    mit = licenses.TEMPLATES[2][1]
+    rows = [("a", mit), ("a", mit), (None, mit), (None, mit), (None, f"x {mit}"), ("b", None), ("c", ""), ("d", f"{prose(1, 100_000)} {mit} {mit}"), ("e", "all rights reserved")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id string, text string, k int, n int, template int")
+    got = [(r["doc_id"], r["license"], r["containment"], r["start_word"]) for r in licenses.scan_licenses(df).collect()]
+    want = [("a", "MIT", 1.0, 0), (None, "MIT", 1.0, 0), (None, "MIT", 1.0, 1), ("d", "MIT", 1.0, 100_000), ("e", "Proprietary", 1.0, 0)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
 def test_every_match_holds_a_rare_seed():
     """Whatever the counts are, and however a copy is edited."""
     r, kept, of = random.Random(16), 0, 0
