@@ -4,15 +4,19 @@ DataFrame functions only. Base spans come from three patterns. Further spans are
 tokens that look random: for each token an encoding is inferred from its
 characters, and chi-squared uniformity over that alphabet, a runs test and a
 lag-1 serial correlation must not contradict randomness. The hypothesis of
-ordinary writing is then tested by the evenness of the letters (chi-squared) and
-by the runs of letters of one kind, as writing seldom changes between letters and
-digits or between cases; both make one p-value, and the hypothesis is rejected
-under false-discovery control whose weights grow with the token's length.
+ordinary writing is then tested by the evenness of the letters (chi-squared),
+by changes between letters and digits, and by capitals without two small letters
+behind them, which are few in writing, names included. All make one p-value, where
+each counts by what a random token of the encoding and length is expected to
+show in it, and the hypothesis is rejected under false-discovery control whose
+weights grow with the token's length.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +44,9 @@ ALPHABETS = {
 }
 #: Chance that two letters of ordinary writing are equal.
 WRITING_REPEAT = 0.065
-#: Chances that ordinary writing changes from a letter to a digit or back, and that it changes the case too.
-WRITING_DIGIT, WRITING_KIND = 0.05, 0.2
+#: Chances that ordinary writing changes from a letter to a digit or back, and that a capital is followed by anything but
+#: two small letters, where there are small letters. Changes of case say nothing: names are full of them.
+WRITING_DIGIT, WRITING_CAPITALS = 0.05, 0.15
 MAX_Z = 3.0
 FALSE_DISCOVERIES = 0.01
 _STEP, _STEPS = 0.05, 1200
@@ -102,17 +107,23 @@ def _battery(tokens: DataFrame) -> DataFrame:
         "z_serial": F.when(F.col("ss") > 0, F.col("sc") / F.col("ss") * F.sqrt(n)).otherwise(F.lit(99.0)),
         "z_writing": (k - 1 + excess - F.col("chi2")) / F.sqrt(2 * (k - 1) + 4 * excess),
     })
-    # Neighbours that are both letters or digits, and how often the kind changes between them.
+    # Neighbours that are both letters or digits, how often they change, which capitals don't begin a word, and what a random token would show.
     kinds = F.translate("t", _LOWER + _LOWER.upper() + "0123456789+/=_-", "l" * 26 + "u" * 26 + "d" * 10 + "-" * 5)
     count = lambda pattern: F.regexp_count(kinds, F.lit(f"(?={pattern})")).cast("double")
-    t = t.withColumns({"near": count("[lud][lud]"), "digit": count("[lu]d|d[lu]"), "kinds": count("[lu]d|d[lu]|lu|ul")})
-    above = lambda c, q: F.when(F.col("near") > 0, (F.col(c) - F.col("near") * q) / F.sqrt(F.col("near") * q * (1 - q))).otherwise(F.lit(0.0))
-    t = t.withColumn("z_kinds", F.greatest(above("digit", WRITING_DIGIT), above("kinds", WRITING_KIND)))
-    t = t.withColumn("z", (F.col("z_writing") + F.col("z_kinds")) / math.sqrt(2))
+    t = t.withColumns({"near": count("[lud][lud]"), "changes": count("[lu]d|d[lu]"), "capitals": count("u[lud][lud]"), "odd": count("u(?!ll)[lud][lud]")})
+    share = lambda letters: F.length(F.regexp_replace("abc", f"[^{letters}]", "")) / k
+    over = lambda found, null, of: F.when(of > 0, (found - of * null) / F.sqrt(of * null * (1 - null))).otherwise(F.lit(0.0))
+    expected = F.col("near") * share("A-Z")
+    both_cases = F.col("t").rlike("[a-z]") & (share("a-z") > 0) & (share("A-Z") > 0)
+    t = t.withColumns({
+        "z_kinds": over(F.col("changes"), WRITING_DIGIT, F.col("near")), "e_kinds": over(F.col("near") * 2 * share("0-9") * share("A-Za-z"), WRITING_DIGIT, F.col("near")), "e_writing": excess / F.sqrt(2 * (k - 1) + 4 * excess),
+        "z_capitals": over(F.col("odd"), WRITING_CAPITALS, F.col("capitals")), "e_capitals": F.when(both_cases, over(expected * (1 - share("a-z") * share("a-z")), WRITING_CAPITALS, expected)).otherwise(F.lit(0.0)),
+    })
+    parts = [(F.col(f"e_{c}"), F.col(f"z_{c}")) for c in ("writing", "kinds", "capitals")]
+    t = t.withColumn("z", reduce(add, [e * z for e, z in parts]) / F.sqrt(reduce(add, [e * e for e, _ in parts])))
     random = (F.col("z_chi2") <= MAX_Z) & (F.abs("z_runs") <= MAX_Z) & (F.abs("z_serial") <= MAX_Z) & (F.col("z") > 0)
-    # The better of two tests of kinds is taken, hence the factor.
-    p = F.when((n >= 16) & random, F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2))).otherwise(F.lit(1.0))
-    return t.withColumn("p", p).select(*tokens.columns, "encoding", "n", "z_chi2", "z_runs", "z_serial", "z_writing", "z_kinds", "p")
+    p = F.when((n >= 16) & random, F.exp(-F.col("z") * F.col("z") / 2)).otherwise(F.lit(1.0))
+    return t.withColumn("p", p).select(*tokens.columns, "encoding", "n", "z_chi2", "z_runs", "z_serial", "z_writing", "z_kinds", "z_capitals", "z", "p")
 
 
 def discovery_limit(tested: DataFrame, rate: float = FALSE_DISCOVERIES) -> tuple[float, float]:

@@ -1,5 +1,6 @@
 """Corpus operators and the pipeline against plain versions of what they compute."""
 
+import math
 import os
 import random
 import re
@@ -150,3 +151,73 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     want = {i: np.array([*encode.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in now}
     assert {i: b"".join(x for _, x in sorted(p)) for i, p in got.items()} == want
     assert os.path.isdir(f"{tmp_path}/documents.parquet") and simhash is not None
+
+
+def plain_battery(token):
+    """The statistics of one token, letter by letter: (encoding, z of uniformity, runs, serial correlation, p of writing)."""
+    t = token.rstrip("=")
+    name = next((k for k, abc in secrets.ALPHABETS.items() if set(t) <= set(abc)), "mixed")
+    abc = secrets.ALPHABETS[name]
+    n, k, at = len(t), len(abc), [abc.index(c) for c in t]
+    counts = [t.count(c) for c in abc]
+    chi2 = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    z_chi2 = (chi2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [x >= k / 2 for x in at]
+    both, runs = 2 * sum(high) * (n - sum(high)), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    var = both * (both - n) / (n * n * (n - 1))
+    z_runs = (runs - 1 - both / n) / math.sqrt(var) if var > 0 else 99.0
+    mean = sum(at) / n
+    ss = sum((x - mean) ** 2 for x in at)
+    z_serial = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:], strict=False)) / ss * math.sqrt(n) if ss > 0 else 99.0
+    excess = (n - 1) * (k * max(secrets.WRITING_REPEAT, 1.6 / k) - 1)
+    parts = [(excess / math.sqrt(2 * (k - 1) + 4 * excess), (k - 1 + excess - chi2) / math.sqrt(2 * (k - 1) + 4 * excess))]
+    kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "-" for c in t]
+    pairs = [(a, b) for a, b in zip(kind, kind[1:], strict=False) if "-" not in (a, b)]
+    digits, letters, capitals = (sum(map(f, abc)) / k for f in (str.isdigit, str.isalpha, str.isupper))
+
+    def over(found, null, of):
+        return (found - of * null) / math.sqrt(of * null * (1 - null)) if of else 0.0
+
+    small = sum(map(str.islower, abc)) / k
+    parts.append((over(len(pairs) * 2 * digits * letters, secrets.WRITING_DIGIT, len(pairs)), over(sum((a == "d") != (b == "d") for a, b in pairs), secrets.WRITING_DIGIT, len(pairs))))
+    if capitals and small and "l" in kind:
+        behind = ["".join(kind[i + 1 : i + 3]) for i in range(n - 2) if kind[i] == "u" and "-" not in kind[i + 1 : i + 3]]
+        parts.append((over(len(pairs) * capitals * (1 - small**2), secrets.WRITING_CAPITALS, len(pairs) * capitals), over(sum(x != "ll" for x in behind), secrets.WRITING_CAPITALS, len(behind))))
+    z = sum(e * x for e, x in parts) / math.sqrt(sum(e * e for e, _ in parts))
+    random_looking = n >= 16 and z_chi2 <= 3 and abs(z_runs) <= 3 and abs(z_serial) <= 3 and z > 0
+    return name, z_chi2, z_runs, z_serial, math.exp(-z * z / 2) if random_looking else 1.0
+
+
+def test_battery_equals_a_plain_recomputation(spark):
+    r = random.Random(31)
+    tokens = ["".join(r.choices(abc, k=r.choice([20, 24, 33, 64, 500]))) + "=" * r.choice([0, 0, 2]) for abc in secrets.ALPHABETS.values() for _ in range(12)]
+    tokens += ["MyVeryLongClassNameFactoryBeanImpl2", "a" * 30, "ab" * 20, "2024-01-15-release-candidate-3-build", "0123456789" * 4, "AAAAAAAAAAAAAAAAAAAAAAAA1", "_" * 25 + "a"]
+    got = {x["v"]: x for x in secrets._battery(spark.createDataFrame([(t,) for t in tokens], "v string")).collect()}
+    for t in tokens:
+        name, *want = plain_battery(t)
+        assert got[t]["encoding"] == name
+        assert [got[t][c] for c in ("z_chi2", "z_runs", "z_serial", "p")] == pytest.approx(want, abs=1e-9), t
+
+
+def test_discovery_limit_equals_sorted_p_values(spark):
+    """Weighted Benjamini-Hochberg; counting in steps moves the limit by one step of -ln p at most."""
+    r = random.Random(32)
+    rows = [(float(r.choice([20, 40, 100])), min(1.0, math.exp(-abs(r.gauss(0, 3)) ** 2 / 2) if r.random() < 0.3 else r.random() + 1e-9)) for _ in range(2000)]
+    limit, mean = secrets.discovery_limit(spark.createDataFrame(rows, "n double, p double"), 0.05)
+    assert mean == pytest.approx(sum(n for n, _ in rows) / len(rows))
+    q = sorted(p * mean / n for n, p in rows)
+    best = max((x for k, x in enumerate(q, 1) if x <= 0.05 * k / len(q)), default=0.0)
+    assert best * math.exp(-2 * secrets._STEP) <= limit <= 0.05 and limit <= best * math.exp(2 * secrets._STEP)
+
+
+def test_random_tokens_are_found_and_names_are_not(spark):
+    r = random.Random(5)
+    words = "my very long class name factory bean impl abstract service user account manager request handler response list index create update string builder config module".split()
+    tokens = [(name, "".join(r.choices(abc, k=n))) for name, abc in secrets.ALPHABETS.items() if name != "mixed" for n in (20, 24, 28) for _ in range(30)]
+    for k in range(300):
+        w = r.choices(words, k=r.randint(5, 8))
+        tokens.append(("name", ("".join(x.capitalize() for x in w) + str(k % 10), "_".join(w), "-".join(w), "/".join(w))[k % 4]))
+    found = {x["doc_id"] for x in secrets.scan_secrets(docs(spark, *[f"{prose(i, 20)} {t} end" for i, (_, t) in enumerate(tokens)])).where(F.size("spans") > 0).collect()}
+    share = {k: [i in found for i, (name, _) in enumerate(tokens) if name == k] for k in {name for name, _ in tokens}}
+    assert sum(share["name"]) <= 3
+    assert all(sum(v) >= (0.6 if k == "base32" else 0.85) * len(v) for k, v in share.items() if k != "name"), {k: sum(v) / len(v) for k, v in share.items()}
