@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
+from operator import itemgetter
+from urllib.parse import SplitResult, parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,30 +17,39 @@ INDEX_FILES = ("index.html", "index.htm", "index.php", "default.html", "default.
 PATH_SAFE = "/:@!$&'()*+,;=~-._"
 
 
+def _authority(p: SplitResult) -> str:
+    """Credentials as they are, the host in lower case, and a port that the scheme doesn't imply."""
+    login = ":".join(x for x in (p.username, p.password) if x) if p.username else ""
+    port = "" if p.port is None or p.port == DEFAULT_PORTS[p.scheme] else str(p.port)
+    return (login and login + "@") + ":".join(x for x in (p.hostname, port) if x)
+
+
+def _query(text: str) -> str:
+    """Parameters by name, those of one name in their order, encoded anew; a # or nothing at all leaves no mark."""
+    pairs = parse_qsl(text, keep_blank_values=True)
+    return "?" + urlencode(sorted(pairs, key=itemgetter(0))) if pairs else ""
+
+
+_INDEX = re.compile("/(" + "|".join(map(re.escape, INDEX_FILES)) + ")$", re.IGNORECASE)
+
+
+def _page_key(authority: str, path: str) -> str:
+    """Authority and path as the aggressive form has them: what a site serves under several names is one page."""
+    return authority.removeprefix("www.") + (_INDEX.sub("/", path).rstrip("/") or "/")
+
+
 def canonical(url: str | None, aggressive: bool = False) -> str | None:
     """The normal form of one URL; what is no http(s) URL comes back as it is."""
-    if not url:
-        return url
     try:
-        p = urlsplit(url.strip())
-        host, port = p.hostname, p.port
+        p = urlsplit((url or "").strip())
+        if p.scheme not in DEFAULT_PORTS or not p.hostname:
+            return url
+        authority = _authority(p)
     except ValueError:
         return url
-    scheme = p.scheme.lower()
-    if scheme not in DEFAULT_PORTS or not host:
-        return url
-    net = host if port in (None, DEFAULT_PORTS[scheme]) else f"{host}:{port}"
-    if p.username:
-        net = f"{p.username}{':' + p.password if p.password else ''}@{net}"
-    path = quote(unquote(p.path), safe=PATH_SAFE) or "/"
-    query = urlencode(sorted(parse_qsl(p.query, keep_blank_values=True), key=lambda kv: kv[0]))
-    if aggressive:
-        net = net.removeprefix("www.")
-        folder, _, last = path.rpartition("/")
-        if last.lower() in INDEX_FILES:
-            path = folder + "/"
-        path = path.rstrip("/") or "/"
-    return f"{scheme}://{net}{path}" + (f"?{query}" if query else "")
+    path = quote(unquote(p.path or "/"), safe=PATH_SAFE)
+    place = _page_key(authority, path) if aggressive else authority + path
+    return p.scheme + "://" + place + _query(p.query)
 
 
 @F.pandas_udf(T.StringType())

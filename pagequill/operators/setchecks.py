@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequill.functions.scalars import missing, missing_list
-from pagequill.functions.shared import join_by_group
+from pagequill.functions.shared import join_by_group, materialize
 from pagequill.functions.urls import normalize_url
 from pagequill.model import ISSUE_COLUMNS
 from pagequill.operators.filters import excluded
@@ -56,7 +56,7 @@ def shared_values(pages: DataFrame, exclusions: list[str] | None = None) -> Data
 
 def duplicate_issues(pages: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
     """One issue for each member of a group that shares a title, description or h1; no value, however common, meets in one task."""
-    rows = shared_values(pages, exclusions)
+    rows = materialize(shared_values(pages, exclusions), "shared-values")
     # A rank limit is applied in each task before rows are shuffled, so a hot value sends a few of them.
     place = F.row_number().over(Window.partitionBy("field", "key").orderBy("ord", "url"))
     firsts = rows.withColumn("place", place).where(F.col("place") <= SAMPLES + 1)
@@ -95,15 +95,18 @@ def _letters(c: Column) -> Column:
     return F.array(*counts, F.length(low) - F.reduce(F.array(*counts), F.lit(0), lambda a, x: a + x))
 
 
-def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str] | None = None) -> DataFrame:
+def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str] | None = None, work: list | None = None) -> DataFrame:
     """(url_a, url_b, similarity) of page pairs, in crawl order, whose weighted text similarity reaches the threshold.
 
-    A score of threshold needs a title similarity of at least
-    (threshold - 0.65) / 0.35. For difflib's ratio 2M/T that bounds lengths and
-    letter counts, so pairs are found by an equi-join on length buckets and cut
-    by both bounds in the JVM before difflib scores them in Arrow batches. All
-    titles of a length bucket meet, so the work is quadratic in a bucket. At 0.65 or below the bounds
-    say nothing, and a ValueError is raised.
+    A score of threshold needs a similarity of title and description of at least
+    (threshold - 0.65) / 0.35 each. For difflib's ratio 2M/T that bounds lengths,
+    so pairs are found by an equi-join on buckets of both lengths. The score's
+    bound by the lengths of all three texts, then by the letters that they have
+    in common, cuts pairs in the JVM before difflib scores the rest in Arrow
+    batches. All pages of a bucket meet: texts of a few dozen letters whose
+    ratio may be as low as that share no part that could be looked up instead.
+    At 0.65 or below the bounds say nothing, and a ValueError is raised. work gets
+    the number of pairs that difflib scores.
     """
     need = (threshold - (1 - WEIGHTS["title"])) / WEIGHTS["title"]
     if need <= 0:
@@ -111,22 +114,29 @@ def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str]
     low = lambda n: F.lower(F.trim(F.coalesce(F.col(n), F.lit(""))))
     rows = pages.where(~excluded(F.col("url"), exclusions or [])).select("ord", "url", low("title").alias("t"), low("meta_description").alias("d"), low("h1").alias("h"), F.coalesce("word_count", F.lit(0)).alias("w"))
     rows = rows.where("t <> '' and d <> ''").groupBy("url").agg(F.min_by(F.struct("ord", "t", "d", "h", "w"), "ord").alias("r")).select("url", "r.*")
-    rows = rows.withColumns({"n": F.length("t"), "m": F.length("d"), "lt": _letters(F.col("t")), "ld": _letters(F.col("d"))})
+    rows = materialize(rows.withColumns({f"n{c}": F.length(c) for c in "tdh"} | {f"l{c}": _letters(F.col(c)) for c in "tdh"}), "fuzzy-rows")
     # ratio >= need: the shorter is at least need / (2 - need) of the longer.
     base = -F.log(F.lit(need / (2 - need)))
-    bucket = F.floor(F.log(F.col("n").cast("double")) / base).cast("int")
-    a = rows.withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).select("b", *[F.col(c).alias(f"{c}1") for c in rows.columns])
-    b = rows.withColumn("b", bucket).select("b", *[F.col(c).alias(f"{c}2") for c in rows.columns])
-    common = lambda x: F.reduce(F.zip_with(f"{x}1", f"{x}2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    close = (F.col("ord1") < F.col("ord2")) & (2 * F.least("n1", "n2") >= need * (F.col("n1") + F.col("n2")) - 1e-9) & (2 * F.least("m1", "m2") >= need * (F.col("m1") + F.col("m2")) - 1e-9)
-    pairs = a.join(b, (a["b"] == b["b"]) & close).where((2 * common("lt") >= need * (F.col("n1") + F.col("n2")) - 1e-9) & (2 * common("ld") >= need * (F.col("m1") + F.col("m2")) - 1e-9))
+    bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / base).cast("int")
+    near = lambda c: F.explode(F.array(bucket(c) - 1, bucket(c), bucket(c) + 1))
+    a = rows.withColumn("bt", near("nt")).withColumn("bd", near("nd")).select("bt", "bd", *[F.col(c).alias(f"{c}1") for c in rows.columns])
+    b = rows.withColumns({"bt": bucket("nt"), "bd": bucket("nd")}).select("bt", "bd", *[F.col(c).alias(f"{c}2") for c in rows.columns])
+    total = lambda x: F.col(f"n{x}1") + F.col(f"n{x}2")
+    words = F.when((F.col("w1") > 0) & (F.col("w2") > 0), F.least("w1", "w2") / F.greatest("w1", "w2")).otherwise(0.0)
+    weigh = lambda part: WEIGHTS["title"] * part("t") + WEIGHTS["meta_description"] * part("d") + WEIGHTS["h1"] * part("h") + WEIGHTS["words"] * words
+    by_length = lambda x: F.when(total(x) > 0, 2 * F.least(f"n{x}1", f"n{x}2") / total(x)).otherwise(0.0)
+    common = lambda x: F.reduce(F.zip_with(f"l{x}1", f"l{x}2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    by_letters = lambda x: F.when(total(x) > 0, 2 * common(x) / total(x)).otherwise(0.0)
+    pairs = a.join(b, (a["bt"] == b["bt"]) & (a["bd"] == b["bd"]) & (F.col("ord1") < F.col("ord2")) & (weigh(by_length) >= threshold - 1e-9)).where(weigh(by_letters) >= threshold - 1e-9)
+    if work is not None:
+        pairs = materialize(pairs.select(*[f"{c}{i}" for c in ("url", "t", "d", "h", "w") for i in (1, 2)]), "fuzzy-candidates")
+        work.append(pairs.count())
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([0.0 if not a or not b else 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)], dtype="float64")
 
-    words = F.when((F.col("w1") > 0) & (F.col("w2") > 0), F.least("w1", "w2") / F.greatest("w1", "w2")).otherwise(0.0)
-    score = WEIGHTS["title"] * ratio("t1", "t2") + WEIGHTS["meta_description"] * ratio("d1", "d2") + WEIGHTS["h1"] * ratio("h1", "h2") + WEIGHTS["words"] * words
+    score = weigh(lambda x: ratio(f"{x}1", f"{x}2"))
     return pairs.select(F.col("url1").alias("url_a"), F.col("url2").alias("url_b"), score.alias("similarity")).where(F.col("similarity") >= threshold)
 
 

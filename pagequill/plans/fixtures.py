@@ -41,6 +41,17 @@ VARIANTS_SQL = """
     UNION ALL SELECT ord * 6 + 4, concat(url, '/index.html') FROM crawl_pages WHERE NOT url LIKE '%#%' AND NOT url LIKE '%?%' AND NOT url LIKE '%/'
 """
 
+#: Pages with tags of their own in head and body, every fourth JSON-LD cut.
+TAGGED_SQL = """
+    SELECT page_id, page_id AS ord, url, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS host,
+           replace(replace(html, '</head>', concat('<meta name="description" content=" D', page_id, ' "><meta name="viewport" content="w', page_id, '"><meta name="robots" content="r', page_id, '"><meta name="author" content="A', page_id,
+               '"><meta property="og:title" content="OG', page_id, '"><meta name="twitter:card" content="T', page_id, '"><link rel="canonical" href="/c', page_id, '"><link rel="alternate" hreflang="fr" href="/fr', page_id,
+               '"><script type="application/ld+json">', CASE WHEN page_id % 4 = 0 THEN concat(chr(123), 'cut') ELSE concat(chr(123), '"a": ', page_id, chr(125)) END, '</script></head>')),
+               '<body>', concat('<body><div itemtype="http://schema.org/Product"><b itemprop="name"> N', page_id, ' </b><meta itemprop="sku" content="', page_id, '"></div><img src="/i', page_id, '.png" alt="a', page_id, '" width="', page_id,
+               '"><img src="//cdn.example/', page_id % 7, '.png"><h2>x', page_id, '</h2><h3>y</h3><footer><a href="/foot', page_id, '">f', page_id, '</a></footer>')) AS html
+    FROM pages
+"""
+
 #: Views of the oracle, in front of each query.
 ORACLE_WITH = f"crawl_pages AS ({BASE_SQL}), crawl_links AS ({LINKS_SQL}), crawl_sitemap AS ({SITEMAP_SQL}), url_variants AS ({VARIANTS_SQL})"
 
@@ -68,6 +79,10 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("has_og", "has_twitter", "has_json_ld", "n_images")
 
 
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with(spark, TAGGED_SQL, {"pages": spark.read.parquet(f"{sf_dir}/pages.parquet")})
+
+
 def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = crawl_pages(spark, sf_dir).select("ord", "url", "status_code")
     return _with(spark, LINKS_SQL, {"crawl_pages": p}).withColumn("target_domain", F.regexp_extract("target_url", "^[a-z]+://([^/]*)", 1))

@@ -215,9 +215,39 @@ def x12_placement(spark: SparkSession, d: str) -> DataFrame:
     return html.collect_links(_extracted(spark, d)).groupBy("placement").agg(F.count("*").alias("n"))
 
 
-@query()
+_TAGGED = f"tagged AS ({fixtures.TAGGED_SQL})"
+
+
+@query(f"""
+    WITH {_TAGGED}, i AS (SELECT url, 0 AS pos, host || '/i' || page_id || '.png' AS src, 'a' || page_id AS alt, CAST(page_id AS VARCHAR) AS width, '' AS height FROM tagged UNION ALL SELECT url, 1, 'https://cdn.example/' || page_id % 7 || '.png', '', '', '' FROM tagged)
+    SELECT * FROM i
+""", False)
 def x7_images(spark: SparkSession, d: str) -> DataFrame:
-    return html.collect_images(_extracted(spark, d))
+    return html.collect_images(html.extract_pages(fixtures.tagged_pages(spark, d)))
+
+
+@query(f"""
+    WITH {_TAGGED}
+    SELECT page_id, 'D' || page_id AS meta_description, 'w' || page_id AS viewport, 'r' || page_id AS robots, 'A' || page_id AS author, '{{"title":"OG' || page_id || '"}}' AS og_tags, '{{"card":"T' || page_id || '"}}' AS twitter_tags,
+           '/c' || page_id AS canonical_url, '[{{"lang":"fr","url":"/fr' || page_id || '"}}]' AS hreflang, CASE WHEN page_id % 4 = 0 THEN '[]' ELSE '["{{\\"a\\": ' || page_id || '}}"]' END AS json_ld,
+           '[{{"type":"http://schema.org/Product","properties":{{"name":"N' || page_id || '","sku":"' || page_id || '"}}}}]' AS schema_org, '["x' || page_id || '"]' AS h2, '["y"]' AS h3
+    FROM tagged
+""", False)
+def x2_x10_tags(spark: SparkSession, d: str) -> DataFrame:
+    rows = html.extract_pages(fixtures.tagged_pages(spark, d))
+    nested = ("og_tags", "twitter_tags", "hreflang", "json_ld", "schema_org", "h2", "h3")
+    return rows.select("page_id", "meta_description", "viewport", "robots", "author", "canonical_url", *[F.to_json(c).alias(c) for c in nested])
+
+
+@query(f"""
+    WITH {_TAGGED}
+    SELECT url AS source_url, host || '/foot' || page_id AS target_url, 'f' || page_id AS anchor_text, 'footer' AS placement, true AS is_internal, substr(host, strpos(host, '//') + 2) AS target_domain FROM tagged
+    UNION ALL SELECT url, host || '/i' || page_id || '.png', 'a' || page_id, 'image', true, substr(host, strpos(host, '//') + 2) FROM tagged
+    UNION ALL SELECT url, regexp_extract(host, '^[a-z]+:') || '//cdn.example/' || page_id % 7 || '.png', '(no alt text)', 'image', false, 'cdn.example' FROM tagged
+""", False)
+def x11_x12_placed_links(spark: SparkSession, d: str) -> DataFrame:
+    rows = html.collect_links(html.extract_pages(fixtures.tagged_pages(spark, d)))
+    return rows.where("placement in ('footer', 'image')").select("source_url", "target_url", "anchor_text", "placement", "is_internal", "target_domain")
 
 
 _CASE_1 = """<HTML lang="de"><head><title> A &amp; B </title><meta charset="utf-8"><meta name="description" content="  first  "><meta name="description" content="second">
@@ -229,28 +259,38 @@ _CASE_1 = """<HTML lang="de"><head><title> A &amp; B </title><meta charset="utf-
 <a href="mailto:x@y.z">m</a><a href="#top">t</a><a href="https://other.example/">o</a><footer><p><a href="?b=2&amp;a=1">f</a></footer><img src="//cdn.example/x.png"><img src="data:image/png;base64,AA"></body></html>"""
 _CASE_2 = """<title>broken<p><b>open <i>more <a href="q">Q</b></a> tail<h1>late"""
 _CASE_1_ROWS = [
-    ("title", "A & B"), ("lang", "de"), ("charset", "utf-8"), ("meta_description", "first"), ("viewport", "width=device-width"), ("robots", "noindex"), ("author", "Z"), ("theme_color", "#fff"),
+    ("title", "T{id} & B"), ("lang", "de"), ("charset", "utf-8"), ("meta_description", "first"), ("viewport", "width=device-width"), ("robots", "noindex"), ("author", "Z"), ("theme_color", "#fff"),
     ("og_tags", '{"title":"OG"}'), ("twitter_tags", '{"card":"summary"}'), ("canonical_url", "/c"), ("hreflang", '[{"lang":"fr","url":"/fr"}]'), ("json_ld", '["{\\"a\\": [1, 2]}"]'),
     ("h1", "H"), ("h2", '["x","y"]'), ("h3", '["z"]'), ("internal_links", "5"), ("external_links", "1"),
     ("schema_org", '[{"type":"http://schema.org/Product","properties":{"name":"N","url":"/u","image":"/i.png","sku":"7"}}]'),
-    ("images", '[{"src":"https://a.example/i.png","alt":"","width":"","height":""},{"src":"https://cdn.example/x.png","alt":"","width":"","height":""},{"src":"data:image/png;base64,AA","alt":"","width":"","height":""}]'),
-    ("link", "https://a.example/p|one|navigation|true"), ("link", "https://a.example/u|link|body|true"), ("link", "https://other.example/|o|body|false"), ("link", "https://a.example/d/?a=1&b=2|f|footer|true"),
-    ("link", "https://a.example/i.png|(no alt text)|image|true"), ("link", "https://cdn.example/x.png|(no alt text)|image|false"),
+    ("images", '[{"src":"{host}/i.png","alt":"","width":"","height":""},{"src":"https://cdn.example/x.png","alt":"","width":"","height":""},{"src":"data:image/png;base64,AA","alt":"","width":"","height":""}]'),
+    ("link", "{host}/p|one|navigation|true"), ("link", "{host}/u|link|body|true"), ("link", "https://other.example/|o|body|false"), ("link", "{page}?a=1&b=2|f|footer|true"),
+    ("link", "{host}/i.png|(no alt text)|image|true"), ("link", "{scheme}//cdn.example/x.png|(no alt text)|image|false"),
 ]
-_CASE_ROWS = [(1, *r) for r in _CASE_1_ROWS] + [(2, "link", "https://a.example/d/q|Q|body|true"), (2, "h1", "late"), (2, "internal_links", "1")]
+_CASE_ROWS = [(1, *r) for r in _CASE_1_ROWS] + [(2, "link", "{page}q|Q|body|true"), (2, "h1", "late"), (2, "internal_links", "1")]
 _CASE_VALUES = ", ".join("({}, '{}', '{}')".format(k, f, v.replace("'", "''")) for k, f, v in _CASE_ROWS)
 
 
-@query(f"SELECT * FROM (VALUES {_CASE_VALUES}) AS v(case_id, field, value)", False)
+@query(f"""
+    WITH page AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS host FROM pages)
+    SELECT page_id, case_id, field, replace(replace(replace(replace(value, '{{page}}', host || '/d' || page_id || '/'), '{{host}}', host), '{{id}}', CAST(page_id AS VARCHAR)), '{{scheme}}', regexp_extract(host, '^[a-z]+:')) AS value
+    FROM page CROSS JOIN (VALUES {_CASE_VALUES}) AS v(case_id, field, value)
+""", False)
 def x1_x13_html_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Every extractor on hand-written pages, whole values; the links by their form, text, placement and kind."""
-    x = html.extract_pages(spark.createDataFrame([(1, "https://a.example/d/", _CASE_1), (2, "https://a.example/d/", _CASE_2)], "ord long, url string, html string"))
+    """Every extractor on two markups with each page's host and number, whole values; the links by their form, text, placement and kind."""
+    host = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
+    case = F.explode(F.array(F.struct(F.lit(1).alias("case_id"), F.lit(_CASE_1).alias("html")), F.struct(F.lit(2).alias("case_id"), F.lit(_CASE_2).alias("html"))))
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", host.alias("host"), case.alias("c")).select("page_id", "c.case_id", F.replace("c.html", F.lit("A &amp; B"), F.concat(F.lit("T"), C("page_id").cast("string"), F.lit(" &amp; B"))).alias("html"), "host")
+    rows = rows.withColumns({"ord": C("page_id") * 2 + C("case_id"), "url": F.concat("host", F.when(C("case_id") == 1, "/d").otherwise("/e"), C("page_id").cast("string"), F.lit("/"))})
+    x = html.extract_pages(rows)
     text = lambda f: F.to_json(f) if x.schema[f].dataType.typeName() in ("array", "map", "struct") else C(f).cast("string")
     names = [r[0] for r in _CASE_1_ROWS if r[0] != "link"]
-    wanted = F.when(C("ord") == 1, F.lit(True)).otherwise(C("f.field").isin("h1", "internal_links"))
-    fields = x.select("ord", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in names])).alias("f")).where(wanted).select("ord", "f.*")
-    links = html.collect_links(x).select(F.floor(C("ord") / html.LINKS_MOST).alias("ord"), F.lit("link").alias("field"), F.concat_ws("|", "target_url", "anchor_text", "placement", C("is_internal").cast("string")).alias("value"))
-    return fields.unionByName(links).select(C("ord").cast("int").alias("case_id"), "field", "value")
+    wanted = (C("case_id") == 1) | C("f.field").isin("h1", "internal_links")
+    fields = x.select("page_id", "case_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in names])).alias("f")).where(wanted).select("page_id", "case_id", "f.*")
+    value = F.concat_ws("|", F.regexp_replace("target_url", "/e([0-9]+)/", "/d$1/"), "anchor_text", "placement", C("is_internal").cast("string"))
+    at = F.floor(C("ord") / html.LINKS_MOST) - 1
+    links = html.collect_links(x).select(F.floor(at / 2).cast("long").alias("page_id"), (at % 2 + 1).cast("int").alias("case_id"), F.lit("link").alias("field"), value.alias("value"))
+    return fields.unionByName(links)
 
 
 @query(rf"SELECT ord FROM url_variants WHERE NOT regexp_matches({_path('url')}, '\.html$') AND NOT regexp_matches(url, 'example\.(net|org)') AND contains(url, '/en/')")
