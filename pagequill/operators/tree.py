@@ -102,7 +102,7 @@ def page_nodes(metrics: DataFrame, flow: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return rows.select(
         F.col("norm").alias("id"), page_label(F.col("norm")).alias("label"), "url", F.col("authority_score").alias("authority"), "status_code", "depth",
-        cluster_id(F.col("norm")).alias("cluster"), "is_orphan", F.round(zero("inflow"), 1).alias("inflow"), F.round(zero("outflow"), 1).alias("outflow"),
+        cluster_id(F.col("norm")).alias("cluster"), "is_orphan", F.round(F.round(zero("inflow"), 9), 1).alias("inflow"), F.round(F.round(zero("outflow"), 9), 1).alias("outflow"),  # nine places are the same in any order of summing
         F.coalesce("in_pages", F.lit(0)).alias("in_pages"), F.coalesce("out_pages", F.lit(0)).alias("out_pages"),
         flow_role(zero("inflow"), zero("outflow")).alias("flow_role"), scale(F.col("authority_score"), F.lit(100.0), *NODE_SIZE).alias("size"),
     )

@@ -146,13 +146,16 @@ def p13_flow_role(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT ord, CASE WHEN s >= 0.97 THEN 'F' WHEN s >= 0.92 THEN 'D' WHEN s >= 0.87 THEN 'C' WHEN s >= 0.83 THEN 'B' ELSE 'A' END AS grade,
            CASE WHEN v >= 75 THEN 'critical' WHEN v >= 50 THEN 'high' WHEN v >= 30 THEN 'medium' ELSE 'low' END AS severity
-    FROM (SELECT ord, 0.8 + least(ord % 37, 20) / 100.0 AS s, ord % 100 AS v FROM crawl_pages)
+    FROM (SELECT ord, CAST(80 + word_count % 19 AS DOUBLE) / 100 + CAST(least(ord % 37, 20) AS DOUBLE) / 100 AS s, response_time / 40 AS v FROM crawl_pages)
 """)
 def p14_p15_grades(spark: SparkSession, d: str) -> DataFrame:
-    return P(spark, d).select("ord", scalars.similarity_grade(F.lit(0.8), C("ord") % 37).alias("grade"), scalars.severity(C("ord") % 100).alias("severity"))
+    """Grades of averages by word count and sizes by number; severities of scores by response time."""
+    average = (C("word_count") % 19 + 80).cast("double") / 100
+    return P(spark, d).select("ord", scalars.similarity_grade(average, C("ord") % 37).alias("grade"), scalars.severity(C("response_time") / 40).alias("severity"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in scalars.STOPWORDS) + "]"
+_ALL_TOKENS = f"list_filter(regexp_extract_all(lower(concat_ws(' ', nullif(title, ''), nullif(meta_description, ''), nullif(h1, ''))), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
 _TOKENS = f"list_filter(regexp_extract_all(lower(concat_ws(' ', nullif(title, ''), nullif(h1, ''))), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
 
 
@@ -171,10 +174,18 @@ def p18_word_count(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.word_count(C("text")).cast("long").alias("words"))
 
 
-@query("SELECT ord, CASE ord % 3 WHEN 0 THEN 'Add exactly one H1 heading describing the page content.' WHEN 1 THEN 'Review and improve the page content.' ELSE 'Review the affected pages.' END AS fix FROM crawl_pages")
+_FIXES = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in kv)) for k, kv in enumerate([*prioritize.FIXES.items(), *prioritize.CATEGORY_FIXES.items(), ("", prioritize.DEFAULT_FIX)]))
+
+
+@query(f"""
+    WITH f AS (SELECT * FROM (VALUES {_FIXES}) AS v(k, name, fix)), n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM f)
+    SELECT ord, name, fix FROM crawl_pages, n JOIN f ON f.k = ord % n.n
+""")
 def p19_recommended_fix(spark: SparkSession, d: str) -> DataFrame:
-    k = C("ord") % 3
-    return P(spark, d).select("ord", prioritize.recommended_fix(F.when(k == 0, "Missing H1 Tag").otherwise("Other"), F.when(k == 1, "Content").otherwise("Unknown")).alias("fix"))
+    """Every issue's fix, every category's for an issue without one, and the last resort, dealt to pages by number."""
+    names = [*prioritize.FIXES, *prioritize.CATEGORY_FIXES, ""]
+    name = F.element_at(F.array(*map(F.lit, names)), (C("ord") % len(names) + 1).cast("int"))
+    return P(spark, d).select("ord", name.alias("name")).withColumn("fix", prioritize.recommended_fix(C("name"), C("name")))
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
@@ -500,13 +511,13 @@ def g6_q4_reachable(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH {_GRAPH}, {_RANKS}, {_METRICS}, home AS (SELECT norm FROM inner_pages ORDER BY depth, length(norm), ord LIMIT 1),
     flow AS (SELECT w.s, w.t, w.ord, m.authority_score * w.weight / sum(w.weight) OVER (PARTITION BY w.s) AS flow FROM weighted w JOIN metrics m ON m.norm = w.s)
-    SELECT t AS node, round(CAST(max(flow) AS DOUBLE), 2) AS flow FROM flow WHERE flow > 0 AND t NOT IN (FROM home) GROUP BY t
+    SELECT DISTINCT ON (t) t AS node, s AS parent, round(CAST(flow AS DOUBLE), 2) AS flow FROM flow WHERE flow > 0 AND t NOT IN (FROM home) ORDER BY t, round(CAST(flow AS DOUBLE), 9) DESC, ord
 """)
 def g6_t7_authority_parents(spark: SparkSession, d: str) -> DataFrame:
     p, links = linkgraph.site_graph(P(spark, d), L(spark, d))
     w = linkgraph.edges(p, links)
     m = linkgraph.page_metrics(p, links, w)
-    return tree.authority_parents(linkgraph.flows(w, m), tree.home_page(m)).select("node", "flow")
+    return tree.authority_parents(linkgraph.flows(w, m), tree.home_page(m)).select("node", "parent", "flow")
 
 
 @query(f"""
@@ -537,7 +548,18 @@ def j11_t6_authority_graph(spark: SparkSession, d: str) -> DataFrame:
     return _graph_rows(spark, d, "authority")
 
 
-@query()
+@query(f"""
+    WITH {_GRAPH}, {_RANKS}, {_METRICS},
+    flow AS (SELECT w.s, w.t, m.authority_score * w.weight / sum(w.weight) OVER (PARTITION BY w.s) AS flow FROM weighted w JOIN metrics m ON m.norm = w.s),
+    ends AS (SELECT t AS norm, 1 AS i, flow FROM flow UNION ALL SELECT s, 0, flow FROM flow),
+    sums AS (SELECT norm, sum(flow * i) FILTER (flow > 0) AS inflow, sum(flow * (1 - i)) FILTER (flow > 0) AS outflow, sum(i) AS in_pages, sum(1 - i) AS out_pages FROM ends GROUP BY norm),
+    nodes AS (SELECT f.*, coalesce(inflow, 0) AS inf, coalesce(outflow, 0) AS outf, coalesce(in_pages, 0) AS inp, coalesce(out_pages, 0) AS outp FROM flags f LEFT JOIN sums USING (norm))
+    SELECT norm AS id, coalesce((list_filter(string_split({_path('norm')}, '/'), lambda x: x <> ''))[-1], '/') AS label, url, CAST(authority_score AS DOUBLE) AS authority, status_code, depth, {_cluster('norm')} AS cluster, is_orphan,
+           round(CAST(inf AS DOUBLE), 1) AS inflow, round(CAST(outf AS DOUBLE), 1) AS outflow, CAST(inp AS BIGINT) AS in_pages, CAST(outp AS BIGINT) AS out_pages,
+           CASE WHEN inf < 0.1 AND outf < 0.1 THEN 'balanced' WHEN inf > 1.25 * outf THEN 'receiver' WHEN outf > 1.25 * inf THEN 'donor' ELSE 'balanced' END AS flow_role,
+           round(15 + 45 * sqrt(least(greatest(CAST(authority_score AS DOUBLE) / 100.0, 0.0), 1.0)), 1) AS size
+    FROM nodes
+""")
 def g12_page_nodes(spark: SparkSession, d: str) -> DataFrame:
     p, links = linkgraph.site_graph(P(spark, d), L(spark, d))
     w = linkgraph.edges(p, links)
@@ -573,11 +595,8 @@ def _issues(spark: SparkSession, d: str) -> DataFrame:
     return rules.detect_issues(p).join(p.select("url", "ord"), "url")
 
 
-_FIXES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in kv)) for kv in [*prioritize.FIXES.items(), *prioritize.CATEGORY_FIXES.items(), ("", prioritize.DEFAULT_FIX)])
-
-
 @query(f"""
-    WITH {_GROUPS}, fixes AS (SELECT * FROM (VALUES {_FIXES}) AS v(name, fix)),
+    WITH {_GROUPS}, fixes AS (SELECT name, fix FROM (VALUES {_FIXES}) AS v(k, name, fix)),
     shown AS (SELECT issue, string_agg(url, ' ' ORDER BY k) AS examples FROM (SELECT issue, url, row_number() OVER (PARTITION BY issue ORDER BY o, url) AS k FROM urls) WHERE k <= 5 GROUP BY issue)
     SELECT issue, type, category, CAST(score AS DOUBLE) AS priority_score, n AS affected_url_count, round(share, 3) AS affected_share, section AS top_section, template AS is_template_level, wide AS is_sitewide, home AS homepage_affected, examples,
            CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity,
@@ -672,7 +691,15 @@ def t8_closest(spark: SparkSession, d: str) -> DataFrame:
     return similarity.closest_partners(vectors).select("doc", "other", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(f"""
+    WITH {_TFIDF.replace(_TOKENS, _ALL_TOKENS)}, e AS (SELECT a, b, sim FROM pairs WHERE round(sim, 10) >= 0.8),
+    walk AS (SELECT a AS node, a AS seen FROM e UNION SELECT b, b FROM e UNION SELECT w.node, CASE WHEN e.a = w.seen THEN e.b ELSE e.a END FROM walk w JOIN e ON e.a = w.seen OR e.b = w.seen),
+    of AS (SELECT node, min(seen) AS component FROM walk GROUP BY node), sizes AS (SELECT component, count(*) AS size FROM of GROUP BY 1),
+    sims AS (SELECT component, avg(sim) AS avg_sim FROM e JOIN of ON of.node = e.a GROUP BY 1)
+    SELECT component, node AS doc, size, round(avg_sim, 3) AS avg_similarity,
+           CASE WHEN avg_sim + least(size, 20) / 100.0 >= 0.97 THEN 'F' WHEN avg_sim + least(size, 20) / 100.0 >= 0.92 THEN 'D' WHEN avg_sim + least(size, 20) / 100.0 >= 0.87 THEN 'C' WHEN avg_sim + least(size, 20) / 100.0 >= 0.83 THEN 'B' ELSE 'A' END AS grade
+    FROM of JOIN sizes USING (component) JOIN sims USING (component)
+""")
 def a13_q2_similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
     return similarity.content_similarity(P(spark, d)).clusters
 
@@ -702,9 +729,12 @@ def a18_progress(spark: SparkSession, d: str) -> DataFrame:
     return views.progress(P(spark, d), 1000, 10.0)
 
 
-@query()
+@query("""
+    SELECT count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes, round(avg(b), 1) AS mean_bytes
+    FROM (SELECT octet_length(encode(CAST(to_json({'page_id': page_id, 'url': url, 'html': html}) AS VARCHAR))) AS b FROM pages)
+""", False)
 def a19_row_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return views.row_sizes(P(spark, d))
+    return views.row_sizes(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html"))
 
 
 @query("SELECT ord FROM crawl_links WHERE is_internal AND floor(target_status / 100) = 4 AND (contains(lower(source_url), 'en/') OR contains(lower(target_url), 'en/') OR contains(lower(anchor_text), 'en/'))")
@@ -756,9 +786,10 @@ def s5_broken_images(spark: SparkSession, d: str) -> DataFrame:
     return found.select("url", F.array_join(F.transform("broken_images", lambda x: F.concat(x["url"], F.lit(" "), x["status"].cast("string"))), ",").alias("broken"))
 
 
-@query(f"WITH {_RULES} SELECT url, count(*) AS n FROM rules GROUP BY url")
+@query(f"WITH {_RULES} SELECT url, count(*) AS n, string_agg(issue || '|' || type || '|' || category || '|' || details, ';' ORDER BY issue, type, category, details) AS issues FROM rules GROUP BY url")
 def s16_issues_by_url(spark: SparkSession, d: str) -> DataFrame:
-    return store.issues_by_url(rules.detect_issues(P(spark, d))).select("url", "n")
+    shown = F.array_join(F.transform("issues", lambda i: F.concat_ws("|", i["issue"], i["type"], i["category"], i["details"])), ";")
+    return store.issues_by_url(rules.detect_issues(P(spark, d))).select("url", "n", shown.alias("issues"))
 
 
 @query("SELECT source_url, target_url, anchor_text, CASE WHEN is_internal THEN 'Yes' ELSE 'No' END AS is_internal, regexp_extract(target_url, '^[a-z]+://([^/]*)', 1) AS target_domain, coalesce(CAST(target_status AS VARCHAR), '') AS target_status, placement FROM crawl_links")
@@ -809,12 +840,18 @@ def s18_rating_cache(spark: SparkSession, d: str) -> DataFrame:
     return views.look_up_ratings(targets, path, ask(1.5), now + timedelta(minutes=1)).select("ord", "domain", "domain_rating", "cached")
 
 
-@query("SELECT ord, url, ord % 3 <> 0 AS allowed FROM crawl_pages")
+@query(f"""
+    SELECT ord, url, CASE length(host) % 5 WHEN 0 THEN true WHEN 1 THEN NOT starts_with(path, '/en/') WHEN 2 THEN false WHEN 3 THEN starts_with(path, '/de/') ELSE true END AS allowed
+    FROM (SELECT ord, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, {_path('url')} AS path FROM crawl_pages)
+""")
 def s4_robots(spark: SparkSession, d: str) -> DataFrame:
-    place = F.when(C("ord") % 3 == 0, "http://a.example/private/").when(C("ord") % 3 == 1, "http://a.example/open/").otherwise("http://b.example/private/")
-    tagged = P(spark, d).select("ord", "url", F.concat(place, C("ord").cast("string")).alias("path"))
-    rows = spark.createDataFrame([("http://a.example", 200, "User-agent: *\nDisallow: /private/")], "origin string, status int, body string")
-    return sitemap.allowed_by_robots(tagged, rows, url_col="path").select("ord", "url", "allowed")
+    """All pages by a file for each origin: none, one part closed, forbidden, all but one part closed, not found."""
+    p = P(spark, d).select("ord", "url")
+    k = F.length("origin") % 5
+    body = F.when(k == 1, "User-agent: *\nDisallow: /en/").when(k == 3, "User-agent: *\nAllow: /de/\nDisallow: /").otherwise("")
+    status = F.when(k == 2, 403).when(k == 4, 404).otherwise(200)
+    rows = p.select(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("origin")).distinct().where(k != 0).select("origin", status.alias("status"), body.alias("body"))
+    return sitemap.allowed_by_robots(p, rows).select("ord", "url", "allowed")
 
 
 def _store(spark: SparkSession) -> store.CrawlStore:
@@ -925,14 +962,18 @@ def s15_issues_csv(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("header", True).schema("url string, type string, category string, issue string, details string").csv(path)
 
 
-@query(f"WITH {_RULES} SELECT 'urls' AS part, count(*) AS n, count(DISTINCT url) AS urls FROM crawl_pages UNION ALL SELECT 'links', count(*), count(DISTINCT target_url) FROM crawl_links UNION ALL SELECT 'issues', count(*), count(DISTINCT url) FROM rules")
+@query(f"""
+    WITH {_RULES} SELECT 'urls' AS part, url AS a, title AS b, CAST(status_code AS VARCHAR) AS c, canonical_url AS d FROM crawl_pages
+    UNION ALL SELECT 'links', source_url, target_url, placement, anchor_text FROM crawl_links UNION ALL SELECT 'issues', url, issue, type, details FROM rules
+""")
 def s19_save_load_file(spark: SparkSession, d: str) -> DataFrame:
     path, p, links = new_path(spark, "crawl-file"), P(spark, d), L(spark, d)
     found = rules.detect_issues(p)
     store.save_crawl(path, p, links, found)
+    columns = {"urls": ("url", "title", C("status_code").cast("string"), "canonical_url"), "links": ("source_url", "target_url", "placement", "anchor_text"), "issues": ("url", "issue", "type", "details")}
     back = store.load_crawl(spark, path, p.schema, links.schema, found.schema)
-    count = lambda rows, part, c: rows.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.count_distinct(c).alias("urls"))
-    return count(back[0], "urls", "url").unionByName(count(back[1], "links", "target_url")).unionByName(count(back[2], "issues", "url"))
+    parts = [rows.select(F.lit(part).alias("part"), *[(C(c) if isinstance(c, str) else c).alias(n) for n, c in zip("abcd", columns[part], strict=True)]) for part, rows in zip(columns, back, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT c_custkey AS user_id, '{\"max_depth\":' || (c_custkey % 9 + 1) || '}' AS settings FROM customer WHERE c_custkey % 4 <> 0", False)
