@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequill.llm.common import join_by_group, materialize, new_path
+from pagequill.llm.common import join_by_group, materialize, new_path, split_members
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,8 +58,11 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str =
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> str:
     """Write one WARC 1.1 record per row under path, and a warcinfo record of the archive; return the archive's id.
 
-    Files are text of Spark's own writer, each one gzip stream. Null html is an empty payload; a null url has no target header. The id is
-    in the first header of every record (WARC-Warcinfo-ID) and is fresh for each
+    Files are text of Spark's own writer, each one gzip stream. Null html is an
+    empty payload; a null url has no target header; ids stand URL-encoded in their
+    headers, so any text can be one. Rows that repeat id and payload are records
+    of one WARC-Record-ID, as they are the same capture. The archive's id is in
+    the first header of every record (WARC-Warcinfo-ID) and is fresh for each
     call, so that no payload can hold it.
     """
     archive = f"<urn:uuid:{uuid.uuid4()}>"
@@ -67,8 +70,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisits = materialize(resolve_revisits(pages, id_col, html_col, min_bytes), "warc-revisits")
     body = _payload(html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes"))
-    r = revisits.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
-    rows = rows.join(r, (F.col("digest") == F.col("r_digest")) & F.col("id").eqNullSafe(F.col("r_id")), "left")
+    # Only rows that are revisits meet their originals, and their payloads stay behind; responses stay where they are.
+    key = F.concat_ws(":", "digest", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"))
+    twice, once = split_members(rows.withColumn("key", key), "key", revisits.select(key.alias("member")), "member")
+    twice = twice.drop("html").join(revisits.select(key.alias("key"), "refers_to"), "key").withColumn("html", F.lit(""))
+    rows = twice.unionByName(once.withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType)))
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     length = F.octet_length(http) + F.when(again, 0).otherwise(F.col("bytes"))
@@ -85,8 +91,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         field("WARC-Refers-To", F.when(again, _record_id(F.col("refers_to"), F.col("digest")))),
         field("WARC-Profile", F.when(again, F.lit(PROFILE))),
-        field("X-Page-ID", F.col("id").cast("string")),
-        field("X-Refers-To-Page-ID", F.col("refers_to").cast("string")),
+        field("X-Page-ID", F.url_encode(F.col("id").cast("string"))),
+        field("X-Refers-To-Page-ID", F.url_encode(F.col("refers_to").cast("string"))),
         field("X-Payload-Length", F.col("bytes").cast("string")),
         field("Content-Type", F.lit("application/http; msgtype=response")),
         field("Content-Length", length.cast("string")),
@@ -118,7 +124,7 @@ def read_archives(spark: SparkSession, path: str, archive: str, id_type: str = "
         got = F.regexp_extract("head", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
         return F.when(F.col("head").contains(f"{CRLF}{name}: "), got)
 
-    rows = rows.select("raw", "at", field("X-Page-ID").cast(id_type).alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), field("X-Payload-Length").cast("long").alias("told"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("digest"), field("X-Refers-To-Page-ID").cast(id_type).alias("refers_to"), field("Content-Length").cast("int").alias("length"))
+    rows = rows.select("raw", "at", F.url_decode(field("X-Page-ID")).cast(id_type).alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), field("X-Payload-Length").cast("long").alias("told"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("digest"), F.url_decode(field("X-Refers-To-Page-ID")).cast(id_type).alias("refers_to"), field("Content-Length").cast("int").alias("length"))
     rows = rows.where(F.col("record_type") != "warcinfo")
     block = F.substring(F.col("raw"), F.col("at") + 1, F.col("length"))
     response = F.col("record_type") == "response"

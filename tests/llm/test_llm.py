@@ -128,6 +128,19 @@ def test_warc_string_ids_extra_columns_and_repeats(spark):
     assert sorted((r["page_id"] or "", r["record_type"], r["refers_to"]) for r in got) == [("", "response", None), ("p1", "revisit", "p2"), ("p2", "response", None), ("p2", "response", None)]
 
 
+def test_warc_ids_of_any_text_and_many_copies(spark):
+    """Line breaks, separators and empty ids; a payload that most pages hold; null ids among equal payloads."""
+    ids = ["a\r\nWARC-Type: x", "b: c", "", " ", "é/%41?", "z\n"]
+    rows = [(i, None, "y" * 1200 + str(k // 3)) for k, i in enumerate(ids)] + [(f"c{k:03}", "u", "hot" * 400) for k in range(200)] + [(None, "u", "hot" * 400), (None, None, "short")]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(4)).collect()
+    want = []
+    for i, _, html in rows:
+        top = max((j for j, _, h in rows if h == html and j is not None), default=None)
+        again = len(html) >= 1000 and i != top and top is not None
+        want.append((i, "revisit" if again else "response", top if again else None, len(html)))
+    assert sorted(map(repr, ((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got))) == sorted(map(repr, want))
+
+
 def plain_fingerprint(text, shingle=3):
     """The fingerprint bit by bit, as it is defined."""
     import xxhash
