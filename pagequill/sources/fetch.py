@@ -182,44 +182,62 @@ def table_fetch(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return fetch
 
 
-def _state(spark: SparkSession, path: str) -> list[int]:
-    """The levels that a crawl has completed under path."""
+def _done(spark: SparkSession, path: str, marker: str) -> list[int]:
+    """The numbers 0, 1, ... of the folders under path that have a finished <marker> (the folder itself if that is empty)."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done, level = [], 0
-    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{level}/frontier/_SUCCESS")):
-        done.append(level)
-        level += 1
-    return done
+    found: list[int] = []
+    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{len(found)}/{marker}/_SUCCESS".replace("//_", "/_"))):
+        found.append(len(found))
+    return found
 
 
-def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], DataFrame], max_urls: int | None = None, state: str | None = None, stop: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], DataFrame], max_urls: int | None = None, state: str | None = None, stop: Callable[[], bool] | None = None, part_urls: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, links): breadth-first, one level of the frontier at a time.
 
     A level is fetched and parsed on the executors and written; the next one is
     the accepted targets, distinct, less what is seen: plans don't grow with the
-    number of levels. ord numbers pages by
-    (level, URL). With state, a folder, each level's pages, links and next
+    number of levels. ord numbers pages by (level, URL). With part_urls a level is
+    fetched in parts of so many URLs, in that order.
+
+    With state, a folder, each part's pages and each level's links and next
     frontier are written there, the frontier last: a crawl that is started again
-    with the same folder goes on after the last whole level. stop is asked
-    between levels, and pauses the crawl.
+    with the same folder goes on after the last whole part. stop is asked before
+    each part but the first, and pauses the crawl: pages then has what has been
+    fetched, links what the whole levels link to, and the rest of the queue stays
+    in the folder.
     """
     spark = seeds.sparkSession
     root = state or new_path(spark, "crawl")
     read = lambda part, *levels: spark.read.parquet(*[f"{root}/{k}/{part}" for k in levels])
-    done = _state(spark, root) if state else []
-    total = read("pages", *done).count() if done else 0
-    if not done:
+    parts_of = lambda level: [f"{root}/{level}/pages/{j}" for j in _done(spark, f"{root}/{level}/pages", "")]
+    done = _done(spark, root, "frontier") if state else []
+    pages_at = [p for k in done for p in parts_of(k)]
+    total = spark.read.parquet(*pages_at).count() if done else 0
+    if not done and not (state and CrawlStore(spark, root).has(f"{root}/seeds/_SUCCESS")):
         numbered(seeds.select("url", F.lit(0).alias("depth")).distinct(), ["url"], "seeds").write.mode("overwrite").parquet(f"{root}/seeds")
     frontier = read("frontier", done[-1]) if done else spark.read.parquet(f"{root}/seeds")
+    asked = False
     for depth in range(len(done), scope.max_depth + 1):
-        if depth > 0 and (frontier.isEmpty() or (max_urls is not None and total >= max_urls) or (stop is not None and stop())):
+        if depth > 0 and (frontier.isEmpty() or (max_urls is not None and total >= max_urls) or (asked and stop is not None and stop())):
             break
         if max_urls is not None:
             frontier = frontier.orderBy("ord").limit(max(max_urls - total, 0))
-        got = fetch(frontier).withColumn("error_type", F.when(F.col("error") == "file_too_large", "file_too_large").when(F.col("status_code") == 0, fetch_error(F.col("error"))))
-        html_source.extract_pages(got).write.mode("overwrite").parquet(f"{root}/{depth}/pages")
-        got = read("pages", depth)
+        first, last = frontier.agg(F.min("ord"), F.max("ord")).first()
+        size = part_urls or (last - first + 1 if last is not None else 1)
+        own = parts_of(depth) if state else []
+        for j in range(len(own), max(-(-(last - first + 1) // size), 1) if last is not None else 1):
+            if asked and j and stop is not None and stop():
+                break
+            asked = True
+            part = frontier.where(F.col("ord").between(first + j * size, first + (j + 1) * size - 1)) if last is not None else frontier
+            got = fetch(part).withColumn("error_type", F.when(F.col("error") == "file_too_large", "file_too_large").when(F.col("status_code") == 0, fetch_error(F.col("error"))))
+            own.append(f"{root}/{depth}/pages/{j}")
+            html_source.extract_pages(got).write.mode("overwrite").parquet(own[-1])
+        pages_at += own
+        if last is not None and len(own) * size < last - first + 1:
+            break  # paused within the level
+        got = spark.read.parquet(*own)
         total += got.count()
         html_source.collect_links(got).write.mode("overwrite").parquet(f"{root}/{depth}/links")
         found = read("links", depth)
@@ -230,4 +248,5 @@ def crawl(seeds: DataFrame, scope: CrawlScope, fetch: Callable[[DataFrame], Data
         new.write.mode("overwrite").parquet(f"{root}/{depth}/frontier")
         frontier = read("frontier", depth)
         done.append(depth)
-    return read("pages", *done).drop("links"), read("links", *done)
+    pages = spark.read.parquet(*pages_at).drop("links")
+    return pages, (read("links", *done) if done else html_source.collect_links(spark.read.parquet(*pages_at)).limit(0))

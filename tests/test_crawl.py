@@ -37,6 +37,28 @@ def test_crawl_pauses_and_resumes(spark, tmp_path):
     assert sorted(asked) == sorted(r["url"] for r in whole.collect()) and len(asked) == 6
 
 
+def test_crawl_pauses_within_a_level(spark, tmp_path):
+    """Parts of two URLs; a pause after each part, and a restart that asks for nothing twice."""
+    html = [("http://a.x/", "".join(f'<a href="/{i}">x</a>' for i in range(5))), *[(f"http://a.x/{i}", f'<a href="/{i}/z">x</a>') for i in range(5)]]
+    site_rows = spark.createDataFrame(html, "url string, html string")
+    seeds, scope, state, asked = spark.createDataFrame([("http://a.x/",)], "url string"), filters.CrawlScope("http://a.x/", max_depth=2), f"file://{tmp_path}/state", []
+    get = fetch.table_fetch(site_rows)
+
+    def counted(frontier):
+        asked.append(sorted(r["url"] for r in frontier.collect()))
+        return get(frontier)
+
+    seen = []
+    for _ in range(12):
+        pages, links = fetch.crawl(seeds, scope, counted, state=state, stop=lambda: True, part_urls=2)
+        seen.append(pages.count())
+    whole, _ = fetch.crawl(seeds, scope, get, part_urls=2)
+    assert seen[:7] == [1, 3, 5, 6, 8, 10, 11] and seen[-1] == 11
+    assert sorted(sum(asked, [])) == sorted(r["url"] for r in whole.collect()) and max(map(len, asked)) == 2
+    assert sorted((r["ord"], r["url"]) for r in pages.collect()) == sorted((r["ord"], r["url"]) for r in whole.collect())
+    assert links.count() == 10
+
+
 def test_long_body_is_an_error_not_a_cut(spark, monkeypatch):
     import io
     import urllib.request
