@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequill.functions.shared import new_path
+from pagequill.functions.shared import discard, new_path
 from pagequill.llm import common, decontaminate, line_dedup, packing, quality, simhash
 
 
@@ -56,5 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            discard(docs)  # nothing reads the stage before any more
         docs = spark.read.parquet(path)
     return docs
