@@ -43,7 +43,7 @@ def save_stream(pages: DataFrame, store: CrawlStore, relation: str, crawl_id: in
 
 
 #: Keys that the links of one target are dealt to, by their sources; each of the target's statuses goes to all of them.
-SALTS = 16
+SALTS = 4
 
 
 class _Patches(StatefulProcessor):
