@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,18 +96,116 @@ def _letters(c: Column) -> Column:
     return F.array(*counts, F.length(low) - F.reduce(F.array(*counts), F.lit(0), lambda a, x: a + x))
 
 
+#: Rows of a cell: two cells meet in one task, in slices of SLICE rows against all of the other.
+CELL, SLICE = 1024, 256
+
+
+def _positions(text: str) -> dict[str, int]:
+    """The positions of each letter as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common_subsequence(at: dict[str, int], length: int, other: str) -> int:
+    """Length of the longest common subsequence of a text, given by its positions, and another; what difflib matches is one."""
+    full = (1 << length) - 1
+    v = full
+    for c in other:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return length - v.bit_count()
+
+
+def _score_pairs(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
+    """(url_a, url_b, similarity) of the pairs of a and b, or of a alone, that difflib scores to the end; the first of a pair is the first by ord.
+
+    A pair is left as soon as a bound of its score is under the threshold: by
+    lengths, by letters, by common subsequences, by the ratios known so far.
+    """
+    alone, b = b is None, a if b is None else b
+    fields, least = (("t", "title"), ("d", "meta_description"), ("h", "h1")), threshold - 1e-9
+    counts = {f: (np.stack(a[f"l{f}"].to_list()).astype("int32"), np.stack(b[f"l{f}"].to_list()).astype("int32")) for f, _ in fields}
+    lengths = {f: (a[f"n{f}"].to_numpy(), b[f"n{f}"].to_numpy()) for f, _ in fields}
+    texts = {f: (a[f].to_list(), b[f].to_list()) for f, _ in fields}
+    ords, urls, seen = (a.ord.to_list(), b.ord.to_list()), (a.url.to_list(), b.url.to_list()), (a.w.to_numpy(), b.w.to_numpy())
+
+    def part(common: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return 2 * common / np.maximum(total, 1)
+
+    def words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where((x > 0) & (y > 0), np.minimum(x, y) / np.maximum(np.maximum(x, y), 1), 0.0)
+
+    positions, bounds, ratios, matcher, out = {}, {}, {}, difflib.SequenceMatcher(None), []
+
+    def bound(x: str, y: str) -> float:
+        if (x, y) not in bounds:
+            if len(bounds) > 1 << 18:
+                bounds.clear()
+            if x not in positions:
+                positions[x] = _positions(x)
+            bounds[x, y] = 1.0 if x == y else 2 * _common_subsequence(positions[x], len(x), y) / (len(x) + len(y))
+        return bounds[x, y]
+
+    def ratio(x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        if x == y:
+            return 1.0
+        if (x, y) not in ratios:
+            if len(ratios) > 1 << 18:
+                ratios.clear()
+            if matcher.b != y:
+                matcher.set_seq2(y)
+            matcher.set_seq1(x)
+            ratios[x, y] = matcher.ratio()
+        return ratios[x, y]
+
+    for at in range(0, len(a), SLICE):
+        i, j = np.indices((min(SLICE, len(a) - at), len(b))).reshape(2, -1)
+        i = i + at
+        if alone:
+            i, j = i[i < j], j[i < j]
+        share = WEIGHTS["words"] * words(seen[0][i], seen[1][j])
+        parts = {f: part(np.minimum(n[0][i], n[1][j]), n[0][i] + n[1][j]) for f, n in lengths.items()}
+        total = lambda: share + sum(WEIGHTS[name] * parts[f] for f, name in fields)  # noqa: B023, E731
+        for f in ("", "t", "h", "d"):
+            if f:
+                parts[f] = part(np.minimum(counts[f][0][i], counts[f][1][j]).sum(1), lengths[f][0][i] + lengths[f][1][j])
+            keep = total() >= least
+            i, j, share, parts = i[keep], j[keep], share[keep], {k: v[keep] for k, v in parts.items()}
+        order = np.lexsort((i, j))  # difflib prepares a pair's second text, once for all pairs in a row that have it
+        for i, j, share, *ups in zip(i[order].tolist(), j[order].tolist(), share[order].tolist(), *(parts[f][order].tolist() for f, _ in fields), strict=True):  # noqa: B020, PLW2901
+            up, first = dict(zip("tdh", ups, strict=True)), (ords[0][i], urls[0][i]) < (ords[1][j], urls[1][j])
+            pair = {f: (x[0][i], x[1][j]) if first else (x[1][j], x[0][i]) for f, x in texts.items()}
+            for measure in (bound, ratio):
+                for f in "thd":
+                    if up[f]:
+                        up[f] = measure(*pair[f])
+                    known = WEIGHTS["title"] * up["t"] + WEIGHTS["meta_description"] * up["d"] + WEIGHTS["h1"] * up["h"] + share
+                    if known < least:
+                        break
+                if known < least:
+                    break
+            else:
+                ends = (urls[0][i], urls[1][j]) if first else (urls[1][j], urls[0][i])
+                out.append((*ends, known))
+    return pd.DataFrame(out, columns=["url_a", "url_b", "similarity"])
+
+
 def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str] | None = None, work: list | None = None) -> DataFrame:
     """(url_a, url_b, similarity) of page pairs, in crawl order, whose weighted text similarity reaches the threshold.
 
     A score of threshold needs a similarity of title and description of at least
     (threshold - 0.65) / 0.35 each. For difflib's ratio 2M/T that bounds lengths,
-    so pairs are found by an equi-join on buckets of both lengths. The score's
-    bound by the lengths of all three texts, then by the letters that they have
-    in common, cuts pairs in the JVM before difflib scores the rest in Arrow
-    batches. All pages of a bucket meet: texts of a few dozen letters whose
-    ratio may be as low as that share no part that could be looked up instead.
-    At 0.65 or below the bounds say nothing, and a ValueError is raised. work gets
-    the number of pairs that difflib scores.
+    so only pages of the same or neighbouring buckets of both lengths meet. Buckets
+    are dealt to cells of about CELL pages; a task gets two cells, and bounds by
+    lengths, letters and common subsequences leave difflib few of their pairs. All
+    pages of a bucket meet: texts of a few dozen letters whose ratio may be as low
+    as that share no part that could be looked up instead. At 0.65 or below the
+    bounds say nothing, and a ValueError is raised. work gets the number of pairs
+    that difflib scores to the end.
     """
     need = (threshold - (1 - WEIGHTS["title"])) / WEIGHTS["title"]
     if need <= 0:
@@ -114,30 +213,27 @@ def fuzzy_pairs(pages: DataFrame, threshold: float = 0.85, exclusions: list[str]
     low = lambda n: F.lower(F.trim(F.coalesce(F.col(n), F.lit(""))))
     rows = pages.where(~excluded(F.col("url"), exclusions or [])).select("ord", "url", low("title").alias("t"), low("meta_description").alias("d"), low("h1").alias("h"), F.coalesce("word_count", F.lit(0)).alias("w"))
     rows = rows.where("t <> '' and d <> ''").groupBy("url").agg(F.min_by(F.struct("ord", "t", "d", "h", "w"), "ord").alias("r")).select("url", "r.*")
-    rows = materialize(rows.withColumns({f"n{c}": F.length(c) for c in "tdh"} | {f"l{c}": _letters(F.col(c)) for c in "tdh"}), "fuzzy-rows")
     # ratio >= need: the shorter is at least need / (2 - need) of the longer.
     base = -F.log(F.lit(need / (2 - need)))
-    bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / base).cast("int")
-    near = lambda c: F.explode(F.array(bucket(c) - 1, bucket(c), bucket(c) + 1))
-    a = rows.withColumn("bt", near("nt")).withColumn("bd", near("nd")).select("bt", "bd", *[F.col(c).alias(f"{c}1") for c in rows.columns])
-    b = rows.withColumns({"bt": bucket("nt"), "bd": bucket("nd")}).select("bt", "bd", *[F.col(c).alias(f"{c}2") for c in rows.columns])
-    total = lambda x: F.col(f"n{x}1") + F.col(f"n{x}2")
-    words = F.when((F.col("w1") > 0) & (F.col("w2") > 0), F.least("w1", "w2") / F.greatest("w1", "w2")).otherwise(0.0)
-    weigh = lambda part: WEIGHTS["title"] * part("t") + WEIGHTS["meta_description"] * part("d") + WEIGHTS["h1"] * part("h") + WEIGHTS["words"] * words
-    by_length = lambda x: F.when(total(x) > 0, 2 * F.least(f"n{x}1", f"n{x}2") / total(x)).otherwise(0.0)
-    common = lambda x: F.reduce(F.zip_with(f"l{x}1", f"l{x}2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    by_letters = lambda x: F.when(total(x) > 0, 2 * common(x) / total(x)).otherwise(0.0)
-    pairs = a.join(b, (a["bt"] == b["bt"]) & (a["bd"] == b["bd"]) & (F.col("ord1") < F.col("ord2")) & (weigh(by_length) >= threshold - 1e-9)).where(weigh(by_letters) >= threshold - 1e-9)
-    if work is not None:
-        pairs = materialize(pairs.select(*[f"{c}{i}" for c in ("url", "t", "d", "h", "w") for i in (1, 2)]), "fuzzy-candidates")
-        work.append(pairs.count())
+    bucket = lambda c: F.floor(F.log(F.length(c).cast("double")) / base).cast("int")
+    rows = rows.withColumns({f"n{c}": F.length(c) for c in "tdh"} | {f"l{c}": _letters(F.col(c)) for c in "tdh"} | {f"b{c}": bucket(c) for c in "td"})
+    rows = materialize(rows, "fuzzy-rows")
+    buckets = rows.groupBy("bt", "bd").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    rows = rows.join(buckets, ["bt", "bd"]).withColumn("cell", F.concat_ws(":", "bt", "bd", F.pmod(F.xxhash64("url"), F.col("cells"))))
+    cells = buckets.select("bt", "bd", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("k")).withColumn("cell", F.concat_ws(":", "bt", "bd", "k"))
+    x, y = (cells.select(*[F.col(c).alias(f"{c}{i}") for c in ("bt", "bd", "cell")]) for i in (1, 2))
+    met = x.join(y, (F.abs(x.bt1 - y.bt2) <= 1) & (F.abs(x.bd1 - y.bd2) <= 1) & (x.cell1 <= y.cell2)).select("cell1", "cell2")
+    met = met.select("cell1", "cell2", F.explode(F.array_distinct(F.array("cell1", "cell2"))).alias("cell"))
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if not a or not b else 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)], dtype="float64")
+    def score(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        a, b = (both[both.cell == cell] for cell in key)
+        return _score_pairs(a, None if key[0] == key[1] else b, threshold)
 
-    score = weigh(lambda x: ratio(f"{x}1", f"{x}2"))
-    return pairs.select(F.col("url1").alias("url_a"), F.col("url2").alias("url_b"), score.alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = rows.drop("bt", "bd", "cells").join(met, "cell").groupBy("cell1", "cell2").applyInPandas(score, "url_a string, url_b string, similarity double")
+    if work is not None:
+        pairs = materialize(pairs, "fuzzy-candidates")
+        work.append(pairs.count())
+    return pairs.where(F.col("similarity") >= threshold)
 
 
 def fuzzy_issues(pages: DataFrame, threshold: float = 0.85, exclusions: list[str] | None = None) -> DataFrame:

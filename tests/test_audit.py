@@ -50,6 +50,32 @@ def test_fuzzy_matches_difflib(spark):
         setchecks.fuzzy_pairs(df, 0.6)
 
 
+def test_fuzzy_pairs_over_cells_are_all_pairs(spark, monkeypatch):
+    """Texts of the same letters, which bounds by letters don't tell apart, over many cells."""
+    import difflib
+    import random
+
+    monkeypatch.setattr(setchecks, "CELL", 20)
+    monkeypatch.setattr(setchecks, "SLICE", 7)
+    r, words = random.Random(5), ["alpha", "bravo", "carbon", "delta", "ember", "falcon"]
+    rows = []
+    for i in range(120):
+        w = r.sample(words, len(words)) if i % 3 else [*words[:4], *r.sample(words[4:], 2), str(i)]
+        rows.append({"url": f"u{i}", "title": " ".join(w), "meta_description": " ".join(w * r.choice((1, 1, 3))), "h1": " ".join(w[1:]) if i % 7 else "", "word_count": i % 5})
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            both = sorted((a["word_count"], b["word_count"]))
+            score = 0.35 * ratio(a["title"], b["title"]) + 0.35 * ratio(a["meta_description"], b["meta_description"]) + 0.2 * ratio(a["h1"], b["h1"]) + 0.1 * (both[0] / both[1] if both[0] else 0.0)
+            if score >= 0.85:
+                want[a["url"], b["url"]] = score
+    work = []
+    got = {(x["url_a"], x["url_b"]): x["similarity"] for x in setchecks.fuzzy_pairs(pages(spark, *rows), work=work).collect()}
+    assert got == pytest.approx(want) and len(want) > 20
+    assert work[0] < 2 * len(want) < 120 * 119 / 2 / 4
+
+
 def test_graph_in_one_task_equals_distributed(spark, monkeypatch):
     df = pages(spark, *[{"url": f"http://a/{i}", "depth": i} for i in range(6)])
     ls = links(spark, *[(f"http://a/{i}", f"http://a/{(i * 3 + 1) % 6}", "body") for i in range(5)], ("http://a/0", "http://www.a/2/", "navigation"))
