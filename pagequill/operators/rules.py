@@ -81,8 +81,8 @@ def page_rules() -> list[Column]:
     return [F.array(*one).cast(kind), broken.cast(kind)]
 
 
-def detect_issues(pages: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
-    """Issue rows of every page that no exclusion pattern matches. Works on a stream."""
+def detect_issues(pages: DataFrame, exclusions: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Issue rows of every page that no exclusion pattern matches, with the page's columns in keep. Works on a stream."""
     rows = pages.where(~excluded(F.col("url"), exclusions)) if exclusions else pages
     issues = F.array_compact(F.flatten(F.array(*page_rules())))
-    return rows.select("url", F.explode(issues).alias("i")).select("url", "i.*")
+    return rows.select("url", *keep, F.explode(issues).alias("i")).select("url", "i.*", *keep)

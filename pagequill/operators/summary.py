@@ -50,9 +50,9 @@ def page_totals(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("total_pages"), F.count_if(inside).alias("internal_pages"), F.coalesce(F.round(F.avg(F.when(inside, F.coalesce("depth", F.lit(0)))), 1), F.lit(0.0)).alias("avg_depth"))
 
 
-def summarize_crawl(pages: DataFrame, links: DataFrame, issues: DataFrame) -> CrawlSummary:
-    """All parts of the summary; empty inputs give empty parts and a score of 100."""
-    groups = materialize(prioritize.group_issues(issues, pages), "issue-groups")
+def summarize_crawl(pages: DataFrame, links: DataFrame, issues: DataFrame, each_page: bool = False) -> CrawlSummary:
+    """All parts of the summary; empty inputs give empty parts and a score of 100. each_page: as in group_issues."""
+    groups = materialize(prioritize.group_issues(issues, pages, each_page=each_page), "issue-groups")
     graph = linkgraph.site_graph(pages, links)
     metrics = materialize(linkgraph.page_metrics(*graph), "page-metrics")
     totals = page_totals(pages).join(F.broadcast(severity_counts(groups))).join(F.broadcast(site_score(groups, metrics, links)))
