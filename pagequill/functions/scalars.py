@@ -66,6 +66,11 @@ def fetch_error(message: Column) -> Column:
     )
 
 
+def places(value: Column, n: int) -> Column:
+    """value to n decimals as C and DuckDB do it: the product with 10^n is rounded, not the shortest decimal text."""
+    return F.round(value * F.lit(10.0**n)) / F.lit(10.0**n)
+
+
 def scale(value: Column, top: Column, lo: float, hi: float) -> Column:
     """lo..hi by the square root of the share of top, one decimal."""
     share = F.least(F.greatest(value / top, F.lit(0.0)), F.lit(1.0))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequill.functions.scalars import flow_role, scale
+from pagequill.functions.scalars import flow_role, places, scale
 from pagequill.functions.shared import discard, join_by_group, materialize, new_path, without
 from pagequill.functions.urls import canonical, cluster_id, page_label
 from pagequill.operators import linkgraph
@@ -59,10 +59,10 @@ def bfs_tree(metrics: DataFrame, links: DataFrame, root: str) -> DataFrame:
 
 
 def authority_parents(flow: DataFrame, root: str) -> DataFrame:
-    """(node, parent, flow): the strongest source of each page but the root, ties to the first edge."""
+    """(node, parent, flow): the strongest source of each page but the root, ties (to nine places) to the first edge."""
     rows = flow.where((F.col("flow") > 0) & (F.col("t") != root))
-    best = rows.groupBy("t").agg(F.max(F.struct(F.col("flow"), (-F.col("ord")).alias("o"), F.col("s"))).alias("b"))
-    return best.select(F.col("t").alias("node"), F.col("b.s").alias("parent"), F.round("b.flow", 2).alias("flow"))
+    best = rows.groupBy("t").agg(F.max(F.struct(places(F.col("flow"), 9).alias("f"), (-F.col("ord")).alias("o"), F.col("s"), F.col("flow"))).alias("b"))
+    return best.select(F.col("t").alias("node"), F.col("b.s").alias("parent"), places(F.col("b.flow"), 2).alias("flow"))
 
 
 def reachable(children: DataFrame, root: str) -> DataFrame:
@@ -102,7 +102,7 @@ def page_nodes(metrics: DataFrame, flow: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return rows.select(
         F.col("norm").alias("id"), page_label(F.col("norm")).alias("label"), "url", F.col("authority_score").alias("authority"), "status_code", "depth",
-        cluster_id(F.col("norm")).alias("cluster"), "is_orphan", F.round(F.round(zero("inflow"), 9), 1).alias("inflow"), F.round(F.round(zero("outflow"), 9), 1).alias("outflow"),  # nine places are the same in any order of summing
+        cluster_id(F.col("norm")).alias("cluster"), "is_orphan", places(zero("inflow"), 1).alias("inflow"), places(zero("outflow"), 1).alias("outflow"),
         F.coalesce("in_pages", F.lit(0)).alias("in_pages"), F.coalesce("out_pages", F.lit(0)).alias("out_pages"),
         flow_role(zero("inflow"), zero("outflow")).alias("flow_role"), scale(F.col("authority_score"), F.lit(100.0), *NODE_SIZE).alias("size"),
     )

@@ -38,6 +38,19 @@ def test_duplicates_fold_case_and_space(spark):
     assert {r["url"] for r in got} == {"u1", "u2"} and all("shared by 2 pages" in r["details"] for r in got)
 
 
+def test_flows_are_the_same_in_any_order_and_round_as_sql(spark):
+    """Three tenths and so on sum to their decimal value; 8.075 is rounded by its product with 100, which is below the half."""
+    edges = [("http://a/0", f"http://a/{i}", w, i) for i, w in enumerate((0.1, 0.2, 0.3, 0.1, 0.3), 1)]
+    df = spark.createDataFrame(edges, "s string, t string, weight double, ord long")
+    metrics = spark.createDataFrame([("http://a/0", 10.0)], "norm string, authority_score double")
+    got = {r["t"]: r["flow"] for r in linkgraph.flows(df, metrics).collect()}
+    assert got == {t: 10.0 * w / 1.0 for _, t, w, _ in edges}
+    flow = spark.createDataFrame([("p", "x", 8.075, 2), ("q", "x", 8.075 - 1e-12, 1), ("p", "z", 15.675, 1)], "s string, t string, flow double, ord long")
+    assert {r["node"]: (r["parent"], r["flow"]) for r in tree.authority_parents(flow, "home").collect()} == {"x": ("q", 8.07), "z": ("p", 15.68)}
+    many = spark.createDataFrame([(f"n{i}", "x", 0.1, i) for i in range(10)], "s string, t string, flow double, ord long")
+    assert {r["norm"]: r["inflow"] for r in linkgraph.node_flows(many).collect()}["x"] == 1.0
+
+
 def test_fuzzy_matches_difflib(spark):
     import difflib
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 
-QUERIES = ["a4_j4_group_issues", "a5_severity_counts"]
+QUERIES = ["a4_j4_group_issues", "a5_severity_counts", "g6_t7_authority_parents"]
 
 
 @pytest.fixture(scope="module")
