@@ -51,6 +51,11 @@ def test_flows_are_the_same_in_any_order_and_round_as_sql(spark):
     assert {r["norm"]: r["inflow"] for r in linkgraph.node_flows(many).collect()}["x"] == 1.0
 
 
+def test_references_in_titles_are_decoded():
+    """As the reference's parser does, quotes and references that a cut title has lost the semicolon of too."""
+    assert html.extract("http://a/", "<title>token = &quot;5a&quot; &amp; x &amp</title>")["title"] == 'token = "5a" & x &'
+
+
 def test_fuzzy_matches_difflib(spark):
     import difflib
 
