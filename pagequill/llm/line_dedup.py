@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -101,8 +100,11 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _packed(part: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     """(part, data): rows of equal part in one value, column after column and by bytes of equal weight, which compress well."""
-    by = np.argsort(part, kind="stable")
-    parts, heads = np.unique(part[by], return_index=True)
+    # Two bytes are sorted by radix.
+    by = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    parts = part[by]
+    heads = np.nonzero(np.concatenate(([True], parts[1:] != parts[:-1])))[0] if len(part) else np.zeros(0, np.int64)
+    parts = parts[heads]
     cols = [c[by] for c in cols]
     ends = np.append(heads[1:], len(part))
     planes = lambda c: c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes()
@@ -160,7 +162,7 @@ def token_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rows = b.slice(first, len(texts))
                 row, number, line, h = _words(texts)
                 short = (h >> np.uint64(24)).astype(np.int64)
-                by = np.argsort(line << 40 | short) if len(row) < 1 << 23 else np.lexsort((h, line))
+                by = np.argsort(line << 40 | short, kind="stable") if len(row) < 1 << 23 else np.lexsort((h, line))
                 line, h, short = line[by], h[by], short[by]
                 near = (line[1:] == line[:-1]) & (short[1:] == short[:-1])
                 if (h[1:][near] != h[:-1][near]).any():
@@ -198,7 +200,7 @@ def token_counts(lines: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held.append(np.sort(_flat(b.column(0), "<u8")[1]))
+            held.append(_flat(b.column(0), "<u8")[1])
             n += len(held[-1])
             if n > 16 * _POSTS:
                 yield packed(np.sort(np.concatenate(held)))
@@ -339,7 +341,7 @@ def prefix_sets(lines: DataFrame, shared: Broadcast[Order], t: float = THRESHOLD
             num = order.numbers(h)
             # Sorted by line, then number: 39 bits of a number tell nearly all apart.
             short = np.where(num >= 0, num + (1 << 39), (num + _RARE) >> 22)
-            by = np.argsort(line << 40 | short)
+            by = np.argsort(line << 40 | short, kind="stable")  # lines lie in order, which it makes use of
             num, short = num[by], short[by]
             if ((line[1:] == line[:-1]) & (short[1:] == short[:-1])).any():
                 num = num[np.lexsort((num, line))]
@@ -436,6 +438,17 @@ def _asked(sets: DataFrame, lists: Lists) -> np.ndarray:
     return out
 
 
+def _by_key(key: np.ndarray, cid: np.ndarray) -> np.ndarray:
+    """The order by (key, cid): two plain sorts, where a key's number and a cid, whose middle bits are mostly unused, fit 63 bits."""
+    low = cid & ((1 << 40) - 1)
+    bits, above = (int(x.max()).bit_length() if len(x) else 0 for x in (low, cid >> 40))
+    by = np.argsort(key)
+    run = np.cumsum(np.concatenate(([0], key[by][1:] != key[by][:-1]))) if len(key) else by
+    if (len(cid) and cid.min() < 0) or bits + above + len(key).bit_length() > 63:
+        return np.lexsort((cid, key))
+    return by[np.argsort(run << (above + bits) | ((cid >> 40) << bits | low)[by])]
+
+
 def _near(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Which postings i and j of one token pass the length, sketch and positional filters (indices into i), and by how many bits their sketches differ."""
     # Half a sketch and rounding up first: that drops most pairs at once.
@@ -465,7 +478,7 @@ def _candidates(dealt: DataFrame, parts: int, t: float, most: int | None, lists:
             yield compared(dict(zip(("key", "cid", "size", "pos", "sk0", "sk1", "asks"), (np.concatenate(c) for c in zip(*got, strict=True)), strict=True)))
 
     def compared(p: dict[str, np.ndarray]) -> pa.RecordBatch:
-        by = np.lexsort((p["cid"], p["key"]))
+        by = _by_key(p["key"], p["cid"])
         p = {k: v[by] for k, v in p.items()}
         p["slack"] = np.minimum(np.ceil(p["size"] * ((1 - t) / (1 + t)) + 1e-6), 32).astype(np.uint8)
         key, cid, asks = p["key"], p["cid"], p["asks"]
@@ -600,20 +613,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = mark_possible(rows, F.col("row_mark"), gone, "mark", "hit")
     none = F.lit(None).cast("array<int>")
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
-        for text, lost in zip(texts, removed, strict=True):
-            if lost is not None:
-                lost = set(lost)
-                text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in lost])
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
     text = F.col("row").getField(text_col)
     kept = rows.where(~F.col("hit")).select("row", text.alias("text"), none.alias("removed"))
-    found = rows.where("hit").join(gone, F.col("row_mark") == F.col("mark"), "left")
-    found = found.select("row", without(text.cast("string"), F.col("gone.removed")).cast(docs.schema[text_col].dataType).alias("text"), F.col("gone.removed").alias("removed"))
+    # A table of what goes, by hash: texts needn't be sorted.
+    found = rows.where("hit").join(gone.hint("shuffle_hash"), F.col("row_mark") == F.col("mark"), "left").select("row", F.col("gone.removed").alias("removed"), F.split(text.cast("string"), "\n").alias("parts"))
+    left = F.array_join(F.expr("transform(array_except(sequence(0, size(parts) - 1), removed), i -> parts[i])"), "\n").cast(docs.schema[text_col].dataType)
+    found = found.select("row", F.when(F.col("removed").isNull(), text).otherwise(left).alias("text"), "removed")
     rows = kept.unionByName(found)
     if report:
         ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))

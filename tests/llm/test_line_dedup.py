@@ -80,3 +80,19 @@ def test_word_hashes_tell_words_apart():
     order = line_dedup.Order(h[:500].copy(), np.arange(500))
     n = order.numbers(h)
     assert sorted(n[:500]) == list(range(500)) and (n[500:] < 0).all()
+
+
+def test_lines_go_without_python_and_texts_unsorted(spark):
+    rows = [(i, f"same old line here\n\nown{i} words of{i} it{i}\nsame old line here\n") for i in range(50)] + [(50, ""), (51, None)]
+    df = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "SortMergeJoin" not in plan
+    assert {r["doc_id"]: r["text"] for r in df.collect()} == {i: None if t is None else t if i in (0, 50) else t.replace("same old line here\n", "") for i, t in [(0, rows[0][1].replace("same old line here\n", "", 2).join(["same old line here\n", ""])), *rows[1:]]}
+
+
+@pytest.mark.parametrize("high", [3, 1 << 22])
+def test_order_of_postings(high):
+    r = np.random.default_rng(1)
+    key, cid = r.integers(-40, 40, 3000), r.integers(0, high, 3000) << 40 | r.permutation(3000)
+    assert (line_dedup._by_key(key, cid) == np.lexsort((cid, key))).all()
+    assert len(line_dedup._by_key(key[:0], cid[:0])) == 0
